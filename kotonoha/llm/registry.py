@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kotonoha.llm.byte_bpe import op5_byte_bpe
+from kotonoha.llm.simhash import op10_simhash
 
-QUERIES = {f.__name__: f for f in (op5_byte_bpe,)}
+QUERIES = {f.__name__: f for f in (op5_byte_bpe, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
