@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from kotonoha.llm.byte_bpe import op5_byte_bpe
 from kotonoha.llm.simhash import op10_simhash
+from kotonoha.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op5_byte_bpe, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op5_byte_bpe, op9_toxicity, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
