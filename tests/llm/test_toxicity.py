@@ -46,5 +46,5 @@ def test_edges(spark):
     assert len(got) == len(rows) and got[5].score > 0.5 > got[1].score and got[None].score > 0.5
     assert got[2].score == got[3].score < 0.5 and got[5].segments[0].start == 0
     one = tox.fit(df, marks.filter("toxic = 0"))
-    assert {round(r.score, 6) for r in tox.passages(df, one).collect()} == {round(0.5 / 26, 6)}
+    assert {round(r.score, 6) for r in tox.passages(df, one).collect()} == {round(0.5 / 27, 6)}
     assert tox.passages(df.limit(0), tox.fit(df.limit(0), marks)).count() == 0
