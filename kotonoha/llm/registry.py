@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from kotonoha.llm import licenses
 from kotonoha.llm.byte_bpe import op5_byte_bpe
+from kotonoha.llm.licenses import op3_licenses
+from kotonoha.llm.secrets import op8_secrets
 from kotonoha.llm.simhash import op10_simhash
 from kotonoha.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op5_byte_bpe, op9_toxicity, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_licenses, op5_byte_bpe, op8_secrets, op9_toxicity, op10_simhash)}
+ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.ORACLE}
