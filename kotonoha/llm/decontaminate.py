@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from kotonoha.llm.common import documents, text_rows
 
@@ -147,7 +148,10 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """(doc_id, item_id, covered, n_item, coverage, tiles) of each pair whose item is covered enough."""
     rows = text_rows(df, id_col, text_col)
     items = benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    doc, item = rows.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    item = items.schema["item_id"].dataType.simpleString()
+    row = [StructField("covered", IntegerType()), StructField("n_item", IntegerType()), StructField("coverage", DoubleType())]
+    place = StructType([StructField(x, IntegerType()) for x in ("item_start", "text_start", "length")])
+    schema = StructType([rows.schema["doc_id"], items.schema["item_id"], *row, StructField("tiles", ArrayType(place))])
     tile = pa.list_(pa.struct([("item_start", pa.int32()), ("text_start", pa.int32()), ("length", pa.int32())]))
     item_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item]
     out = None
@@ -175,7 +179,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     names=["doc_id", "item_id", "covered", "n_item", "coverage", "tiles"],
                 )
 
-        found = rows.mapInArrow(run, f"doc_id {doc}, item_id {item}, covered int, n_item int, coverage double, tiles array<struct<item_start:int,text_start:int,length:int>>")
+        found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
 

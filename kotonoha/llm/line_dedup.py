@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from kotonoha.llm.common import documents
 from kotonoha.session import written
@@ -157,7 +158,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     left = df.withColumn("__th", F.xxhash64(text_col)).alias("x")
     joined = left.join(runs.alias("y"), (F.col("__th") == F.col("y.th")) & F.col(f"x.{id_col}").eqNullSafe(F.col("y.d")), "left").select("x.*", "__runs").drop("__th")
     names = df.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", n_lines int, n_deleted int, deleted string"
+    schema = StructType([*df.schema.fields, StructField("n_lines", IntegerType()), StructField("n_deleted", IntegerType()), StructField("deleted", StringType())])
     at = names.index(text_col)
 
     def clean(text: str, runs: list) -> tuple[str, int, int, str]:

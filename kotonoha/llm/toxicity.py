@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from kotonoha.llm.common import documents, id_crc, text_rows
 from kotonoha.session import written
@@ -192,8 +193,8 @@ def passages(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """(doc_id, n_tokens, segments, evidence, score): segments are (start, end, sum) in tokens, end exclusive."""
     rows = text_rows(df, id_col, text_col)
     shared = df.sparkSession.sparkContext.broadcast(model)  # LEXICON entries at most
-    row = "n_tokens bigint, segments array<struct<start:int,end:int,sum:double>>, evidence double, score double"
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    segment = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("sum", DoubleType())])
+    row = [StructField("n_tokens", LongType()), StructField("segments", ArrayType(segment)), StructField("evidence", DoubleType()), StructField("score", DoubleType())]
     arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("sum", pa.float64())]))
 
     def run(batches):
@@ -211,7 +212,7 @@ def passages(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 ps.append(model.probability(e))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(segs, arrow), pa.array(es, pa.float64()), pa.array(ps, pa.float64())], names=["doc_id", "n_tokens", "segments", "evidence", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, {row}")
+    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], *row]))
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_label: str = "doc_id", label: str = "toxic") -> Model:
