@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from kotonoha.llm import licenses
+from kotonoha.llm import bm25_search, licenses
+from kotonoha.llm.bm25_search import op7_bm25_search
 from kotonoha.llm.byte_bpe import op5_byte_bpe
 from kotonoha.llm.context_mix import op2_context_mix
 from kotonoha.llm.decontaminate import op6_decontaminate
@@ -12,5 +13,5 @@ from kotonoha.llm.secrets import op8_secrets
 from kotonoha.llm.simhash import op10_simhash
 from kotonoha.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_context_mix, op3_licenses, op4_line_dedup, op5_byte_bpe, op6_decontaminate, op8_secrets, op9_toxicity, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.ORACLE}
+QUERIES = {f.__name__: f for f in (op2_context_mix, op3_licenses, op4_line_dedup, op5_byte_bpe, op6_decontaminate, op7_bm25_search, op8_secrets, op9_toxicity, op10_simhash)}
+ORACLE_SQL: dict[str, str] = {"op3_licenses": licenses.ORACLE, "op7_bm25_search": bm25_search.ORACLE}
