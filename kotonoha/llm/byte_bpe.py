@@ -26,7 +26,7 @@ from kotonoha.llm.common import text_rows
 #: Byte b is written as the character U+0100 + b.
 CHARS = {b: 256 + b for b in range(256)}
 #: Pre-tokens whose ids a Python worker remembers at most; beyond it the memory starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 #: Letters and numbers assigned after Unicode 16, as ranges. The vocabulary's library
 #: knows Unicode 16 and takes them for neither; the regex module here knows them.
@@ -173,6 +173,23 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -
     return rows.mapInArrow(run, schema)
 
 
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): encode() and decode() by one Python worker, so that a task holds the texts and the vocabulary once."""
+    shared = _shared(df, ranks_path, pattern)
+    rows = text_rows(df, id_col, text_col)
+    schema = rows.select("doc_id", F.lit(b"").alias("ids"), F.lit(b"").alias("decoded")).schema
+
+    def run(batches):
+        codec = _codec(shared)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                ids = [codec.encode(t) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(list(map(codec.decode, ids)), pa.binary())], names=["doc_id", "ids", "decoded"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def unpacked(ids_col: str = "ids"):
     """The packed ids as array<bigint>."""
     c = F.col(ids_col)
@@ -184,7 +201,7 @@ def unpacked(ids_col: str = "ids"):
 
 def digests(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Encode and decode every text of df and state both results by their digests."""
-    out = decode(encode(df, ranks_path, pattern), ranks_path, pattern)
+    out = round_trip(df, ranks_path, pattern)
     return out.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),

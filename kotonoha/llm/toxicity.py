@@ -46,7 +46,7 @@ ASIDE = 4
 #: Lengths in bytes of the beginnings that are features.
 BEGINNINGS = range(4, 11)
 #: Remembered token scores in a Python worker at most.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
@@ -132,7 +132,7 @@ def _counts(rows: DataFrame) -> DataFrame:
     """(feature, aside, toxic, clean): in how many tokens, each once a row, of toxic and of clean rows; aside: of the rows kept for the curve."""
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
             seen: dict[tuple[bool, bool], Counter] = {}
             for text, toxic, aside in zip(*(c.to_pylist() for c in b.columns)):
                 seen.setdefault((aside, toxic > 0), Counter()).update(set(tokens(text.encode())))

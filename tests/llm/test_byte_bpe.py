@@ -50,4 +50,6 @@ def test_query(spark):
         assert got[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
     arrays = {r.doc_id: r.a for r in byte_bpe.encode(df, PATH, P.PATTERN).select("doc_id", byte_bpe.unpacked().alias("a")).collect()}
     assert arrays[1] == LIBRARY.encode_ordinary("Hello wörld") and arrays[2] == []
+    apart = byte_bpe.decode(byte_bpe.encode(df, PATH, P.PATTERN), PATH, P.PATTERN)
+    assert sorted(map(str, apart.collect())) == sorted(map(str, byte_bpe.round_trip(df, PATH, P.PATTERN).collect()))
     assert byte_bpe.digests(df.limit(0), PATH, P.PATTERN).count() == 0
