@@ -52,7 +52,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    out = byte_bpe.decode(byte_bpe.encode(docs, ranks, pattern), ranks, pattern)
+    out = byte_bpe.round_trip(docs, ranks, pattern)
     return out.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
