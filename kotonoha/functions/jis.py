@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def character(plane: int, row: int, cell: int) -> str | None:
@@ -20,3 +23,16 @@ def table(spark: SparkSession) -> DataFrame:
     """(plane, row, cell, value) of all 17,672 places, small enough to broadcast whatever the corpus."""
     places = [(p, r, c, character(p, r, c)) for p in (1, 2) for r in range(1, 95) for c in range(1, 95)]
     return spark.createDataFrame(places, "plane int, row int, cell int, value string")
+
+
+@cache
+def _rows() -> list[str]:
+    """The cells of each plane's rows as two characters each, blanks where there are none."""
+    return ["".join((character(p, r, c) or "").ljust(2) for c in range(1, 95)) for p in (1, 2) for r in range(1, 95)]
+
+
+def at(plane: Column, row: Column, cell: Column) -> Column:
+    """The character at a place as an expression over constants: nothing is joined, whatever the number of notes."""
+    rows = F.array(*(F.lit(x) for x in _rows()))
+    found = F.rtrim(F.substring(F.get(rows, (plane - 1) * 94 + row - 1), (cell - 1) * 2 + 1, F.lit(2)))
+    return F.when(plane.between(1, 2) & row.between(1, 94) & cell.between(1, 94) & (found != ""), found)

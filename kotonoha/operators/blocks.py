@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kotonoha.functions.text import fullwidth_digits, is_delimiter, strip
-from kotonoha.operators.notes import next_row, shielded
+from kotonoha.operators.inline import add_diagnostics
+from kotonoha.operators.notes import apart, next_row, shielded
 
 _B, _E = r"\A[ \t　]*", r"[ \t　\r]*\z"
 _DIRECTIVE = r"\A:::[A-Za-z][A-Za-z0-9_-]*\z"
@@ -30,10 +31,10 @@ def _fold(df: DataFrame, step, counters: tuple[str, ...], prefix: str) -> DataFr
         return _state(out=F.concat(s["out"], out), open=opened, existing=existing, **{c: s[c] + F.when(counter == c, 1).otherwise(0) for c in counters})
 
     done = F.aggregate(rows, zero, one)
-    df = df.withColumn("__s", done)
+    df = apart(df.withColumn("__s", done))
     ended = F.when(F.col("__s.open") != "", F.array_append("__s.out", F.lit(":::"))).otherwise(F.col("__s.out"))
     df = df.withColumn("lines", ended).withColumns({f"{prefix}_{c}": F.col(f"__s.{c}") for c in counters}).drop("__s")
-    return df.withColumn("shield", shielded(F.col("lines")))
+    return apart(apart(df).withColumn("shield", shielded(F.col("lines"))))
 
 
 def _rows(*xs: Column | str) -> Column:
@@ -147,14 +148,14 @@ def page_breaks(df: DataFrame, approximate_spread: bool = False) -> DataFrame:
 def annotation_blocks(df: DataFrame) -> DataFrame:
     """Blocks between pairs of rows of hyphens go; an odd number of such rows leaves the text as it is."""
     marks = F.transform(F.filter(F.transform(F.arrays_zip("lines", "shield"), lambda r, i: F.struct(i.alias("i"), (is_delimiter(r["lines"]) & ~r["shield"]).alias("is"))), lambda x: x["is"]), lambda x: x["i"])
-    df = df.withColumn("__marks", marks)
+    df = apart(df.withColumn("__marks", marks))
     even = (F.size("__marks") % 2 == 0) & (F.size("__marks") > 0)
     before = lambda i: F.size(F.filter("__marks", lambda m: m < i))
     inside = lambda i: F.array_contains("__marks", i) | (before(i) % 2 == 1)
     lines = F.when(even, F.filter("lines", lambda line, i: ~inside(i))).otherwise(F.col("lines"))
     df = df.withColumn("__lines", lines).withColumn("blocks_removed", F.when(even, (F.size("__marks") / 2).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     df = df.withColumn("blocks_unclosed", F.size("__marks") % 2 == 1).drop("lines", "__marks").withColumnRenamed("__lines", "lines")
-    return df.withColumn("shield", shielded(F.col("lines")))
+    return apart(apart(df).withColumn("shield", shielded(F.col("lines"))))
 
 
 def _date(line: Column) -> Column:
@@ -181,17 +182,21 @@ def footer(df: DataFrame, window: int = 400) -> DataFrame:
     )
     # a text without the closing row of a footer has none: its lines are not looked at one by one
     df = df.withColumn("__f", F.when(F.exists("lines", lambda x: F.contains(x, F.lit("青空文庫作成ファイル"))), F.slice(flags, F.greatest(F.col("__n") - window, F.lit(0)) + 1, window)).otherwise(F.slice(flags, 1, 0)))
+    df = apart(df)
     last = lambda name: F.array_max(F.transform(F.filter("__f", lambda r: r["usable"] & r[name]), lambda r: r["i"]))
     stop = F.coalesce(F.array_max(F.transform(F.filter("__f", lambda r: r["stop"]), lambda r: r["i"])), F.lit(-1))
-    limit = F.least(last("made"), last("who"))
+    limit = F.when(last("made").isNotNull() & last("who").isNotNull(), F.least(last("made"), last("who")))
     chosen = lambda name: F.array_max(F.transform(F.filter("__f", lambda r: r["usable"] & r[name] & (r["i"] > stop) & (r["i"] <= limit)), lambda r: r["i"]))
-    df = df.withColumn("__at", F.when(limit.isNotNull(), F.coalesce(chosen("source"), chosen("end"))))
+    df = apart(df.withColumn("__at", F.when(limit.isNotNull(), F.coalesce(chosen("source"), chosen("end")))))
     kept = F.slice("lines", F.lit(1), F.col("__at"))
     body = F.array_max(F.transform(F.filter(F.transform(kept, lambda x, i: F.struct(i.alias("i"), strip(x).alias("x"))), lambda x: x["x"] != ""), lambda x: x["i"]))
     cut = F.when(body.isNull(), F.array(F.lit(""))).otherwise(F.array_append(F.slice("lines", F.lit(1), body + 1), F.lit("")))
     df = df.withColumn("footer_removed", F.col("__at").isNotNull()).withColumn("__lines", F.when(F.col("__at").isNotNull(), cut).otherwise(F.col("lines")))
-    df = df.drop("lines", "__n", "__f", "__at").withColumnRenamed("__lines", "lines")
-    return df.withColumn("shield", shielded(F.col("lines")))
+    # what looks like a footer and stays is told
+    kept_back = F.col("__at").isNull() & F.exists("__f", lambda r: r["source"] | r["end"])
+    told = F.when(kept_back, F.array(F.struct(F.lit("footer").alias("stage"), F.lit("FOOTER_CANDIDATE_PRESERVED").alias("code"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("reason"))))
+    df = add_diagnostics(df, told).drop("lines", "__n", "__f", "__at").withColumnRenamed("__lines", "lines")
+    return apart(apart(df).withColumn("shield", shielded(F.col("lines"))))
 
 
 def line_table(df: DataFrame, id_col: str = "doc_id") -> DataFrame:

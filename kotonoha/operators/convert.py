@@ -52,7 +52,7 @@ def convert(df: DataFrame, options: Options = Options(), id_col: str = "doc_id",
     o = options
     rows = with_lines(df.select(id_col, F.col(text).alias("text")))
     stages = [
-        (o.gaiji, lambda x: inline.gaiji(x, id_col)),
+        (o.gaiji, inline.gaiji),
         (o.tcy, inline.tcy),
         (o.emphasis, inline.emphasis),
         (o.underline, lambda x: inline.underline(x, o.underline_html, o.approximate_styles, o.approximate_left)),
@@ -71,7 +71,7 @@ def convert(df: DataFrame, options: Options = Options(), id_col: str = "doc_id",
         rows = metadata.add_front_matter(rows, o.keep_header).drop("header", "body_line")
     else:
         rows = rows.withColumn("text", F.array_join("lines", "\n"))
-    return rows.drop("lines", "shield")
+    return rows.drop("lines", "shield", "noted")
 
 
 def with_remaining(converted: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -1,8 +1,10 @@
 """Inline annotation stages as column expressions on the line table.
 
-A stage takes rows with lines and shield (see notes.with_lines) and returns them converted, with
-its counters as columns. Notes name their target ("「q」は…") and convert only where the target stands
-right before them, which a back-reference states; shielded lines and inline code stay as they are.
+A stage takes rows with lines, shield and noted (see notes.with_lines) and returns them converted,
+with its counters and diagnostics as columns. Each line is cut once into pieces: a note of the
+stage's kind with the text that stands before it. "「q」は…" converts where that text ends with q, so
+a line costs time in proportion to its length. Shielded lines and inline code stay as they are, and
+documents without a note opener are passed on untouched.
 """
 
 from __future__ import annotations
@@ -13,138 +15,359 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kotonoha.functions import jis
-from kotonoha.functions.text import between, code_points, fullwidth_digits, occurrences
-from kotonoha.operators.notes import CODE
+from kotonoha.functions.text import code_points, fullwidth_digits, is_space, strip
+from kotonoha.operators.notes import CODE, apart
 
 #: Names of marks and lines in notes.
 MARKS = "白ゴマ傍点|白丸傍点|黒三角傍点|白三角傍点|二重丸傍点|蛇の目傍点|ばつ傍点|丸傍点|傍点"
 STYLES = "二重傍線|鎖線|破線|波線|傍線"
 LEVELS = ("大", "中", "小")
+#: Whatever notes follow a note, if ruby follows them: such a note lies inside a ruby base.
+_RUBY_AFTER = "(?:(?:※?［＃[^］\r\n]*］)*《)?"
+_EDGE, _END = r"\A[ \t　]*", r"[ \t　\r]*\z"
+_PIECE = "struct<text:string,kind:string,note:string,code:string,reason:string>"
+_DIAGNOSTICS = "array<struct<stage:string,code:string,line:int,note:string,reason:string>>"
 
 
-def on_lines(df: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
-    """change() on each line that is not shielded, outside its inline code; lines without a note are passed on."""
-    each = lambda line, shield: F.when(shield | ~F.contains(line, F.lit("［＃")), line).otherwise(between(line, CODE, change, lambda c: c))
-    return df.withColumn("lines", F.zip_with("lines", "shield", each))
+def _lit(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x).cast("string")
 
 
-def count_lines(pattern: str) -> Column:
-    """How often a pattern occurs in the lines that are not shielded, outside inline code."""
-    each = F.zip_with("lines", "shield", lambda line, shield: F.when(shield | ~F.contains(line, F.lit("［＃")), 0).otherwise(occurrences(F.regexp_replace(line, CODE, "`"), pattern)))
-    return F.aggregate(each, F.lit(0), lambda a, x: a + x)
+def piece(text, kind=None, note=None, code=None, reason=None) -> Column:
+    """A part of a line: its text after the stage, what it counts as, and the note and code of a diagnostic."""
+    return F.struct(_lit(text).alias("text"), _lit(kind).alias("kind"), _lit(note).alias("note"), _lit(code).alias("code"), _lit(reason).alias("reason"))
 
 
-def _passes(df: DataFrame, passes: list[tuple[str, str, str]], left: str, prefix: str) -> DataFrame:
-    """Replacements (counter, pattern, replacement) one after the other, then the notes of the kind that are left."""
-    counts: dict[str, list[str]] = {}
-    for k, (counter, pattern, replacement) in enumerate(passes):
-        name = f"__{prefix}_{k}"
-        df = df.withColumn(name, count_lines(pattern))
-        df = on_lines(df, lambda line, p=pattern, r=replacement: F.regexp_replace(line, p, r))
-        counts.setdefault(counter, []).append(name)
-    df = df.withColumn(f"{prefix}_unconverted", count_lines(left).cast("bigint"))
-    for counter, names in counts.items():
-        df = df.withColumn(f"{prefix}_{counter}", sum((F.col(n) for n in names[1:]), F.col(names[0])).cast("bigint"))
-    return df.drop(*(n for names in counts.values() for n in names))
+def _cut(line: Column, pattern: str, convert: Callable[[Column, Column], Column]) -> Column:
+    gaps, hits = F.split(line, pattern, -1), F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
+    return F.zip_with(gaps, hits, lambda gap, hit: F.when(hit.isNull(), piece(gap)).otherwise(convert(gap, hit)))
+
+
+def _around_code(line: Column, change: Callable[[Column], Column]) -> Column:
+    gaps, codes = F.split(line, CODE, -1), F.regexp_extract_all(line, F.lit(CODE), F.lit(0))
+    none = F.array().cast(f"array<{_PIECE}>")
+    parts = F.zip_with(gaps, codes, lambda gap, code: F.concat(change(gap), F.when(code.isNull(), none).otherwise(F.array(piece(code)))))
+    return F.when(F.contains(line, F.lit("`")), F.flatten(parts)).otherwise(change(line))
+
+
+def add_counts(df: DataFrame, prefix: str, counts: dict[str, Column]) -> DataFrame:
+    """Adds to the stage's counters, which start at 0."""
+    value = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    return df.withColumns({f"{prefix}_{k}": (F.col(f"{prefix}_{k}") + value(c)) if f"{prefix}_{k}" in df.columns else value(c) for k, c in counts.items()})
+
+
+def add_diagnostics(df: DataFrame, found: Column) -> DataFrame:
+    """Appends (stage, code, line, note, reason) entries; lines count from 1 in the text as the stage saw it."""
+    found = F.coalesce(found, F.array()).cast(_DIAGNOSTICS)
+    return df.withColumn("diagnostics", F.concat("diagnostics", found) if "diagnostics" in df.columns else found)
+
+
+def notes_pass(df: DataFrame, stage: str, each: Callable[[Column], Column], counters: tuple[str, ...], mask: str = "shield") -> DataFrame:
+    """Runs each(line) -> pieces on the lines outside the mask that hold a note opener."""
+    one = lambda line, hidden: F.when(hidden | ~F.contains(line, F.lit("［＃")), F.array(piece(line))).otherwise(each(line))
+    df = apart(df.withColumn("__p", F.when(F.col("noted"), F.zip_with("lines", mask, one))))
+    said = F.flatten(F.transform("__p", lambda ps, i: F.transform(F.filter(ps, lambda p: p["code"].isNotNull()), lambda p: F.struct(F.lit(stage).alias("stage"), p["code"].alias("code"), (i + 1).alias("line"), p["note"].alias("note"), p["reason"].alias("reason")))))
+    df = add_diagnostics(df, said)
+    n = lambda kind: F.size(F.filter(F.flatten("__p"), lambda p: p["kind"] == kind))
+    df = add_counts(df, stage, {c: n(c) for c in counters})
+    lines = F.transform("__p", lambda ps: F.array_join(F.transform(ps, lambda p: p["text"]), ""))
+    return apart(df.withColumn("lines", F.coalesce(lines, "lines")).drop("__p"))
+
+
+def _on_notes(df: DataFrame, stage: str, pattern: str, convert: Callable[[Column, Column], Column], counters: tuple[str, ...], mask: str = "shield") -> DataFrame:
+    return notes_pass(df, stage, lambda line: _around_code(line, lambda part: _cut(part, pattern, convert)), counters, mask)
+
+
+def target(gap: Column, quoted: Column) -> Column:
+    """The end of the text before a note that its quotation names: literally, or upright as a whole; null if neither."""
+    upright = F.concat(F.lit("｟"), quoted, F.lit("｠"))
+    return F.when(quoted == "", None).when(F.endswith(gap, quoted), quoted).when(F.endswith(gap, upright), upright)
+
+
+def before(gap: Column, found: Column) -> Column:
+    return F.substring(gap, F.lit(1), F.length(gap) - F.length(found))
+
+
+def in_ruby(head: Column, hit: Column) -> Column:
+    """Whether ruby is open on the line before a target, or follows its note."""
+    return head.rlike(r"[｜《][^》]*\z") | F.endswith(hit, F.lit("《"))
+
+
+def gathered(df: DataFrame, stage: str, begins: str, ends: str, wrap: Callable[[Column, Column], Column], kind_of: Callable[[Column], Column], refused: Callable[[Column], Column], code: str) -> DataFrame:
+    """Blocks between a row that begins a kind and the first row that ends one, wrapped row by row and without those two rows.
+
+    begins, ends: patterns whose group 1 is the kind. A block is refused, and its rows are kept from the
+    stage's later passes, if the kinds differ or a row in it holds a note opener or is refused(); without an
+    ending row before a shielded one or the end, only the beginning row is. Adds __done, the rows that are settled."""
+    row = "struct<text:string,done:boolean,shield:boolean>"
+    of = lambda text, done, s: F.struct(text.alias("text"), (done if isinstance(done, Column) else F.lit(done)).alias("done"), s.alias("shield"))
+    no_rows = F.array().cast(f"array<{row}>")
+    state = lambda **v: F.struct(*(c.alias(k) for k, c in v.items()))
+    zero = state(out=no_rows, head=F.lit("").cast("string"), buf=no_rows, kinds=F.array().cast("array<string>"))
+    counted = lambda s, kind: F.array_append(s["kinds"], kind)
+    head = lambda s: F.array(of(s["head"], True, F.lit(False)))
+
+    def step(s: Column, r: Column) -> Column:
+        line, hidden = r["line"], r["shield"]
+        opened, start, end = s["head"] != "", line.rlike(begins) & ~r["shield"], line.rlike(ends) & ~r["shield"]
+        kind = F.regexp_extract(s["head"], begins, 1)
+        good = (F.regexp_extract(line, ends, 1) == kind) & ~F.exists(s["buf"], lambda b: F.contains(b["text"], F.lit("［＃")) | ((strip(b["text"]) != "") & refused(b["text"]))) & kind_of(kind).isNotNull()
+        wrapped = F.transform(s["buf"], lambda b: F.when(strip(b["text"]) == "", b).otherwise(of(wrap(b["text"], kind), True, F.lit(False))))
+        kept = F.concat(head(s), F.transform(s["buf"], lambda b: of(b["text"], F.lit(True), b["shield"])), F.array(of(line, True, hidden)))
+        own = F.array(of(line, False, hidden))
+        same = F.regexp_extract(line, ends, 1) == kind
+        broken = F.concat(s["out"], head(s), s["buf"])  # no end: only the beginning row is settled
+        closed = lambda rows, k: state(out=rows, head=F.lit("").cast("string"), buf=no_rows, kinds=counted(s, k))
+        return (
+            F.when(opened & end & good, closed(F.concat(s["out"], wrapped), kind_of(kind)))
+            .when(opened & end & same, closed(F.concat(s["out"], kept), F.lit("unconverted")))
+            .when(opened & (end | hidden), closed(F.concat(broken, own), F.lit("unconverted")))
+            .when(opened, state(out=s["out"], head=s["head"], buf=F.concat(s["buf"], own), kinds=s["kinds"]))
+            .when(start, state(out=s["out"], head=line, buf=no_rows, kinds=s["kinds"]))
+            .otherwise(state(out=F.concat(s["out"], own), head=s["head"], buf=no_rows, kinds=s["kinds"]))
+        )
+
+    def finish(s: Column) -> Column:
+        opened = s["head"] != ""
+        return F.struct(F.when(opened, F.concat(s["out"], head(s), s["buf"])).otherwise(s["out"]).alias("out"), F.when(opened, counted(s, F.lit("unconverted"))).otherwise(s["kinds"]).alias("kinds"))
+
+    some = F.col("noted") & F.exists("lines", lambda x: x.rlike(begins))
+    rows = F.zip_with("lines", "shield", lambda line, s: F.struct(line.alias("line"), s.alias("shield")))
+    df = apart(df.withColumn("__g", F.when(some, F.aggregate(rows, zero, step, finish))))
+    n = lambda k: F.size(F.filter("__g.kinds", lambda x: x == k))
+    df = df.withColumn("__kinds", F.col("__g.kinds")).withColumn("__out", F.col("__g.out"))
+    said = F.transform(F.filter("__kinds", lambda k: k == "unconverted"), lambda k: F.struct(F.lit(stage).alias("stage"), F.lit(code).alias("code"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("note"), F.lit("unsupported-block").alias("reason")))
+    df = add_diagnostics(df, said).withColumn("__done", F.coalesce(F.transform("__out", lambda r: r["done"] | r["shield"]), "shield"))
+    counters = {"emphasis": ("bold", "italic", "unconverted"), "underline": ("converted", "approximated", "unconverted")}[stage]
+    df = add_counts(df, stage, {k: n(k) for k in counters})
+    df = df.withColumn("lines", F.coalesce(F.transform("__out", lambda r: r["text"]), "lines")).withColumn("shield", F.coalesce(F.transform("__out", lambda r: r["shield"]), "shield"))
+    return apart(df.drop("__g", "__kinds", "__out"))
 
 
 def tcy(df: DataFrame) -> DataFrame:
     """Upright runs of one to four letters, digits, ! or ?, in brackets of their own."""
-    return _passes(df, [("converted", r"(?<!｟)([A-Za-z0-9!?]{1,4})［＃「\1」は縦中横］", "｟$1｠")], "［＃「[^」]*」は縦中横］", "tcy")
+    note = "［＃「([^」]*)」は縦中横］"
+
+    def convert(gap, hit):
+        q = F.regexp_extract(hit, note, 1)
+        has = F.endswith(gap, q)
+        head = before(gap, q)
+        reason = (
+            F.when(q == "", "empty")
+            .when(~q.rlike(r"\A[A-Za-z0-9!?]{1,4}\z"), "invalid-body")
+            .when(F.endswith(gap, F.concat(F.lit("｟"), q, F.lit("｠"))), "existing-tcy")
+            .when(~has, "target-mismatch")
+            .when(head.rlike(r"｟[^｠]*\z"), "existing-tcy")
+            .when(in_ruby(head, hit), "ruby-context")
+        )
+        kept = piece(F.concat(gap, hit), "unconverted", hit, "TCY_NOT_CONVERTED", reason)
+        return F.when(reason.isNotNull(), kept).otherwise(piece(F.concat(head, F.lit("｟"), q, F.lit("｠")), "converted"))
+
+    return _on_notes(df, "tcy", note + _RUBY_AFTER, convert, ("converted", "unconverted"))
 
 
 def emphasis(df: DataFrame) -> DataFrame:
-    """Bold and italic: two notes on one target, one note, nested and single ranges; targets with an asterisk are refused."""
-    one = r"［＃「\1」は太字］"
-    other = r"［＃「\1」は斜体字?］"
-    body = r"((?:(?!［＃)[^\n*])+?)"
-    return _passes(
-        df,
-        [
-            ("both", rf"([^」\n*]+)(?:{one}{other}|{other}{one})", "***$1***"),
-            ("bold", rf"([^」\n*]+){one}", "**$1**"),
-            ("italic", rf"([^」\n*]+){other}", "*$1*"),
-            ("both", rf"(?:［＃太字］［＃斜体］{body}［＃斜体終わり］［＃太字終わり］)", "***$1***"),
-            ("both", rf"(?:［＃斜体］［＃太字］{body}［＃太字終わり］［＃斜体終わり］)", "***$1***"),
-            ("bold", r"［＃太字］([^\n*]+?)［＃太字終わり］", "**$1**"),
-            ("italic", r"［＃斜体］([^\n*]+?)［＃斜体終わり］", "*$1*"),
-        ],
-        "［＃「[^」]+」は(?:太字|斜体字?)］|［＃(?:太字|斜体)］",
-        "emphasis",
-    )
+    """Bold and italic: blocks of rows, two notes on one target, one note, nested and single ranges; targets with an asterisk are refused."""
+    counters = ("bold", "italic", "both", "unconverted")
+    mark = lambda kind: F.when(kind == "太字", "**").otherwise("*")
+    name = lambda kind: F.when(kind == "太字", "bold").otherwise("italic")
+    starred = lambda text: F.contains(text, F.lit("*"))
+    df = gathered(df, "emphasis", rf"{_EDGE}［＃ここから(太字|斜体)］{_END}", rf"{_EDGE}［＃ここで(太字|斜体)終わり］{_END}", lambda text, kind: F.concat(mark(kind), text, mark(kind)), name, starred, "EMPHASIS_NOT_CONVERTED")
+    one = "［＃「([^」]+)」は(太字|斜体字?)］"
+
+    def both(gap, hit):
+        q, k = F.regexp_extract(hit, one, 1), F.regexp_extract(hit, one, 2)
+        q2, k2 = F.regexp_extract(hit, one + one, 3), F.regexp_extract(hit, one + one, 4)
+        t = F.when((q == q2) & ((k == "太字") != (k2 == "太字")), target(gap, q))
+        good = t.isNotNull() & ~starred(t)
+        return F.when(good, piece(F.concat(before(gap, t), F.lit("***"), t, F.lit("***")), "both")).otherwise(piece(F.concat(gap, hit)))
+
+    def single(gap, hit):
+        q, k = F.regexp_extract(hit, one, 1), F.regexp_extract(hit, one, 2)
+        t = target(gap, q)
+        good = t.isNotNull() & ~starred(t)
+        kept = piece(F.concat(gap, hit), "unconverted", hit, "EMPHASIS_NOT_CONVERTED", F.when(t.isNull(), "target-mismatch").otherwise("asterisk"))
+        return F.when(good, piece(F.concat(before(gap, t), mark(k), t, mark(k)), name(k))).otherwise(kept)
+
+    nest = r"［＃(太字|斜体)］［＃(太字|斜体)］((?:(?!［＃)[^\n])+?)［＃\2終わり］［＃\1終わり］"
+
+    def nested(gap, hit):
+        body = F.regexp_extract(hit, nest, 3)
+        good = (F.regexp_extract(hit, nest, 1) != F.regexp_extract(hit, nest, 2)) & ~starred(body)
+        return F.when(good, piece(F.concat(gap, F.lit("***"), body, F.lit("***")), "both")).otherwise(piece(F.concat(gap, hit)))
+
+    def ranged(kind: str):
+        note = rf"［＃{kind}］([^\n]*?)［＃{kind}終わり］"
+
+        def convert(gap, hit):
+            body = F.regexp_extract(hit, note, 1)
+            good = (body != "") & ~starred(body) & ~body.rlike("［＃|\r")
+            return F.when(good, piece(F.concat(gap, mark(F.lit(kind)), body, mark(F.lit(kind))), name(F.lit(kind)))).otherwise(piece(F.concat(gap, hit)))
+
+        return note, convert
+
+    left = lambda gap, hit: piece(F.concat(gap, hit), "unconverted", hit, "EMPHASIS_NOT_CONVERTED", "unsupported-range")
+    for pattern, convert in ((one + one, both), (one, single), (nest, nested), ranged("太字"), ranged("斜体"), ("［＃(?:太字|斜体)］", left)):
+        df = _on_notes(df, "emphasis", pattern, convert, counters, "__done")
+    return df.drop("__done")
 
 
 def underline(df: DataFrame, html: bool = False, approximate_styles: bool = False, approximate_left: bool = False) -> DataFrame:
-    """Lines beside a target or a range; other styles and the left side only if they may be approximated."""
+    """Lines beside a block, a target or a range; other styles and the left side only if they may be approximated."""
+    counters = ("converted", "approximated", "unconverted")
     a, b = ("<u>", "</u>") if html else ("||", "||")
-    free = r"[^」\n]+" if html else r"(?:(?!\|\|)[^」\n])+"
-    passes = [("converted", rf"(?<!{'<u>' if html else r'[|][|]'})({free})［＃「\1」に傍線］", f"{a}$1{b}"), ("converted", rf"［＃傍線］({free[:-1]}+?)［＃傍線終わり］", f"{a}$1{b}")]
-    styles = f"(?:{STYLES})" if approximate_styles else "傍線"
-    if approximate_styles:
-        passes += [("approximated", rf"({free})［＃「\1」に{styles}］", f"{a}$1{b}"), ("approximated", rf"［＃({styles})］((?:(?!［＃)[^\n])+?)［＃\1終わり］", f"{a}$2{b}")]
-    if approximate_left:
-        passes += [("approximated", rf"({free})［＃「\1」の左に{styles}］", f"{a}$1{b}"), ("approximated", rf"［＃(左に{styles})］((?:(?!［＃)[^\n])+?)［＃\1終わり］", f"{a}$2{b}")]
-    df = _passes(df, passes, rf"［＃「[^」]+」(?:の左)?に(?:{STYLES})］|［＃(?:左に)?(?:{STYLES})］", "underline")
-    return df if "underline_approximated" in df.columns else df.withColumn("underline_approximated", F.lit(0).cast("bigint"))
+    taken = (lambda t: t.rlike("(?i)</?u>")) if html else (lambda t: F.contains(t, F.lit("||")))
+
+    def kind(left: Column, style: Column) -> Column:
+        plain = style == "傍線"
+        return F.when(plain & ~left, "converted").when(plain & left & F.lit(approximate_left), "approximated").when(~plain & F.lit(approximate_styles) & (~left | F.lit(approximate_left)), "approximated")
+
+    of_head = lambda head: kind(F.startswith(head, F.lit("左に")), F.regexp_replace(head, r"\A左に", ""))
+    head = f"((?:左に)?(?:{STYLES}))"
+    df = gathered(df, "underline", f"{_EDGE}［＃ここから{head}］{_END}", f"{_EDGE}［＃ここで{head}終わり］{_END}", lambda text, kind: F.concat(F.lit(a), text, F.lit(b)), of_head, taken, "UNDERLINE_NOT_CONVERTED")
+    # a following mark is read along with the note: between two marks its target is underlined already
+    forward = rf"［＃「([^」]+)」(の左)?に({STYLES})］(\|\||(?i:</u>))?"
+
+    def single(gap, hit):
+        q, k = F.regexp_extract(hit, forward, 1), kind(F.regexp_extract(hit, forward, 2) != "", F.regexp_extract(hit, forward, 3))
+        t, after = target(gap, q), F.regexp_extract(hit, forward, 4)
+        rest = before(gap, t)
+        inside = ((after == "||") & F.endswith(rest, F.lit("||"))) | ((F.lower(after) == "</u>") & rest.rlike(r"(?i)<u>\z"))
+        good = k.isNotNull() & t.isNotNull() & ~taken(t) & ~inside
+        return F.when(good, piece(F.concat(rest, F.lit(a), t, F.lit(b), after), k)).otherwise(piece(F.concat(gap, hit)))
+
+    between = rf"［＃{head}］([^\n]*?)［＃\1終わり］"
+
+    def ranged(gap, hit):
+        k, body = of_head(F.regexp_extract(hit, between, 1)), F.regexp_extract(hit, between, 2)
+        good = k.isNotNull() & (body != "") & ~taken(body) & ~body.rlike("［＃|\r")
+        return F.when(good, piece(F.concat(gap, F.lit(a), body, F.lit(b)), k)).otherwise(piece(F.concat(gap, hit)))
+
+    left = lambda gap, hit: piece(F.concat(gap, hit), "unconverted", hit, "UNDERLINE_NOT_CONVERTED", "left-over")
+    for pattern, convert in ((forward, single), (between, ranged), (f"［＃「[^」]+」(?:の左)?に(?:{STYLES})］|［＃{head}］", left)):
+        df = _on_notes(df, "underline", pattern, convert, counters, "__done")
+    return df.drop("__done")
+
+
+def marked(text: Column, mark: str) -> Column:
+    """A mark as ruby at every character that is no white space."""
+    return F.array_join(F.transform(code_points(text), lambda ch: F.when(is_space(ch), ch).otherwise(F.concat(F.lit("｜"), ch, F.lit(f"《{mark}》")))), "")
 
 
 def bouten(df: DataFrame, mark: str = "﹅") -> DataFrame:
-    """A mark at every character of a target or a range that is no white space; ruby in or around it is refused."""
+    """A mark at every character of a range or a target that is no white space; ruby in or around it is refused."""
     mark = mark[:1] or "﹅"
-    forward = rf"([^」\n｜《》]+)［＃「\1」に(?:{MARKS})］(?!《)"
-    ranged = rf"［＃({MARKS})］([^\n｜《》［］]+)［＃\1終わり］(?!《)"
-    each = lambda c: F.array_join(F.transform(code_points(c), lambda ch: F.when(ch.rlike(r"\A\s|　\z"), ch).otherwise(F.concat(F.lit("｜"), ch, F.lit(f"《{mark}》")))), "")
-    df = df.withColumn("bouten_converted", (count_lines(forward) + count_lines(ranged)).cast("bigint"))
-    for pattern, group in ((ranged, 2), (forward, 1)):
-        df = on_lines(df, lambda line, p=pattern, g=group: between(line, p, lambda x: x, lambda m: each(F.regexp_extract(m, p, g))))
-    return df.withColumn("bouten_unconverted", count_lines(rf"［＃「[^」]*」(?:の左)?に(?:{MARKS})］|［＃(?:左に)?(?:{MARKS})］").cast("bigint"))
+    between, forward = rf"［＃({MARKS})］([^\n]*?)［＃\1終わり］", f"［＃「([^」]*)」に(?:{MARKS})］"
+    refuse = lambda gap, hit, why: piece(F.concat(gap, hit), "unconverted", hit, F.when(why == "ruby-context", "BOUTEN_RUBY_CONTEXT").when(why == "tcy-overlap", "BOUTEN_NOT_CONVERTED"), why)
+
+    def ranged(gap, hit):
+        body = F.regexp_extract(hit, between, 2)
+        why = F.when(body.rlike("[｟｠]"), "tcy-overlap").when(in_ruby(gap, hit), "ruby-context").when(body.rlike("[｜《》\r]|［＃") | (strip(body) == ""), "unsupported")
+        return F.when(why.isNotNull(), refuse(gap, hit, why)).otherwise(piece(F.concat(gap, marked(body, mark)), "converted"))
+
+    def single(gap, hit):
+        q = F.regexp_extract(hit, forward, 1)
+        has = (q != "") & F.endswith(gap, q)
+        head = before(gap, q)
+        why = F.when((has & (q.rlike("[｟｠]") | head.rlike(r"｟[^｠]*\z"))) | F.endswith(gap, F.concat(F.lit("｟"), q, F.lit("｠"))), "tcy-overlap").when(~has | q.rlike("[｜《》]"), "target-mismatch").when(in_ruby(head, hit), "ruby-context")
+        return F.when(why.isNotNull(), refuse(gap, hit, why)).otherwise(piece(F.concat(head, marked(q, mark)), "converted"))
+
+    left = lambda gap, hit: piece(F.concat(gap, hit), "unconverted")
+    for pattern, convert in ((between + _RUBY_AFTER, ranged), (forward + _RUBY_AFTER, single), (f"［＃「[^」]*」の左に(?:{MARKS})］|［＃左に(?:{MARKS})］", left)):
+        df = _on_notes(df, "bouten", pattern, convert, ("converted", "unconverted"))
+    return df
+
+
+def heading_base(text: Column) -> Column:
+    """A title without ruby and without the markup of earlier stages; null where ruby marks are left."""
+    out = F.regexp_replace(text, r"\*{1,3}([^*\n]+)\*{1,3}", "$1")
+    out = F.regexp_replace(F.regexp_replace(out, r"\|\|([^|\n]+)\|\||(?i:<u>)([^<\n]+)(?i:</u>)", "$1$2"), "｟([A-Za-z0-9!?]{1,4})｠", "$1")
+    out = F.regexp_replace(F.regexp_replace(out, "｜([^｜《》\n]+)《[^｜《》\n]*》", "$1"), r"([\p{IsHan}々〆ヵヶ]+)《[^｜《》\n]*》", "$1")
+    return F.when(~out.rlike("[｜《》]"), out)
 
 
 def headings(df: DataFrame, levels: tuple[int, int, int] = (2, 3, 4)) -> DataFrame:
-    """Whole-line headings named by their own text or set as a range in one line, with their indent in front of the title."""
-    lead = r"\A[ \t　]*(?:［＃([０-９0-9]+)字下げ］)?"
-    notes = []
-    for name, n in zip(LEVELS, levels):
-        notes.append((rf"{lead}([^\n［]+?)［＃「\2」は{name}見出し］[ \t　\r]*\z", n))
-        notes.append((rf"{lead}［＃{name}見出し］([^\n［]+?)［＃{name}見出し終わり］[ \t　\r]*\z", n))
-    df = df.withColumn("headings_converted", sum((count_lines(p) for p, _ in notes[1:]), count_lines(notes[0][0])).cast("bigint"))
-    df = df.withColumn("headings_unsupported", count_lines("［＃「[^」]*」は(?:同行|窓)(?:大|中|小)見出し］|［＃(?:ここから)?(?:同行|窓)(?:大|中|小)見出し］").cast("bigint"))
-
-    def title(line: Column) -> Column:
-        out = line
-        for p, n in reversed(notes):
-            indent = F.least(F.coalesce(fullwidth_digits(F.regexp_extract(line, p, 1)).try_cast("int"), F.lit(0)), F.lit(40))
-            out = F.when(line.rlike(p), F.concat(F.lit("#" * n + " "), F.repeat(F.lit("　"), indent), F.regexp_replace(F.regexp_extract(line, p, 2), r"\A[ \t　]+|[ \t　]+\z", ""))).otherwise(out)
-        return out
-
-    each = lambda line, shield: F.when(shield | ~F.contains(line, F.lit("見出し")), line).otherwise(title(line))
-    return df.withColumn("lines", F.zip_with("lines", "shield", each))
-
-
-def gaiji(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Characters by code point or by their place in JIS X 0213 (a broadcast table); other such notes stay.
-
-    Notes are rows while they are looked up: (document, line, place), joined, and put back in order."""
-    note = "※［＃([^］]*)］"
-    rows = df.withColumn("__key", F.monotonically_increasing_id()).withColumn("__spare", F.zip_with("lines", "shield", lambda line, s: F.when(s, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(F.regexp_replace(line, CODE, "`"), F.lit(note), F.lit(1)))))
-    asked = rows.select(F.explode("__spare").alias("x")).select(F.explode("x").alias("inner")).distinct()
-    s = fullwidth_digits(F.col("inner"))
-    hexa = F.regexp_extract(s, r"(?i)U\+([0-9A-F]{1,6})(?![0-9A-Fa-f])", 1)
+    """Whole-line headings: a range over one or more rows, or named by their own text; their indent goes in front of the title."""
+    lead = rf"{_EDGE}(?:［＃([０-９0-9]+)字下げ］)?"
+    level = f"({'|'.join(LEVELS)})"
+    marks = lambda name: F.element_at(F.create_map(*(x for k, n in zip(LEVELS, levels) for x in (F.lit(k), F.lit("#" * n)))), name)
+    deep = lambda digits: F.repeat(F.lit("　"), F.when(digits == "", 0).otherwise(F.least(F.coalesce(fullwidth_digits(digits).try_cast("bigint"), F.lit(40)), F.lit(40)).cast("int")))
+    begins = rf"{lead}［＃(?:ここから)?{level}見出し］"
+    df = _joined_headings(df, begins)
+    ranges = [rf"{lead}［＃ここから{level}見出し］(.*?)［＃ここで\2見出し終わり］{_END}", rf"{lead}［＃{level}見出し］(.*?)［＃\2見出し終わり］{_END}"]
+    forward = rf"{lead}([^\n［]+?)(［＃「([^」]*)」は{level}見出し］){_END}"
+    unsupported = "［＃「[^」]*」は(?:同行|窓)(?:大|中|小)見出し］|［＃(?:ここから)?(?:同行|窓)(?:大|中|小)見出し］"
+
+    def each(line):
+        out = piece(line)
+        body, quoted = F.regexp_extract(line, forward, 2), F.regexp_extract(line, forward, 4)
+        base = heading_base(body)
+        same = (quoted != "") & base.isNotNull() & ((strip(body) == quoted) | (strip(base) == quoted))
+        titled = piece(F.concat(marks(F.regexp_extract(line, forward, 5)), F.lit(" "), deep(F.regexp_extract(line, forward, 1)), strip(body)), "converted")
+        out = F.when(line.rlike(forward), F.when(same & (strip(body) != ""), titled).when(~same, piece(line, None, F.regexp_extract(line, forward, 3), "HEADING_TARGET_MISMATCH", "target-mismatch")).otherwise(out)).otherwise(out)
+        for p in reversed(ranges):
+            title = strip(F.regexp_replace(F.regexp_extract(line, p, 3), "\v", " "))
+            out = F.when(line.rlike(p) & (title != ""), piece(F.concat(marks(F.regexp_extract(line, p, 2)), F.lit(" "), deep(F.regexp_extract(line, p, 1)), title), "converted")).otherwise(out)
+        return F.array(out)
+
+    df = notes_pass(df, "headings", each, ("converted",))
+    return _on_notes(df, "headings", unsupported, lambda gap, hit: piece(F.concat(gap, hit), "unsupported"), ("unsupported",))
+
+
+def _joined_headings(df: DataFrame, begins: str) -> DataFrame:
+    """Puts a heading range that runs over rows into one row, its stripped rows joined by blanks.
+
+    An ending that never comes before a shielded row or the end leaves the rows as they are."""
+    row = "struct<text:string,shield:boolean>"
+    no_rows = F.array().cast(f"array<{row}>")
+    state = lambda out, buf: F.struct(out.alias("out"), buf.alias("buf"))
+    closing = r"［＃(?:ここで)?(?:大|中|小)見出し終わり］[ \t　\r]*\z"
+
+    def step(s, r):
+        line, opened = r["text"], F.size(s["buf"]) > 0
+        # a note that ends another range or begins a new one between does not join
+        rows = F.filter(F.transform(F.array_append(s["buf"], r), lambda x: strip(x["text"])), lambda x: x != "")
+        joined = F.array(F.struct(F.regexp_replace(F.regexp_replace(F.array_join(rows, " "), "(見出し］) ", "$1"), " (［＃(?:ここで)?(?:大|中|小)見出し終わり］)", "$1").alias("text"), F.lit(False).alias("shield")))
+        return (
+            F.when(opened & r["shield"], state(F.concat(s["out"], s["buf"], F.array(r)), no_rows))
+            .when(opened & line.rlike(closing), state(F.concat(s["out"], joined), no_rows))
+            .when(opened, state(s["out"], F.array_append(s["buf"], r)))
+            .when(~r["shield"] & line.rlike(begins) & ~line.rlike("見出し終わり］"), state(s["out"], F.array(r)))
+            .otherwise(state(F.array_append(s["out"], r), no_rows))
+        )
+
+    rows = F.zip_with("lines", "shield", lambda line, s: F.struct(line.alias("text"), s.alias("shield")))
+    some = F.col("noted") & F.exists("lines", lambda x: x.rlike(begins) & ~F.contains(x, F.lit("見出し終わり］")))
+    df = apart(df.withColumn("__h", F.when(some, F.aggregate(rows, state(no_rows, no_rows), step, lambda s: F.concat(s["out"], s["buf"])))))
+    df = df.withColumn("lines", F.coalesce(F.transform("__h", lambda r: r["text"]), "lines"))
+    return df.withColumn("shield", F.coalesce(F.transform("__h", lambda r: r["shield"]), "shield")).drop("__h")
+
+
+def character(inner: Column) -> Column:
+    """The character that a note names by its code point, or else by its place in JIS X 0213; null for neither."""
+    s = fullwidth_digits(inner)
+    hexa = F.regexp_extract(s, r"(?i)U\+([0-9A-F]{1,6})(?![0-9A-F])", 1)
     code = F.conv(hexa, 16, 10).cast("bigint")
     valid = (hexa != "") & (code >= 32) & (code != 127) & ~code.between(128, 159) & ~code.between(0xD800, 0xDFFF) & (code <= 0x10FFFF)
-    place = [r"第[34]水準(?:漢字)?([12])[-－](\p{Nd}+)[-－](\p{Nd}+)", r"(?<![0-9])([12])[-－](\p{Nd}+)[-－](\p{Nd}+)(?![0-9])"]
-    part = lambda k: F.coalesce(*(F.nullif(F.regexp_extract(s, p, k), F.lit("")) for p in place)).try_cast("int")
-    asked = asked.select("inner", F.when(valid, F.decode(F.unhex(F.lpad(hexa, 8, "0")), "UTF-32")).alias("direct"), part(1).alias("plane"), part(2).alias("row"), part(3).alias("cell"))
-    known = asked.join(F.broadcast(jis.table(df.sparkSession)), ["plane", "row", "cell"], "left").select("inner", F.coalesce("direct", "value").alias("value"))
-    # kinds of notes are as many as characters that need one, so they are looked up by a join on the note
-    places = rows.select("__key", F.posexplode("__spare").alias("__line", "x")).select("__key", "__line", F.posexplode("x").alias("__at", "inner"))
-    found = places.join(known, "inner", "left").groupBy("__key").agg(
-        F.map_from_entries(F.collect_set(F.struct("inner", "value"))).alias("__values"), F.count("value").alias("gaiji_converted"), F.sum(F.expr("int(value is null)")).cast("bigint").alias("gaiji_unconverted")
-    )
-    rows = rows.join(found, "__key", "left").withColumn("__values", F.coalesce("__values", F.create_map().cast("map<string,string>")))
-    value = lambda m: F.coalesce(F.try_element_at("__values", F.regexp_extract(m, note, 1)), m)
-    rows = on_lines(rows, lambda line: between(line, note, lambda x: x, value))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return rows.withColumns({c: zero(c) for c in ("gaiji_converted", "gaiji_unconverted")}).drop("__key", "__spare", "__values")
+    level, bare = r"第[34]水準(?:漢字)?(\p{Nd})[-－](\p{Nd}+)[-－](\p{Nd}+)", r"(?<![0-9])([12])[-－](\p{Nd}+)[-－](\p{Nd}+)(?![0-9])"
+    part = lambda k: F.when(s.rlike(level), F.regexp_extract(s, level, k)).otherwise(F.regexp_extract(s, bare, k)).try_cast("int")
+    return F.when(valid, F.decode(F.unhex(F.lpad(hexa, 8, "0")), "UTF-32")).otherwise(jis.at(part(1), part(2), part(3)))
+
+
+def gaiji(df: DataFrame) -> DataFrame:
+    """Characters by code point or by their place in JIS X 0213, instead of a quoted stand-in or of a ※ note; other notes stay."""
+    known = r"(?:[Uu]\+[0-9A-Fa-f０-９]|[12１２][-－]\p{Nd}+[-－]\p{Nd}+)"
+    stand_in, spare = f"［＃「([^」]+)」は([^］]*{known}[^］]*)］", "※［＃([^］]*)］"
+
+    def replaced(gap, hit):
+        q, value = F.regexp_extract(hit, stand_in, 1), character(F.regexp_extract(hit, stand_in, 2))
+        good = value.isNotNull() & F.endswith(gap, q)
+        return F.when(good, piece(F.concat(before(gap, q), value), "converted")).otherwise(piece(F.concat(gap, hit), "unconverted"))
 
+    def named(gap, hit):
+        value = character(F.regexp_extract(hit, spare, 1))
+        return F.when(value.isNotNull(), piece(F.concat(gap, value), "converted")).otherwise(piece(F.concat(gap, hit), "unconverted"))
 
+    for pattern, convert in ((stand_in, replaced), (spare, named)):
+        df = _on_notes(df, "gaiji", pattern, convert, ("converted", "unconverted"))
+    return df

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kotonoha.functions.text import strip
+from kotonoha.operators.notes import apart
 
 #: A scalar that YAML reads as the same plain string: no indicator in front, no separator inside, no word or number with a type.
 _PLAIN = r"\A(?![-?:,\[\]{}#&*!|>'\"%@`\s])(?!(?i:null|true|false|~|\.inf|\.nan|[-+]?[0-9.][0-9_.eE+-]*|0x[0-9a-f]+|0o[0-7]+)\z)(?:(?!: |:\z| #)[^\x00-\x1f\x7f])*(?<![\s])\z"
@@ -19,11 +20,11 @@ def parse_header(df: DataFrame) -> DataFrame:
     texts = F.transform("lines", strip)
     first = F.array_position(texts, "") - 1
     shielded = F.exists(F.slice("shield", F.lit(1), F.greatest(first, F.lit(0)).cast("int")), lambda s: s)
-    df = df.withColumn("__h", F.when((first > 0) & ~shielded, F.slice(texts, F.lit(1), first.cast("int"))).otherwise(F.slice(texts, 1, 0)))
+    df = apart(df.withColumn("__h", F.when((first > 0) & ~shielded, F.slice(texts, F.lit(1), first.cast("int"))).otherwise(F.slice(texts, 1, 0))))
     h, n = F.col("__h"), F.size("__h")
     places = F.transform(h, lambda v, i: F.struct(i.alias("i"), (F.endswith(v, F.lit("訳")) & (i > 0)).alias("by")))
     by = F.transform(F.filter(places, lambda x: x["by"]), lambda x: x["i"])
-    df = df.withColumn("__by", F.when(n >= 3, by).otherwise(F.slice(by, 1, 0)))
+    df = apart(df.withColumn("__by", F.when(n >= 3, by).otherwise(F.slice(by, 1, 0))))
     by, n_by = F.col("__by"), F.size("__by")
     at = F.get(by, F.lit(0)) - 1
     author_at = F.when(n_by > 0, F.when(at >= 1, at)).when(n == 2, F.lit(1)).when(n == 3, F.lit(2))
@@ -42,7 +43,7 @@ def parse_header(df: DataFrame) -> DataFrame:
     rest = F.slice("lines", n + 1, F.size("lines"))
     blank = F.array_position(F.transform(rest, lambda x: F.when(x == "", "").otherwise("x")), "x") - 1  # body starts at the first line that is not empty
     body = F.when(n > 0, n + F.when(blank < 0, F.size(rest)).otherwise(blank)).otherwise(0)
-    return df.withColumn("header", header).withColumn("body_line", body.cast("int")).drop("__h", "__by")
+    return apart(df.withColumn("header", header).withColumn("body_line", body.cast("int")).drop("__h", "__by"))
 
 
 def reconstruct_header(header: Column) -> Column:
@@ -80,4 +81,4 @@ def add_front_matter(df: DataFrame, keep_header: bool = False) -> DataFrame:
     body = F.slice("lines", F.col("body_line") + 1, F.size("lines"))
     kept = F.concat(reconstruct_header(F.col("header")), F.array_join(body, "\n")) if keep_header else F.array_join(body, "\n")
     text = F.when(envelope.isNotNull(), F.concat(envelope, F.lit("\n"), kept)).otherwise(F.array_join("lines", "\n"))
-    return df.withColumn("text", text).withColumn("front_matter_added", envelope.isNotNull())
+    return apart(df.withColumn("text", text)).withColumn("front_matter_added", envelope.isNotNull())

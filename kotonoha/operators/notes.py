@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kotonoha.functions.text import NOTE, is_space, lines
 
 _FENCE = r"\A[ \t　]*(`{3,}|~{3,})"
+_RULE = r"\A[ \t]*---[ \t]*\r?\z"
 #: Inline code: a run of backticks up to the next run of the same length.
 CODE = r"(?<!`)(`+)(?!`)(?:.*?[^`])??(?<!`)\1(?!`)"
 
@@ -23,19 +24,31 @@ def shielded(rows: Column) -> Column:
         run = F.regexp_extract(line, _FENCE, 1)
         bare = line.rlike(r"\A[ \t　]*(`{3,}|~{3,})[ \t　\r]*\z")
         first = F.size(s["out"]) == 0
-        rule = line.rlike(r"\A[ \t]*---[ \t]*\r?\z")
+        rule = line.rlike(_RULE)
         front = F.when(first & rule, 1).when((s["front"] == 1) & rule, 2).otherwise(s["front"])  # 1 inside, 2 behind
         in_front = (s["front"] == 1) | (first & rule)
         closes = (s["fence"] != "") & bare & (F.substring(run, 1, 1) == F.substring(s["fence"], 1, 1)) & (F.length(run) >= F.length(s["fence"]))
         fence = F.when(in_front, "").when(closes, "").when((s["fence"] == "") & (run != ""), run).otherwise(s["fence"])
         return F.struct(fence.alias("fence"), front.alias("front"), F.array_append(s["out"], in_front | (s["fence"] != "") | (run != "")).alias("out"))
 
-    return F.aggregate(rows, zero, step, lambda s: s["out"])
+    # most texts have neither a fence nor front matter, and need no fold
+    some = F.exists(rows, lambda x: x.rlike(_FENCE)) | F.get(rows, F.lit(0)).rlike(_RULE)
+    return F.when(some, F.aggregate(rows, zero, step, lambda s: s["out"])).otherwise(F.transform(rows, lambda x: F.lit(False)))
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """The same rows, behind a border that the optimizer does not move expressions across.
+
+    A stage's result is used several times by the next one; merged into one projection, or substituted
+    into a filter that is pushed down, the stages' expressions would double with every step."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def with_lines(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds lines and shield, the state on which the stages work."""
-    return df.withColumn("lines", lines(F.coalesce(F.col(text), F.lit("")))).withColumn("shield", shielded(F.col("lines")))
+    """Adds lines, shield and noted (whether there is any note opener), the state on which the stages work."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    df = apart(df.withColumn("noted", F.contains(whole, F.lit("［＃"))).withColumn("lines", lines(whole)))
+    return apart(df.withColumn("shield", shielded(F.col("lines"))))
 
 
 def residual_notes(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
