@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 #: Byte order marks that are not read, and the encodings tried in turn.
 OTHER_MARKS = (b"\xff\xfe\x00\x00", b"\x00\x00\xfe\xff", b"\xff\xfe", b"\xfe\xff")
 ORDER = ("utf-8", "cp932", "shift_jis")
-SCHEMA = "ok boolean, text string, encoding string, bom boolean, code string"
+SCHEMA = StructType([StructField("ok", BooleanType()), StructField("text", StringType()), StructField("encoding", StringType()), StructField("bom", BooleanType()), StructField("code", StringType())])
 
 
 def _decode(data: bytes | None, encoding: str | None) -> tuple:

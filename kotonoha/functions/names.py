@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from kotonoha.functions.text import SPACE, col
 
@@ -41,7 +42,7 @@ def sanitize_filename(name: Column | str, extension: str = "", suffix: str = "",
     return F.concat(base, F.lit(tail))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode normal form C, which Spark's functions lack."""
     return text.str.normalize("NFC")

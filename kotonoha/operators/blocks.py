@@ -200,7 +200,7 @@ def footer(df: DataFrame, window: int = 400) -> DataFrame:
 
 
 def line_table(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, line, text, shield, next_text): the lines as rows, each with the next one that is not blank."""
+    """(id, line, text, shield, next_line): the lines as rows, each with the number of the next one that is not blank."""
     rows = df.select(id_col, F.posexplode(F.arrays_zip("lines", "shield")).alias("at", "x")).select(id_col, (F.col("at") + 1).alias("line"), F.col("x.lines").alias("text"), F.col("x.shield").alias("shield"))
     after = Window.partitionBy(id_col).orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    return rows.withColumn("next_text", F.first(F.when(strip(F.col("text")) != "", F.col("text")), ignorenulls=True).over(after))
+    return rows.withColumn("next_line", F.min(F.when(strip(F.col("text")) != "", F.col("line"))).over(after))

@@ -82,3 +82,52 @@ def add_front_matter(df: DataFrame, keep_header: bool = False) -> DataFrame:
     kept = F.concat(reconstruct_header(F.col("header")), F.array_join(body, "\n")) if keep_header else F.array_join(body, "\n")
     text = F.when(envelope.isNotNull(), F.concat(envelope, F.lit("\n"), kept)).otherwise(F.array_join("lines", "\n"))
     return apart(df.withColumn("text", text)).withColumn("front_matter_added", envelope.isNotNull())
+
+
+def read_front_matter(df: DataFrame) -> DataFrame:
+    """Adds front<ok, title, author, authors, translator, translators, raw_header> from the front matter on a text's first lines; null where there is none.
+
+    Read are block mappings of scalars (plain, quoted, literal or folded blocks) and of block or flow lists. What has
+    another form at the top, repeats a key, or uses anchors, aliases or tags is not ok. A single author may stand for the list."""
+    rule = r"\A[ \t]*---[ \t]*\r?\z"
+    end = F.array_position(F.transform(F.slice("lines", 2, F.size("lines")), lambda x: x.rlike(rule)), F.lit(True))
+    df = apart(df.withColumn("__fm", F.when(F.get("lines", F.lit(0)).rlike(rule) & (end > 0), F.slice("lines", F.lit(2), (end - 1).cast("int")))))
+    key = r"\A([A-Za-z_][A-Za-z0-9_-]*):(?:[ \t]+(.*?))?[ \t\r]*\z"
+    entry = "struct<key:string,value:string,rows:array<string>>"
+    state = lambda entries, ok: F.struct(entries.alias("entries"), ok.alias("ok"))
+    last = lambda s: F.element_at(s["entries"], -1)
+
+    def step(s, line):
+        new = F.struct(F.regexp_extract(line, key, 1).alias("key"), F.regexp_extract(line, key, 2).alias("value"), F.array().cast("array<string>").alias("rows"))
+        more = F.concat(F.slice(s["entries"], F.lit(1), F.size(s["entries"]) - 1), F.array(F.struct(last(s)["key"].alias("key"), last(s)["value"].alias("value"), F.array_append(last(s)["rows"], line).alias("rows"))))
+        inner = (F.size(s["entries"]) > 0) & line.rlike(r"\A(?:[ \t]|-[ \t]|[ \t\r]*\z)")
+        return F.when(inner, state(more, s["ok"])).when(line.rlike(key), state(F.array_append(s["entries"], new), s["ok"])).when(line.rlike(r"\A[ \t\r]*(?:#.*)?\z"), s).otherwise(state(s["entries"], F.lit(False)))
+
+    df = apart(df.withColumn("__e", F.when(F.col("__fm").isNotNull(), F.aggregate("__fm", state(F.array().cast(f"array<{entry}>"), F.lit(True)), step))))
+    entries = F.col("__e.entries")
+    keys = F.transform(entries, lambda e: e["key"])
+    odd = F.exists(entries, lambda e: e["value"].rlike(r"\A[&*!]"))
+    ok = F.col("__e.ok") & (F.size(F.array_distinct(keys)) == F.size(keys)) & ~odd
+    found = lambda name: F.get(F.filter(entries, lambda e: e["key"] == name), F.lit(0))
+
+    def plain(v: Column) -> Column:
+        """A scalar's string; null for the words and signs of nothing."""
+        double = F.from_json(F.concat(F.lit('{"v":'), v, F.lit("}")), "v string")["v"]
+        bare = F.regexp_replace(v, r"[ \t]+#.*\z", "")
+        return F.when(v.rlike(r"\A\".*\"\z"), double).when(v.rlike(r"\A'.*'\z"), F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit("''"), F.lit("'"))).when(bare.rlike(r"\A(?:~|null|Null|NULL|)\z"), None).otherwise(bare)
+
+    def scalar_of(name: str) -> Column:
+        e = found(name)
+        rows = F.transform(e["rows"], lambda x: F.regexp_replace(x, r"\A {2}|\r\z", ""))
+        block = F.array_join(rows, "\n")
+        block = F.when(e["value"].rlike(r"-\z"), F.regexp_replace(block, r"\n+\z", "")).otherwise(F.concat(F.regexp_replace(block, r"\n+\z", ""), F.lit("\n")))
+        return F.when(e["value"].rlike(r"\A[|>]"), F.when(e["value"].rlike(r"\A>"), F.regexp_replace(block, r"(?<!\n)\n(?=[^\n])", " ")).otherwise(block)).otherwise(plain(e["value"]))
+
+    def list_of(name: str) -> Column:
+        e = found(name)
+        items = F.transform(F.filter(e["rows"], lambda x: x.rlike(r"\A[ \t]*-[ \t]")), lambda x: plain(strip(F.regexp_replace(x, r"\A[ \t]*-[ \t]+", ""))))
+        flow = F.transform(F.split(F.regexp_extract(e["value"], r"\A\[(.*)\]\z", 1), ","), lambda x: plain(strip(x)))
+        return F.when(e["value"].rlike(r"\A\[.*\]\z"), flow).when(F.size(items) > 0, items).when(plain(e["value"]).isNotNull(), F.array(plain(e["value"])))
+
+    front = F.struct(ok.alias("ok"), *(f(n).alias(n) for n, f in (("title", scalar_of), ("author", scalar_of), ("authors", list_of), ("translator", scalar_of), ("translators", list_of), ("raw_header", scalar_of))))
+    return apart(df.withColumn("front", F.when(F.col("__e").isNotNull(), front)).drop("__fm", "__e"))

@@ -1,13 +1,26 @@
-"""Queries over the driver's tables, and the SQL that states the same results."""
+"""Queries over the driver's tables, and the SQL that states the same results.
+
+The tables hold no annotated text, so each query writes notes around columns and converts them; the
+SQL states the expected text directly.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kotonoha.functions import jis, names, text
+from kotonoha.operators import blocks, inline, metadata
+from kotonoha.operators.convert import Options, convert, with_remaining
+from kotonoha.operators.notes import note_report, residual_notes, with_lines
+from kotonoha.operators.preview import directives, outline, ruby_spans
+from kotonoha.plans import jobs
+from kotonoha.plans.exports import artifact_problems
+from kotonoha.plans.outputs import plan_outputs
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = "line_table"
+FLAGSHIP = "convert_corpus"
 
 
 def query(name: str, sql: str | None = None):
@@ -24,14 +37,304 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query(
-    "line_table",
-    """SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines
-       FROM documents WHERE text IS NOT NULL""",
-)
-def line_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "documents")
-        .filter(F.col("text").isNotNull())
-        .select("doc_id", F.size(F.split("text", "\n", -1)).alias("n_lines"))
-    )
+def cat(*parts) -> Column:
+    """Columns and constants (str starting with ' ) joined into one text."""
+    return F.concat(*(F.lit(p[1:]) if isinstance(p, str) and p.startswith("'") else F.col(p).cast("string") if isinstance(p, str) else p for p in parts))
+
+
+def _stage(df: DataFrame, key: str, source: Column, stage, counters: dict[str, str]) -> DataFrame:
+    out = stage(with_lines(df.select(F.col(key).alias("id"), source.alias("text"))))
+    return out.select("id", F.array_join("lines", "\n").alias("converted"), *(F.col(c).alias(a) for c, a in counters.items()))
+
+
+@query("line_stats", "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CAST(strlen(text) AS BIGINT) AS n_bytes, CAST(length(text) AS BIGINT) AS n_points FROM documents WHERE text IS NOT NULL")
+def line_stats(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    return docs.select("doc_id", F.size(text.lines("text")).cast("bigint").alias("n_lines"), text.utf8_length("text").alias("n_bytes"), F.length("text").cast("bigint").alias("n_points"))
+
+
+@query("utf16_lengths", "SELECT doc_id, CAST(length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS BIGINT) AS n_units FROM documents WHERE text IS NOT NULL")
+def utf16_lengths(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", text.utf16_length("text").alias("n_units"))
+
+
+@query("next_rows", """WITH r AS (SELECT doc_id, CAST(line AS INTEGER) AS line, string_split(text, chr(10))[line] AS row FROM documents, generate_series(1, len(string_split(text, chr(10)))) g(line) WHERE text IS NOT NULL),
+ t AS (SELECT doc_id, line, lead(CASE WHEN regexp_replace(row, '[\\s\\x{b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]', '', 'g') <> '' THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line) AS nxt FROM r)
+ SELECT doc_id, count(*) AS n_rows, count(nxt) AS n_followed, CAST(coalesce(sum(nxt - line), 0) AS BIGINT) AS distance FROM t GROUP BY doc_id""")
+def next_rows(spark, sf_dir):
+    """Each row with the next one that is not blank: the as-of step of the block stages, as a window over the line table."""
+    rows = blocks.line_table(with_lines(table(spark, sf_dir, "documents").filter("text is not null")))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.count("next_line").alias("n_followed"), F.coalesce(F.sum(F.col("next_line") - F.col("line")), F.lit(0)).cast("bigint").alias("distance"))
+
+
+@query("gaiji_code_points", "SELECT p_partkey AS id, chr(CAST(19968 + p_partkey % 20000 AS INTEGER)) || p_name AS converted, CAST(1 AS BIGINT) AS n_converted, CAST(0 AS BIGINT) AS n_left FROM part")
+def gaiji_code_points(spark, sf_dir):
+    note = cat("'※［＃「字」、U+", F.hex(F.expr("19968 + p_partkey % 20000")), "'］", "p_name")
+    return _stage(table(spark, sf_dir, "part"), "p_partkey", note, inline.gaiji, {"gaiji_converted": "n_converted", "gaiji_unconverted": "n_left"})
+
+
+@query("gaiji_jis", """SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN '亜' WHEN 1 THEN '𠀋' WHEN 2 THEN 'か゚' ELSE '※［＃第3水準1-94-95］' END || s_name AS converted,
+ CAST(CASE WHEN s_suppkey % 4 < 3 THEN 1 ELSE 0 END AS BIGINT) AS n_converted FROM supplier""")
+def gaiji_jis(spark, sf_dir):
+    place = F.element_at(F.array(*map(F.lit, ("1-16-1", "1-14-2", "1-4-87", "1-94-95"))), (F.col("s_suppkey") % 4).cast("int") + 1)
+    return _stage(table(spark, sf_dir, "supplier"), "s_suppkey", cat("'※［＃第3水準", place, "'］", "s_name"), inline.gaiji, {"gaiji_converted": "n_converted"})
+
+
+@query("jis_lookup", """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '亜' WHEN 1 THEN '𠀋' END AS value FROM customer""")
+def jis_lookup(spark, sf_dir):
+    """The table of JIS places as the small side of a join; it has 17,672 rows whatever the corpus."""
+    asked = table(spark, sf_dir, "customer").select("c_custkey", F.lit(1).alias("plane"), F.expr("array(16, 14, 95)[int(c_custkey % 3)]").alias("row"), F.expr("array(1, 2, 1)[int(c_custkey % 3)]").alias("cell"))
+    return asked.join(F.broadcast(jis.table(spark)), ["plane", "row", "cell"], "left").select("c_custkey", "value")
+
+
+@query("emphasis_forward", """SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN '前**' || p_name || '**' ELSE '前*' || p_name || '*' END AS converted, CAST((p_partkey + 1) % 2 AS BIGINT) AS bold, CAST(p_partkey % 2 AS BIGINT) AS italic FROM part""")
+def emphasis_forward(spark, sf_dir):
+    kind = F.when(F.col("p_partkey") % 2 == 0, "太字").otherwise("斜体")
+    return _stage(table(spark, sf_dir, "part"), "p_partkey", cat("'前", "p_name", "'［＃「", "p_name", "'」は", kind, "'］"), inline.emphasis, {"emphasis_bold": "bold", "emphasis_italic": "italic"})
+
+
+@query("emphasis_refused", """SELECT p_partkey AS id, p_brand || '*［＃「' || p_brand || '*」は太字］' || p_name || '［＃「' || p_type || '」は斜体］' AS converted, CAST(2 AS BIGINT) AS n_left, 'asterisk,target-mismatch' AS reasons FROM part""")
+def emphasis_refused(spark, sf_dir):
+    source = cat("p_brand", "'*［＃「", "p_brand", "'*」は太字］", "p_name", "'［＃「", "p_type", "'」は斜体］")
+    out = inline.emphasis(with_lines(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), source.alias("text"))))
+    return out.select("id", F.array_join("lines", "\n").alias("converted"), F.col("emphasis_unconverted").alias("n_left"), F.array_join(F.transform("diagnostics", lambda d: d["reason"]), ",").alias("reasons"))
+
+
+@query("emphasis_both", "SELECT c_custkey AS id, '***' || c_name || '***と***' || c_mktsegment || '***' AS converted, CAST(2 AS BIGINT) AS n_both FROM customer")
+def emphasis_both(spark, sf_dir):
+    source = cat("c_name", "'［＃「", "c_name", "'」は太字］［＃「", "c_name", "'」は斜体］と［＃太字］［＃斜体］", "c_mktsegment", "'［＃斜体終わり］［＃太字終わり］")
+    return _stage(table(spark, sf_dir, "customer"), "c_custkey", source, inline.emphasis, {"emphasis_both": "n_both"})
+
+
+@query("emphasis_blocks", "SELECT n_nationkey AS id, '**' || n_name || '**' || chr(10) || chr(10) || '**行**' || chr(10) || '後' AS converted, CAST(1 AS BIGINT) AS bold FROM nation")
+def emphasis_blocks(spark, sf_dir):
+    return _stage(table(spark, sf_dir, "nation"), "n_nationkey", cat("'［＃ここから太字］\n", "n_name", "'\n\n行\n［＃ここで太字終わり］\n後"), inline.emphasis, {"emphasis_bold": "bold"})
+
+
+@query("underline_nyoze", "SELECT p_partkey AS id, '||' || p_name || '||、||' || p_type || '||' AS converted, CAST(2 AS BIGINT) AS n FROM part")
+def underline_nyoze(spark, sf_dir):
+    return _stage(table(spark, sf_dir, "part"), "p_partkey", cat("p_name", "'［＃「", "p_name", "'」に傍線］、［＃傍線］", "p_type", "'［＃傍線終わり］"), inline.underline, {"underline_converted": "n"})
+
+
+@query("underline_html", "SELECT p_partkey AS id, '<u>' || p_name || '</u>' AS converted, CAST(1 AS BIGINT) AS n FROM part")
+def underline_html(spark, sf_dir):
+    stage = lambda x: inline.underline(x, html=True, approximate_styles=True)
+    return _stage(table(spark, sf_dir, "part"), "p_partkey", cat("p_name", "'［＃「", "p_name", "'」に波線］"), stage, {"underline_approximated": "n"})
+
+
+@query("bouten_chars", "SELECT p_partkey AS id, list_aggregate(list_transform(string_split(p_name, ''), lambda c: CASE WHEN c = ' ' THEN c ELSE '｜' || c || '《﹅》' END), 'string_agg', '') AS converted, CAST(1 AS BIGINT) AS n FROM part")
+def bouten_chars(spark, sf_dir):
+    return _stage(table(spark, sf_dir, "part"), "p_partkey", cat("p_name", "'［＃「", "p_name", "'」に傍点］"), inline.bouten, {"bouten_converted": "n"})
+
+
+@query("bouten_in_ruby", "SELECT r_regionkey AS id, '｜' || r_name || '［＃「' || r_name || '」に傍点］《よみ》' AS converted, CAST(1 AS BIGINT) AS n_left, 'BOUTEN_RUBY_CONTEXT' AS code FROM region")
+def bouten_in_ruby(spark, sf_dir):
+    source = cat("'｜", "r_name", "'［＃「", "r_name", "'」に傍点］《よみ》")
+    out = inline.bouten(with_lines(table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("id"), source.alias("text"))))
+    return out.select("id", F.array_join("lines", "\n").alias("converted"), F.col("bouten_unconverted").alias("n_left"), F.get("diagnostics", F.lit(0))["code"].alias("code"))
+
+
+@query("tcy_codes", "SELECT l_orderkey, l_linenumber, count(*) AS n, sum(CAST(l_quantity AS BIGINT)) AS quantity, min('第｟' || l_linenumber || '｠号') AS converted FROM lineitem GROUP BY l_orderkey, l_linenumber")
+def tcy_codes(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", cat("'第", "l_linenumber", "'［＃「", "l_linenumber", "'」は縦中横］号").alias("text"))
+    out = inline.tcy(with_lines(rows)).select("l_orderkey", "l_linenumber", "l_quantity", F.array_join("lines", "\n").alias("converted"))
+    return out.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("bigint")).cast("decimal(38,0)").alias("quantity"), F.min("converted").alias("converted"))
+
+
+ORACLE_SQL["tcy_codes"] = ORACLE_SQL["tcy_codes"].replace("sum(CAST(l_quantity AS BIGINT))", "CAST(sum(CAST(l_quantity AS BIGINT)) AS DECIMAL(38,0))")
+
+
+@query("heading_levels", "SELECT n_nationkey AS id, repeat('#', CAST(2 + n_nationkey % 3 AS INTEGER)) || ' 　　' || n_name AS converted, CAST(1 AS BIGINT) AS n FROM nation")
+def heading_levels(spark, sf_dir):
+    level = F.element_at(F.array(*map(F.lit, "大中小")), (F.col("n_nationkey") % 3).cast("int") + 1)
+    return _stage(table(spark, sf_dir, "nation"), "n_nationkey", cat("'［＃２字下げ］", "n_name", "'［＃「", "n_name", "'」は", level, "'見出し］"), inline.headings, {"headings_converted": "n"})
+
+
+@query("heading_mismatch", "SELECT n_nationkey AS id, '余分' || n_name || '［＃「' || n_name || '」は大見出し］' AS converted, CAST(0 AS BIGINT) AS n, CAST(1 AS BIGINT) AS n_told FROM nation")
+def heading_mismatch(spark, sf_dir):
+    source = cat("'余分", "n_name", "'［＃「", "n_name", "'」は大見出し］")
+    out = inline.headings(with_lines(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), source.alias("text"))))
+    return out.select("id", F.array_join("lines", "\n").alias("converted"), F.col("headings_converted").alias("n"), F.size("diagnostics").cast("bigint").alias("n_told"))
+
+
+@query("indent_blocks", """SELECT c_custkey AS id, ':::indent-' || (1 + c_custkey % 6) || chr(10) || c_name || chr(10) || ':::' || chr(10) || c_mktsegment AS converted, CAST(1 AS BIGINT) AS n FROM customer""")
+def indent_blocks(spark, sf_dir):
+    n = F.translate((1 + F.col("c_custkey") % 6).cast("string"), "123456", "１２３４５６")
+    return _stage(table(spark, sf_dir, "customer"), "c_custkey", cat("'［＃ここから", n, "'字下げ］\n", "c_name", "'\n［＃ここで字下げ終わり］\n", "c_mktsegment"), blocks.indent, {"indent_converted": "n"})
+
+
+@query("align_end", "SELECT c_custkey AS id, c_mktsegment || chr(10) || ':::align-end' || chr(10) || c_name || chr(10) || ':::' AS converted, CAST(1 AS BIGINT) AS n FROM customer")
+def align_end(spark, sf_dir):
+    return _stage(table(spark, sf_dir, "customer"), "c_custkey", cat("c_mktsegment", "'［＃地付き］", "c_name"), blocks.align, {"align_converted": "n"})
+
+
+@query("page_breaks", """SELECT s_suppkey AS id, s_name || chr(10) || CASE WHEN s_suppkey % 2 = 0 THEN ':::blank-page' ELSE ':::page-break' END || chr(10) || ':::' || chr(10) || '後' AS converted, CAST(s_suppkey % 2 AS BIGINT) AS pages, CAST((s_suppkey + 1) % 2 AS BIGINT) AS blank FROM supplier""")
+def page_breaks(spark, sf_dir):
+    note = F.when(F.col("s_suppkey") % 2 == 0, "［＃改ページ］\n\n［＃改ページ］").otherwise("［＃改ページ］")
+    return _stage(table(spark, sf_dir, "supplier"), "s_suppkey", cat("s_name", "'\n", note, "'\n後"), blocks.page_breaks, {"page_page_breaks": "pages", "page_blank_pages": "blank"})
+
+
+@query("annotation_strip", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus || chr(10) || o_orderpriority ELSE o_orderstatus || chr(10) || '-----' || chr(10) || '記号' || chr(10) || o_orderpriority END AS converted, CAST((o_orderkey + 1) % 2 AS BIGINT) AS n FROM orders")
+def annotation_strip(spark, sf_dir):
+    close = F.when(F.col("o_orderkey") % 2 == 0, "-------\n").otherwise("")
+    return _stage(table(spark, sf_dir, "orders"), "o_orderkey", cat("o_orderstatus", "'\n-----\n記号\n", close, "o_orderpriority"), blocks.annotation_blocks, {"blocks_removed": "n"})
+
+
+@query("footer_strip", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN '本文' || chr(10) || '底本：' || o_orderpriority || chr(10) || '青空文庫作成ファイル：' || chr(10) || '2023年2月29日作成' ELSE '本文' || chr(10) END AS converted, o_orderkey % 3 <> 0 AS removed FROM orders""")
+def footer_strip(spark, sf_dir):
+    date = F.when(F.col("o_orderkey") % 3 == 0, "2023年2月29日作成").otherwise(F.date_format("o_orderdate", "yyyy年M月d日作成"))
+    return _stage(table(spark, sf_dir, "orders"), "o_orderkey", cat("'本文\n底本：", "o_orderpriority", "'\n青空文庫作成ファイル：\n", date), blocks.footer, {"footer_removed": "removed"})
+
+
+@query("header_metadata", "SELECT s_suppkey AS id, s_name AS title, 'Nation ' || s_nationkey AS author, '甲訳' AS translator, '副題' AS raw_header, s_name || chr(10) || '副題' || chr(10) || 'Nation ' || s_nationkey || chr(10) || '甲訳' || chr(10) || chr(10) AS header FROM supplier")
+def header_metadata(spark, sf_dir):
+    source = cat("s_name", "'\n副題\nNation ", "s_nationkey", "'\n甲訳\n\n本文")
+    out = metadata.parse_header(with_lines(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), source.alias("text"))))
+    return out.select("id", *(F.col(f"header.{c}").alias(c) for c in ("title", "author", "translator", "raw_header")), metadata.reconstruct_header(F.col("header")).alias("header"))
+
+
+@query("front_matter_added", """SELECT p_partkey AS id, '---' || chr(10) || 'title: ' || p_name || chr(10) || 'author: "' || p_brand || ': ' || p_partkey || '"' || chr(10) || '---' || chr(10) || chr(10) || '本文' AS converted FROM part""")
+def front_matter_added(spark, sf_dir):
+    source = cat("p_name", "'\n", "p_brand", "': ", "p_partkey", "'\n\n本文")
+    return metadata.add_front_matter(with_lines(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), source.alias("text")))).select("id", F.col("text").alias("converted"))
+
+
+@query("front_matter_read", "SELECT p_partkey AS id, p_name AS title, p_brand || ': x' AS author, p_type || ',' || p_size AS authors, CAST(NULL AS VARCHAR) AS translator, true AS ok FROM part")
+def front_matter_read(spark, sf_dir):
+    source = cat("'---\ntitle: ", "p_name", "'\nauthor: \"", "p_brand", "': x\"\nauthors:\n  - ", "p_type", "'\n  - '", "p_size", "''\ntranslator: ~\nother: 1\n---\n本文")
+    out = metadata.read_front_matter(with_lines(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), source.alias("text"))))
+    return out.select("id", "front.title", "front.author", F.array_join("front.authors", ",").alias("authors"), "front.translator", "front.ok")
+
+
+def _noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text a nation: its customers' notes in order of their keys; every third line is fenced, inline code hides a note."""
+    note = F.expr("concat('［＃注', cast(c_custkey % 7 as string), '］')")
+    line = F.when(F.col("c_custkey") % 3 == 0, cat("'```\n", note, "'\n```")).when(F.col("c_custkey") % 5 == 0, cat("'`", note, "'`と※", note)).otherwise(cat("c_mktsegment", note))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), line.alias("text"))
+
+
+_LEFT = "(SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 5 = 0 THEN '※' ELSE '' END || '［＃注' || c_custkey % 7 || '］' AS note FROM customer WHERE c_custkey % 3 <> 0)"
+
+
+@query("residual_by_kind", f"SELECT note, count(*) AS n, min(doc_id) AS first_doc FROM {_LEFT} GROUP BY note")
+def residual_by_kind(spark, sf_dir):
+    return residual_notes(_noted(spark, sf_dir)).groupBy("note").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query("residual_topk", f"SELECT note, count(*) AS n FROM {_LEFT} GROUP BY note ORDER BY n DESC, note LIMIT 5")
+def residual_topk(spark, sf_dir):
+    return residual_notes(_noted(spark, sf_dir)).groupBy("note").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "note").limit(5)
+
+
+@query("residual_report", "SELECT s_suppkey AS doc_id, CAST(1 AS INTEGER) AS rank, '［＃甲］' AS note, CAST(4 AS BIGINT) AS n, '1, 1, 2, ...' AS first_lines FROM supplier UNION ALL SELECT s_suppkey, 2, NULL, 1, '' FROM supplier")
+def residual_report(spark, sf_dir):
+    docs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.lit("［＃甲］［＃甲］\n［＃甲］［＃乙］［＃甲］").alias("text"))
+    return note_report(residual_notes(docs), shown=1)
+
+
+@query("fence_protected", "SELECT n_nationkey AS doc_id, count(*) FILTER (WHERE k % 2 = 1) AS n_open, count(*) FILTER (WHERE k % 2 = 0) AS n_shielded FROM nation, generate_series(1, 4) g(k) GROUP BY n_nationkey")
+def fence_protected(spark, sf_dir):
+    """Notes by whether a protected range holds them: the anti join of notes and ranges, as flags on the line table."""
+    docs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.lit("［＃a］\n~~~~\n［＃b］\n~~~\n~~~~\n［＃c］\n```\n［＃d］").alias("text"))
+    rows = blocks.line_table(with_lines(docs)).filter(F.contains("text", F.lit("［＃")))
+    return rows.groupBy("doc_id").agg(F.count_if(~F.col("shield")).alias("n_open"), F.count_if("shield").alias("n_shielded"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = "element_at(array('WriteCommitted', 'WriteFailed', 'Skipped', 'Cancelled', 'ArchiveFailed'), cast(event_id % 5 as int) + 1)"
+    return table(spark, sf_dir, "events").selectExpr("event_id as ord", f"{kinds} as type", "cast(user_id as string) as file_id", "cast(event_id % 2 as string) as attempt_id", "if(event_id % 3 = 0, 'browser-artifact', 'saved') as delivery", "cast(event_id % 4 as bigint) as remaining")
+
+
+@query("job_stats", """WITH e AS (SELECT event_id, event_id % 5 AS t, user_id AS f, event_id % 2 AS a, event_id % 3 = 0 AS b, event_id % 4 AS r FROM events),
+ w AS (SELECT f, arg_min(r, event_id) AS r, arg_min(b, event_id) AS b FROM e WHERE t = 0 GROUP BY f)
+ SELECT (SELECT count(*) FROM w) AS files_converted, (SELECT count(DISTINCT f) FROM e WHERE t = 2) AS files_skipped,
+ (SELECT count(*) FROM (SELECT DISTINCT t, f, a FROM e WHERE t IN (1, 4))) AS errors, (SELECT count(*) FROM w WHERE r > 0) AS files_with_remaining_notes,
+ (SELECT CAST(coalesce(sum(r), 0) AS BIGINT) FROM w) AS remaining_notes, (SELECT count(DISTINCT f) FROM e WHERE t = 3) AS cancelled_files,
+ (SELECT count(*) FROM w WHERE b) AS artifact_files, (SELECT count(*) FROM w WHERE NOT b) AS saved_files""")
+def job_stats(spark, sf_dir):
+    return jobs.job_stats(_events(spark, sf_dir))
+
+
+@query("batch_status", "SELECT CASE WHEN bool_and(o_orderstatus = 'F') THEN 'failed' WHEN bool_or(o_orderstatus = 'F') THEN 'partial' ELSE 'completed' END AS status FROM orders")
+def batch_status(spark, sf_dir):
+    return jobs.batch_status(table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", "failed").otherwise("done").alias("status")))
+
+
+@query("running_budget", "SELECT doc_id, lang, CAST(sum(strlen(text)) OVER (PARTITION BY lang ORDER BY doc_id) AS BIGINT) AS used, sum(strlen(text)) OVER (PARTITION BY lang ORDER BY doc_id) <= 1000000 AS fits FROM documents")
+def running_budget(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.octet_length("text").cast("bigint").alias("size"))
+    return jobs.running_budget(rows, "size", 1_000_000, "doc_id", "lang").select("doc_id", "lang", "used", "fits")
+
+
+@query("outcome_pages", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
+def outcome_pages(spark, sf_dir):
+    return jobs.page_of(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 2)
+
+
+@query("collision_keys", "SELECT lower(p_brand) AS key, count(*) AS n FROM part GROUP BY 1")
+def collision_keys(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy(names.collision_key(F.concat("p_brand", F.lit(". "))).alias("key")).agg(F.count("*").alias("n"))
+
+
+@query("output_plan", """SELECT p_partkey AS ord, p_name || '.md' AS path, p_name || CASE k WHEN 1 THEN '_converted' ELSE '_converted' || k END || '.md' AS output
+ FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part)""")
+def output_plan(spark, sf_dir):
+    """Names that inputs hold already, so the k-th request of a name gets the k-th converted one."""
+    parts = table(spark, sf_dir, "part")
+    requests = parts.select(F.lit(1).alias("batch"), F.col("p_partkey").alias("ord"), F.concat("p_name", F.lit(".md")).alias("path"))
+    return plan_outputs(requests, requests.select("batch", "path").distinct()).select("ord", "path", "output")
+
+
+@query("sanitize_names", "SELECT c_custkey, regexp_replace(c_name || ': ' || c_mktsegment || '?', '[/\\\\:*?\"<>|]', '_', 'g') || '.md' AS name FROM customer")
+def sanitize_names(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", names.sanitize_filename(cat("' ", "c_name", "': ", "c_mktsegment", "'?."), "md").alias("name"))
+
+
+@query("zip_entry_checks", """SELECT CASE p_partkey % 5 WHEN 0 THEN 'parent-segment' WHEN 1 THEN 'absolute-or-drive-path' WHEN 2 THEN 'symlink' WHEN 3 THEN 'control-character' END AS problem, count(*) AS n FROM part GROUP BY 1""")
+def zip_entry_checks(spark, sf_dir):
+    name = F.concat(F.element_at(F.array(*map(F.lit, ("a/../", "C:/", "", "a\x01", "./"))), (F.col("p_partkey") % 5).cast("int") + 1), "p_name")
+    mode = F.when(F.col("p_partkey") % 5 == 2, 0xA1FF).otherwise(0x81A4)
+    rows = table(spark, sf_dir, "part").select(name.alias("raw"), mode.cast("int").alias("mode"), F.lit(0).alias("index"))
+    return rows.groupBy(names.zip_entry_problem(F.col("raw"), F.col("raw"), F.col("index"), F.col("mode")).alias("problem")).agg(F.count("*").alias("n"))
+
+
+@query("export_checks", """SELECT s_suppkey % 4 AS batch, CASE s_suppkey % 4 WHEN 1 THEN 'DUPLICATE_FILE_ID' WHEN 2 THEN 'UNSAFE_PATH' WHEN 3 THEN 'PATH_COLLISION' END AS code FROM supplier GROUP BY s_suppkey % 4""")
+def export_checks(spark, sf_dir):
+    k = F.col("s_suppkey") % 4
+    rows = table(spark, sf_dir, "supplier").select(
+        k.alias("batch"), F.col("s_suppkey").alias("ord"), F.when(k == 1, "same").otherwise(F.col("s_suppkey").cast("string")).alias("file_id"),
+        F.when(k == 2, F.concat(F.lit("../"), "s_name", F.lit(".md"))).when(k == 3, "A.md").otherwise(F.concat("s_name", F.lit(".md"))).alias("path"), F.lit("md").alias("format"), F.encode("s_name", "UTF-8").alias("content"))
+    return artifact_problems(rows)
+
+
+@query("ruby_inventory", "SELECT n_name AS base, 'よみ' AS ruby, count(*) AS n FROM nation GROUP BY 1 UNION ALL SELECT '漢字', 'かんじ', count(*) FROM nation")
+def ruby_inventory(spark, sf_dir):
+    docs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), cat("'｜", "n_name", "'《よみ》と漢字《かんじ》").alias("text"))
+    return ruby_spans(with_lines(docs)).groupBy("base", "ruby").agg(F.count("*").alias("n"))
+
+
+@query("directive_inventory", "SELECT 'indent-2' AS name, true AS closed, count(*) AS n FROM nation UNION ALL SELECT 'align-end', false, count(*) FROM nation")
+def directive_inventory(spark, sf_dir):
+    docs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), cat("':::indent-2\n", "n_name", "'\n:::\n```\n:::page-break\n```\n:::align-end\nx").alias("text"))
+    return directives(with_lines(docs)).groupBy("name", "closed").agg(F.count("*").alias("n"))
+
+
+@query("heading_outline", "SELECT n_nationkey AS doc_id, CAST(1 AS INTEGER) AS line, CAST(2 AS INTEGER) AS level, n_name AS title FROM nation UNION ALL SELECT n_nationkey, 5, 3, '節' FROM nation")
+def heading_outline(spark, sf_dir):
+    docs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), cat("'## **", "n_name", "'**\n```\n# x\n```\n### 節").alias("text"))
+    return outline(with_lines(docs))
+
+
+def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with a header, notes of several kinds, a fenced one and a footer around their texts."""
+    source = cat("'題", "doc_id", "'\n著者", "lang", "'\n\n章［＃「章」は大見出し］\n", F.regexp_replace(F.coalesce("text", F.lit("")), "[*|`~-]", ""), "'\n青い空［＃「空」は太字］、※［＃U+4E9C］、12［＃「12」は縦中横］、点［＃「点」に傍点］、線［＃「線」に傍線］\n```\n［＃改ページ］\n```\n［＃改ページ］\n［＃不明］\n底本：資料\n入力：人\n青空文庫作成ファイル：")
+    return table(spark, sf_dir, "documents").select("doc_id", source.alias("text"))
+
+
+@query("convert_corpus", """SELECT doc_id, '---' || chr(10) || 'title: 題' || doc_id || chr(10) || 'author: 著者' || lang || chr(10) || '---' || chr(10) || chr(10) || '## 章' || chr(10) || regexp_replace(coalesce(text, ''), '[*|`~-]', '', 'g') || chr(10)
+ || '青い**空**、亜、｟12｠、｜点《﹅》、||線||' || chr(10) || '```' || chr(10) || '［＃改ページ］' || chr(10) || '```' || chr(10) || ':::page-break' || chr(10) || ':::' || chr(10) || '［＃不明］' || chr(10) AS text,
+ CAST(6 AS BIGINT) AS n_converted, CAST(1 AS BIGINT) AS remaining_notes FROM documents""")
+def convert_corpus(spark, sf_dir):
+    out = with_remaining(convert(_annotated(spark, sf_dir), Options(page_breaks=True)))
+    done = ("gaiji_converted", "tcy_converted", "emphasis_bold", "underline_converted", "bouten_converted", "headings_converted")
+    return out.select("doc_id", "text", sum((F.col(c) for c in done[1:]), F.col(done[0])).alias("n_converted"), "remaining_notes")
