@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kotonoha.functions.names import RESERVED, collision_key
+from kotonoha.operators.notes import apart
 
 
 @dataclass(frozen=True)
@@ -28,7 +29,7 @@ def checked(files: DataFrame, limits: ExportLimits = ExportLimits(), batch: str
     """(batch, ord, file_id, path, format, content) rows with code, the first check that a row fails, null for a sound one.
 
     Duplicates are looked up by windows over (batch, key) groups; a file whose path is another's folder collides with it."""
-    keyed = files.withColumn("__key", collision_key("path"))
+    keyed = apart(files.withColumn("__key", collision_key("path")))
     by_id, by_key = Window.partitionBy(batch, "file_id").orderBy("ord"), Window.partitionBy(batch, "__key").orderBy("ord")
     keyed = keyed.withColumn("__id_n", F.row_number().over(by_id)).withColumn("__key_n", F.row_number().over(by_key))
     parts = F.split("__key", "/", -1)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kotonoha.functions.names import collision_key
+from kotonoha.operators.notes import apart
 
 
 def plan_outputs(requests: DataFrame, taken: DataFrame, batch: str = "batch") -> DataFrame:
@@ -15,9 +16,11 @@ def plan_outputs(requests: DataFrame, taken: DataFrame, batch: str = "batch") ->
     a key are numbered in their order, and the numbers that taken paths hold are left out: the k-th
     request gets the k-th free number, found by comparing ranks, so nothing is reserved one by one."""
     stem, ext = F.regexp_extract("path", r"\A(.*?)(\.[^./]*)?\z", 1), F.regexp_extract("path", r"\A(.*?)(\.[^./]*)?\z", 2)
-    parts = requests.withColumn("stem", stem).withColumn("ext", ext).withColumn("key", collision_key("path")).withColumn("stem_key", collision_key(stem)).withColumn("ext_key", F.lower(ext))
+    parts = apart(requests.withColumn("stem", stem).withColumn("ext", ext).withColumn("key", collision_key("path")).withColumn("stem_key", collision_key(stem)).withColumn("ext_key", F.lower(ext)))
     numbered = parts.withColumn("k", F.row_number().over(Window.partitionBy(batch, "key").orderBy("ord")))
-    held = taken.select(batch, collision_key("path").alias("key")).unionByName(requests.select(batch, collision_key("path").alias("key")).filter(F.col("key").rlike(r"_converted[0-9]*(\.[^./]*)?\z"))).distinct()
+    taken = apart(apart(taken.select(batch, "path")).select(batch, collision_key("path").alias("key")))
+    own = parts.select(batch, "key").filter(F.col("key").rlike(r"_converted[0-9]*(\.[^./]*)?\z"))
+    held = taken.unionByName(own).distinct()
     held = held.select(batch, F.regexp_extract("key", r"\A(.*?)(_converted([0-9]*))?(\.[^./]*)?\z", 1).alias("stem_key"), F.regexp_extract("key", r"\A(.*?)(_converted([0-9]*))?(\.[^./]*)?\z", 4).alias("ext_key"), F.regexp_extract("key", r"\A(.*?)(_converted([0-9]*))?(\.[^./]*)?\z", 2).alias("mark"))
     number = F.when(F.col("mark") == "", 0).when(F.col("mark") == "_converted", 1).otherwise(F.regexp_extract("mark", r"([0-9]+)\z", 1).try_cast("int"))
     numbers = held.withColumn("n", number).groupBy(batch, "stem_key", "ext_key").agg(F.array_sort(F.collect_set("n")).alias("held"))
