@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kotonoha.operators import blocks, inline, metadata
-from kotonoha.operators.notes import residual_notes, with_lines
+from kotonoha.operators.notes import apart, residual_notes, with_lines
+
+
+#: First words of the counters' names, in the order of the stages.
+STAGES = ("gaiji", "tcy", "emphasis", "underline", "bouten", "headings", "indent", "align", "page", "blocks")
 
 
 @dataclass(frozen=True)
@@ -63,7 +67,7 @@ def convert(df: DataFrame, options: Options = Options(), id_col: str = "doc_id",
         (o.page_breaks, lambda x: blocks.page_breaks(x, o.approximate_spread)),
     ]
     for on, stage in stages:
-        rows = stage(rows) if on else rows
+        rows = apart(stage(rows)) if on else rows
     rows = metadata.parse_header(rows).withColumn("naming", metadata.naming(F.col("header"))).drop("header", "body_line")
     rows = blocks.footer(rows) if o.footer else rows
     rows = blocks.annotation_blocks(rows) if o.annotation_blocks else rows
@@ -80,6 +84,16 @@ def with_remaining(converted: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return converted.join(left, id_col, "left").withColumn("remaining_notes", F.coalesce("remaining_notes", F.lit(0).cast("bigint")))
 
 
+def events(converted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, ord, stage, action, count): what was done to each document, in the order of the stages; counters of 0 are no events."""
+    names = [f.name for f in converted.schema if f.dataType.simpleString() == "bigint" and "_" in f.name and f.name.split("_")[0] in STAGES]
+    names.sort(key=lambda n: STAGES.index(n.split("_")[0]))
+    flags = [n for n in ("footer_removed", "front_matter_added") if n in converted.columns]
+    one = lambda k, name, n: F.struct(F.lit(k).alias("ord"), F.lit(name.rsplit("_", 1)[0] if name in flags else name.split("_")[0]).alias("stage"), F.lit(name.rsplit("_", 1)[1] if name in flags else name.split("_", 1)[1]).alias("action"), n.alias("count"))
+    rows = [one(k, n, F.col(n)) for k, n in enumerate(names)] + [one(len(names) + k, n, F.col(n).cast("bigint")) for k, n in enumerate(flags)]
+    return converted.select(id_col, F.explode(F.array(*rows)).alias("e")).filter("e.count <> 0").select(id_col, "e.*")
+
+
 def totals(converted: DataFrame) -> DataFrame:
     """The counters of all stages over the corpus, in one row."""
     counters = [f.name for f in converted.schema if f.dataType.simpleString() == "bigint" and f.name not in ("doc_id",)]

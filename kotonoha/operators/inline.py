@@ -71,7 +71,7 @@ def notes_pass(df: DataFrame, stage: str, each: Callable[[Column], Column], coun
     n = lambda kind: F.size(F.filter(F.flatten("__p"), lambda p: p["kind"] == kind))
     df = add_counts(df, stage, {c: n(c) for c in counters})
     lines = F.transform("__p", lambda ps: F.array_join(F.transform(ps, lambda p: p["text"]), ""))
-    return apart(df.withColumn("lines", F.coalesce(lines, "lines")).drop("__p"))
+    return df.withColumn("lines", F.coalesce(lines, "lines")).drop("__p")
 
 
 def _on_notes(df: DataFrame, stage: str, pattern: str, convert: Callable[[Column, Column], Column], counters: tuple[str, ...], mask: str = "shield") -> DataFrame:

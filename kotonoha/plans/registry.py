@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kotonoha.functions import jis, names, text
 from kotonoha.operators import blocks, inline, metadata
-from kotonoha.operators.convert import Options, convert, with_remaining
+from kotonoha.operators.convert import Options, convert, events, with_remaining
 from kotonoha.operators.notes import note_report, residual_notes, with_lines
 from kotonoha.operators.preview import directives, outline, ruby_spans
 from kotonoha.plans import jobs
@@ -338,3 +338,11 @@ def convert_corpus(spark, sf_dir):
     out = with_remaining(convert(_annotated(spark, sf_dir), Options(page_breaks=True)))
     done = ("gaiji_converted", "tcy_converted", "emphasis_bold", "underline_converted", "bouten_converted", "headings_converted")
     return out.select("doc_id", "text", sum((F.col(c) for c in done[1:]), F.col(done[0])).alias("n_converted"), "remaining_notes")
+
+
+@query("conversion_events", """SELECT stage, action, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest(['emphasis', 'tcy', 'gaiji', 'emphasis']) AS stage, unnest(['bold', 'converted', 'converted', 'unconverted']) AS action, unnest([1, 1, CAST(c_custkey % 2 AS INTEGER), 1]) AS n FROM customer) WHERE n > 0 GROUP BY stage, action""")
+def conversion_events(spark, sf_dir):
+    """What a conversion of one line a customer did, as events in a table."""
+    source = cat("c_name", "'［＃「", "c_name", "'」は太字］1［＃「1」は縦中横］", F.when(F.col("c_custkey") % 2 == 1, "※［＃U+4E9C］").otherwise(""), "'無［＃「有」は太字］")
+    done = convert(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), source.alias("text")), Options(underline=False, bouten=False, headings=False, footer=False, annotation_blocks=False, front_matter=False))
+    return events(done).groupBy("stage", "action").agg(F.sum("count").alias("n"))
