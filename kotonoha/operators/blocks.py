@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from kotonoha.functions.text import fullwidth_digits, is_delimiter, strip
 from kotonoha.operators.inline import add_diagnostics
-from kotonoha.operators.notes import apart, next_row, shielded
+from kotonoha.operators.notes import apart, shielded
 
 _B, _E = r"\A[ \t　]*", r"[ \t　\r]*\z"
+#: How the rows of a footer begin, and the note behind a body.
+SOURCE, MADE, STAFF, BODY_END = "底本", "青空文庫作成ファイル", "入力|校正", "［＃本文終わり］"
 _DIRECTIVE = r"\A:::[A-Za-z][A-Za-z0-9_-]*\z"
 
 
@@ -23,18 +25,20 @@ def _state(**values) -> Column:
 def _fold(df: DataFrame, step, counters: tuple[str, ...], prefix: str) -> DataFrame:
     """Runs step(state, line, shield, next line that is not blank, next line) -> (rows, open, existing, counter) over the lines; an open block is closed at the end."""
     zero = _state(out=F.array().cast("array<string>"), open=F.lit(""), existing=F.lit(False), **{c: F.lit(0).cast("bigint") for c in counters})
-    rows = F.zip_with("lines", "shield", lambda line, s: F.struct(line.alias("line"), s.alias("shield")))
-    rows = F.transform(rows, lambda r, i: F.struct(r["line"].alias("line"), r["shield"].alias("shield"), F.coalesce(strip(next_row(F.col("lines"), i)), F.lit("")).alias("next"), F.coalesce(F.get(F.col("lines"), i + 1), F.lit("")).alias("direct")))
+    # what comes next is found once, from the last line back; texts without a note opener need neither pass
+    back = lambda s, line: _state(next=F.when(strip(line) != "", strip(line)).otherwise(s["next"]), out=F.array_append(s["out"], s["next"]))
+    nexts = F.aggregate(F.reverse("lines"), _state(next=F.lit("").cast("string"), out=F.array().cast("array<string>")), back, lambda s: F.reverse(s["out"]))
+    df = apart(df.withColumn("__next", F.when(F.col("noted"), nexts)))
+    rows = F.transform(F.arrays_zip("lines", "shield", "__next"), lambda r, i: F.struct(r["lines"].alias("line"), r["shield"].alias("shield"), r["__next"].alias("next"), F.coalesce(F.get(F.col("lines"), i + 1), F.lit("")).alias("direct")))
 
     def one(s: Column, r: Column) -> Column:
         out, opened, existing, counter = step(s, r["line"], r["shield"], r["next"], r["direct"])
         return _state(out=F.concat(s["out"], out), open=opened, existing=existing, **{c: s[c] + F.when(counter == c, 1).otherwise(0) for c in counters})
 
-    done = F.aggregate(rows, zero, one)
-    df = apart(df.withColumn("__s", done))
+    df = apart(df.withColumn("__s", F.when(F.col("noted"), F.aggregate(rows, zero, one))).drop("__next"))
     ended = F.when(F.col("__s.open") != "", F.array_append("__s.out", F.lit(":::"))).otherwise(F.col("__s.out"))
-    df = df.withColumn("lines", ended).withColumns({f"{prefix}_{c}": F.col(f"__s.{c}") for c in counters}).drop("__s")
-    return apart(apart(df).withColumn("shield", shielded(F.col("lines"))))
+    df = df.withColumn("lines", F.coalesce(ended, "lines")).withColumns({f"{prefix}_{c}": F.coalesce(F.col(f"__s.{c}"), F.lit(0).cast("bigint")) for c in counters}).drop("__s")
+    return apart(apart(df).withColumn("shield", F.when(F.col("noted"), shielded(F.col("lines"))).otherwise(F.col("shield"))))
 
 
 def _rows(*xs: Column | str) -> Column:
@@ -147,14 +151,17 @@ def page_breaks(df: DataFrame, approximate_spread: bool = False) -> DataFrame:
 
 def annotation_blocks(df: DataFrame) -> DataFrame:
     """Blocks between pairs of rows of hyphens go; an odd number of such rows leaves the text as it is."""
-    marks = F.transform(F.filter(F.transform(F.arrays_zip("lines", "shield"), lambda r, i: F.struct(i.alias("i"), (is_delimiter(r["lines"]) & ~r["shield"]).alias("is"))), lambda x: x["is"]), lambda x: x["i"])
-    df = apart(df.withColumn("__marks", marks))
-    even = (F.size("__marks") % 2 == 0) & (F.size("__marks") > 0)
-    before = lambda i: F.size(F.filter("__marks", lambda m: m < i))
-    inside = lambda i: F.array_contains("__marks", i) | (before(i) % 2 == 1)
-    lines = F.when(even, F.filter("lines", lambda line, i: ~inside(i))).otherwise(F.col("lines"))
-    df = df.withColumn("__lines", lines).withColumn("blocks_removed", F.when(even, (F.size("__marks") / 2).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    df = df.withColumn("blocks_unclosed", F.size("__marks") % 2 == 1).drop("lines", "__marks").withColumnRenamed("__lines", "lines")
+    rows = F.arrays_zip("lines", "shield")
+    is_mark = lambda r: is_delimiter(r["lines"]) & ~r["shield"]
+    df = apart(df.withColumn("__n", F.size(F.filter(rows, is_mark))))
+    step = lambda s, r: _state(open=s["open"] != is_mark(r), out=F.array_append(s["out"], s["open"] | is_mark(r)))
+    inside = F.aggregate(rows, _state(open=F.lit(False), out=F.array().cast("array<boolean>")), step, lambda s: s["out"])
+    even = (F.col("__n") % 2 == 0) & (F.col("__n") > 0)
+    df = apart(df.withColumn("__inside", F.when(even, inside)))
+    kept = F.transform(F.filter(F.arrays_zip("lines", "__inside"), lambda r: ~r["__inside"]), lambda r: r["lines"])
+    df = df.withColumn("__lines", F.when(F.col("__inside").isNotNull(), kept).otherwise(F.col("lines")))
+    df = df.withColumn("blocks_removed", F.when(even, (F.col("__n") / 2).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    df = df.withColumn("blocks_unclosed", F.col("__n") % 2 == 1).drop("lines", "__n", "__inside").withColumnRenamed("__lines", "lines")
     return apart(apart(df).withColumn("shield", shielded(F.col("lines"))))
 
 
@@ -173,15 +180,15 @@ def footer(df: DataFrame, window: int = 400) -> DataFrame:
         lambda r, i: F.struct(
             i.alias("i"),
             (~r["shield"] & ~r["lines"].rlike(r"\A {0,3}>")).alias("usable"),
-            r["lines"].rlike(r"\A[ \t　]*底本[：:]").alias("source"),
-            r["lines"].rlike(_B + "［＃本文終わり］" + _E).alias("end"),
-            r["lines"].rlike(r"\A[ \t　]*青空文庫作成ファイル[：:]").alias("made"),
-            (r["lines"].rlike(r"\A[ \t　]*(?:入力|校正)[：:]") | _date(r["lines"])).alias("who"),
+            r["lines"].rlike(rf"\A[ \t　]*{SOURCE}[：:]").alias("source"),
+            r["lines"].rlike(_B + BODY_END + _E).alias("end"),
+            r["lines"].rlike(rf"\A[ \t　]*{MADE}[：:]").alias("made"),
+            (r["lines"].rlike(rf"\A[ \t　]*(?:{STAFF})[：:]") | _date(r["lines"])).alias("who"),
             (r["shield"] | is_delimiter(r["lines"])).alias("stop"),
         ),
     )
     # a text without the closing row of a footer has none: its lines are not looked at one by one
-    df = df.withColumn("__f", F.when(F.exists("lines", lambda x: F.contains(x, F.lit("青空文庫作成ファイル"))), F.slice(flags, F.greatest(F.col("__n") - window, F.lit(0)) + 1, window)).otherwise(F.slice(flags, 1, 0)))
+    df = df.withColumn("__f", F.when(F.exists("lines", lambda x: F.contains(x, F.lit(MADE))), F.slice(flags, F.greatest(F.col("__n") - window, F.lit(0)) + 1, window)).otherwise(F.slice(flags, 1, 0)))
     df = apart(df)
     last = lambda name: F.array_max(F.transform(F.filter("__f", lambda r: r["usable"] & r[name]), lambda r: r["i"]))
     stop = F.coalesce(F.array_max(F.transform(F.filter("__f", lambda r: r["stop"]), lambda r: r["i"])), F.lit(-1))

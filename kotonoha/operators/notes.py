@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kotonoha.functions.text import NOTE, is_space, lines
+from kotonoha.functions.text import NOTE, lines
 
 _FENCE = r"\A[ \t　]*(`{3,}|~{3,})"
 _RULE = r"\A[ \t]*---[ \t]*\r?\z"
@@ -69,8 +69,3 @@ def note_report(notes: DataFrame, id_col: str = "doc_id", shown: int = 50) -> Da
     head = kinds.filter(F.col("rank") <= shown).select(id_col, "rank", "note", "n", listed.alias("first_lines"))
     rest = kinds.filter(F.col("rank") > shown).groupBy(id_col).agg(F.lit(shown + 1).alias("rank"), F.lit(None).cast("string").alias("note"), F.count("*").alias("n"), F.lit("").alias("first_lines"))
     return head.unionByName(rest)
-
-
-def next_row(rows: Column, at: Column) -> Column:
-    """The next line that is not blank."""
-    return F.get(F.filter(F.slice(rows, at + 2, F.size(rows)), lambda r: ~(is_space(r) | (r == ""))), F.lit(0))
