@@ -13,7 +13,8 @@ MIN_WORDS: the shortest one from each line on and the shortest one up to each li
 cover exactly the lines of all maximal repeated runs of that many words, and as a line that counts
 has a word, they are at most MIN_WORDS lines long, which bounds the number of doublings.
 
-Scale: only line hashes are shuffled; hot lines are aggregated before they are ranked (the ranks are
+Scale: only line hashes are shuffled; rows that repeat both id and text are made one by an aggregate
+that combines before its shuffle; hot lines are aggregated before they are ranked (the ranks are
 sums over distinct pairs, sorted in ranges), and come back by joins that adaptive execution splits.
 
 Defined results: a null text stays null and an empty one empty; blank lines belong to the line
@@ -130,7 +131,8 @@ def suffix_ranks(rows: DataFrame, levels: int) -> DataFrame:
 
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(d, th, start, length): runs of lines with a word, of at least min_words, that also stand earlier."""
-    lines = written(_lines(df, id_col, text_col), "lines")
+    # copies of a row would stand for its later occurrences, so each text of an id counts once
+    lines = written(_lines(df, id_col, text_col).dropDuplicates([*_KEY, "ord"]), "lines")
     symbols = ranked(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1"), "h1", "h2").select("h1", "h2", "rank")
     rows = written(_windows(lines.join(symbols, ["h1", "h2"]).select(*_KEY, "ord", "w", "rank"), min_words), "islands")
     longest = rows.agg(F.greatest(F.max("f"), F.max("b"))).first()[0] or 1

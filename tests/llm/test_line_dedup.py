@@ -76,6 +76,26 @@ def test_edges(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_repeated_rows(spark):
+    """Rows that repeat both id and text count as one, and what repeats their lines elsewhere still goes."""
+    ten = "\n".join(f"line {i} of these has as many as ten words now" for i in range(10))
+    other = "\n".join(f"row {i} with a null id and ten words in it" for i in range(10))
+    rows = [(1, ten)] * 3 + [(2, "before\n" + ten + "\nafter"), (3, "alone"), (None, other), (None, other), (None, other + "\nend")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id or 9, r.text, r.deleted) for r in line_dedup.dedup_lines(df).collect()), key=str)
+    null = sorted(r for r in got if r[0] == 9)
+    assert [r for r in got if r[0] != 9] == [(1, ten, "")] * 3 + [(2, "before\nafter", "1-11"), (3, "alone", "")]
+    # which of the two null texts comes first is a matter of their hashes
+    assert len(null) == 3 and sorted(r[1] for r in null) in (sorted([other, other, "end"]), sorted(["", "", other + "\nend"]))
+    rng = random.Random(3)
+    once = corpus(rng, 40)
+    gone = brute(once, 9)
+    twice = line_dedup.dedup_lines(spark.createDataFrame(once + once, "doc_id bigint, text string"), min_words=9).collect()
+    assert len(twice) == 80
+    for r in twice:
+        assert r.n_deleted == len(gone[r.doc_id]) and r.text == cleaned(once[r.doc_id][1], gone[r.doc_id])
+
+
 def test_table(spark):
     d = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
