@@ -7,6 +7,12 @@ sequence of identifiers, with a hyphen for each run of unknown sentences. The ru
 their order: where a rule's identifiers stand one after the other in the sequence, its licence is
 found and they are used up, so that a long notice is not found again as a shorter one.
 
+A sentence may be wrapped: lines that follow one another without a blank line or a mark of
+punctuation between them are looked up one by one and in every run that makes up a known sentence,
+comment marks left out. A list number in front of a sentence is stepped over. Beyond the sentences
+that the SQL in ORACLE knows, those of published notices (PUBLISHED) and references to a licence by
+name (NAMED) are known; the SQL finds neither these nor wrapped sentences.
+
 Known sentences and rules are a fixed table, a literal in the plan: nothing is joined or shuffled.
 
 Defined results: a null or blank text has an empty sequence and no licence; a licence is named once
@@ -77,7 +83,49 @@ RULES = (
     ("Public-Domain", ("PDref",)),
     ("Proprietary", ("AllRights",)),
 )
+#: Sentences of published notices that the marks of punctuation within them cut as here.
+PUBLISHED = {
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPL3orLater",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GPL2orLater",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "LGPL3orLater",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "LGPL21orLater",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "AGPL3orLater",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISCperm",
+    "this source code form is subject to the terms of the mozilla public license v": "MPL2ref",
+    "this is free and unencumbered software released into the public domain": "Unlicense",
+}
+#: Names of licences in references such as "This file is licensed under the MIT License", as patterns.
+NAMED = {
+    "mit license": "MITref",
+    "apache license (?:version )?2 0": "Apache2ref",
+    "(?:bsd 3 clause|3 clause bsd) license": "BSD3ref",
+    "(?:bsd 2 clause|2 clause bsd) license": "BSD2ref",
+    "isc license": "ISCref",
+    "gnu general public license (?:version |v)3(?: 0)?": "GPL3ref",
+    "gnu general public license (?:version |v)2(?: 0)?": "GPL2ref",
+    "gnu lesser general public license (?:version |v)3(?: 0)?": "LGPL3ref",
+    "gnu affero general public license (?:version |v)3(?: 0)?": "AGPL3ref",
+    "mozilla public license (?:version )?2 0": "MPL2ref",
+    "(?:cc by nc 4 0|creative commons attribution noncommercial 4 0 international)(?: license)?": "CCBYNC4ref",
+    "(?:cc by sa 4 0|creative commons attribution sharealike 4 0 international)(?: license)?": "CCBYSA4ref",
+    "(?:cc by 4 0|creative commons attribution 4 0 international)(?: license)?": "CCBY4ref",
+}
+_REFERENCE = "(?:(?:this|the) (?:file|work|code|source code|software|program|project|package|library|module|document|repository) is )?(?:licensed|released|distributed|available|made available) under (?:the terms of )?(?:the |an |a )?"
+#: Rules for what only the tables above know, tried after the others.
+PUBLISHED_RULES = (
+    ("LGPL-3.0-or-later", ("LGPL3orLater",)),
+    ("LGPL-2.1-or-later", ("LGPL21orLater",)),
+    ("AGPL-3.0-or-later", ("AGPL3orLater",)),
+    ("BSD-3-Clause", ("BSD3ref",)),
+    ("BSD-2-Clause", ("BSD2ref",)),
+    ("ISC", ("ISCref",)),
+    ("MPL-2.0", ("MPL2ref",)),
+    ("Unlicense", ("Unlicense",)),
+)
 BREAK = r"[.;:!?]+([ \t\r\n]+|\z)|\n+"
+#: What ends a sentence for good: punctuation behind a word, or a line without letters and digits.
+PARAGRAPH = r"(?<=[^\s.;:!?])[.;:!?]+([ \t\r\n]+|\z)|\n[^A-Za-z0-9]*\n"
+_MARK = r"^[0-9]{1,2}$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -85,17 +133,32 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(sentence, _UPPER, _LOWER), "[^a-z0-9]+", " "))
 
 
+def _patterns() -> dict[str, str]:
+    """Patterns of the sentences of each identifier, blanks as blanks or line ends, the longest first."""
+    known: dict[str, list[str]] = {}
+    for sentence, name in {**SENTENCES, **PUBLISHED, **{_REFERENCE + name: i for name, i in NAMED.items()}}.items():
+        known.setdefault(name, []).append(sentence)
+    return {name: "(?:" + "|".join(sorted(x, key=len, reverse=True)).replace(" ", "[ \\n]") + ")" for name, x in known.items()}
+
+
 def _sequence(text: Column) -> Column:
     """|id|id|-|id|: known identifiers in order, each run of unknown sentences a hyphen."""
-    known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
-    ids = F.transform(F.filter(F.transform(F.split(text, BREAK, -1), normalised), lambda s: s != ""), lambda s: F.coalesce(F.try_element_at(known, s), F.lit("-")))
-    return F.concat(F.lit("|"), F.regexp_replace(F.array_join(ids, "|"), r"-(\|-)+", "-"), F.lit("|"))
+    pieces = lambda s: F.filter(F.transform(F.split(s, BREAK, -1), normalised), lambda p: (p != "") & ~p.rlike(_MARK))
+    # one line for each piece, and a bar where a sentence cannot go on
+    lines = F.array_join(F.filter(F.transform(F.split(text, PARAGRAPH, -1), lambda s: F.array_join(pieces(s), "\n")), lambda s: s != ""), "|")
+    whole = lambda x: r"(?<![^|\n])(?:(?:[0-9]{1,2}|[a-z])[ \n])?" + x + r"(?![^|\n])"
+    named = lines
+    for name, x in _patterns().items():
+        named = F.regexp_replace(named, whole(x), "=" + name)
+    known = F.when(lines.rlike(whole("(?:" + "|".join(_patterns().values()) + ")")), named).otherwise(F.when(lines != "", F.lit("-")).otherwise(F.lit("")))
+    ids = F.regexp_replace(F.regexp_replace(F.translate(known, "\n", "|"), r"(?<![^|])[^=|-][^|]*", "-"), "=", "")
+    return F.concat(F.lit("|"), F.regexp_replace(ids, r"-(\|-)+", "-"), F.lit("|"))
 
 
 def find_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, sequence, licenses, rest): the identifiers, the licences in the order of the rules, what no rule used."""
     rows = text_rows(df, id_col, text_col).select("doc_id", _sequence(F.col("text")).alias("sequence"))
-    rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("|" + "|".join(ids) + "|").alias("ids")) for name, ids in RULES))
+    rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("|" + "|".join(ids) + "|").alias("ids")) for name, ids in (*RULES, *PUBLISHED_RULES)))
     zero = F.struct(F.col("sequence").alias("rest"), F.array().cast("array<string>").alias("found"))
 
     def step(state: Column, rule: Column) -> Column:

@@ -45,6 +45,51 @@ def test_rules(spark):
     assert lic.find_licenses(df.limit(0)).count() == 0
 
 
+MIT = """MIT License
+Copyright (c) 2020 Some One
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+WRAPPED = [
+    (MIT, ["MIT"]),
+    (BSD, ["BSD-2-Clause"]),
+    (BSD.replace("1. ", "(a) ").replace("2. ", "(b) "), ["BSD-2-Clause"]),
+    (GPL, ["GPL-3.0-or-later"]),
+    ("/*\n * " + GPL.replace("\n", "\n * ") + "\n */\nint x;", ["GPL-3.0-or-later"]),
+    (";; " + GPL.replace("\n", "\n;; "), ["GPL-3.0-or-later"]),
+    ("# This file is licensed under the MIT\n# License", ["MIT"]),
+    ("Released under the MIT License\nimport x\nAll rights reserved", ["MIT", "Proprietary"]),
+    ("This file is not licensed under the MIT\nLicense", []),
+    ("\n" * 100_000 + "This file is licensed\nunder the MIT License", ["MIT"]),
+]
+
+
+def test_wrapped(spark):
+    """Notices as they are published, wrapped and in comments."""
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(WRAPPED)], "doc_id bigint, text string")
+    got = {r.doc_id: r.licenses for r in lic.find_licenses(df).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(WRAPPED)}
+
+
 def test_oracle(spark):
     d = "/root/testdata/sf0.01"
     con = duckdb.connect()
