@@ -1,17 +1,19 @@
 """Operator 6: benchmark decontamination by greedy string tiling.
 
-Tokens are runs of letters and digits (bytes above 127 count as letters), ASCII capitals lowered.
+Tokens are runs of letters and digits, ASCII capitals lowered; beyond ASCII, everything but
+punctuation and spaces of Unicode counts as a letter, and each character of a script that is written
+without blanks (Chinese, Japanese, Thai and others) is a token of its own.
 Running Karp-Rabin hashes of MIN_MATCH tokens are taken over every text and every benchmark item and
 joined: equal ones are seeds, checked token by token. For each (text, item) with seeds enough, greedy
 string tiling marks the longest match of tokens that are not marked yet, again and again, until none
 of MIN_MATCH tokens is left. The tiles may stand in any order, so reordered passages are found too. A text
-is contaminated by an item if the tiles cover COVERAGE of the item's tokens.
+is contaminated by an item if the tiles cover COVERAGE of the item's tokens. An item of fewer than
+MIN_MATCH tokens is matched whole: its tile is its first occurrence in the text.
 
 Scale: texts stay where they are. The benchmark is dealt by hash into blocks of half of BLOCK tokens on
 average, and each block is broadcast and held against all texts in one pass; every block is taken.
 
-Defined results: a null or empty text or item has no tokens and no match; an item of fewer than
-MIN_MATCH tokens cannot be matched; among equally long matches the first in the item, then the first
+Defined results: a null or empty text or item has no tokens and no match; among equally long matches the first in the item, then the first
 in the text, is marked first; repeated texts and items each give rows of their own; null ids keep
 their rows; other columns are not read.
 """
@@ -19,6 +21,8 @@ their rows; other columns are not read.
 from __future__ import annotations
 
 import heapq
+import re
+import unicodedata
 from itertools import repeat
 
 import numpy as np
@@ -32,10 +36,22 @@ from kotonoha.llm.common import documents, text_rows
 MIN_MATCH, COVERAGE, BLOCK = 4, 0.6, 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b > 127 else 32 for b in range(256))
+#: Scripts without blanks between words, as ranges of a character class; their punctuation is cut before.
+_UNSPACED = (
+    "\u0e01-\u0e4e\u0e81-\u0ecd\u1000-\u109f\u1780-\u17dd\u1950-\u19df\u1a20-\u1aad\u3005-\u3007\u3021-\u3029\u3031-\u3035\u3038-\u303c\u3041-\u30ff"
+    "\u3105-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua48c\ua980-\ua9df\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f"
+    "\U0001b000-\U0001b16f\U00020000-\U0003ffff"
+)
+#: Punctuation and spaces beyond ASCII (no plane behind the first two has any), with zero-width space and byte order mark.
+_CUT = "".join(c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c)[0] in "PZ" or c in "\x85\u200b\ufeff")
+_TOKEN = re.compile(f"(?![ {re.escape(_CUT)}])[{_UNSPACED}]|[^ {re.escape(_CUT)}{_UNSPACED}]+")
 
 
 def tokens(text: bytes) -> list[bytes]:
-    return text.translate(_LETTERS).split()
+    text = text.translate(_LETTERS)
+    if text.isascii():
+        return text.split()
+    return " ".join(_TOKEN.findall(text.decode())).encode().split()
 
 
 def rolling(ids: np.ndarray, size: int) -> np.ndarray:
@@ -85,7 +101,8 @@ def tiles(item: np.ndarray, text: np.ndarray, seeds: list[tuple[int, int]], leas
 class Index:
     """A block of the benchmark: vocabulary, items as ids, and its windows by hash."""
 
-    def __init__(self, items: list[tuple], least: int):
+    def __init__(self, items: list[tuple], least: int, short: bool = False):
+        """short: items of fewer than least tokens are matched whole."""
         self.least, self.names, self.vocabulary, self.items = least, [i for i, _ in items], {}, []
         for _, text in items:
             found = tokens((text or "").encode())
@@ -97,13 +114,34 @@ class Index:
         order = np.argsort(h, kind="stable")
         self.h, self.of, self.at = h[order], self.of[order], self.at[order]
         self.distinct, self.first, self.many = np.unique(self.h, return_index=True, return_counts=True)
+        self.short: dict[int, dict[tuple, list[int]]] = {}  # by size: item numbers by ids
+        for k, x in enumerate(self.items):
+            if short and 0 < len(x) < least:
+                self.short.setdefault(len(x), {}).setdefault(tuple(x.tolist()), []).append(k)
+        self.short_h = {size: np.unique(np.concatenate([rolling(np.array(x), size) for x in known])) for size, known in self.short.items()}
+
+    def whole(self, ids: np.ndarray) -> list[tuple]:
+        """Matches of the short items, each at its first place."""
+        out = []
+        for size, known in self.short.items():
+            at = np.flatnonzero(np.isin(rolling(ids, size), self.short_h[size]))
+            if len(at):
+                found, first = np.unique(ids[at[:, None] + np.arange(size)], axis=0, return_index=True)
+                for x, t in zip(found.tolist(), at[first].tolist()):
+                    out.extend((k, size, [(0, t, size)]) for k in known.get(tuple(x), ()))
+        return out
 
     def matches(self, text: bytes, coverage: float) -> list[tuple]:
         """(item number, covered tokens, tiles) of each item that is covered enough."""
-        if not len(self.distinct):
+        if not self.vocabulary:
             return []
         found = tokens(text)
         ids = np.fromiter(map(self.vocabulary.get, found, repeat(0)), np.int64, len(found))
+        return [*self.whole(ids), *self.tiled(ids, coverage)]
+
+    def tiled(self, ids: np.ndarray, coverage: float) -> list[tuple]:
+        if not len(self.distinct):
+            return []
         h = rolling(ids, self.least)
         if not len(h):
             return []
@@ -159,7 +197,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         shared = df.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in part.collect()])
 
         def run(batches, shared=shared):
-            index = Index(shared.value, min_match)
+            index = Index(shared.value, min_match, short=True)
             for b in batches:
                 row, found = [], []
                 for r, text in enumerate(b.column(1).to_pylist()):

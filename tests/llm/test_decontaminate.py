@@ -51,6 +51,24 @@ def test_pairs(spark):
     assert dec.contaminated(df.limit(0), items).count() == 0 and dec.contaminated(df, items.limit(0)).count() == 0
 
 
+def test_tokens():
+    cut = lambda t: [w.decode() for w in dec.tokens(t.encode())]
+    assert cut("“Don’t”—stop\u3000NOW… Élan naïve_x") == ["don", "t", "stop", "now", "Élan", "naïve", "x"]
+    assert cut("東京は、ラーメンabcがﾊﾟ。") == [*"東京はラーメン", "abc", *"がﾊﾟ"]
+    assert cut("नमस्ते दुनिया।") == ["नमस्ते", "दुनिया"] and cut("。、\u3000") == [] and cut("") == []
+
+
+def test_short_and_unspaced(spark):
+    """Items of few tokens are matched whole, and items inside longer runs without blanks are found."""
+    rows = [(1, "Too short"), (2, "it is too short, too short."), (3, "too very short"), (4, "昔々、国の長いトンネルを抜けると雪国であったそうだ"), (5, "国の長い話"), (6, "“alpha”—beta—gamma—‘delta’"), (7, "yes"), (8, "答え。")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = [(10, "too short"), (11, "長いトンネルを抜けると雪国であった。"), (12, "alpha beta gamma delta"), (13, "Yes!"), (14, "答え"), (15, "too short"), (16, "…")]
+    got = dec.contaminated(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 10), (1, 15), (2, 10), (2, 15), (4, 11), (6, 12), (7, 13), (8, 14)]
+    assert all(r.coverage == 1.0 for r in got)
+    assert [(t.item_start, t.text_start, t.length) for r in got if (r.doc_id, r.item_id) == (2, 10) for t in r.tiles] == [(0, 2, 2)]
+
+
 def test_table(spark):
     d = "/root/testdata/sf0.001"
     docs = [(r.doc_id, dec.tokens(r.text.encode())) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
