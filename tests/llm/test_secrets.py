@@ -16,15 +16,25 @@ def brute_base(text):
     return sorted(out)
 
 
+def plain(s):
+    if re.fullmatch("[A-Za-z_=+/-]+|[0-9_=+/-]+", s):
+        return True
+    head, *rest = re.split("[/_-]", s)
+    return bool(rest) and re.fullmatch("[A-Za-z]+", head) is not None and all(re.fullmatch("[A-Za-z]{1,12}|[0-9]{1,12}", p) for p in rest)
+
+
 def brute_entropy(text, base):
+    left = list(text)
+    for a, _, b in base:
+        left[a:b] = " " * (b - a)
     out = []
-    for m in re.finditer(secrets.CANDIDATE, text):
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", "".join(left)):
         s, w = m[0], secrets.WINDOW
-        if any(re.search(p, s) for p in secrets.ALLOWED) or any(a < m.end() and m.start() < b for a, _, b in base):
+        if plain(s):
             continue
         limit = next(t for p, t in secrets.CLASSES if re.search(p, s))
         hits = [i for i in range(len(s) - w + 1) if -sum(c / w * math.log2(c / w) for c in Counter(s[i : i + w]).values()) >= limit - 1e-9]
-        if hits:
+        if hits and not re.search("example|placeholder|changeme|dummy|sample|your_|xxxx", s[hits[0] : hits[-1] + w], re.I):
             out.append((m.start() + hits[0], 3, m.start() + hits[-1] + w))
     return out
 
@@ -51,6 +61,17 @@ def test_against_brute_force(spark):
     assert secrets.find_secrets(df.limit(0)).count() == 0
 
 
+def test_long_candidates(spark):
+    rng = random.Random(8)
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(200_000))
+    rows = [(1, blob), (2, "key AKIA" + "A1B2C3D4E5F6G7H8" + "/" + blob[:40] + " end"), (3, (blob[:24] + " token=abcdefg ") * 5000), (4, "a/" * 50_000 + "x1")]
+    got = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", secrets.joined(secrets.F.col("base")).alias("b"), secrets.joined(secrets.F.col("entropy")).alias("e")).collect()}
+    for i, t in rows:
+        base = brute_base(t)
+        assert got[i].b == written_as(base) and got[i].e == written_as(brute_entropy(t, base))
+    assert got[2].e.startswith("entropy:") and got[3].e.count("entropy") == 5000
+
+
 def test_table(spark):
     d = "/root/testdata/sf0.01"
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
