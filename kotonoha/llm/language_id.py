@@ -13,7 +13,7 @@ Scale: counts are arrays of fixed size, summed in chunks; groups are aggregates
 language) with partial sums before the shuffle, and hosts come back by a join that adaptive execution
 splits, so one host may hold any share of the pages.
 
-Defined results: a null page or address has empty text and no host; a text without words has no text
+Defined results: a page of any length is read in one pass; a null page or address has empty text and no host; a text without words has no text
 evidence, so the priors decide; pages are kept whatever the result, repeated ones each; ties go to
 the first language by name; without labelled texts the language is null; other columns are not read.
 """
@@ -32,19 +32,58 @@ from kotonoha.llm.common import LOWER, documents
 from kotonoha.session import written
 
 SLOTS, CHUNK, TEMPER, SMOOTH = 1 << 16, 1 << 13, 0.3, 5.0
-_DROP = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->")
-_TAG = re.compile(r"(?s)<[^>]*>")
-_LANG = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?\s*([A-Za-z]{2,8})""")
+_HIDDEN = re.compile(r"(?i)<(script|style|noscript|template)\b")
+_CLOSE = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "noscript", "template")}
+_HTML = re.compile(r"(?i)<html\b")
+_LANG = re.compile(r"""(?i)\blang\s*=\s*["']?\s*([A-Za-z]{2,8})""")
 _HOST = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
 def visible(html: str) -> str:
-    return _TAG.sub(" ", _DROP.sub(" ", html))
+    """The text between tags, without comments and hidden elements; what is opened and never closed is text or an ordinary tag.
+
+    One pass: a closing mark that is missing once is not looked for again."""
+    out, at, missing = [], 0, set()
+
+    def closed(name: str, find):
+        if name in missing:
+            return -1
+        if (end := find()) < 0:
+            missing.add(name)
+        return end
+
+    def end_of(name: str, start: int) -> int:
+        found = _CLOSE[name].search(html, start)
+        return found.end() if found else -1
+
+    while (open_ := html.find("<", at)) >= 0:
+        out.append(html[at:open_])
+        end = -1
+        if html.startswith("<!--", open_):
+            end = closed("comment", lambda: html.find("-->", open_ + 4))
+            end = end + 3 if end >= 0 else end
+        elif hidden := _HIDDEN.match(html, open_):
+            name = hidden[1].lower()
+            end = closed(name, lambda: end_of(name, hidden.end()))
+        if end < 0:
+            end = html.find(">", open_) + 1
+        if not end:
+            at = open_
+            break
+        out.append(" ")
+        at = end
+    out.append(html[at:])
+    return "".join(out)
 
 
 def declared(html: str) -> str | None:
-    found = _LANG.search(html)
-    return found[1].lower() if found else None
+    at = 0
+    while opened := _HTML.search(html, at):
+        at = html.find(">", opened.end())
+        found = _LANG.search(html, opened.end(), at if at >= 0 else len(html))
+        if found or at < 0:
+            return found[1].lower() if found else None
+    return None
 
 
 def host_of(url: str) -> str:

@@ -30,6 +30,29 @@ from kotonoha.llm.common import documents, text_rows
 #: Normalised sentences of public licence notices and their identifiers.
 SENTENCES = {
     "released under the mit license": "MITref",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MITwarranty",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "MITliability",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BSDwarranty",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "BSDliability",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "ISCwarranty",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "ISCliability",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "Apache2basis",
+    "see the license for the specific language governing permissions and limitations under the license": "Apache2see",
+    "this program is distributed in the hope that it will be useful but without any warranty": "GPLhope",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "GPLimplied",
+    "see the gnu general public license for more details": "GPLsee",
+    "you should have received a copy of the gnu general public license along with this program": "GPLcopy",
+    "this software is provided as is without any express or implied warranty": "ZlibWarranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "ZlibLiability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZlibPerm",
+    "the origin of this software must not be misrepresented": "ZlibOrigin",
+    "you must not claim that you wrote the original software": "ZlibClaim",
+    "altered source versions must be plainly marked as such and must not be misrepresented as being the original software": "ZlibAltered",
+    "this notice may not be removed or altered from any source distribution": "ZlibNotice",
+    "distributed under the boost software license version 1 0": "BSLref",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "MPL2at",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "MPL2at",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "UnlicenseFree",
     "licensed under the mit license": "MITref",
     "this software is released under the mit license": "MITref",
     "this work is licensed under the gnu general public license version 3": "GPL3ref",
@@ -62,16 +85,25 @@ SENTENCES = {
 }
 #: Licences and the identifiers that make them up, in the order in which they are tried.
 RULES = (
+    ("Apache-2.0", ("Apache2ref", "Apache2not", "Apache2at", "Apache2url", "Apache2basis", "Apache2see")),
     ("Apache-2.0", ("Apache2ref", "Apache2not", "Apache2at", "Apache2url")),
     ("Apache-2.0", ("Apache2ref", "Apache2not")),
+    ("BSD-3-Clause", ("BSDpre", "BSDsource", "BSDbinary", "BSDname", "BSDwarranty", "BSDliability")),
     ("BSD-3-Clause", ("BSDpre", "BSDsource", "BSDbinary", "BSDname")),
+    ("BSD-2-Clause", ("BSDpre", "BSDsource", "BSDbinary", "BSDwarranty", "BSDliability")),
     ("BSD-2-Clause", ("BSDpre", "BSDsource", "BSDbinary")),
+    ("Zlib", ("ZlibWarranty", "ZlibLiability", "ZlibPerm", "ZlibOrigin", "ZlibClaim")),
+    ("MIT", ("MITperm", "MITnotice", "MITwarranty", "MITliability")),
     ("MIT", ("MITperm", "MITnotice")),
     ("MIT", ("MITref",)),
+    ("ISC", ("ISCperm", "ISCwarranty", "ISCliability")),
     ("ISC", ("ISCperm",)),
     ("Apache-2.0", ("Apache2ref",)),
+    ("GPL-3.0-or-later", ("GPL3orLater", "GPLhope", "GPLimplied", "GPLsee", "GPLcopy")),
+    ("GPL-2.0-or-later", ("GPL2orLater", "GPLhope", "GPLimplied", "GPLsee", "GPLcopy")),
     ("GPL-3.0-or-later", ("GPL3orLater",)),
     ("GPL-2.0-or-later", ("GPL2orLater",)),
+    ("BSL-1.0", ("BSLref",)),
     ("AGPL-3.0", ("AGPL3ref",)),
     ("LGPL-3.0", ("LGPL3ref",)),
     ("GPL-3.0", ("GPL3ref",)),
@@ -119,7 +151,9 @@ PUBLISHED_RULES = (
     ("BSD-3-Clause", ("BSD3ref",)),
     ("BSD-2-Clause", ("BSD2ref",)),
     ("ISC", ("ISCref",)),
+    ("MPL-2.0", ("MPL2ref", "MPL2at")),
     ("MPL-2.0", ("MPL2ref",)),
+    ("Unlicense", ("Unlicense", "UnlicenseFree")),
     ("Unlicense", ("Unlicense",)),
 )
 BREAK = r"[.;:!?]+([ \t\r\n]+|\z)|\n+"
@@ -158,15 +192,20 @@ def _sequence(text: Column) -> Column:
 def find_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, sequence, licenses, rest): the identifiers, the licences in the order of the rules, what no rule used."""
     rows = text_rows(df, id_col, text_col).select("doc_id", _sequence(F.col("text")).alias("sequence"))
-    rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("|" + "|".join(ids) + "|").alias("ids")) for name, ids in (*RULES, *PUBLISHED_RULES)))
-    zero = F.struct(F.col("sequence").alias("rest"), F.array().cast("array<string>").alias("found"))
+    # every identifier has brackets of its own, and what is used up leaves a mark, so that neighbours are told apart and stay where they are
+    whole = lambda ids: "".join(f"<{i}>" for i in ids)
+    rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(whole(ids)).alias("ids")) for name, ids in (*RULES, *PUBLISHED_RULES)))
+    listed = F.array_join(F.transform(F.filter(F.split("sequence", r"\|"), lambda x: x != ""), lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
+    rows = rows.withColumn("listed", listed)
+    zero = F.struct(F.col("listed").alias("rest"), F.array().cast("array<string>").alias("found"))
 
     def step(state: Column, rule: Column) -> Column:
         hit = F.contains(state["rest"], rule["ids"])
-        return F.when(hit, F.struct(F.replace(state["rest"], rule["ids"], F.lit("|")).alias("rest"), F.array_append(state["found"], rule["name"]).alias("found"))).otherwise(state)
+        return F.when(hit, F.struct(F.replace(state["rest"], rule["ids"], F.lit("<.>")).alias("rest"), F.array_append(state["found"], rule["name"]).alias("found"))).otherwise(state)
 
     rows = rows.withColumn("state", F.when(F.col("sequence").rlike("[A-Z]"), F.aggregate(rules, zero, step)).otherwise(zero))
-    return rows.select("doc_id", "sequence", F.array_distinct("state.found").alias("licenses"), F.regexp_replace("state.rest", r"[|-]*\|[|-]*", "|").alias("rest"))
+    rest = F.array_join(F.regexp_extract_all(F.col("state.rest"), F.lit("<([A-Za-z][^>]*)>"), F.lit(1)), "|")
+    return rows.select("doc_id", "sequence", F.array_distinct("state.found").alias("licenses"), F.when(rest == "", "|").otherwise(F.concat(F.lit("|"), rest, F.lit("|"))).alias("rest"))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,12 +215,16 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """The same by joins and a chain of replacements."""
+    """The same by a join and by lists of identifiers, rule after rule."""
     values = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
     steps, found, last = [], [], "seq"
     for k, (name, ids) in enumerate(RULES):
-        rule = "|" + "|".join(ids) + "|"
-        steps.append(f"r{k} AS (SELECT *, CASE WHEN contains(s{k}, '{rule}') THEN '{name}' END AS f{k}, replace(s{k}, '{rule}', '|') AS s{k + 1} FROM {last})")
+        rule, n = ", ".join(f"'{i}'" for i in ids), len(ids)
+        steps.append(f"p{k} AS (SELECT *, list_filter(range(1, len(s{k}) + 1), lambda i: s{k}[i:i + {n - 1}] = [{rule}]) AS at{k} FROM {last})")
+        steps.append(
+            f"r{k} AS (SELECT * EXCLUDE (s{k}, at{k}), CASE WHEN len(at{k}) > 0 THEN '{name}' END AS f{k}, "
+            f"list_transform(s{k}, lambda x, i: CASE WHEN len(list_filter(at{k}, lambda q: q <= i AND i < q + {n})) > 0 THEN '.' ELSE x END) AS s{k + 1} FROM p{k})"
+        )
         found.append(f"f{k}")
         last = f"r{k}"
     listed = ", ".join(found)  # a licence stands where the first of its rules that hit stands
@@ -189,12 +232,12 @@ def _oracle() -> str:
 parts AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '{BREAK}'),
   lambda x: trim(regexp_replace(translate(x, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS p FROM documents),
 one AS (SELECT doc_id, unnest(p) AS sentence, generate_subscripts(p, 1) AS pos FROM parts),
-ids AS (SELECT doc_id, string_agg(coalesce(id, '-'), '|' ORDER BY pos) AS ids, count(id) AS n FROM one LEFT JOIN known USING (sentence) GROUP BY doc_id),
-seq AS (SELECT doc_id, coalesce(n, 0) AS n, '|' || regexp_replace(coalesce(ids, ''), '-(\|-)+', '-', 'g') || '|' AS s0 FROM documents LEFT JOIN ids USING (doc_id)),
+ids AS (SELECT doc_id, list(coalesce(id, '-') ORDER BY pos) AS ids, count(id) AS n FROM one LEFT JOIN known USING (sentence) GROUP BY doc_id),
+seq AS (SELECT doc_id, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN ids ELSE [] END AS s0 FROM documents LEFT JOIN ids USING (doc_id)),
 {", ".join(steps)}
 SELECT doc_id, CAST(n AS INTEGER) AS n_known,
   array_to_string(list_filter([{listed}], lambda x, i: x IS NOT NULL AND list_position([{listed}], x) = i), ',') AS licenses,
-  regexp_replace(s{len(RULES)}, '[|-]*\|[|-]*', '|', 'g') AS rest
+  '|' || array_to_string(list_transform(list_filter(s{len(RULES)}, lambda x: x NOT IN ('-', '.')), lambda x: x || '|'), '') AS rest
 FROM {last}"""
 
 

@@ -1,4 +1,5 @@
 import math
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -43,6 +44,17 @@ def test_parts():
     assert lid.host_of("https://u:p@A.Example.org:80/x") == "a.example.org" and lid.host_of("nonsense") == ""
 
 
+def test_long_pages_in_one_pass():
+    began = time.process_time()
+    for page in ("<script>" * 130_000, "<" * 1_000_000, "<!--" * 250_000, "<style>a" * 100_000 + "</style>b", "<html" * 200_000, "<html lang=" * 90_000, "</script" + " " * 1_000_000):
+        lid.visible(page)
+        lid.declared(page)
+    assert time.process_time() - began < 10
+    assert lid.visible("a<script>b<p>c").split() == ["a", "b", "c"] and lid.visible("x <y") == "x <y" and lid.visible("<!--a<p>b").split() == ["b"]
+    assert lid.visible("<SCRIPT>a</script  >b<style>c</style>d<script>e").split() == ["b", "d", "e"]
+    assert lid.declared("<html><html lang=fr>") == "fr" and lid.declared("<html x lang='sv-SE'") == "sv"
+
+
 def test_against_brute_force(spark):
     texts = [("the cat and the dog", "en"), ("the house of the man", "en"), ("der hund und die katze", "de"), ("das haus und der mann", "de"), (None, "en"), ("unlabelled", None)]
     pages = [(k, f"http://h{k % 3}.x{k % 2}.{'de' if k % 2 else 'com'}/p", f"<html lang={'de' if k % 2 else 'en'}><p>{'der mann und das' if k % 2 else 'the man of the'} {k}</p>") for k in range(12)]

@@ -90,6 +90,27 @@ def test_wrapped(spark):
     assert got == {i: want for i, (_, want) in enumerate(WRAPPED)}
 
 
+def test_rest(spark):
+    """What no rule uses up, with repeated notices, and the SQL by lists over the same rows."""
+    perm, notice = (next(s for s, i in lic.SENTENCES.items() if i == x) for x in ("MITperm", "MITnotice"))
+    texts = [
+        "Released under the MIT license\nReleased under the MIT license",
+        "Released under the MIT license\nunknown\nReleased under the MIT license\nAll rights reserved",
+        f"{perm}.\n{notice}.\n{perm}.\n{notice}.\n{notice}.",
+        f"{notice}.\nReleased under the MIT license\n{perm}.",
+        f"{perm}.\nLicensed under CC0 1.0\n{notice}.",
+        "",
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (",".join(r.licenses), r.rest) for r in lic.find_licenses(df).collect()}
+    assert got == {0: ("MIT", "|"), 1: ("MIT,Proprietary", "|"), 2: ("MIT", "|MITnotice|"), 3: ("MIT", "|MITnotice|MITperm|"), 4: ("CC0-1.0", "|MITperm|MITnotice|"), 5: ("", "|"), 6: ("", "|")}
+    con = duckdb.connect()
+    con.register("rows", df.toPandas())
+    con.sql("create view documents as select doc_id, text from rows")
+    assert {i: (names, rest) for i, _, names, rest in con.sql(lic.ORACLE).fetchall()} == got
+
+
 def test_oracle(spark):
     d = "/root/testdata/sf0.01"
     con = duckdb.connect()
