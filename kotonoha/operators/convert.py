@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kotonoha.operators import blocks, inline, metadata
-from kotonoha.operators.notes import apart, residual_notes, with_lines
+from kotonoha.operators.notes import apart, remaining, with_lines
 
 
 #: First words of the counters' names, in the order of the stages.
@@ -78,10 +78,9 @@ def convert(df: DataFrame, options: Options = Options(), id_col: str = "doc_id",
     return rows.drop("lines", "shield", "noted")
 
 
-def with_remaining(converted: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Adds remaining_notes, how many notes a converted text still has."""
-    left = residual_notes(converted, id_col).groupBy(id_col).agg(F.count("*").alias("remaining_notes"))
-    return converted.join(left, id_col, "left").withColumn("remaining_notes", F.coalesce("remaining_notes", F.lit(0).cast("bigint")))
+def with_remaining(converted: DataFrame) -> DataFrame:
+    """Adds remaining_notes, how many notes a converted text still has, counted within the row."""
+    return with_lines(converted, names=("__noted", "__lines", "__shield")).withColumn("remaining_notes", remaining("__noted", "__lines", "__shield")).drop("__noted", "__lines", "__shield")
 
 
 def events(converted: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -18,22 +18,40 @@ def shielded(rows: Column) -> Column:
 
     One pass with the open fence as state: a fence closes at a run of its own character that is as long
     at least, an open one and unclosed front matter reach to the end."""
-    zero = F.struct(F.lit("").alias("fence"), F.lit(0).alias("front"), F.array().cast("array<boolean>").alias("out"))
+    zero = F.struct(F.lit("").alias("fence"), F.lit(0).alias("front"), F.lit(True).alias("first"))
 
-    def step(s: Column, line: Column) -> Column:
+    def step(s: Column, line: Column) -> tuple[Column, Column]:
         run = F.regexp_extract(line, _FENCE, 1)
         bare = line.rlike(r"\A[ \t　]*(`{3,}|~{3,})[ \t　\r]*\z")
-        first = F.size(s["out"]) == 0
+        first = s["first"]
         rule = line.rlike(_RULE)
         front = F.when(first & rule, 1).when((s["front"] == 1) & rule, 2).otherwise(s["front"])  # 1 inside, 2 behind
         in_front = (s["front"] == 1) | (first & rule)
         closes = (s["fence"] != "") & bare & (F.substring(run, 1, 1) == F.substring(s["fence"], 1, 1)) & (F.length(run) >= F.length(s["fence"]))
         fence = F.when(in_front, "").when(closes, "").when((s["fence"] == "") & (run != ""), run).otherwise(s["fence"])
-        return F.struct(fence.alias("fence"), front.alias("front"), F.array_append(s["out"], in_front | (s["fence"] != "") | (run != "")).alias("out"))
+        return F.struct(fence.alias("fence"), front.alias("front"), F.lit(False).alias("first")), in_front | (s["fence"] != "") | (run != "")
 
     # most texts have neither a fence nor front matter, and need no fold
     some = F.exists(rows, lambda x: x.rlike(_FENCE)) | F.get(rows, F.lit(0)).rlike(_RULE)
-    return F.when(some, F.aggregate(rows, zero, step, lambda s: s["out"])).otherwise(F.transform(rows, lambda x: F.lit(False)))
+    return F.when(some, folded(rows, zero, step, "boolean")).otherwise(F.transform(rows, lambda x: F.lit(False)))
+
+
+def folded(rows: Column, zero: Column, step, kind: str, piece: int = 128) -> Column:
+    """What step(state, row) -> (state, value) gives for each row, the state handed on.
+
+    A growing array is copied whenever it grows, so the values are gathered piece by piece."""
+    none = F.array().cast(f"array<{kind}>")
+    pack = lambda state, out: F.struct(state.alias("state"), out.alias("out"))
+
+    def one(s: Column, row: Column) -> Column:
+        state, value = step(s["state"], row)
+        return pack(state, F.array_append(s["out"], value))
+
+    def some(s: Column, at: Column) -> Column:
+        return F.aggregate(F.slice(rows, at + 1, F.lit(piece)), pack(s["state"], none), one, lambda x: pack(x["state"], F.array_append(s["out"], x["out"])))
+
+    starts = F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.size(rows) - 1, F.lit(piece))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(starts, pack(zero, F.array().cast(f"array<array<{kind}>>")), some, lambda s: F.flatten(s["out"]))
 
 
 def apart(df: DataFrame) -> DataFrame:
@@ -44,11 +62,19 @@ def apart(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
-def with_lines(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds lines, shield and noted (whether there is any note opener), the state on which the stages work."""
+def with_lines(df: DataFrame, text: str = "text", names: tuple[str, str, str] = ("noted", "lines", "shield")) -> DataFrame:
+    """Adds noted (whether there is any note opener), lines and shield, the state on which the stages work."""
+    noted, rows, shield = names
     whole = F.coalesce(F.col(text), F.lit(""))
-    df = apart(df.withColumn("noted", F.contains(whole, F.lit("［＃"))).withColumn("lines", lines(whole)))
-    return apart(df.withColumn("shield", shielded(F.col("lines"))))
+    df = apart(df.withColumn(noted, F.contains(whole, F.lit("［＃"))).withColumn(rows, lines(whole)))
+    return apart(df.withColumn(shield, shielded(F.col(rows))))
+
+
+def remaining(noted: str, rows: str, shield: str) -> Column:
+    """How many notes there are outside front matter, fences and inline code."""
+    open_ = F.filter(F.arrays_zip(F.col(rows).alias("line"), F.col(shield).alias("shield")), lambda r: ~r["shield"] & F.contains(r["line"], F.lit("［＃")))
+    found = F.transform(open_, lambda r: F.size(F.regexp_extract_all(F.regexp_replace(r["line"], CODE, "`"), F.lit(NOTE), F.lit(0))))
+    return F.when(F.col(noted), F.aggregate(found, F.lit(0), lambda a, n: a + n)).otherwise(0).cast("bigint")
 
 
 def residual_notes(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

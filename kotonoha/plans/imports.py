@@ -78,7 +78,7 @@ def prepare_import(sources: DataFrame, options: Options = Options(), encoding: s
     several tables are made of them."""
     decoded = written(texts(sources, encoding).withColumn("file_id", F.when(F.col("index").isNull(), file_id("input_id")).otherwise(file_id("input_id", "index"))), "import-texts")
     good = decoded.filter("code is null").select("file_id", "text")
-    done = written(with_remaining(convert(good, options, "file_id"), "file_id"), "import-converted")
+    done = written(with_remaining(convert(good, options, "file_id")), "import-converted")
     rows = decoded.select("file_id", "input_id", "index", "name", "encoding", "bom").join(done, "file_id")
     archive = F.regexp_replace(F.regexp_extract("input_id", r"([^/]*)\z", 1), r"\.[^.]*\z", "")
     name = F.when(F.col("index").isNull(), F.col("name")).otherwise(F.concat(archive, F.lit("/"), F.col("name")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kotonoha.session import written
+
 
 def job_stats(events: DataFrame) -> DataFrame:
     """Totals of (ord, type, file_id, attempt_id, delivery, remaining) events in one row.
@@ -48,9 +50,18 @@ def batch_status(outcomes: DataFrame) -> DataFrame:
 
 
 def running_budget(rows: DataFrame, size: str, limit: int, order: str, batch: str | None = None) -> DataFrame:
-    """Adds used, the sum of sizes up to each row in order, and fits; equality fits. Sums run within a batch."""
-    by = Window.partitionBy(*([batch] if batch else [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(size).over(by)).withColumn("fits", F.col("used") <= limit)
+    """Adds used, the sum of sizes up to each row in order, and fits; equality fits. Sums run within a batch.
+
+    Rows are dealt in ranges, which are summed in themselves; the sums before each range are those of a table of one row for each range and batch."""
+    rows = rows.withColumn("__batch", F.struct(F.col(batch) if batch else F.lit(0)))
+    laid = written(rows.repartitionByRange("__batch", order).withColumn("__part", F.spark_partition_id()), "budget")
+    sums = laid.groupBy("__batch", "__part").agg(F.sum(size).alias("__sum"))
+    earlier = Window.partitionBy("__batch").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("__batch", "__part", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+    within = F.sum(size).over(Window.partitionBy("__batch", "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    a, b = laid.withColumn("__within", within).alias("a"), sums.alias("b")
+    joined = a.join(b, (F.col("a.__part") == F.col("b.__part")) & F.col("a.__batch").eqNullSafe(F.col("b.__batch"))).select("a.*", "__before")
+    return joined.withColumn("used", F.col("__before") + F.coalesce("__within", F.lit(0))).withColumn("fits", F.col("used") <= limit).drop("__batch", "__part", "__within", "__before")
 
 
 def page_of(rows: DataFrame, order: str, page: int, size: int = 50) -> DataFrame:

@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kotonoha.functions import jis, names, text
+from kotonoha.functions.decode import decode_text
 from kotonoha.operators import blocks, inline, metadata
-from kotonoha.operators.convert import Options, convert, events, with_remaining
+from kotonoha.operators.convert import Options, convert, events, totals, with_remaining
 from kotonoha.operators.notes import note_report, residual_notes, with_lines
-from kotonoha.operators.preview import directives, outline, ruby_spans
+from kotonoha.operators.preview import directives, outline, ruby_spans, upright_spans
 from kotonoha.plans import jobs
+from kotonoha.plans.archives import archive_problems, plan_archives
 from kotonoha.plans.exports import artifact_problems
+from kotonoha.plans.imports import identity_problems, requested_path
 from kotonoha.plans.outputs import plan_outputs
 
 QUERIES: dict = {}
@@ -47,23 +50,23 @@ def _stage(df: DataFrame, key: str, source: Column, stage, counters: dict[str, s
     return out.select("id", F.array_join("lines", "\n").alias("converted"), *(F.col(c).alias(a) for c, a in counters.items()))
 
 
-@query("line_stats", "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CAST(strlen(text) AS BIGINT) AS n_bytes, CAST(length(text) AS BIGINT) AS n_points FROM documents WHERE text IS NOT NULL")
+@query("line_stats", "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CAST(strlen(text) AS BIGINT) AS n_bytes, CAST(length(text) AS BIGINT) AS n_points FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def line_stats(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return docs.select("doc_id", F.size(text.lines("text")).cast("bigint").alias("n_lines"), text.utf8_length("text").alias("n_bytes"), F.length("text").cast("bigint").alias("n_points"))
 
 
-@query("utf16_lengths", "SELECT doc_id, CAST(length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS BIGINT) AS n_units FROM documents WHERE text IS NOT NULL")
+@query("utf16_lengths", "SELECT doc_id, CAST(length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS BIGINT) AS n_units FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def utf16_lengths(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", text.utf16_length("text").alias("n_units"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", text.utf16_length("text").alias("n_units"))
 
 
-@query("next_rows", """WITH r AS (SELECT doc_id, CAST(line AS INTEGER) AS line, string_split(text, chr(10))[line] AS row FROM documents, generate_series(1, len(string_split(text, chr(10)))) g(line) WHERE text IS NOT NULL),
+@query("next_rows", """WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), r AS (SELECT doc_id, CAST(line AS INTEGER) AS line, string_split(text, chr(10))[line] AS row FROM d, generate_series(1, len(string_split(text, chr(10)))) g(line)),
  t AS (SELECT doc_id, line, lead(CASE WHEN regexp_replace(row, '[\\s\\x{b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]', '', 'g') <> '' THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line) AS nxt FROM r)
  SELECT doc_id, count(*) AS n_rows, count(nxt) AS n_followed, CAST(coalesce(sum(nxt - line), 0) AS BIGINT) AS distance FROM t GROUP BY doc_id""")
 def next_rows(spark, sf_dir):
     """Each row with the next one that is not blank: the as-of step of the block stages, as a window over the line table."""
-    rows = blocks.line_table(with_lines(table(spark, sf_dir, "documents").filter("text is not null")))
+    rows = blocks.line_table(with_lines(table(spark, sf_dir, "documents")))
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.count("next_line").alias("n_followed"), F.coalesce(F.sum(F.col("next_line") - F.col("line")), F.lit(0)).cast("bigint").alias("distance"))
 
 
@@ -346,3 +349,83 @@ def conversion_events(spark, sf_dir):
     source = cat("c_name", "'［＃「", "c_name", "'」は太字］1［＃「1」は縦中横］", F.when(F.col("c_custkey") % 2 == 1, "※［＃U+4E9C］").otherwise(""), "'無［＃「有」は太字］")
     done = convert(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), source.alias("text")), Options(underline=False, bouten=False, headings=False, footer=False, annotation_blocks=False, front_matter=False))
     return events(done).groupBy("stage", "action").agg(F.sum("count").alias("n"))
+
+
+@query("decoded_texts", """SELECT doc_id, doc_id % 4 <> 3 AS ok, CASE WHEN doc_id % 4 <> 3 THEN 'utf-8' END AS encoding, CASE WHEN doc_id % 4 <> 3 THEN doc_id % 4 = 1 END AS bom,
+ CASE WHEN doc_id % 4 = 3 THEN 'UNSUPPORTED_ENCODING' END AS code, CASE WHEN doc_id % 4 <> 3 THEN replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) || CASE WHEN doc_id % 4 = 2 THEN chr(10) || 'x' || chr(10) ELSE '' END END AS text FROM documents""")
+def decoded_texts(spark, sf_dir):
+    """Whole texts as bytes: plain, with a mark, with other line ends, and under a mark that is not read."""
+    whole = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    n = F.col("doc_id") % 4
+    content = F.when(n == 0, whole).when(n == 1, F.concat(F.unhex(F.lit("EFBBBF")), whole)).when(n == 2, F.concat(whole, F.encode(F.lit("\r\nx\r"), "UTF-8"))).otherwise(F.concat(F.unhex(F.lit("FFFE")), whole))
+    found = table(spark, sf_dir, "documents").select("doc_id", decode_text(content, F.lit("auto")).alias("d"))
+    return found.select("doc_id", "d.ok", "d.encoding", "d.bom", "d.code", "d.text")
+
+
+def _entries(spark, sf_dir):
+    """An archive for each order with an entry for each of its lines; some leave their folder, repeat an index or belong elsewhere."""
+    size = F.col("l_quantity")
+    name = F.when(size > 49, cat("'../", "l_partkey", "'.txt")).when(size > 40, cat("'pictures/", "l_partkey", "'.png")).otherwise(cat("'part/", "l_suppkey", "'.TXT"))
+    owner = F.when(size == 1, F.lit(-1)).otherwise(F.col("l_orderkey"))
+    index = F.when(size == 2, 1).otherwise(F.col("l_linenumber"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.max(c).alias(c) for c in ("l_quantity", "l_partkey", "l_suppkey")), F.count("*").alias("n")).filter("n = 1")
+    return lines.select(F.col("l_orderkey").alias("batch"), F.lit(0).alias("archive_ord"), F.col("l_orderkey").alias("archive_id"), owner.alias("owner_id"), F.col("l_linenumber").alias("entry_ord"), index.alias("index"), name.alias("raw_name"), name.alias("name"), F.lit(0).alias("mode"), cat("'order ", "l_orderkey").alias("stem"), F.lit(False).alias("directory"))
+
+
+_ENTRY_SQL = """l AS (SELECT l_orderkey AS batch, l_linenumber AS n, any_value(l_quantity) AS q, any_value(l_suppkey) AS s FROM lineitem GROUP BY ALL HAVING count(*) = 1),
+ e AS (SELECT *, CASE WHEN q = 2 THEN 1 ELSE n END AS idx FROM l),
+ r AS (SELECT *, CASE WHEN q > 49 THEN 'parent-segment' WHEN q = 1 OR row_number() OVER (PARTITION BY batch, idx ORDER BY n) > 1 THEN 'invalid-entry-identity' END AS reason FROM e)"""
+
+
+@query("archive_problems", f"WITH {_ENTRY_SQL} SELECT batch, batch AS archive_id, arg_min(reason, n) AS reason FROM r WHERE reason IS NOT NULL GROUP BY batch")
+def archive_problems_query(spark, sf_dir):
+    return archive_problems(_entries(spark, sf_dir))
+
+
+@query("archive_plan", f"""WITH {_ENTRY_SQL}, g AS (SELECT * FROM r WHERE batch NOT IN (SELECT batch FROM r WHERE reason IS NOT NULL)),
+ k AS (SELECT batch, n, row_number() OVER (PARTITION BY batch, s ORDER BY n) AS k FROM g WHERE q <= 40)
+ SELECT batch, batch AS archive_id, CAST(idx AS INTEGER) AS "index", CASE WHEN k IS NOT NULL THEN 'order ' || batch || '/part/' || s || CASE WHEN k = 1 THEN '' WHEN k = 2 THEN '_converted' ELSE '_converted' || (k - 1) END || '.md' END AS output FROM g LEFT JOIN k USING (batch, n)""")
+def archive_plan(spark, sf_dir):
+    rows = _entries(spark, sf_dir)
+    return plan_archives(rows, rows.limit(0).select("batch", F.col("name").alias("path")))
+
+
+@query("import_requests", """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN replace(p_brand, '#', '#') || '/' || p_type || '.txt' ELSE 'a/' || p_brand || '_' || p_size || '.txt' END AS path FROM part""")
+def import_requests(spark, sf_dir):
+    """Where a text is asked to go: under its author if its title is known as well, else in its folder."""
+    named = F.struct(F.when(F.col("p_size") % 3 == 0, F.col("p_type")).alias("title"), F.col("p_brand").alias("author"))
+    return table(spark, sf_dir, "part").select("p_partkey", requested_path(cat("'a/", "p_brand", "'?", "p_size", "'.md"), named, True, "txt").alias("path"))
+
+
+@query("outcome_kinds", """SELECT CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_custkey % 2 = 0 THEN 'ArchiveFailed' ELSE 'WriteFailed' END WHEN o_orderstatus = 'P' THEN 'Skipped' ELSE 'WriteCommitted' END AS type, count(*) AS n FROM orders GROUP BY 1""")
+def outcome_kinds(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "ignored").otherwise("ready")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_orderkey").cast("string").alias("file_id"), F.when(F.col("o_custkey") % 2 == 0, "zip").otherwise("text").alias("kind"), status.alias("status"), (status == "ready").alias("ready"), F.lit(0).alias("remaining"))
+    return jobs.outcome_events(rows).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("corpus_totals", "SELECT count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS read_chars, CAST(sum(n_chars % 2) AS BIGINT) AS odd_texts FROM documents")
+def corpus_totals(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("bigint").alias("read_chars"), (F.col("n_chars") % 2).cast("bigint").alias("odd_texts"))
+    return totals(rows)
+
+
+@query("identity_problems", "SELECT 'INVALID_INPUT' AS code, CAST((SELECT count(*) FROM customer WHERE c_custkey % 7 = 0) + (SELECT count(*) FROM (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) > 1)) * 0 + (SELECT sum(n) FROM (SELECT count(*) AS n FROM customer GROUP BY c_custkey // 2 HAVING count(*) > 1)) AS BIGINT) AS n")
+def identity_problems_query(spark, sf_dir):
+    """Pairs of sources share an id, and each seventh one's name contradicts its kind."""
+    rows = table(spark, sf_dir, "customer").select(F.expr("cast(c_custkey div 2 as string)").alias("input_id"), cat("c_name", F.when(F.col("c_custkey") % 7 == 0, F.lit(".md")).otherwise(F.lit(".txt"))).alias("name"), F.lit("txt").alias("kind"), F.lit(1).cast("bigint").alias("length"))
+    return identity_problems(rows)
+
+
+@query("destinations", "SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 OR o_orderstatus = 'P' THEN 'UNSAFE_DESTINATION' WHEN o_custkey % 3 = 0 THEN 'EXCLUSIVE_CREATE_UNAVAILABLE' ELSE 'ok' END AS code FROM orders")
+def destinations(spark, sf_dir):
+    yes, no = F.lit(True), F.lit(False)
+    code = names.destination_check(yes, yes, F.col("o_custkey") % 3 != 0, F.col("o_custkey") % 5 != 0, no, F.col("o_orderstatus") == "P", no)
+    return table(spark, sf_dir, "orders").select("o_orderkey", code.alias("code"))
+
+
+@query("upright_spans", "SELECT p_partkey AS doc_id, CAST(2 AS INTEGER) AS line, CAST(k AS INTEGER) AS ord, CAST(p_size + k AS VARCHAR) AS body FROM part, generate_series(0, CAST(p_size % 3 AS BIGINT)) g(k)")
+def upright_spans_query(spark, sf_dir):
+    """Upright runs of a row between prose and code."""
+    runs = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("p_size") % 3).cast("int")), lambda k: F.concat(F.lit("第｟"), (F.col("p_size") + k).cast("string"), F.lit("｠`｟99｠`"))), "、")
+    return upright_spans(with_lines(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.col("p_name"), F.lit("\n"), runs, F.lit("\n```\n｟1｠\n```")).alias("text"))))

@@ -28,8 +28,10 @@ def local_session(cpus: int | str = 8, shuffle: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it; a temporary folder only where it is unset."""
+    """spark.checkpoint.dir as the cluster names it; a temporary folder only where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     if not found:
         found = "file://" + os.path.join(tempfile.gettempdir(), "kotonoha-shared")
         spark.conf.set("spark.checkpoint.dir", found)

@@ -135,3 +135,36 @@ def test_stream(spark, tmp_path):
     query = fold_into(stream, str(tmp_path / "out"), str(tmp_path / "check")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert account(spark, str(tmp_path / "out")).first().files_converted == 3
+
+
+def test_archives(spark):
+    from kotonoha.plans.archives import archive_problems, plan_archives
+
+    rows = [
+        ("a", 0, "x", "x", 0, 0, "d/one.txt", 0, "X?", False), ("a", 0, "x", "x", 1, 1, "d/one.md", 0, "X?", False), ("a", 0, "x", "x", 2, 2, "d/", 0, "X?", True), ("a", 1, "y", "y", 0, 0, "p.png", 0, "Y", False),
+        ("b", 0, "x", "x", 0, 0, "one.txt", 0, "X", False), ("b", 1, "x", "x", 0, 0, "../one.txt", 0, "X", False),
+        ("c", 0, "z", "z", 0, 0, "l.txt", 0xA1FF, "Z", False), ("d", 0, "z", "z", 0, 5, "l.txt", 0, "Z", False), ("d", 0, "z", "z", 1, 5, "m.txt", 0, "Z", False),
+    ]
+    df = spark.createDataFrame([(*r[:7], r[6], *r[7:]) for r in rows], "batch string, archive_ord int, archive_id string, owner_id string, entry_ord int, index int, raw_name string, name string, mode int, stem string, directory boolean")
+    assert {(r.batch, r.archive_id, r.reason) for r in archive_problems(df).collect()} == {("b", "x", "duplicate-archive-identity"), ("c", "z", "symlink"), ("d", "z", "invalid-entry-identity")}
+    got = {(r.batch, r.archive_id, r["index"]): r.output for r in plan_archives(df, df.limit(0).select("batch", F.col("name").alias("path"))).collect()}
+    assert got == {("a", "x", 0): "X_/d/one.md", ("a", "x", 1): "X_/d/one_converted.md", ("a", "x", 2): None, ("a", "y", 0): None}
+    assert plan_archives(df.limit(0), df.select("batch", F.col("name").alias("path"))).count() == 0
+
+
+def test_remaining_notes_of_repeated_ids(spark):
+    from kotonoha.operators.convert import with_remaining
+
+    note = "［＃残］"
+    df = spark.createDataFrame([(1, note), (1, note * 2), (None, note + "`" + note + "`"), (2, None), (3, "```\n" + note + "\n```\n" + note)], "doc_id bigint, text string")
+    assert sorted((r.doc_id or 0, r.remaining_notes) for r in with_remaining(df).collect()) == [(0, 1), (1, 1), (1, 2), (2, 0), (3, 1)]
+
+
+def test_budget_in_ranges(spark):
+    rows = spark.range(500).select(F.col("id").alias("ord"), F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 2).alias("batch"), (F.col("id") % 7).alias("size"))
+    got = {r.ord: r.used for r in jobs.running_budget(rows, "size", 10, "ord", "batch").collect()}
+    used = {}
+    for i in range(500):
+        b = None if i % 3 == 0 else i % 2
+        used[b] = used.get(b, 0) + i % 7
+        assert got[i] == used[b]
