@@ -111,9 +111,12 @@ class Index:
         self.of = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
         self.at = np.concatenate([np.arange(len(h)) for h in hashes] or [np.empty(0, int)])
         h = np.concatenate(hashes or [np.empty(0, np.uint64)])
-        order = np.argsort(h, kind="stable")
-        self.h, self.of, self.at = h[order], self.of[order], self.at[order]
+        before = np.concatenate([np.r_[0, x[: len(g) - 1]] for x, g in zip(self.items, hashes) if len(g)] or [np.empty(0, np.int64)])  # the token in front of each window
+        order = np.lexsort((before, h))
+        self.h, self.of, self.at, before = h[order], self.of[order], self.at[order], before[order]
         self.distinct, self.first, self.many = np.unique(self.h, return_index=True, return_counts=True)
+        self.wide = len(self.vocabulary) + 2
+        self.follows = np.repeat(np.arange(len(self.distinct)), self.many) * self.wide + before
         self.short: dict[int, dict[tuple, list[int]]] = {}  # by size: item numbers by ids
         for k, x in enumerate(self.items):
             if short and 0 < len(x) < least:
@@ -153,20 +156,24 @@ class Index:
         where, slot = where[hit], slot[hit]
         if not len(where):
             return []
-        many = self.many[slot]
-        post = np.repeat(self.first[slot] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-        of, at, where = self.of[post], self.at[post], np.repeat(where, many)
+        good = self._covered(np.unique(slot), coverage)
+        if not good.any():
+            return []
+        # a seed behind equal tokens goes on a longer match, and the match is known by its first seed: so a word that is repeated n and m times makes n + m pairs
+        token = np.where(where > 0, ids[where - 1], 0)
+        low, high = (np.searchsorted(self.follows, slot * self.wide + np.where(token > 0, token, self.wide - 1), side) for side in ("left", "right"))
+        begin = np.r_[self.first[slot], high]
+        many = np.r_[low, self.first[slot] + self.many[slot]] - begin
+        where = np.repeat(np.r_[where, where], many)
+        post = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+        kept = good[self.of[post]]
+        where, post = where[kept], post[kept]
+        of, at = self.of[post], self.at[post]
         order = np.argsort(of, kind="stable")
         of, at, where = of[order], at[order], where[order]
         out = []
-        for a, e in zip(heads := np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), np.r_[heads[1:], len(of)]):
+        for a, e in zip(heads := np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, int), np.r_[heads[1:], len(of)]):
             item = self.items[of[a]]
-            covered = np.zeros(len(item) + self.least, np.int64)
-            starts = np.unique(at[a:e])
-            covered[starts] += 1
-            covered[starts + self.least] -= 1
-            if (np.cumsum(covered) > 0).sum() < coverage * len(item):
-                continue  # tiles cover no more than the seeds do
             same = (item[at[a:e, None] + np.arange(self.least)] == ids[where[a:e, None] + np.arange(self.least)]).all(axis=1)
             tiled = tiles(item, ids, list(zip(at[a:e][same].tolist(), where[a:e][same].tolist())), self.least)
             n = sum(k for _, _, k in tiled)
@@ -175,6 +182,24 @@ class Index:
         return out
 
 
+    def _covered(self, slots: np.ndarray, coverage: float) -> np.ndarray:
+        """For each item whether windows of these hashes cover enough of it; tiles cover no more."""
+        many = self.many[slots]
+        post = np.repeat(self.first[slots] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        of, at = self.of[post], self.at[post]
+        order = np.argsort(of, kind="stable")
+        of, at = of[order], at[order]
+        good = np.zeros(len(self.items), bool)
+        heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        for a, e in zip(heads.tolist(), np.r_[heads[1:], len(of)].tolist()):
+            n = len(self.items[of[a]])
+            covered = np.zeros(n + self.least, np.int64)
+            covered[at[a:e]] += 1
+            covered[at[a:e] + self.least] -= 1
+            good[of[a]] = (np.cumsum(covered) > 0).sum() >= coverage * n
+        return good
+
+
 def _blocks(benchmark: DataFrame, block: int) -> list[DataFrame]:
     """The benchmark dealt out by hash, so that a block has half of block tokens on average; a token takes a byte and a space at least."""
     total = benchmark.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
@@ -186,18 +211,18 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """(doc_id, item_id, covered, n_item, coverage, tiles) of each pair whose item is covered enough."""
     rows = text_rows(df, id_col, text_col)
     items = benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    item = items.schema["item_id"].dataType.simpleString()
     row = [StructField("covered", IntegerType()), StructField("n_item", IntegerType()), StructField("coverage", DoubleType())]
     place = StructType([StructField(x, IntegerType()) for x in ("item_start", "text_start", "length")])
     schema = StructType([rows.schema["doc_id"], items.schema["item_id"], *row, StructField("tiles", ArrayType(place))])
     tile = pa.list_(pa.struct([("item_start", pa.int32()), ("text_start", pa.int32()), ("length", pa.int32())]))
-    item_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item]
     out = None
     for part in _blocks(items, block):
-        shared = df.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in part.collect()])
+        held = part.toArrow()  # a block of the benchmark
+        shared = df.sparkSession.sparkContext.broadcast((held.column("item_id").combine_chunks(), held.column("text").to_pylist()))
 
         def run(batches, shared=shared):
-            index = Index(shared.value, min_match, short=True)
+            names, held = shared.value
+            index = Index(list(enumerate(held)), min_match, short=True)
             for b in batches:
                 row, found = [], []
                 for r, text in enumerate(b.column(1).to_pylist()):
@@ -208,7 +233,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).take(pa.array(row, pa.int32())),
-                        pa.array([index.names[k] for k, _, _ in found], item_arrow),
+                        names.take(pa.array([k for k, _, _ in found], pa.int64())),
                         pa.array([c for _, c, _ in found], pa.int32()),
                         pa.array(n, pa.int32()),
                         pa.array([c / k for (_, c, _), k in zip(found, n)], pa.float64()),

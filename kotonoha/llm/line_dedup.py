@@ -150,8 +150,15 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = f.join(p, (F.col("f.th") == F.col("p.th")) & F.col("f.d").eqNullSafe(F.col("p.d")) & (F.col("f.last") == F.col("p.at"))).select("f.d", "f.th", "start", "n", "left", F.get("ranks", level(F.col("n"))).alias("right"))
     runs = written(runs.filter("right is not null"), "runs")
     place = F.struct(F.col("d").isNull().alias("none"), "d", "th", "start")
-    earliest = runs.groupBy("n", "left", "right").agg(F.min(place).alias("first"), F.count("*").alias("many")).filter("many > 1").drop("many")
-    return runs.join(earliest, ["n", "left", "right"]).filter(place != F.col("first")).select("d", "th", "start", F.col("n").alias("length"))
+    earliest = runs.groupBy("n", "left", "right").agg(F.min(place).alias("first"), F.count("*").alias("many")).filter("many > 1")
+    # a run that stands in a thousandth of the places or more is one of a thousand at most, and is not dealt by its key
+    earliest = written(earliest, "earliest")
+    many = max(1000, runs.count() // 1000)
+    keys, later = ["n", "left", "right"], place != F.col("first")
+    runs = runs.join(F.broadcast(earliest.filter(F.col("many") > many).select(*keys, F.col("first").alias("hot"))), keys, "left")
+    hot = runs.filter("hot is not null").withColumn("first", F.col("hot")).filter(later).select("d", "th", "start", "n")
+    rest = runs.filter("hot is null").join(earliest.filter(F.col("many") <= many), keys).filter(later).select("d", "th", "start", "n")
+    return hot.unionByName(rest).withColumnRenamed("n", "length")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

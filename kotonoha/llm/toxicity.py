@@ -9,7 +9,7 @@ scores its best feature, any other token scores -DRIFT.
 
 Scoring: the Ruzzo-Tompa scan finds every maximal scoring segment of a text in linear time. The best
 segment's sum M is set against chance by the extreme-value law of such maxima (Karlin-Altschul):
-with n tokens, LEAST at least, E = lambda * M - ln(n), lambda solved from the tokens' frequencies in clean rows,
+with n tokens, E = lambda * M - ln(n + AROUND), lambda solved from the tokens' frequencies in clean rows,
 and further segments add their own excess. A logistic curve fitted to labelled rows
 that a trial lexicon has not seen turns E into the score.
 
@@ -39,8 +39,8 @@ from kotonoha.session import written
 #: Labelled rows that are learnt from at most, entries of the lexicon at most.
 LABELLED, LEXICON = 200_000, 20_000
 PRIOR, MIN_Z, MIN_ODDS, MIN_ROWS, DRIFT = 500.0, 3.3, 2.5, 3, 0.05
-#: Tokens that a shorter text counts as, when its best segment is set against chance.
-LEAST = 50
+#: Clean tokens that every text is taken to stand in, when its best segment is set against chance: a few words that score are rare by themselves, not because their text is short.
+AROUND = 50
 #: One labelled row in so many, by hash, is kept for the curve and counted only for the final lexicon.
 ASIDE = 4
 #: Lengths in bytes of the beginnings that are features.
@@ -94,8 +94,8 @@ class Model:
     offset: float = 0.0
 
     def evidence(self, found: list[tuple[int, int, float]], n: int) -> float:
-        """lambda * M - ln(n) of the best segment, and what the others exceed chance by."""
-        level = math.log(max(n, LEAST))
+        """lambda * M - ln(n + AROUND) of the best segment, and what the others exceed chance by."""
+        level = math.log(n + AROUND)
         sums = sorted((self.lam * s for _, _, s in found), reverse=True)
         return (sums[0] if sums else 0.0) - level + sum(max(0.0, s - level) for s in sums[1:])
 

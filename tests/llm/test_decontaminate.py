@@ -1,4 +1,5 @@
 import random
+import time
 
 from kotonoha.llm import decontaminate as dec
 
@@ -79,3 +80,14 @@ def test_table(spark):
     for (i, k), n in got.items():
         if len(dict(docs)[i]) < 400:
             assert sum(x for _, _, x in brute_tiles(dict(items)[k], dict(docs)[i], dec.MIN_MATCH)) == n
+
+
+def test_repeated_words_and_other_ids(spark):
+    text, item = "a " * 40_000, "a " * 60
+    began = time.process_time()
+    index = dec.Index([(0, item), (1, "b " + item)], dec.MIN_MATCH, short=True)
+    found = {k: n for k, n, _ in index.matches(text.encode(), dec.COVERAGE)}
+    assert found == {0: 60, 1: 60} and time.process_time() - began < 20
+    df = spark.createDataFrame([(1, "x the quick brown fox jumps over y"), (2, "nothing")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([((7, "q"), "the quick brown fox jumps"), (None, "the quick brown fox jumps over")], "item_id struct<a: int, b: string>, text string")
+    assert sorted(str(r.item_id) for r in dec.contaminated(df, bench).collect()) == ["None", "Row(a=7, b='q')"]

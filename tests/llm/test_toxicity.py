@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -48,3 +49,27 @@ def test_edges(spark):
     one = tox.fit(df, marks.filter("toxic = 0"))
     assert {round(r.score, 6) for r in tox.passages(df, one).collect()} == {round(0.5 / 27, 6)}
     assert tox.passages(df.limit(0), tox.fit(df.limit(0), marks)).count() == 0
+
+
+def test_score_against_brute_force(spark):
+    """Scores from all stretches of a text: maximal ones, their evidence and the curve, without the scan."""
+    model = tox.Model({b"bad ": 3.0, b"awfu": 2.0, b"awful ": 4.0, b"meh ": 0.4}, lam=0.7, slope=0.8, offset=-1.5)
+    rng = random.Random(3)
+    texts = [None, "", "bad", "!!", " ".join(["fine"] * 30)] + [" ".join(rng.choice(["bad", "Awful", "awfully", "meh", "fine", "ok", "Ünd"]) for _ in range(rng.randrange(1, 40))) for _ in range(40)]
+    values = {"bad": 3.0, "awful": 4.0, "awfully": 2.0, "meh": 0.4}
+
+    def maximal(x, a, b):
+        """Maximal segments as their definition has them: the best one (the shortest of equals), and those beside it."""
+        best = max(((sum(x[i:j]), i - j, -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=None, key=lambda s: (round(s[0], 9), s[1], s[2]))
+        if best is None or best[0] <= 1e-9:
+            return []
+        return maximal(x, a, best[3]) + [best[0]] + maximal(x, best[4], b)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in tox.passages(df, model).collect()}
+    for i, text in enumerate(texts):
+        tokens = (text or "").lower().replace("!", " ").split()
+        x = [values.get(t, -tox.DRIFT) for t in tokens]
+        sums, level = sorted((0.7 * s for s in maximal(x, 0, len(x))), reverse=True), math.log(len(tokens) + tox.AROUND)
+        e = (sums[0] if sums else 0.0) - level + sum(max(0.0, s - level) for s in sums[1:])
+        assert abs(got[i] - 1 / (1 + math.exp(1.5 - 0.8 * e))) < 1e-9, text
