@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 #: The white space of the contract (29 code points; U+FEFF is none), and its line ends.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+#: The same white space as characters.
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if re.fullmatch(SPACE, c))
 FULL_DIGITS, DIGITS = "０１２３４５６７８９", "0123456789"
 NOTE = r"※?［＃[^］\r\n]*］"
 
@@ -19,11 +22,11 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(col(c), F.lit(_SPACES))
 
 
 def rstrip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"{SPACE}+\z", "")
+    return F.rtrim(col(c), F.lit(_SPACES))
 
 
 def is_space(c: Column | str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kotonoha.functions.text import fullwidth_digits, is_delimiter, strip
 from kotonoha.operators.inline import add_diagnostics
-from kotonoha.operators.notes import apart, shielded
+from kotonoha.operators.notes import apart, folded, shielded
 
 _B, _E = r"\A[ \t　]*", r"[ \t　\r]*\z"
 #: How the rows of a footer begin, and the note behind a body.
@@ -24,21 +24,25 @@ def _state(**values) -> Column:
 
 
 def _fold(df: DataFrame, step, counters: tuple[str, ...], prefix: str) -> DataFrame:
-    """Runs step(state, line, shield, next line that is not blank, next line) -> (rows, open, existing, counter) over the lines; an open block is closed at the end."""
-    zero = _state(out=F.array().cast("array<string>"), open=F.lit(""), existing=F.lit(False), **{c: F.lit(0).cast("bigint") for c in counters})
+    """Runs step(state, line, shield, next line that is not blank, next line) -> [<rows, open, existing, counter>] over the lines; an open block is closed at the end."""
+    zero = _state(open=F.lit(""), existing=F.lit(False), **{c: F.lit(0).cast("bigint") for c in counters})
     # what comes next is found once, from the last line back; texts without a note opener need neither pass
-    back = lambda s, line: _state(next=F.when(strip(line) != "", strip(line)).otherwise(s["next"]), out=F.array_append(s["out"], s["next"]))
-    nexts = F.aggregate(F.reverse("lines"), _state(next=F.lit("").cast("string"), out=F.array().cast("array<string>")), back, lambda s: F.reverse(s["out"]))
-    df = apart(df.withColumn("__next", F.when(F.col("noted"), nexts)))
+    df = apart(df.withColumn("__back", F.when(F.col("noted"), F.reverse(F.transform("lines", strip)))))
+    nexts = folded(F.col("__back"), F.lit("").cast("string"), lambda s, line: (F.when(line != "", line).otherwise(s), s), "string")
+    df = apart(df.withColumn("__next", F.when(F.col("noted"), F.reverse(nexts))).drop("__back"))
     rows = F.transform(F.arrays_zip("lines", "shield", "__next"), lambda r, i: F.struct(r["lines"].alias("line"), r["shield"].alias("shield"), r["__next"].alias("next"), F.coalesce(F.get(F.col("lines"), i + 1), F.lit("")).alias("direct")))
+    df = apart(df.withColumn("__rows", F.when(F.col("noted"), rows)).drop("__next"))
 
     def one(s: Column, r: Column) -> Column:
-        out, opened, existing, counter = step(s, r["line"], r["shield"], r["next"], r["direct"])
-        return _state(out=F.concat(s["out"], out), open=opened, existing=existing, **{c: s[c] + F.when(counter == c, 1).otherwise(0) for c in counters})
-
-    df = apart(df.withColumn("__s", F.when(F.col("noted"), F.aggregate(rows, zero, one))).drop("__next"))
-    ended = F.when(F.col("__s.open") != "", F.array_append("__s.out", F.lit(":::"))).otherwise(F.col("__s.out"))
-    df = df.withColumn("lines", F.coalesce(ended, "lines")).withColumns({f"{prefix}_{c}": F.coalesce(F.col(f"__s.{c}"), F.lit(0).cast("bigint")) for c in counters}).drop("__s")
+        done = step(s, r["line"], r["shield"], r["next"], r["direct"])
+        state = lambda x: _state(open=x["open"], existing=x["existing"], **{c: s[c] + F.when(x["counter"] == c, 1).otherwise(0) for c in counters})
+        return F.transform(done, lambda x: _state(state=state(x), value=x["rows"]))
+
+    done = folded(F.col("__rows"), zero, one, "array<string>", finish=lambda s, out: _state(state=s, out=out))
+    df = apart(df.withColumn("__s", F.when(F.col("noted"), done)).drop("__rows"))
+    df = apart(df.withColumn("__out", F.flatten("__s.out")))
+    ended = F.when(F.col("__s.state.open") != "", F.array_append("__out", F.lit(":::"))).otherwise(F.col("__out"))
+    df = df.withColumn("lines", F.coalesce(ended, "lines")).withColumns({f"{prefix}_{c}": F.coalesce(F.col(f"__s.state.{c}"), F.lit(0).cast("bigint")) for c in counters}).drop("__s", "__out")
     return apart(apart(df).withColumn("shield", F.when(F.col("noted"), shielded(F.col("lines"))).otherwise(F.col("shield"))))
 
 
@@ -46,16 +50,27 @@ def _rows(*xs: Column | str) -> Column:
     return F.array(*(F.lit(x) if isinstance(x, str) else x for x in xs))
 
 
-def _chain(cases: list[tuple], default: tuple) -> tuple:
-    """The first case (condition, rows, open, existing, counter) that holds, column by column."""
-    columns = []
-    for k in range(1, 5):
-        out = F.lit(default[k - 1]) if isinstance(default[k - 1], (str, bool)) else default[k - 1]
-        for case in reversed(cases):
-            value = case[k]
-            out = F.when(case[0], F.lit(value) if isinstance(value, (str, bool)) else value).otherwise(out)
-        columns.append(out)
-    return tuple(columns)
+def _chain(line: Column, s: Column, shield: Column, cases: list[tuple], default: tuple) -> tuple:
+    """The first case (condition, rows, open, existing, counter) that holds, column by column.
+
+    Which one it is is found once, and what holds no mark of a stage, outside blocks, is no case."""
+    plain = ~shield & ~F.contains(line, F.lit("［＃")) & ~F.contains(line, F.lit(":::")) & ~s["existing"] & (s["open"] != "pair")
+    which = F.when(plain, len(cases))
+    for k, case in enumerate(cases):
+        which = which.when(case[0], k)
+    value = lambda v: F.lit(v) if isinstance(v, (str, bool)) else v
+
+    def chosen(k: Column) -> Column:
+        fields = []
+        for at, name in enumerate(("rows", "open", "existing", "counter")):
+            own = [value(x) for x in (*(case[at + 1] for case in cases), default[at])]
+            out = own[-1]
+            for j, v in reversed([*enumerate(own[:-1])]):
+                out = F.when(k == j, v).otherwise(out)
+            fields.append(out.alias(name))
+        return F.struct(*fields)
+
+    return F.transform(F.array(F.coalesce(which, F.lit(len(cases)))), chosen)
 
 
 def indent(df: DataFrame, preserve: bool = False) -> DataFrame:
@@ -81,7 +96,7 @@ def indent(df: DataFrame, preserve: bool = False) -> DataFrame:
             (line.rlike(single) & (s["open"] == "") & good & (strip(body) != ""), F.concat(note, _rows(head, body, ":::")), "", False, "converted"),
             (line.rlike("［＃(?:ここから)?[０-９0-9]+字下げ"), _rows(line), s["open"], False, "unconverted"),
         ]
-        return _chain(cases, (_rows(line), s["open"], False, ""))
+        return _chain(line, s, shield, cases, (_rows(line), s["open"], False, ""))
 
     return _fold(df, step, ("converted", "unconverted"), "indent")
 
@@ -116,7 +131,7 @@ def align(df: DataFrame, approximate: bool = False, preserve: bool = False) -> D
             one(single_raised, "approximated"),
             (line.rlike("［＃(?:ここから)?(?:地付き|地から[０-９0-9]+字上げ)］"), _rows(line), s["open"], False, "unconverted"),
         ]
-        return _chain(cases, (_rows(line), s["open"], False, ""))
+        return _chain(line, s, shield, cases, (_rows(line), s["open"], False, ""))
 
     return _fold(df, step, ("converted", "approximated", "unconverted"), "align")
 
@@ -145,7 +160,7 @@ def page_breaks(df: DataFrame, approximate_spread: bool = False) -> DataFrame:
             (line.rlike("［＃改段］"), _rows(line), "", False, "kaidan_unconverted"),
             (line.rlike("［＃(?:改ページ|改丁|改見開き)］"), _rows(line), "", False, "unconverted"),
         ]
-        return _chain(cases, (_rows(line), "", False, ""))
+        return _chain(line, s, shield, cases, (_rows(line), "", False, ""))
 
     return _fold(df, step, ("page_breaks", "blank_pages", "spread_approximated", "unconverted", "kaidan_unconverted"), "page")
 
@@ -155,14 +170,14 @@ def annotation_blocks(df: DataFrame) -> DataFrame:
     rows = F.arrays_zip("lines", "shield")
     is_mark = lambda r: is_delimiter(r["lines"]) & ~r["shield"]
     df = apart(df.withColumn("__n", F.size(F.filter(rows, is_mark))))
-    step = lambda s, r: _state(open=s["open"] != is_mark(r), out=F.array_append(s["out"], s["open"] | is_mark(r)))
-    inside = F.aggregate(rows, _state(open=F.lit(False), out=F.array().cast("array<boolean>")), step, lambda s: s["out"])
     even = (F.col("__n") % 2 == 0) & (F.col("__n") > 0)
+    df = apart(df.withColumn("__mark", F.when(even, F.transform(rows, is_mark))))
+    inside = folded(F.col("__mark"), F.lit(False), lambda s, mark: (s != mark, s | mark), "boolean")
     df = apart(df.withColumn("__inside", F.when(even, inside)))
     kept = F.transform(F.filter(F.arrays_zip("lines", "__inside"), lambda r: ~r["__inside"]), lambda r: r["lines"])
     df = df.withColumn("__lines", F.when(F.col("__inside").isNotNull(), kept).otherwise(F.col("lines")))
     df = df.withColumn("blocks_removed", F.when(even, (F.col("__n") / 2).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    df = df.withColumn("blocks_unclosed", F.col("__n") % 2 == 1).drop("lines", "__n", "__inside").withColumnRenamed("__lines", "lines")
+    df = df.withColumn("blocks_unclosed", F.col("__n") % 2 == 1).drop("lines", "__n", "__inside", "__mark").withColumnRenamed("__lines", "lines")
     return apart(apart(df).withColumn("shield", shielded(F.col("lines"))))
 
 
@@ -177,27 +192,30 @@ def _date(line: Column) -> Column:
 
 def footer(df: DataFrame, window: int = 400) -> DataFrame:
     """Cuts the text before the last safe footer start among the last rows; blank rows before it go too."""
+    # a text without the closing row of a footer has none: its lines are not looked at one by one
     df = df.withColumn("__n", F.size("lines"))
+    start = F.greatest(F.col("__n") - window, F.lit(0))
+    some = F.exists("lines", lambda x: F.contains(x, F.lit(MADE)))
+    df = apart(df.withColumn("__tail", F.when(some, F.slice(F.arrays_zip("lines", "shield"), start + 1, F.lit(window))).otherwise(F.slice(F.arrays_zip("lines", "shield"), 1, 0))))
+    marked = lambda x: F.contains(x, F.lit("：")) | F.contains(x, F.lit(":"))
     flags = F.transform(
-        F.arrays_zip("lines", "shield"),
+        "__tail",
         lambda r, i: F.struct(
-            i.alias("i"),
+            (start + i).alias("i"),
             (~r["shield"] & ~r["lines"].rlike(r"\A {0,3}>")).alias("usable"),
-            r["lines"].rlike(rf"\A[ \t　]*{SOURCE}[：:]").alias("source"),
+            (marked(r["lines"]) & r["lines"].rlike(rf"\A[ \t　]*{SOURCE}[：:]")).alias("source"),
             r["lines"].rlike(_B + BODY_END + _E).alias("end"),
-            r["lines"].rlike(rf"\A[ \t　]*{MADE}[：:]").alias("made"),
-            (r["lines"].rlike(rf"\A[ \t　]*(?:{STAFF})[：:]") | _date(r["lines"])).alias("who"),
+            (marked(r["lines"]) & r["lines"].rlike(rf"\A[ \t　]*{MADE}[：:]")).alias("made"),
+            ((marked(r["lines"]) & r["lines"].rlike(rf"\A[ \t　]*(?:{STAFF})[：:]")) | (F.contains(r["lines"], F.lit("年")) & F.contains(r["lines"], F.lit("日")) & _date(r["lines"]))).alias("who"),
             (r["shield"] | is_delimiter(r["lines"])).alias("stop"),
         ),
     )
-    # a text without the closing row of a footer has none: its lines are not looked at one by one
-    df = df.withColumn("__f", F.when(F.exists("lines", lambda x: F.contains(x, F.lit(MADE))), F.slice(flags, F.greatest(F.col("__n") - window, F.lit(0)) + 1, window)).otherwise(F.slice(flags, 1, 0)))
-    df = apart(df)
+    df = apart(df.withColumn("__f", flags).drop("__tail"))
     last = lambda name: F.array_max(F.transform(F.filter("__f", lambda r: r["usable"] & r[name]), lambda r: r["i"]))
     stop = F.coalesce(F.array_max(F.transform(F.filter("__f", lambda r: r["stop"]), lambda r: r["i"])), F.lit(-1))
-    limit = F.when(last("made").isNotNull() & last("who").isNotNull(), F.least(last("made"), last("who")))
-    chosen = lambda name: F.array_max(F.transform(F.filter("__f", lambda r: r["usable"] & r[name] & (r["i"] > stop) & (r["i"] <= limit)), lambda r: r["i"]))
-    df = apart(df.withColumn("__at", F.when(limit.isNotNull(), F.coalesce(chosen("source"), chosen("end")))))
+    df = apart(df.withColumn("__stop", stop).withColumn("__limit", F.least(last("made"), last("who"))).withColumn("__both", last("made").isNotNull() & last("who").isNotNull()))
+    chosen = lambda name: F.array_max(F.transform(F.filter("__f", lambda r: r["usable"] & r[name] & (r["i"] > F.col("__stop")) & (r["i"] <= F.col("__limit"))), lambda r: r["i"]))
+    df = apart(df.withColumn("__at", F.when(F.col("__both"), F.coalesce(chosen("source"), chosen("end")))).drop("__stop", "__limit", "__both"))
     kept = F.slice("lines", F.lit(1), F.col("__at"))
     body = F.array_max(F.transform(F.filter(F.transform(kept, lambda x, i: F.struct(i.alias("i"), strip(x).alias("x"))), lambda x: x["x"] != ""), lambda x: x["i"]))
     cut = F.when(body.isNull(), F.array(F.lit(""))).otherwise(F.array_append(F.slice("lines", F.lit(1), body + 1), F.lit("")))

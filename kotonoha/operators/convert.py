@@ -68,14 +68,12 @@ def convert(df: DataFrame, options: Options = Options(), id_col: str = "doc_id",
     ]
     for on, stage in stages:
         rows = apart(stage(rows)) if on else rows
-    rows = metadata.parse_header(rows).withColumn("naming", metadata.naming(F.col("header"))).drop("header", "body_line")
+    # files are named by what stands in front before footers and annotation blocks go
+    rows = metadata.naming_of(rows).withColumnRenamed("naming", "__naming").drop("header", "body_line", "front", "front_end")
     rows = blocks.footer(rows) if o.footer else rows
     rows = blocks.annotation_blocks(rows) if o.annotation_blocks else rows
-    if o.front_matter:
-        rows = metadata.add_front_matter(rows, o.keep_header).drop("header", "body_line")
-    else:
-        rows = rows.withColumn("text", F.array_join("lines", "\n"))
-    return rows.drop("lines", "shield", "noted")
+    rows = metadata.add_front_matter(rows, o.keep_header, o.front_matter).drop("header", "body_line", "front", "front_end", "naming")
+    return rows.withColumnRenamed("__naming", "naming").drop("lines", "shield", "noted")
 
 
 def with_remaining(converted: DataFrame) -> DataFrame:
@@ -87,7 +85,7 @@ def events(converted: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, ord, stage, action, count): what was done to each document, in the order of the stages; counters of 0 are no events."""
     names = [f.name for f in converted.schema if f.dataType.simpleString() == "bigint" and "_" in f.name and f.name.split("_")[0] in STAGES]
     names.sort(key=lambda n: STAGES.index(n.split("_")[0]))
-    flags = [n for n in ("footer_removed", "front_matter_added") if n in converted.columns]
+    flags = [n for n in ("footer_removed", "front_matter_added", "front_matter_restored") if n in converted.columns]
     one = lambda k, name, n: F.struct(F.lit(k).alias("ord"), F.lit(name.rsplit("_", 1)[0] if name in flags else name.split("_")[0]).alias("stage"), F.lit(name.rsplit("_", 1)[1] if name in flags else name.split("_", 1)[1]).alias("action"), n.alias("count"))
     rows = [one(k, n, F.col(n)) for k, n in enumerate(names)] + [one(len(names) + k, n, F.col(n).cast("bigint")) for k, n in enumerate(flags)]
     return converted.select(id_col, F.explode(F.array(*rows)).alias("e")).filter("e.count <> 0").select(id_col, "e.*")

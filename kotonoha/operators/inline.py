@@ -10,13 +10,16 @@ documents without a note opener are passed on untouched.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kotonoha.functions import jis
 from kotonoha.functions.text import code_points, fullwidth_digits, is_space, strip
-from kotonoha.operators.notes import CODE, apart
+from kotonoha.operators.notes import CODE, apart, covering, folded
+from kotonoha.operators.spans import over_rows
 
 #: Names of marks and lines in notes.
 MARKS = "白ゴマ傍点|白丸傍点|黒三角傍点|白三角傍点|二重丸傍点|蛇の目傍点|ばつ傍点|丸傍点|傍点"
@@ -33,9 +36,17 @@ def _lit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x).cast("string")
 
 
+@cache
+def _absent(context: SparkContext, name: str) -> Column:
+    """A null of a name, made once a context: thousands of pieces are named while a plan is built."""
+    return F.lit(None).cast("string").alias(name)
+
+
 def piece(text, kind=None, note=None, code=None, reason=None) -> Column:
     """A part of a line: its text after the stage, what it counts as, and the note and code of a diagnostic."""
-    return F.struct(_lit(text).alias("text"), _lit(kind).alias("kind"), _lit(note).alias("note"), _lit(code).alias("code"), _lit(reason).alias("reason"))
+    context = SparkContext.getOrCreate()
+    rest = {"kind": kind, "note": note, "code": code, "reason": reason}
+    return F.struct(_lit(text).alias("text"), *(_absent(context, k) if v is None else _lit(v).alias(k) for k, v in rest.items()))
 
 
 def _cut(line: Column, pattern: str, convert: Callable[[Column, Column], Column]) -> Column:
@@ -64,24 +75,33 @@ def add_diagnostics(df: DataFrame, found: Column) -> DataFrame:
 
 def notes_pass(df: DataFrame, stage: str, each: Callable[[Column], Column], counters: tuple[str, ...], mask: str = "shield") -> DataFrame:
     """Runs each(line) -> pieces on the lines outside the mask that hold a note opener."""
-    one = lambda line, hidden: F.when(hidden | ~F.contains(line, F.lit("［＃")), F.array(piece(line))).otherwise(each(line))
+    one = lambda line, hidden: F.when(~hidden & F.contains(line, F.lit("［＃")), each(line))
     df = apart(df.withColumn("__p", F.when(F.col("noted"), F.zip_with("lines", mask, one))))
-    said = F.flatten(F.transform("__p", lambda ps, i: F.transform(F.filter(ps, lambda p: p["code"].isNotNull()), lambda p: F.struct(F.lit(stage).alias("stage"), p["code"].alias("code"), (i + 1).alias("line"), p["note"].alias("note"), p["reason"].alias("reason")))))
+    # few lines have pieces: counts and diagnostics look at no others
+    flat = F.flatten(F.transform(F.filter(F.transform("__p", lambda ps, i: F.struct((i + 1).alias("line"), ps.alias("ps"))), lambda x: x["ps"].isNotNull()), lambda x: F.transform(F.filter(x["ps"], lambda p: p["kind"].isNotNull() | p["code"].isNotNull()), lambda p: F.struct(x["line"].alias("line"), p["kind"].alias("kind"), p["note"].alias("note"), p["code"].alias("code"), p["reason"].alias("reason")))))
+    lines = F.zip_with("__p", "lines", lambda ps, line: F.when(ps.isNull(), line).otherwise(F.array_join(F.transform(ps, lambda p: p["text"]), "")))
+    df = apart(df.withColumn("__flat", flat).withColumn("lines", F.coalesce(lines, "lines")).drop("__p"))
+    said = F.transform(F.filter("__flat", lambda p: p["code"].isNotNull()), lambda p: F.struct(F.lit(stage).alias("stage"), p["code"].alias("code"), p["line"].alias("line"), p["note"].alias("note"), p["reason"].alias("reason")))
     df = add_diagnostics(df, said)
-    n = lambda kind: F.size(F.filter(F.flatten("__p"), lambda p: p["kind"] == kind))
-    df = add_counts(df, stage, {c: n(c) for c in counters})
-    lines = F.transform("__p", lambda ps: F.array_join(F.transform(ps, lambda p: p["text"]), ""))
-    return df.withColumn("lines", F.coalesce(lines, "lines")).drop("__p")
+    n = lambda kind: F.size(F.filter("__flat", lambda p: p["kind"] == kind))
+    return add_counts(df, stage, {c: F.when(F.col("__flat").isNotNull(), n(c)) for c in counters}).drop("__flat")
 
 
 def _on_notes(df: DataFrame, stage: str, pattern: str, convert: Callable[[Column, Column], Column], counters: tuple[str, ...], mask: str = "shield") -> DataFrame:
     return notes_pass(df, stage, lambda line: _around_code(line, lambda part: _cut(part, pattern, convert)), counters, mask)
 
 
+def cuts_upright(gap: Column, quoted: Column) -> Column:
+    """Whether a quotation that ends a text begins inside an upright run, so that wrapping it would tear the run's brackets."""
+    head = before(gap, quoted)
+    run = F.concat(F.regexp_extract(head, r"｟([A-Za-z0-9!?]{0,4})\z", 1), F.regexp_extract(quoted, r"\A([A-Za-z0-9!?]{0,4})｠", 1))
+    return head.rlike(r"｟[A-Za-z0-9!?]{0,4}\z") & quoted.rlike(r"\A[A-Za-z0-9!?]{0,4}｠") & F.length(run).between(1, 4)
+
+
 def target(gap: Column, quoted: Column) -> Column:
     """The end of the text before a note that its quotation names: literally, or upright as a whole; null if neither."""
     upright = F.concat(F.lit("｟"), quoted, F.lit("｠"))
-    return F.when(quoted == "", None).when(F.endswith(gap, quoted), quoted).when(F.endswith(gap, upright), upright)
+    return F.when(quoted == "", None).when(F.endswith(gap, quoted) & ~cuts_upright(gap, quoted), quoted).when(F.endswith(gap, upright), upright)
 
 
 def before(gap: Column, found: Column) -> Column:
@@ -90,7 +110,28 @@ def before(gap: Column, found: Column) -> Column:
 
 def in_ruby(head: Column, hit: Column) -> Column:
     """Whether ruby is open on the line before a target, or follows its note."""
-    return head.rlike(r"[｜《][^》]*\z") | F.endswith(hit, F.lit("《"))
+    return head.rlike(r"[｜《][^》\n]*\z") | F.endswith(hit, F.lit("《"))
+
+
+_SPAN = "struct<first:int,last:int,kind:string,verdict:string>"
+
+
+def _span(first, last, kind, verdict) -> Column:
+    return F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"), kind.alias("kind"), F.lit(verdict).alias("verdict"))
+
+
+def _laid(df: DataFrame, some: Column, extra: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Adds __rows<i, line, shield, ...> for the documents that a pass over rows concerns, as a column that a fold can cut up."""
+    rows = F.transform(F.arrays_zip("lines", "shield"), lambda r, i: F.struct(i.cast("int").alias("i"), r["lines"].alias("line"), r["shield"].alias("shield"), *(f(r["lines"]).alias(k) for k, f in extra.items())))
+    return apart(df.withColumn("__rows", F.when(some, rows)))
+
+
+def _spans(df: DataFrame, zero: Column, step, finish=None) -> DataFrame:
+    """Adds __spans, the spans of rows that step() closes, and __cover, for each row the span that it lies in."""
+    end = lambda state, out: F.concat(out, F.array(finish(state))) if finish else out
+    found = folded(F.col("__rows"), zero, step, _SPAN, finish=lambda state, out: F.filter(end(state, out), lambda x: x.isNotNull()))
+    df = apart(df.withColumn("__spans", F.when(F.col("__rows").isNotNull(), found)).withColumn("__at", F.transform("__rows", lambda r: r["i"])))
+    return apart(df.withColumn("__cover", F.when(F.col("__spans").isNotNull(), covering(F.col("__at"), F.col("__spans"), _SPAN))).drop("__at"))
 
 
 def gathered(df: DataFrame, stage: str, begins: str, ends: str, wrap: Callable[[Column, Column], Column], kind_of: Callable[[Column], Column], refused: Callable[[Column], Column], code: str) -> DataFrame:
@@ -99,49 +140,40 @@ def gathered(df: DataFrame, stage: str, begins: str, ends: str, wrap: Callable[[
     begins, ends: patterns whose group 1 is the kind. A block is refused, and its rows are kept from the
     stage's later passes, if the kinds differ or a row in it holds a note opener or is refused(); without an
     ending row before a shielded one or the end, only the beginning row is. Adds __done, the rows that are settled."""
-    row = "struct<text:string,done:boolean,shield:boolean>"
-    of = lambda text, done, s: F.struct(text.alias("text"), (done if isinstance(done, Column) else F.lit(done)).alias("done"), s.alias("shield"))
-    no_rows = F.array().cast(f"array<{row}>")
-    state = lambda **v: F.struct(*(c.alias(k) for k, c in v.items()))
-    zero = state(out=no_rows, head=F.lit("").cast("string"), buf=no_rows, kinds=F.array().cast("array<string>"))
-    counted = lambda s, kind: F.array_append(s["kinds"], kind)
-    head = lambda s: F.array(of(s["head"], True, F.lit(False)))
-
-    def step(s: Column, r: Column) -> Column:
-        line, hidden = r["line"], r["shield"]
-        opened, start, end = s["head"] != "", line.rlike(begins) & ~r["shield"], line.rlike(ends) & ~r["shield"]
-        kind = F.regexp_extract(s["head"], begins, 1)
-        good = (F.regexp_extract(line, ends, 1) == kind) & ~F.exists(s["buf"], lambda b: F.contains(b["text"], F.lit("［＃")) | ((strip(b["text"]) != "") & refused(b["text"]))) & kind_of(kind).isNotNull()
-        wrapped = F.transform(s["buf"], lambda b: F.when(strip(b["text"]) == "", b).otherwise(of(wrap(b["text"], kind), True, F.lit(False))))
-        kept = F.concat(head(s), F.transform(s["buf"], lambda b: of(b["text"], F.lit(True), b["shield"])), F.array(of(line, True, hidden)))
-        own = F.array(of(line, False, hidden))
-        same = F.regexp_extract(line, ends, 1) == kind
-        broken = F.concat(s["out"], head(s), s["buf"])  # no end: only the beginning row is settled
-        closed = lambda rows, k: state(out=rows, head=F.lit("").cast("string"), buf=no_rows, kinds=counted(s, k))
-        return (
-            F.when(opened & end & good, closed(F.concat(s["out"], wrapped), kind_of(kind)))
-            .when(opened & end & same, closed(F.concat(s["out"], kept), F.lit("unconverted")))
-            .when(opened & (end | hidden), closed(F.concat(broken, own), F.lit("unconverted")))
-            .when(opened, state(out=s["out"], head=s["head"], buf=F.concat(s["buf"], own), kinds=s["kinds"]))
-            .when(start, state(out=s["out"], head=line, buf=no_rows, kinds=s["kinds"]))
-            .otherwise(state(out=F.concat(s["out"], own), head=s["head"], buf=no_rows, kinds=s["kinds"]))
-        )
-
-    def finish(s: Column) -> Column:
-        opened = s["head"] != ""
-        return F.struct(F.when(opened, F.concat(s["out"], head(s), s["buf"])).otherwise(s["out"]).alias("out"), F.when(opened, counted(s, F.lit("unconverted"))).otherwise(s["kinds"]).alias("kinds"))
-
     some = F.col("noted") & F.exists("lines", lambda x: x.rlike(begins))
-    rows = F.zip_with("lines", "shield", lambda line, s: F.struct(line.alias("line"), s.alias("shield")))
-    df = apart(df.withColumn("__g", F.when(some, F.aggregate(rows, zero, step, finish))))
-    n = lambda k: F.size(F.filter("__g.kinds", lambda x: x == k))
-    df = df.withColumn("__kinds", F.col("__g.kinds")).withColumn("__out", F.col("__g.out"))
-    said = F.transform(F.filter("__kinds", lambda k: k == "unconverted"), lambda k: F.struct(F.lit(stage).alias("stage"), F.lit(code).alias("code"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("note"), F.lit("unsupported-block").alias("reason")))
+    group = lambda pattern: lambda line: F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
+    bad = lambda line: F.contains(line, F.lit("［＃")) | ((strip(line) != "") & refused(line))
+    df = _laid(df, some, {"start": group(begins), "end": group(ends), "bad": bad})
+    state = lambda head, kind, bad: F.struct(head.cast("int").alias("head"), kind.cast("string").alias("kind"), bad.alias("bad"))
+    zero = state(F.lit(-1), F.lit(None), F.lit(False))
+
+    def step(s: Column, r: Column) -> tuple[Column, Column]:
+        opened, start, end = s["head"] >= 0, ~r["shield"] & r["start"].isNotNull(), ~r["shield"] & r["end"].isNotNull()
+        same = r["end"] == s["kind"]
+        good = ~s["bad"] & kind_of(s["kind"]).isNotNull()
+        value = F.when(opened & end & same, F.when(good, _span(s["head"], r["i"], s["kind"], "good")).otherwise(_span(s["head"], r["i"], s["kind"], "kept"))).when(opened & (end | r["shield"]), _span(s["head"], s["head"], s["kind"], "broken"))
+        now = F.when(opened & (end | r["shield"]), zero).when(opened, state(s["head"], s["kind"], s["bad"] | r["bad"])).when(start, state(r["i"], r["start"], F.lit(False))).otherwise(s)
+        return now, value
+
+    df = _spans(df, zero, step, lambda s: F.when(s["head"] >= 0, _span(s["head"], s["head"], s["kind"], "broken")))
+    row = lambda text, done, shield: F.struct(text.alias("text"), done.alias("done"), shield.alias("shield"))
+
+    def laid(r: Column, c: Column) -> Column:
+        blank, verdict = strip(r["line"]) == "", c["verdict"]
+        edge = (r["i"] == c["first"]) | (r["i"] == c["last"])
+        inner = F.when(blank, row(r["line"], F.lit(False), r["shield"])).otherwise(row(wrap(r["line"], c["kind"]), F.lit(True), F.lit(False)))
+        return F.when(c.isNull(), row(r["line"], F.lit(False), r["shield"])).when(verdict == "good", F.when(~edge, inner)).otherwise(row(r["line"], F.lit(True), r["shield"]))
+
+    df = apart(df.withColumn("__out", F.filter(F.zip_with("__rows", "__cover", laid), lambda x: x.isNotNull())))
+    kinds = F.transform("__spans", lambda x: F.when(x["verdict"] == "good", kind_of(x["kind"])).otherwise("unconverted"))
+    df = df.withColumn("__kinds", kinds)
+    n = lambda k: F.size(F.filter("__kinds", lambda x: x == k))
+    said = F.transform(F.filter("__spans", lambda x: x["verdict"] != "good"), lambda x: F.struct(F.lit(stage).alias("stage"), F.lit(code).alias("code"), (x["first"] + 1).alias("line"), F.lit(None).cast("string").alias("note"), F.lit("unsupported-block").alias("reason")))
     df = add_diagnostics(df, said).withColumn("__done", F.coalesce(F.transform("__out", lambda r: r["done"] | r["shield"]), "shield"))
     counters = {"emphasis": ("bold", "italic", "unconverted"), "underline": ("converted", "approximated", "unconverted")}[stage]
-    df = add_counts(df, stage, {k: n(k) for k in counters})
+    df = add_counts(df, stage, {k: F.greatest(n(k), F.lit(0)) for k in counters})
     df = df.withColumn("lines", F.coalesce(F.transform("__out", lambda r: r["text"]), "lines")).withColumn("shield", F.coalesce(F.transform("__out", lambda r: r["shield"]), "shield"))
-    return apart(df.drop("__g", "__kinds", "__out"))
+    return apart(df.drop("__rows", "__spans", "__cover", "__kinds", "__out"))
 
 
 def tcy(df: DataFrame) -> DataFrame:
@@ -157,13 +189,13 @@ def tcy(df: DataFrame) -> DataFrame:
             .when(~q.rlike(r"\A[A-Za-z0-9!?]{1,4}\z"), "invalid-body")
             .when(F.endswith(gap, F.concat(F.lit("｟"), q, F.lit("｠"))), "existing-tcy")
             .when(~has, "target-mismatch")
-            .when(head.rlike(r"｟[^｠]*\z"), "existing-tcy")
+            .when(head.rlike(r"｟[^｠\n]*\z"), "existing-tcy")
             .when(in_ruby(head, hit), "ruby-context")
         )
         kept = piece(F.concat(gap, hit), "unconverted", hit, "TCY_NOT_CONVERTED", reason)
         return F.when(reason.isNotNull(), kept).otherwise(piece(F.concat(head, F.lit("｟"), q, F.lit("｠")), "converted"))
 
-    return _on_notes(df, "tcy", note + _RUBY_AFTER, convert, ("converted", "unconverted"))
+    return over_rows(df, lambda rows: _on_notes(rows, "tcy", note + _RUBY_AFTER, convert, ("converted", "unconverted")))
 
 
 def emphasis(df: DataFrame) -> DataFrame:
@@ -257,25 +289,28 @@ def marked(text: Column, mark: str) -> Column:
 def bouten(df: DataFrame, mark: str = "﹅") -> DataFrame:
     """A mark at every character of a range or a target that is no white space; ruby in or around it is refused."""
     mark = mark[:1] or "﹅"
-    between, forward = rf"［＃({MARKS})］([^\n]*?)［＃\1終わり］", f"［＃「([^」]*)」に(?:{MARKS})］"
+    between, forward = rf"［＃({MARKS})］((?s:.*?))［＃\1終わり］", f"［＃「([^」]*)」に(?:{MARKS})］"
     refuse = lambda gap, hit, why: piece(F.concat(gap, hit), "unconverted", hit, F.when(why == "ruby-context", "BOUTEN_RUBY_CONTEXT").when(why == "tcy-overlap", "BOUTEN_NOT_CONVERTED"), why)
 
     def ranged(gap, hit):
         body = F.regexp_extract(hit, between, 2)
-        why = F.when(body.rlike("[｟｠]"), "tcy-overlap").when(in_ruby(gap, hit), "ruby-context").when(body.rlike("[｜《》\r]|［＃") | (strip(body) == ""), "unsupported")
+        why = F.when(body.rlike("[｟｠]"), "tcy-overlap").when(in_ruby(gap, hit), "ruby-context").when(body.rlike("[｜《》\r\n]|［＃") | (strip(body) == ""), "unsupported")
         return F.when(why.isNotNull(), refuse(gap, hit, why)).otherwise(piece(F.concat(gap, marked(body, mark)), "converted"))
 
     def single(gap, hit):
         q = F.regexp_extract(hit, forward, 1)
         has = (q != "") & F.endswith(gap, q)
         head = before(gap, q)
-        why = F.when((has & (q.rlike("[｟｠]") | head.rlike(r"｟[^｠]*\z"))) | F.endswith(gap, F.concat(F.lit("｟"), q, F.lit("｠"))), "tcy-overlap").when(~has | q.rlike("[｜《》]"), "target-mismatch").when(in_ruby(head, hit), "ruby-context")
+        why = F.when((has & (q.rlike("[｟｠]") | head.rlike(r"｟[^｠\n]*\z"))) | F.endswith(gap, F.concat(F.lit("｟"), q, F.lit("｠"))), "tcy-overlap").when(~has | q.rlike("[｜《》]"), "target-mismatch").when(in_ruby(head, hit), "ruby-context")
         return F.when(why.isNotNull(), refuse(gap, hit, why)).otherwise(piece(F.concat(head, marked(q, mark)), "converted"))
 
     left = lambda gap, hit: piece(F.concat(gap, hit), "unconverted")
-    for pattern, convert in ((between + _RUBY_AFTER, ranged), (forward + _RUBY_AFTER, single), (f"［＃「[^」]*」の左に(?:{MARKS})］|［＃左に(?:{MARKS})］", left)):
-        df = _on_notes(df, "bouten", pattern, convert, ("converted", "unconverted"))
-    return df
+    def passes(df: DataFrame) -> DataFrame:
+        for pattern, convert in ((between + _RUBY_AFTER, ranged), (forward + _RUBY_AFTER, single), (f"［＃「[^」]*」の左に(?:{MARKS})］|［＃左に(?:{MARKS})］", left)):
+            df = _on_notes(df, "bouten", pattern, convert, ("converted", "unconverted"))
+        return df
+
+    return over_rows(df, passes, MARKS)
 
 
 def heading_base(text: Column) -> Column:
@@ -318,29 +353,27 @@ def _joined_headings(df: DataFrame, begins: str) -> DataFrame:
     """Puts a heading range that runs over rows into one row, its stripped rows joined by blanks.
 
     An ending that never comes before a shielded row or the end leaves the rows as they are."""
-    row = "struct<text:string,shield:boolean>"
-    no_rows = F.array().cast(f"array<{row}>")
-    state = lambda out, buf: F.struct(out.alias("out"), buf.alias("buf"))
     closing = r"［＃(?:ここで)?(?:大|中|小)見出し終わり］[ \t　\r]*\z"
+    some = F.col("noted") & F.exists("lines", lambda x: x.rlike(begins) & ~F.contains(x, F.lit("見出し終わり］")))
+    df = _laid(df, some, {"begin": lambda x: x.rlike(begins) & ~x.rlike("見出し終わり］"), "closes": lambda x: x.rlike(closing)})
 
-    def step(s, r):
-        line, opened = r["text"], F.size(s["buf"]) > 0
-        # a note that ends another range or begins a new one between does not join
-        rows = F.filter(F.transform(F.array_append(s["buf"], r), lambda x: strip(x["text"])), lambda x: x != "")
-        joined = F.array(F.struct(F.regexp_replace(F.regexp_replace(F.array_join(rows, " "), "(見出し］) ", "$1"), " (［＃(?:ここで)?(?:大|中|小)見出し終わり］)", "$1").alias("text"), F.lit(False).alias("shield")))
-        return (
-            F.when(opened & r["shield"], state(F.concat(s["out"], s["buf"], F.array(r)), no_rows))
-            .when(opened & line.rlike(closing), state(F.concat(s["out"], joined), no_rows))
-            .when(opened, state(s["out"], F.array_append(s["buf"], r)))
-            .when(~r["shield"] & line.rlike(begins) & ~line.rlike("見出し終わり］"), state(s["out"], F.array(r)))
-            .otherwise(state(F.array_append(s["out"], r), no_rows))
-        )
+    def step(head: Column, r: Column) -> tuple[Column, Column]:
+        opened = head >= 0
+        ends = opened & ~r["shield"] & r["closes"]
+        now = F.when(opened & (r["shield"] | r["closes"]), -1).when(~opened & ~r["shield"] & r["begin"], r["i"]).otherwise(head)
+        return now, F.when(ends, _span(head, r["i"], F.lit(None).cast("string"), "joined"))
 
-    rows = F.zip_with("lines", "shield", lambda line, s: F.struct(line.alias("text"), s.alias("shield")))
-    some = F.col("noted") & F.exists("lines", lambda x: x.rlike(begins) & ~F.contains(x, F.lit("見出し終わり］")))
-    df = apart(df.withColumn("__h", F.when(some, F.aggregate(rows, state(no_rows, no_rows), step, lambda s: F.concat(s["out"], s["buf"])))))
-    df = df.withColumn("lines", F.coalesce(F.transform("__h", lambda r: r["text"]), "lines"))
-    return df.withColumn("shield", F.coalesce(F.transform("__h", lambda r: r["shield"]), "shield")).drop("__h")
+    df = _spans(df, F.lit(-1), step)
+
+    def joined(first: Column, last: Column) -> Column:
+        rows = F.filter(F.transform(F.slice("lines", first + 1, last - first + 1), strip), lambda x: x != "")
+        return F.regexp_replace(F.regexp_replace(F.array_join(rows, " "), "(見出し］) ", "$1"), " (［＃(?:ここで)?(?:大|中|小)見出し終わり］)", "$1")
+
+    row = lambda text, shield: F.struct(text.alias("text"), shield.alias("shield"))
+    laid = lambda r, c: F.when(c.isNull(), row(r["line"], r["shield"])).when(r["i"] == c["first"], row(joined(c["first"], c["last"]), F.lit(False)))
+    df = apart(df.withColumn("__out", F.filter(F.zip_with("__rows", "__cover", laid), lambda x: x.isNotNull())))
+    df = df.withColumn("lines", F.coalesce(F.transform("__out", lambda r: r["text"]), "lines"))
+    return df.withColumn("shield", F.coalesce(F.transform("__out", lambda r: r["shield"]), "shield")).drop("__rows", "__spans", "__cover", "__out")
 
 
 def character(inner: Column) -> Column:
@@ -368,6 +401,9 @@ def gaiji(df: DataFrame) -> DataFrame:
         value = character(F.regexp_extract(hit, spare, 1))
         return F.when(value.isNotNull(), piece(F.concat(gap, value), "converted")).otherwise(piece(F.concat(gap, hit), "unconverted"))
 
-    for pattern, convert in ((stand_in, replaced), (spare, named)):
-        df = _on_notes(df, "gaiji", pattern, convert, ("converted", "unconverted"))
-    return df
+    def passes(df: DataFrame) -> DataFrame:
+        for pattern, convert in ((stand_in, replaced), (spare, named)):
+            df = _on_notes(df, "gaiji", pattern, convert, ("converted", "unconverted"))
+        return df
+
+    return over_rows(df, passes)

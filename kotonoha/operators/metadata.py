@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kotonoha.functions.text import strip
-from kotonoha.operators.notes import apart
+from kotonoha.operators.inline import add_diagnostics
+from kotonoha.operators.notes import apart, front_rows
 
 #: A scalar that YAML reads as the same plain string: no indicator in front, no separator inside, no word or number with a type.
 _PLAIN = r"\A(?![-?:,\[\]{}#&*!|>'\"%@`\s])(?!(?i:null|true|false|~|\.inf|\.nan|[-+]?[0-9.][0-9_.eE+-]*|0x[0-9a-f]+|0o[0-7]+)\z)(?:(?!: |:\z| #)[^\x00-\x1f\x7f])*(?<![\s])\z"
@@ -17,10 +18,10 @@ def parse_header(df: DataFrame) -> DataFrame:
 
     The header are the lines before the first blank one: a title; a title and an author; or more, where
     lines that end in 訳 are translators and the line before the first of them is the author."""
-    texts = F.transform("lines", strip)
-    first = F.array_position(texts, "") - 1
-    shielded = F.exists(F.slice("shield", F.lit(1), F.greatest(first, F.lit(0)).cast("int")), lambda s: s)
-    df = apart(df.withColumn("__h", F.when((first > 0) & ~shielded, F.slice(texts, F.lit(1), first.cast("int"))).otherwise(F.slice(texts, 1, 0))))
+    df = apart(df.withColumn("__first", (F.array_position(F.transform("lines", lambda x: F.length(strip(x)) == 0), F.lit(True)) - 1).cast("int")))
+    first = F.col("__first")
+    shielded = F.exists(F.slice("shield", F.lit(1), F.greatest(first, F.lit(0))), lambda s: s)
+    df = apart(df.withColumn("__h", F.transform(F.slice("lines", F.lit(1), F.when((first > 0) & ~shielded, first).otherwise(0)), strip)).drop("__first"))
     h, n = F.col("__h"), F.size("__h")
     places = F.transform(h, lambda v, i: F.struct(i.alias("i"), (F.endswith(v, F.lit("訳")) & (i > 0)).alias("by")))
     by = F.transform(F.filter(places, lambda x: x["by"]), lambda x: x["i"])
@@ -74,24 +75,45 @@ def front_matter(header: Column) -> Column:
     return F.when(header["title"].isNotNull(), F.concat(F.lit("---\n"), body, F.lit("\n---\n")))
 
 
-def add_front_matter(df: DataFrame, keep_header: bool = False) -> DataFrame:
-    """Puts the header into front matter in front of the body; a text that has front matter, or no header, stays."""
-    df = parse_header(df)
+def add_front_matter(df: DataFrame, keep_header: bool = False, add: bool = True) -> DataFrame:
+    """Puts the header into front matter in front of the body (add), or a header from front matter that is there into the body (keep_header).
+
+    Front matter that is not ok is told and left. A header is not restored where one of the first ten rows of the body
+    is its title already. Adds text, naming, front_matter_added and front_matter_restored."""
+    df = parse_header(read_front_matter(df))
+    front, exists = F.col("front"), F.col("front").isNotNull()
+    told = F.when(exists & front["code"].isNotNull(), F.array(F.struct(F.lit("frontmatter").alias("stage"), front["code"].alias("code"), F.lit(1).alias("line"), F.lit(None).cast("string").alias("note"), front["reason"].alias("reason"))))
+    df = add_diagnostics(df, told)
+    own = lambda first: F.slice("lines", first + 1, F.size("lines"))
     envelope = front_matter(F.col("header"))
-    body = F.slice("lines", F.col("body_line") + 1, F.size("lines"))
-    kept = F.concat(reconstruct_header(F.col("header")), F.array_join(body, "\n")) if keep_header else F.array_join(body, "\n")
-    text = F.when(envelope.isNotNull(), F.concat(envelope, F.lit("\n"), kept)).otherwise(F.array_join("lines", "\n"))
-    return apart(df.withColumn("text", text)).withColumn("front_matter_added", envelope.isNotNull())
+    kept = F.concat(reconstruct_header(F.col("header")), F.array_join(own(F.col("body_line")), "\n")) if keep_header else F.array_join(own(F.col("body_line")), "\n")
+    added = ~exists & envelope.isNotNull() & F.lit(add)
+    rows = own(F.col("front_end"))
+    blank = F.array_position(F.transform(rows, lambda x: F.when(x == "", "").otherwise("x")), "x") - 1
+    df = apart(df.withColumn("__body", F.when(exists & front["ok"] & F.lit(keep_header), F.slice(rows, F.when(blank < 0, F.size(rows) + 1).otherwise(blank + 1).cast("int"), F.size(rows)))))
+    stands = F.coalesce(F.exists(F.slice("__body", 1, 10), lambda x: strip(x) == front["title"]) & (front["title"] != ""), F.lit(False))
+    restored = F.col("__body").isNotNull() & ~stands
+    back = F.concat(F.array_join(F.slice("lines", F.lit(1), F.col("front_end")), "\n"), F.lit("\n"), reconstruct_header(front), F.array_join("__body", "\n"))
+    text = F.when(restored, back).when(added, F.concat(envelope, F.lit("\n"), kept)).otherwise(F.array_join("lines", "\n"))
+    df = df.withColumn("text", text).withColumn("naming", F.when(~exists, naming(F.col("header"))).when(front["ok"], naming(front)))
+    return apart(df.withColumn("front_matter_added", added).withColumn("front_matter_restored", restored).drop("__body"))
+
+
+def naming_of(df: DataFrame) -> DataFrame:
+    """Adds naming, what a file is named by: its front matter where there is any, null if that is not ok, else its header."""
+    df = parse_header(read_front_matter(df))
+    return apart(df.withColumn("naming", F.when(F.col("front").isNull(), naming(F.col("header"))).when(F.col("front.ok"), naming(F.col("front")))))
 
 
 def read_front_matter(df: DataFrame) -> DataFrame:
-    """Adds front<ok, title, author, authors, translator, translators, raw_header> from the front matter on a text's first lines; null where there is none.
+    """Adds front<ok, code, reason, title, author, authors, translator, translators, raw_header> from the front matter on a text's first lines, null where there is none, and front_end, its number of rows.
 
-    Read are block mappings of scalars (plain, quoted, literal or folded blocks) and of block or flow lists. What has
-    another form at the top, repeats a key, or uses anchors, aliases or tags is not ok. A single author may stand for the list."""
+    Read are block mappings of scalars (plain, quoted, literal or folded blocks) and of block or flow lists. A rule within a block
+    or a quotation closes nothing. FRONTMATTER_PARSE_FAILED: an envelope that is never closed, another form at the top, a key that is
+    repeated, aliases or tags; FRONTMATTER_INVALID_TYPE: a mapping or list where a text belongs. A single author may stand for the list."""
     rule = r"\A[ \t]*---[ \t]*\r?\z"
-    end = F.array_position(F.transform(F.slice("lines", 2, F.size("lines")), lambda x: x.rlike(rule)), F.lit(True))
-    df = apart(df.withColumn("__fm", F.when(F.get("lines", F.lit(0)).rlike(rule) & (end > 0), F.slice("lines", F.lit(2), (end - 1).cast("int")))))
+    df = apart(df.withColumn("front_end", F.when(F.get("lines", F.lit(0)).rlike(rule), front_rows(F.col("lines"))).otherwise(0)))
+    df = apart(df.withColumn("__fm", F.when(F.col("front_end") > 0, F.slice("lines", F.lit(2), F.col("front_end") - 2))))
     key = r"\A([A-Za-z_][A-Za-z0-9_-]*):(?:[ \t]+(.*?))?[ \t\r]*\z"
     entry = "struct<key:string,value:string,rows:array<string>>"
     state = lambda entries, ok: F.struct(entries.alias("entries"), ok.alias("ok"))
@@ -106,8 +128,15 @@ def read_front_matter(df: DataFrame) -> DataFrame:
     df = apart(df.withColumn("__e", F.when(F.col("__fm").isNotNull(), F.aggregate("__fm", state(F.array().cast(f"array<{entry}>"), F.lit(True)), step))))
     entries = F.col("__e.entries")
     keys = F.transform(entries, lambda e: e["key"])
-    odd = F.exists(entries, lambda e: e["value"].rlike(r"\A[&*!]"))
-    ok = F.col("__e.ok") & (F.size(F.array_distinct(keys)) == F.size(keys)) & ~odd
+    item, nested = r"\A[ \t]*-[ \t]", r"\A[ \t]*(?:-[ \t]+)?[^\s\"'#:\[{-][^:]*:(?:[ \t]|\z)"
+    odd = F.exists(entries, lambda e: e["value"].rlike(r"\A[&*!]") | F.exists(e["rows"], lambda x: x.rlike(r"\A[ \t]*-[ \t]+[&*!]")))
+    cut = F.exists(entries, lambda e: e["value"].rlike(r"\A\[[^\]]*\z") | e["value"].rlike(r"\A\{[^}]*\z"))
+    sound = F.col("__e.ok") & (F.size(F.array_distinct(keys)) == F.size(keys)) & ~odd & ~cut
+    block = lambda e: e["value"].rlike(r"\A[|>]")
+    is_map = lambda e: e["value"].rlike(r"\A\{") | ((e["value"] == "") & F.exists(e["rows"], lambda x: x.rlike(nested) & ~x.rlike(item)))
+    is_list = lambda e: e["value"].rlike(r"\A\[") | ((e["value"] == "") & F.exists(e["rows"], lambda x: x.rlike(item)))
+    deep = lambda e: e["value"].rlike(r"\A\[.*[\[{].*\]") | F.exists(e["rows"], lambda x: x.rlike(r"\A[ \t]*-[ \t]+[\[{]") | (x.rlike(item) & x.rlike(nested)))
+    wrong = F.filter(entries, lambda e: ~block(e) & ((e["key"].isin("title", "author", "translator", "raw_header") & (is_map(e) | is_list(e))) | (e["key"].isin("authors", "translators") & (is_map(e) | deep(e)))))
     found = lambda name: F.get(F.filter(entries, lambda e: e["key"] == name), F.lit(0))
 
     def plain(v: Column) -> Column:
@@ -116,18 +145,28 @@ def read_front_matter(df: DataFrame) -> DataFrame:
         bare = F.regexp_replace(v, r"[ \t]+#.*\z", "")
         return F.when(v.rlike(r"\A\".*\"\z"), double).when(v.rlike(r"\A'.*'\z"), F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit("''"), F.lit("'"))).when(bare.rlike(r"\A(?:~|null|Null|NULL|)\z"), None).otherwise(bare)
 
+    def whole(e: Column) -> Column:
+        """A value with the rows that it goes on over, which are joined by blanks."""
+        more = F.filter(F.transform(e["rows"], strip), lambda x: x != "")
+        return F.when((F.size(more) > 0) & ~is_list(e) & ~is_map(e), F.concat_ws(" ", F.nullif(e["value"], F.lit("")), F.array_join(more, " "))).otherwise(e["value"])
+
     def scalar_of(name: str) -> Column:
         e = found(name)
-        rows = F.transform(e["rows"], lambda x: F.regexp_replace(x, r"\A {2}|\r\z", ""))
-        block = F.array_join(rows, "\n")
-        block = F.when(e["value"].rlike(r"-\z"), F.regexp_replace(block, r"\n+\z", "")).otherwise(F.concat(F.regexp_replace(block, r"\n+\z", ""), F.lit("\n")))
-        return F.when(e["value"].rlike(r"\A[|>]"), F.when(e["value"].rlike(r"\A>"), F.regexp_replace(block, r"(?<!\n)\n(?=[^\n])", " ")).otherwise(block)).otherwise(plain(e["value"]))
+        deeper = F.length(F.regexp_extract(F.get(F.filter(e["rows"], lambda x: strip(x) != ""), F.lit(0)), r"\A *", 0))
+        rows = F.transform(e["rows"], lambda x: F.regexp_replace(F.substring(x, F.least(deeper, F.length(x)) + 1, F.length(x)), r"\r\z", ""))
+        text = F.array_join(rows, "\n")
+        text = F.when(e["value"].rlike(r"\+"), F.concat(text, F.lit("\n"))).when(e["value"].rlike("-"), F.regexp_replace(text, r"\n+\z", "")).otherwise(F.concat(F.regexp_replace(text, r"\n+\z", ""), F.lit("\n")))
+        return F.when(block(e), F.when(e["value"].rlike(r"\A>"), F.regexp_replace(text, r"(?<!\n)\n(?=[^\n])", " ")).otherwise(text)).otherwise(plain(whole(e)))
 
     def list_of(name: str) -> Column:
         e = found(name)
-        items = F.transform(F.filter(e["rows"], lambda x: x.rlike(r"\A[ \t]*-[ \t]")), lambda x: plain(strip(F.regexp_replace(x, r"\A[ \t]*-[ \t]+", ""))))
+        items = F.transform(F.filter(e["rows"], lambda x: x.rlike(item)), lambda x: plain(strip(F.regexp_replace(x, r"\A[ \t]*-[ \t]+", ""))))
         flow = F.transform(F.split(F.regexp_extract(e["value"], r"\A\[(.*)\]\z", 1), ","), lambda x: plain(strip(x)))
-        return F.when(e["value"].rlike(r"\A\[.*\]\z"), flow).when(F.size(items) > 0, items).when(plain(e["value"]).isNotNull(), F.array(plain(e["value"])))
-
-    front = F.struct(ok.alias("ok"), *(f(n).alias(n) for n, f in (("title", scalar_of), ("author", scalar_of), ("authors", list_of), ("translator", scalar_of), ("translators", list_of), ("raw_header", scalar_of))))
-    return apart(df.withColumn("front", F.when(F.col("__e").isNotNull(), front)).drop("__fm", "__e"))
+        some = F.filter(F.when(e["value"].rlike(r"\A\[.*\]\z"), flow).when(is_list(e), items).otherwise(F.array(plain(whole(e)))), lambda x: x.isNotNull() & (strip(x) != ""))
+        return F.when(F.size(some) > 0, some)
+
+    code = F.when((F.col("front_end") < 0) | ~sound, "FRONTMATTER_PARSE_FAILED").when(F.size(wrong) > 0, "FRONTMATTER_INVALID_TYPE")
+    reason = F.when(F.col("front_end") < 0, "unclosed-envelope").when(~sound, F.when(odd, "alias-or-tag").otherwise("invalid-mapping")).when(F.size(wrong) > 0, F.get(wrong, F.lit(0))["key"])
+    df = apart(df.withColumn("__code", code).withColumn("__reason", reason))
+    front = F.struct(F.col("__code").isNull().alias("ok"), F.col("__code").alias("code"), F.col("__reason").alias("reason"), *(f(n).alias(n) for n, f in (("title", scalar_of), ("author", scalar_of), ("authors", list_of), ("translator", scalar_of), ("translators", list_of), ("raw_header", scalar_of))))
+    return apart(df.withColumn("front", F.when(F.col("front_end") != 0, front)).drop("__fm", "__e", "__code", "__reason"))

@@ -13,45 +13,98 @@ _RULE = r"\A[ \t]*---[ \t]*\r?\z"
 CODE = r"(?<!`)(`+)(?!`)(?:.*?[^`])??(?<!`)\1(?!`)"
 
 
+#: An item's or a key's lead in front matter, its value, and a value that starts a block of text.
+_LEAD = r"\A( *(?:- +)*)"
+_KEYED = r"\A(?:\"[^\"]*\"|'[^']*'|[^\s\"'#:][^:]*(?::[^\s:][^:]*)*)[ \t]*:(?:[ \t]+|\z)"
+_BLOCK = r"\A[|>][-+0-9]*[ \t]*(?:#.*)?\r?\z"
+_DOUBLE_END, _SINGLE_END = r"\A[^\"\\]*+(?:\\.[^\"\\]*+)*+\"", r"\A[^']*+(?:''[^']*+)*+'(?!')"
+
+
+def _front_zero() -> Column:
+    return F.struct(F.lit(0).alias("front"), F.lit("").alias("scalar"), F.lit(0).alias("deep"), F.lit(True).alias("first"))
+
+
+def _front_step(s: Column, line: Column) -> Column:
+    """The state of front matter behind a row. front: 0 none, 1 inside, 2 on the closing row, 3 behind it.
+
+    scalar says what the row leaves open: a block of text that goes on as long as rows are deeper than deep, or a
+    quotation. An indented rule in one of them is part of it and closes nothing; one at the margin always closes."""
+    rule, inside = line.rlike(_RULE), s["front"] == 1
+    indent = F.length(F.regexp_extract(line, r"\A *", 0))
+    blank = line.rlike(r"\A[ \t\r]*\z")
+    in_block = (s["scalar"] == "|") & (blank | (indent > s["deep"]))
+    in_quote = s["scalar"].isin("\"", "'") & (blank | (indent > 0) | line.rlike(r"\A\t"))
+    held = inside & (in_block | in_quote)
+    front = F.when(s["first"], F.when(rule, 1).otherwise(0)).when(inside & rule & ~held, 2).when(s["front"] == 2, 3).otherwise(s["front"])
+    quote_ends = F.when(s["scalar"] == "\"", line.rlike(_DOUBLE_END)).otherwise(line.rlike(_SINGLE_END))
+    lead = F.regexp_extract(line, _LEAD, 1)
+    body = F.substring(line, F.length(lead) + 1, F.length(line))
+    key = F.regexp_extract(body, _KEYED, 0)
+    value = F.regexp_replace(F.substring(body, F.length(key) + 1, F.length(body)), r"\A(?:[&!][^ \t]*[ \t]+)*[\[{, ]*", "")
+    rest = F.substring(value, F.lit(2), F.length(value))
+    opened = F.when(value.rlike(_BLOCK), "|").when(F.startswith(value, F.lit("\"")) & ~rest.rlike(_DOUBLE_END), "\"").when(F.startswith(value, F.lit("'")) & ~rest.rlike(_SINGLE_END), "'").otherwise("")
+    scalar = F.when(front != 1, "").when(s["first"], "").when(in_block, "|").when(in_quote, F.when(quote_ends, "").otherwise(s["scalar"])).otherwise(opened)
+    deep = F.when(in_block | in_quote, s["deep"]).when(key != "", F.length(lead)).otherwise(F.length(F.regexp_extract(line, r"\A((?: *- +)*?) *- +[^-]", 1)))
+    return F.struct(front.alias("front"), scalar.alias("scalar"), deep.alias("deep"), F.lit(False).alias("first"))
+
+
+def front_rows(rows: Column) -> Column:
+    """How many rows a text's front matter has with both its rules; 0 without any, -1 if it is never closed."""
+    states = folded(rows, _front_zero(), lambda s, line: (_front_step(s, line), _front_step(s, line)["front"]), "int")
+    return F.when(~F.get(rows, F.lit(0)).rlike(_RULE), 0).otherwise(F.coalesce(F.nullif(F.array_position(states, 2), F.lit(0)), F.lit(-1)).cast("int"))
+
+
 def shielded(rows: Column) -> Column:
     """For each line whether it lies in front matter or in a fence, its borders included.
 
     One pass with the open fence as state: a fence closes at a run of its own character that is as long
     at least, an open one and unclosed front matter reach to the end."""
-    zero = F.struct(F.lit("").alias("fence"), F.lit(0).alias("front"), F.lit(True).alias("first"))
+    zero = F.struct(F.lit("").alias("fence"), _front_zero().alias("front"))
 
     def step(s: Column, line: Column) -> tuple[Column, Column]:
         run = F.regexp_extract(line, _FENCE, 1)
         bare = line.rlike(r"\A[ \t　]*(`{3,}|~{3,})[ \t　\r]*\z")
-        first = s["first"]
-        rule = line.rlike(_RULE)
-        front = F.when(first & rule, 1).when((s["front"] == 1) & rule, 2).otherwise(s["front"])  # 1 inside, 2 behind
-        in_front = (s["front"] == 1) | (first & rule)
+        first = s["front"]["first"]
+        front = F.when(first | s["front"]["front"].isin(1, 2), _front_step(s["front"], line)).otherwise(s["front"])
+        in_front = front["front"].isin(1, 2)
         closes = (s["fence"] != "") & bare & (F.substring(run, 1, 1) == F.substring(s["fence"], 1, 1)) & (F.length(run) >= F.length(s["fence"]))
         fence = F.when(in_front, "").when(closes, "").when((s["fence"] == "") & (run != ""), run).otherwise(s["fence"])
-        return F.struct(fence.alias("fence"), front.alias("front"), F.lit(False).alias("first")), in_front | (s["fence"] != "") | (run != "")
+        return F.struct(fence.alias("fence"), front.alias("front")), in_front | (s["fence"] != "") | (run != "")
 
     # most texts have neither a fence nor front matter, and need no fold
     some = F.exists(rows, lambda x: x.rlike(_FENCE)) | F.get(rows, F.lit(0)).rlike(_RULE)
     return F.when(some, folded(rows, zero, step, "boolean")).otherwise(F.transform(rows, lambda x: F.lit(False)))
 
 
-def folded(rows: Column, zero: Column, step, kind: str, piece: int = 128) -> Column:
-    """What step(state, row) -> (state, value) gives for each row, the state handed on.
+def folded(rows: Column, zero: Column, step, kind: str, piece: int = 128, finish=lambda state, out: out) -> Column:
+    """What step(state, row) -> (state, value) gives for each row, the state handed on; finish(last state, values) makes the result.
 
-    A growing array is copied whenever it grows, so the values are gathered piece by piece."""
+    A growing array is copied whenever it grows, so the values are gathered piece by piece. rows should be a column: an expression
+    is worked out anew for each piece."""
     none = F.array().cast(f"array<{kind}>")
     pack = lambda state, out: F.struct(state.alias("state"), out.alias("out"))
 
     def one(s: Column, row: Column) -> Column:
-        state, value = step(s["state"], row)
-        return pack(state, F.array_append(s["out"], value))
+        found = step(s["state"], row)
+        if isinstance(found, Column):  # an array of one <state, value>, worked out once
+            return F.get(F.transform(found, lambda x: pack(x["state"], F.array_append(s["out"], x["value"]))), F.lit(0))
+        return pack(found[0], F.array_append(s["out"], found[1]))
 
     def some(s: Column, at: Column) -> Column:
         return F.aggregate(F.slice(rows, at + 1, F.lit(piece)), pack(s["state"], none), one, lambda x: pack(x["state"], F.array_append(s["out"], x["out"])))
 
     starts = F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.size(rows) - 1, F.lit(piece))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(starts, pack(zero, F.array().cast(f"array<array<{kind}>>")), some, lambda s: F.flatten(s["out"]))
+    return F.aggregate(starts, pack(zero, F.array().cast(f"array<array<{kind}>>")), some, lambda s: finish(s["state"], F.flatten(s["out"])))
+
+
+def covering(rows: Column, spans: Column, kind: str) -> Column:
+    """For each row the span (first, last, ...) that it lies in, or null; spans are sorted and share no row. rows and spans should be columns."""
+
+    def step(k: Column, i: Column) -> tuple[Column, Column]:
+        span = F.get(spans, k)
+        return F.when(i >= span["last"], k + 1).otherwise(k), F.when((i >= span["first"]) & (i <= span["last"]), span)
+
+    return folded(rows, F.lit(0), step, kind)
 
 
 def apart(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kotonoha.functions.text import strip
@@ -11,10 +11,19 @@ from kotonoha.operators.notes import CODE, apart
 
 #: Marks of ruby and of upright runs, and what beside Chinese characters takes ruby without a mark.
 BASE, OPEN, CLOSE, UPRIGHT, UPRIGHT_END, ALSO = "｜", "《", "》", "｟", "｠", "々〆ヵヶ"
-_PLAIN = f"[^{BASE}{OPEN}{CLOSE}\n]"
-_READING = f"{OPEN}({_PLAIN}*){CLOSE}"
-_RUBY = f"{BASE}({_PLAIN}+){_READING}|([\\p{{IsHan}}{ALSO}]+){_READING}"
-_UPRIGHT = f"{UPRIGHT}([A-Za-z0-9!?]{{1,4}}){UPRIGHT_END}"
+_HAN, _BODY = f"[\\p{{IsHan}}{ALSO}]+\\z", r"\A[A-Za-z0-9!?]{1,4}\z"
+
+
+def _behind(text: Column, opener: str) -> tuple[Column, Column]:
+    """What stands before the last opener of a text and behind it."""
+    behind = F.substring_index(text, opener, -1)
+    return F.substring(text, F.lit(1), F.length(text) - F.length(behind) - 1), behind
+
+
+def _closed(line: Column, opener: str, closer: str) -> Column:
+    """The parts of a line that end at a closing mark and hold an opener."""
+    parts = F.split(line, closer, -1)
+    return F.filter(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.contains(p, F.lit(opener)))
 
 
 def _open_rows(df: DataFrame, id_col: str, holds: str) -> DataFrame:
@@ -24,16 +33,25 @@ def _open_rows(df: DataFrame, id_col: str, holds: str) -> DataFrame:
 
 
 def ruby_spans(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, line, ord, base, ruby): explicit ruby, and ruby on the Chinese characters right before it."""
-    hits = F.posexplode(F.regexp_extract_all("text", F.lit(_RUBY), F.lit(0))).alias("ord", "hit")
-    part = lambda a, b: F.concat(F.regexp_extract("hit", _RUBY, a), F.regexp_extract("hit", _RUBY, b))
-    return _open_rows(df, id_col, "《").select(id_col, "line", hits).select(id_col, "line", "ord", part(1, 3).alias("base"), part(2, 4).alias("ruby"))
+    """(id, line, ord, base, ruby): explicit ruby, and ruby on the Chinese characters right before it.
+
+    A line is cut at the closing marks; behind the last opening mark of a part stands a reading, and before it its base."""
+
+    def one(part: Column) -> Column:
+        before, ruby = _behind(part, OPEN)
+        named = _behind(before, BASE)[1]
+        explicit = F.contains(before, F.lit(BASE)) & (named != "") & ~F.contains(named, F.lit(OPEN))
+        base = F.when(explicit, named).otherwise(F.regexp_extract(before, _HAN, 0))
+        return F.struct(base.alias("base"), F.when(~F.contains(ruby, F.lit(BASE)), ruby).otherwise("").alias("ruby"))
+
+    found = F.filter(F.transform(_closed(F.col("text"), OPEN, CLOSE), one), lambda r: (r["base"] != "") & (r["ruby"] != ""))
+    return _open_rows(df, id_col, OPEN).select(id_col, "line", F.posexplode(found).alias("ord", "r")).select(id_col, "line", "ord", "r.base", "r.ruby")
 
 
 def upright_spans(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, line, ord, body): upright runs."""
-    hits = F.posexplode(F.regexp_extract_all("text", F.lit(_UPRIGHT), F.lit(1))).alias("ord", "body")
-    return _open_rows(df, id_col, "｟").select(id_col, "line", hits)
+    bodies = F.transform(_closed(F.col("text"), UPRIGHT, UPRIGHT_END), lambda part: _behind(part, UPRIGHT)[1])
+    return _open_rows(df, id_col, UPRIGHT).select(id_col, "line", F.posexplode(F.filter(bodies, lambda b: b.rlike(_BODY))).alias("ord", "body"))
 
 
 def directives(df: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -15,6 +15,8 @@ from kotonoha.operators import blocks, inline, metadata
 from kotonoha.operators.convert import Options, convert, events, totals, with_remaining
 from kotonoha.operators.notes import note_report, residual_notes, with_lines
 from kotonoha.operators.preview import directives, outline, ruby_spans, upright_spans
+from kotonoha.operators.ranges import notes_by_protection
+from kotonoha.operators.spans import note_pairs
 from kotonoha.plans import jobs
 from kotonoha.plans.archives import archive_problems, plan_archives
 from kotonoha.plans.exports import artifact_problems
@@ -330,11 +332,11 @@ def heading_outline(spark, sf_dir):
 
 def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with a header, notes of several kinds, a fenced one and a footer around their texts."""
-    source = cat("'題", "doc_id", "'\n著者", "lang", "'\n\n章［＃「章」は大見出し］\n", F.regexp_replace(F.coalesce("text", F.lit("")), "[*|`~-]", ""), "'\n青い空［＃「空」は太字］、※［＃U+4E9C］、12［＃「12」は縦中横］、点［＃「点」に傍点］、線［＃「線」に傍線］\n```\n［＃改ページ］\n```\n［＃改ページ］\n［＃不明］\n底本：資料\n入力：人\n青空文庫作成ファイル：")
+    source = cat("'題", "doc_id", "'\n著者", "lang", "'\n\n章［＃「章」は大見出し］\n", F.coalesce("text", F.lit("")), "'\n青い空［＃「空」は太字］、※［＃U+4E9C］、12［＃「12」は縦中横］、点［＃「点」に傍点］、線［＃「線」に傍線］\n```\n［＃改ページ］\n```\n［＃改ページ］\n［＃不明］\n底本：資料\n入力：人\n青空文庫作成ファイル：")
     return table(spark, sf_dir, "documents").select("doc_id", source.alias("text"))
 
 
-@query("convert_corpus", """SELECT doc_id, '---' || chr(10) || 'title: 題' || doc_id || chr(10) || 'author: 著者' || lang || chr(10) || '---' || chr(10) || chr(10) || '## 章' || chr(10) || regexp_replace(coalesce(text, ''), '[*|`~-]', '', 'g') || chr(10)
+@query("convert_corpus", """SELECT doc_id, '---' || chr(10) || 'title: 題' || doc_id || chr(10) || 'author: 著者' || lang || chr(10) || '---' || chr(10) || chr(10) || '## 章' || chr(10) || coalesce(text, '') || chr(10)
  || '青い**空**、亜、｟12｠、｜点《﹅》、||線||' || chr(10) || '```' || chr(10) || '［＃改ページ］' || chr(10) || '```' || chr(10) || ':::page-break' || chr(10) || ':::' || chr(10) || '［＃不明］' || chr(10) AS text,
  CAST(6 AS BIGINT) AS n_converted, CAST(1 AS BIGINT) AS remaining_notes FROM documents""")
 def convert_corpus(spark, sf_dir):
@@ -343,6 +345,76 @@ def convert_corpus(spark, sf_dir):
     return out.select("doc_id", "text", sum((F.col(c) for c in done[1:]), F.col(done[0])).alias("n_converted"), "remaining_notes")
 
 
+#: Lines of whole documents, each with its number from 1 on.
+_LINES = "l AS (SELECT doc_id, CAST(i AS BIGINT) AS i, string_split(coalesce(text, ''), chr(10))[i] AS t FROM documents, generate_series(1, len(string_split(coalesce(text, ''), chr(10)))) g(i))"
+_UNITS = "length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))"
+
+
+def _edited(spark: SparkSession, sf_dir: str, edit) -> DataFrame:
+    """documents with edit(line, number from 1 on, doc_id) put through every line of their texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("rows"))
+    return docs.select("doc_id", F.array_join(F.transform("rows", lambda x, i: edit(x, i + 1, F.col("doc_id"))), "\n").alias("text"))
+
+
+@query("note_pairs", f"""WITH {_LINES}, n AS (SELECT *, CASE (doc_id + i) % 7 WHEN 0 THEN '［＃太字］' WHEN 3 THEN '［＃太字終わり］' WHEN 1 THEN '［＃傍点］' WHEN 5 THEN '［＃傍点終わり］' ELSE '' END AS note FROM l),
+ p AS (SELECT *, CAST(coalesce(sum(length(note) + {_UNITS.format('t')} + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos, CASE WHEN contains(note, '太字') THEN '太字' ELSE '傍点' END AS kind, contains(note, '終わり') AS closes FROM n),
+ g AS (SELECT *, count(*) FILTER (WHERE closes) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM p WHERE note <> '')
+ SELECT doc_id, kind, min(pos) AS start, max(pos + length(note)) FILTER (WHERE closes) AS "end", CAST(min(i) AS INTEGER) AS first_line, CAST(max(i) FILTER (WHERE closes) AS INTEGER) AS last_line, CAST(count(*) FILTER (WHERE NOT closes) AS INTEGER) AS depth,
+ CASE WHEN NOT bool_or(closes) THEN 'unclosed' WHEN bool_and(closes) THEN 'unopened' ELSE 'paired' END AS status FROM g GROUP BY doc_id, kind, k""")
+def note_pairs_query(spark, sf_dir):
+    """Ranges over the rows of whole texts, some opened twice, some never closed or opened."""
+
+    def edit(line, i, doc):
+        n = (doc + i) % 7
+        return F.concat(F.when(n == 0, "［＃太字］").when(n == 3, "［＃太字終わり］").when(n == 1, "［＃傍点］").when(n == 5, "［＃傍点終わり］").otherwise(""), line)
+
+    return note_pairs(_edited(spark, sf_dir, edit))
+
+
+@query("notes_by_protection", f"""WITH {_LINES} SELECT doc_id, CASE (doc_id + i) % 5 WHEN 1 THEN 'inline-code' WHEN 2 THEN 'inline-code' WHEN 3 THEN 'fence' END AS protection, count(*) AS n FROM l WHERE (doc_id + i) % 5 <> 4 GROUP BY ALL""")
+def notes_by_protection_query(spark, sf_dir):
+    """Notes of whole texts joined with the protected ranges that they touch: beside code, in it, half in it, in a fence."""
+
+    def edit(line, i, doc):
+        n, note = (doc + i) % 5, F.lit("［＃注］")
+        fence = F.concat(line, F.lit("\n~~~\n"), note, F.lit("\n~~~"))
+        return F.when(n == 0, F.concat(line, F.lit("`x`"), note)).when(n == 1, F.concat(line, F.lit("`"), note, F.lit("`"))).when(n == 2, F.concat(line, F.lit("［＃`注］`"))).when(n == 3, fence).otherwise(line)
+
+    return notes_by_protection(_edited(spark, sf_dir, edit)).groupBy("doc_id", "protection").agg(F.count("*").alias("n"))
+
+
+@query("gaiji_over_rows", """SELECT doc_id AS id, coalesce(text, '') || CASE doc_id % 4 WHEN 0 THEN '𠀋' WHEN 1 THEN '※［＃無' || chr(10) || 'し］' WHEN 2 THEN '※［＃' || chr(10) || '~~~' || chr(10) || 'U+4E9C］' || chr(10) || '~~~' || chr(10) ELSE '亜' END || coalesce(text, '') AS converted,
+ CAST(CASE WHEN doc_id % 4 IN (0, 3) THEN 1 ELSE 0 END AS BIGINT) AS n_converted, CAST(CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END AS BIGINT) AS n_left FROM documents""")
+def gaiji_over_rows(spark, sf_dir):
+    """Notes that run over the end of a row, between whole texts; one is cut by a fence and stays."""
+    whole = F.coalesce("text", F.lit(""))
+    n = F.col("doc_id") % 4
+    note = F.when(n == 0, "※［＃「土」、\n第3水準1-14-2］").when(n == 1, "※［＃無\nし］").when(n == 2, "※［＃\n~~~\nU+4E9C］\n~~~\n").otherwise("字［＃「字」は\nU+4E9C］")
+    return _stage(table(spark, sf_dir, "documents"), "doc_id", F.concat(whole, note, whole), inline.gaiji, {"gaiji_converted": "n_converted", "gaiji_unconverted": "n_left"})
+
+
+@query("bouten_over_rows", """SELECT doc_id AS id, coalesce(text, '') || chr(10) || CASE doc_id % 3 WHEN 0 THEN '［＃傍点］' || lang || chr(10) || source || '［＃傍点終わり］｜後《﹅》' WHEN 1 THEN '［＃傍点］' || lang || chr(10) || '```' || chr(10) || '［＃傍点終わり］' ELSE '｜中《﹅》' || chr(10) || '［＃丸傍点］後' END AS converted,
+ CAST(CASE doc_id % 3 WHEN 1 THEN 0 ELSE 1 END AS BIGINT) AS n_converted, CAST(CASE doc_id % 3 WHEN 0 THEN 1 ELSE 0 END AS BIGINT) AS n_left FROM documents""")
+def bouten_over_rows(spark, sf_dir):
+    """Ranges behind whole texts: over two rows, which is refused and counted, into a fence, and within a row."""
+    n = F.col("doc_id") % 3
+    notes = F.when(n == 0, cat("'［＃傍点］", "lang", "'\n", "source", "'［＃傍点終わり］後［＃「後」に傍点］")).when(n == 1, cat("'［＃傍点］", "lang", "'\n```\n［＃傍点終わり］")).otherwise(cat("'［＃白丸傍点］中［＃白丸傍点終わり］\n［＃丸傍点］後"))
+    return _stage(table(spark, sf_dir, "documents"), "doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), notes), inline.bouten, {"bouten_converted": "n_converted", "bouten_unconverted": "n_left"})
+
+
+@query("front_matter_kept", """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CASE doc_id % 4 WHEN 0 THEN 'title: |' || chr(10) || '  題' || doc_id || chr(10) || '  ---' || chr(10) || 'author: ' || lang WHEN 1 THEN 'author: ' || lang || chr(10) || 'title: "題' || doc_id || chr(10) || '  ---"' WHEN 2 THEN 'title: {a: 題}' ELSE 'authors:' || chr(10) || '  - ' || lang || chr(10) || '  - 乙' END AS rows FROM documents),
+ e AS (SELECT *, '---' || chr(10) || rows || chr(10) || '---' AS envelope FROM d)
+ SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN envelope || chr(10) || text ELSE envelope || chr(10) || CASE doc_id % 4 WHEN 0 THEN '題' || doc_id || chr(10) || '---' || chr(10) || chr(10) WHEN 1 THEN '題' || doc_id || ' ---' || chr(10) ELSE '' END || CASE doc_id % 4 WHEN 3 THEN (SELECT lang FROM documents x WHERE x.doc_id = e.doc_id) || chr(10) || '乙' ELSE (SELECT lang FROM documents x WHERE x.doc_id = e.doc_id) END || chr(10) || chr(10) || ltrim(text, chr(10)) END AS text,
+ CASE doc_id % 4 WHEN 0 THEN '題' || doc_id || chr(10) || '---' || chr(10) WHEN 1 THEN '題' || doc_id || ' ---' END AS title, CASE doc_id % 4 WHEN 2 THEN NULL ELSE (SELECT lang FROM documents x WHERE x.doc_id = e.doc_id) END AS author, CASE doc_id % 4 WHEN 2 THEN 'FRONTMATTER_INVALID_TYPE' END AS code FROM e""")
+def front_matter_kept(spark, sf_dir):
+    """Front matter in front of whole texts, with rules inside its values; its header is put into the body."""
+    n = F.col("doc_id") % 4
+    rows = F.when(n == 0, cat("'title: |\n  題", "doc_id", "'\n  ---\nauthor: ", "lang")).when(n == 1, cat("'author: ", "lang", "'\ntitle: \"題", "doc_id", "'\n  ---\"")).when(n == 2, "title: {a: 題}").otherwise(cat("'authors:\n  - ", "lang", "'\n  - 乙"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("---\n"), rows, F.lit("\n---\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    out = metadata.add_front_matter(with_lines(docs), keep_header=True)
+    return out.select("doc_id", "text", "naming.title", "naming.author", "front.code")
+
+
 @query("conversion_events", """SELECT stage, action, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest(['emphasis', 'tcy', 'gaiji', 'emphasis']) AS stage, unnest(['bold', 'converted', 'converted', 'unconverted']) AS action, unnest([1, 1, CAST(c_custkey % 2 AS INTEGER), 1]) AS n FROM customer) WHERE n > 0 GROUP BY stage, action""")
 def conversion_events(spark, sf_dir):
     """What a conversion of one line a customer did, as events in a table."""
@@ -410,7 +482,7 @@ def corpus_totals(spark, sf_dir):
     return totals(rows)
 
 
-@query("identity_problems", "SELECT 'INVALID_INPUT' AS code, CAST((SELECT count(*) FROM customer WHERE c_custkey % 7 = 0) + (SELECT count(*) FROM (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) > 1)) * 0 + (SELECT sum(n) FROM (SELECT count(*) AS n FROM customer GROUP BY c_custkey // 2 HAVING count(*) > 1)) AS BIGINT) AS n")
+@query("identity_problems", "SELECT 'INVALID_INPUT' AS code, CAST((SELECT count(*) FROM customer WHERE c_custkey % 7 = 0) + (SELECT sum(n) FROM (SELECT count(*) AS n FROM customer GROUP BY c_custkey // 2 HAVING count(*) > 1)) AS BIGINT) AS n")
 def identity_problems_query(spark, sf_dir):
     """Pairs of sources share an id, and each seventh one's name contradicts its kind."""
     rows = table(spark, sf_dir, "customer").select(F.expr("cast(c_custkey div 2 as string)").alias("input_id"), cat("c_name", F.when(F.col("c_custkey") % 7 == 0, F.lit(".md")).otherwise(F.lit(".txt"))).alias("name"), F.lit("txt").alias("kind"), F.lit(1).cast("bigint").alias("length"))

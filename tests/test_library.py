@@ -72,7 +72,7 @@ def test_front_matter(spark):
     rows = metadata.read_front_matter(with_lines(df)).orderBy("doc_id").collect()
     assert [(r.front.ok, r.front.title, r.front.authors, r.front.raw_header) for r in rows] == list(cases.values())
     none = metadata.read_front_matter(with_lines(spark.createDataFrame([(1, "---\nopen"), (2, None)], "doc_id int, text string"))).collect()
-    assert all(r.front is None for r in none)
+    assert {r.doc_id: r.front and (r.front.ok, r.front.reason) for r in none} == {1: (False, "unclosed-envelope"), 2: None}
 
 
 def test_jobs(spark):
@@ -168,3 +168,40 @@ def test_budget_in_ranges(spark):
         b = None if i % 3 == 0 else i % 2
         used[b] = used.get(b, 0) + i % 7
         assert got[i] == used[b]
+
+
+def test_front_matter_of_every_kind(spark):
+    cases = [
+        ("---\ntitle: |\n  山\n  ---\n  川\nauthor: 甲\n---\n本文", "山\n---\n川\n", None),
+        ("---\ntitle: \"山\n  ---\n  川\"\n---\n本文", "山 --- 川", None),
+        ("---\ntitle: '山\n  --- \n  川'\nauthor: 甲\n---\n本文", "山 --- 川", None),
+        ("---\nother:\n  - |\n   x\n   ---\ntitle: 山\n---\n", "山", None),
+        ("---\ntitle: |-\n    深い\n     行\n---\n", "深い\n 行", None),
+        ("---\nx: |\n  a\n---\ntitle: 本文\n---", None, None),
+        ("---\ntitle: 山\n   ---\n本文", "山", None),
+        ("---\ntitle: 山", None, "FRONTMATTER_PARSE_FAILED:unclosed-envelope"),
+        ("---\ntitle: *a\n---", "*a", "FRONTMATTER_PARSE_FAILED:alias-or-tag"),
+        ("---\nauthors: [甲\n---", None, "FRONTMATTER_PARSE_FAILED:invalid-mapping"),
+        ("---\ntitle: {a: b}\n---", "{a: b}", "FRONTMATTER_INVALID_TYPE:title"),
+        ("---\nauthors:\n  - 甲\n  - 名: 乙\n---", None, "FRONTMATTER_INVALID_TYPE:authors"),
+        ("---\n---\n本文", None, None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id int, text string")
+    for r, (text, title, code) in zip(metadata.read_front_matter(with_lines(df)).orderBy("doc_id").collect(), cases):
+        assert (r.front.title, r.front.code and f"{r.front.code}:{r.front.reason}") == (title, code), text
+
+
+def test_conversion_keeps_front_matter(spark):
+    from kotonoha.operators.convert import Options, convert
+
+    texts = ["---\ntitle: 山\nauthors: [甲, 乙]\ntranslator: 丙\nraw_header: 副題\n---\n\n\n青［＃「青」は太字］", "---\ntitle: 山\n---\n 山 \n本文", "---\ntitle: &x\n  - 山\n---\n本文", "題\n人\n\n本文", "---\ntitle: |\n  甲\n  ---\n  ［＃改ページ］\n---\n［＃改ページ］"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    kept = {r.doc_id: r for r in convert(df, Options(keep_header=True, page_breaks=True)).collect()}
+    assert kept[0].text == "---\ntitle: 山\nauthors: [甲, 乙]\ntranslator: 丙\nraw_header: 副題\n---\n山\n副題\n甲\n乙\n丙\n\n**青**" and kept[0].front_matter_restored
+    assert (kept[0].naming.title, kept[0].naming.author) == ("山", "甲")
+    assert kept[1].text == texts[1] and not kept[1].front_matter_restored
+    assert kept[2].text == texts[2] and kept[2].naming is None and [d.code for d in kept[2].diagnostics] == ["FRONTMATTER_PARSE_FAILED"]
+    assert kept[3].text == "---\ntitle: 題\nauthor: 人\n---\n\n題\n人\n\n本文" and kept[3].front_matter_added
+    assert kept[4].text == "---\ntitle: |\n  甲\n  ---\n  ［＃改ページ］\n---\n甲\n---\n［＃改ページ］\n\n\n:::page-break\n:::"
+    plain = {r.doc_id: r for r in convert(df, Options(front_matter=False)).collect()}
+    assert plain[3].text == texts[3] and plain[0].text.endswith("---\n\n\n**青**") and [d.code for d in plain[2].diagnostics] == ["FRONTMATTER_PARSE_FAILED"]
