@@ -11,7 +11,10 @@ is contaminated by an item if the tiles cover COVERAGE of the item's tokens. An
 MIN_MATCH tokens is matched whole: its tile is its first occurrence in the text.
 
 Scale: texts stay where they are. The benchmark is dealt by hash into blocks of half of BLOCK tokens on
-average, and each block is broadcast and held against all texts in one pass; every block is taken.
+average, each of its different rows once, and each block is broadcast and held against all texts in one pass; every block is taken. With
+several blocks, the finds of each are written and its broadcast is dropped before the next, so that driver and tasks hold one block at a time.
+A word that is repeated n times in an item and m times in a text costs time in proportion to n + m; r such runs in a text to r * (n + m),
+as every run may be matched at every place.
 
 Defined results: a null or empty text or item has no tokens and no match; among equally long matches the first in the item, then the first
 in the text, is marked first; repeated texts and items each give rows of their own; null ids keep
@@ -20,6 +23,7 @@ their rows; other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import re
 import unicodedata
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from kotonoha.llm.common import documents, text_rows
+from kotonoha.session import written
 
 MIN_MATCH, COVERAGE, BLOCK = 4, 0.6, 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -66,35 +71,90 @@ def rolling(ids: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
+def _sums(ids: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """Sums of ids times powers up to each place: the hash of ids[a:b] is sums[b] - sums[a], moved by a places."""
+    x = ids.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    x ^= x >> np.uint64(29)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * power[: len(ids)], dtype=np.uint64)])
+
+
+def extended(item: np.ndarray, text: np.ndarray, i: np.ndarray, t: np.ndarray, least: int) -> np.ndarray:
+    """How long the matches are that begin with equal windows at (i, t), for all of them at once by bisection of hashes."""
+    power = np.cumprod(np.full(max(len(item), len(text)) + 1, _BASE, np.uint64)) * np.uint64(pow(int(_BASE), -1, 1 << 64))
+    a, b = _sums(item, power), _sums(text, power)
+    low = np.full(len(i), least)
+    high = np.minimum(len(item) - i, len(text) - t)
+    while (low < high).any():
+        mid = (low + high + 1) // 2
+        same = (a[i + mid] - a[i]) * power[t] == (b[t + mid] - b[t]) * power[i]
+        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+    return low
+
+
+class _Marks:
+    """Marked stretches of a sequence, in order and apart."""
+
+    def __init__(self):
+        self.starts, self.ends = [], []
+
+    def within(self, a: int, e: int) -> list[tuple[int, int]]:
+        """The marked stretches that touch [a, e)."""
+        k = bisect.bisect_right(self.ends, a)
+        last = bisect.bisect_left(self.starts, e)
+        return list(zip(self.starts[k:last], self.ends[k:last]))
+
+    def add(self, a: int, e: int) -> None:
+        k = bisect.bisect_left(self.starts, a)
+        before, behind = k > 0 and self.ends[k - 1] == a, k < len(self.starts) and self.starts[k] == e
+        if before and behind:
+            self.ends[k - 1] = self.ends.pop(k)
+            self.starts.pop(k)
+        elif before:
+            self.ends[k - 1] = e
+        elif behind:
+            self.starts[k] = a
+        else:
+            self.starts.insert(k, a)
+            self.ends.insert(k, e)
+
+
 def tiles(item: np.ndarray, text: np.ndarray, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling (item start, text start, length) from the starts (item, text) of equal windows of least tokens."""
-    heap, last = [], {}
-    for i, t in sorted(seeds):  # along each diagonal
-        if last.get(i - t, -1) >= i:
+    """Greedy tiling (item start, text start, length) from the starts (item, text) of equal windows of least tokens.
+
+    Matches are handled as stretches: how long they are is found by bisection, what of them is free by the marked stretches that
+    they touch. A match is compared token by token once, when it is marked."""
+    if not seeds:
+        return []
+    i, t = np.array(seeds, np.int64).T
+    order = np.lexsort((i, i - t))
+    i, t = i[order], t[order]
+    n = extended(item, text, i, t, least)
+    heap, last, at = [], None, 0
+    for size, a, b in zip(n.tolist(), i.tolist(), t.tolist()):  # along each diagonal
+        if a - b == last and a < at:
             continue
-        n = least
-        while i + n < len(item) and t + n < len(text) and item[i + n] == text[t + n] != 0:
-            n += 1
-        last[i - t] = i + n - least
-        heapq.heappush(heap, (-n, i, t))
-    in_item, in_text, out = np.zeros(len(item), bool), {}, []
+        last, at = a - b, a + size - least + 1
+        heap.append((-size, a, b))
+    heapq.heapify(heap)
+    in_item, in_text, out = _Marks(), _Marks(), []
     while heap:
         n, i, t = heapq.heappop(heap)
         n = -n
-        free = [not in_item[i + k] and t + k not in in_text for k in range(n)]
-        if all(free):
-            in_item[i : i + n] = True
-            in_text.update(dict.fromkeys(range(t, t + n)))
-            out.append((i, t, n))
-            continue
-        k = 0
-        while k < n:  # what is left of it takes its place among the others
-            e = k
-            while e < n and free[e]:
-                e += 1
-            if e - k >= least:
-                heapq.heappush(heap, (-(e - k), i + k, t + k))
-            k = max(e, k + 1)
+        taken = in_item.within(i, i + n) + [(a + i - t, e + i - t) for a, e in in_text.within(t, t + n)]
+        if not taken:
+            differ = np.flatnonzero(item[i : i + n] != text[t : t + n])
+            if len(differ):  # equal hashes of different tokens
+                taken = [(i + int(differ[0]), i + n)]
+            else:
+                in_item.add(i, i + n)
+                in_text.add(t, t + n)
+                out.append((i, t, n))
+                continue
+        free = i
+        for a, e in [*sorted(taken), (i + n, i + n)]:  # what is left of it takes its place among the others
+            if a - free >= least:
+                heapq.heappush(heap, (free - a, free, t + free - i))
+            free = max(free, e)
     return sorted(out)
 
 
@@ -216,19 +276,21 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     schema = StructType([rows.schema["doc_id"], items.schema["item_id"], *row, StructField("tiles", ArrayType(place))])
     tile = pa.list_(pa.struct([("item_start", pa.int32()), ("text_start", pa.int32()), ("length", pa.int32())]))
     out = None
-    for part in _blocks(items, block):
-        held = part.toArrow()  # a block of the benchmark
-        shared = df.sparkSession.sparkContext.broadcast((held.column("item_id").combine_chunks(), held.column("text").to_pylist()))
+    items = items.groupBy("item_id", "text").agg(F.count("*").cast("int").alias("copies"))
+    parts = _blocks(items, block)
+    for part in parts:
+        held = part.toArrow()  # a block of the benchmark, of bounded size
+        shared = df.sparkSession.sparkContext.broadcast((held.column("item_id").combine_chunks(), held.column("text").to_pylist(), held.column("copies").to_numpy()))
 
         def run(batches, shared=shared):
-            names, held = shared.value
+            names, held, copies = shared.value
             index = Index(list(enumerate(held)), min_match, short=True)
             for b in batches:
                 row, found = [], []
                 for r, text in enumerate(b.column(1).to_pylist()):
                     for m in index.matches(text.encode(), coverage):
-                        row.append(r)
-                        found.append(m)
+                        row += [r] * int(copies[m[0]])
+                        found += [m] * int(copies[m[0]])
                 n = [len(index.items[k]) for k, _, _ in found]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -243,6 +305,9 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 )
 
         found = rows.mapInArrow(run, schema)
+        if len(parts) > 1:
+            found = written(found, "tilings")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -91,3 +91,30 @@ def test_repeated_words_and_other_ids(spark):
     df = spark.createDataFrame([(1, "x the quick brown fox jumps over y"), (2, "nothing")], "doc_id bigint, text string")
     bench = spark.createDataFrame([((7, "q"), "the quick brown fox jumps"), (None, "the quick brown fox jumps over")], "item_id struct<a: int, b: string>, text string")
     assert sorted(str(r.item_id) for r in dec.contaminated(df, bench).collect()) == ["None", "Row(a=7, b='q')"]
+
+
+def test_equal_tokens_take_linear_time():
+    """10,000 equal tokens in 100,000."""
+    index = dec.Index([(0, "a " * 10_000)], dec.MIN_MATCH)
+    for text, want in (("a " * 100_000, [(0, 0, 10_000)]), ("x " + "a " * 99_999, [(0, 1, 10_000)])):
+        began = time.process_time()
+        found = index.matches(text.encode(), dec.COVERAGE)
+        assert found[0][2] == want and time.process_time() - began < 5
+
+
+def test_tiling_from_all_seeds():
+    """Runs of few different tokens, from every pair of equal windows."""
+    rng = random.Random(8)
+    for _ in range(200):
+        item, text = ([rng.choice((1, 1, 1, 2)) for _ in range(rng.randrange(3, 30))] for _ in range(2))
+        seeds = [(i, t) for i in range(len(item) - 2) for t in range(len(text) - 2) if item[i : i + 3] == text[t : t + 3]]
+        rng.shuffle(seeds)
+        assert dec.tiles(dec.np.array(item), dec.np.array(text), seeds, 3) == brute_tiles(item, text, 3)
+
+
+def test_repeated_items_in_blocks(spark):
+    df = spark.createDataFrame([(1, ITEM), (1, ITEM)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, ITEM)] * 3 + [(None, ITEM), (8, "other words that stand in no text at all")], "item_id bigint, text string")
+    for block in (2_000_000, 10):
+        got = dec.contaminated(df, items, block=block).groupBy("item_id").count().collect()
+        assert {(r.item_id, r["count"]) for r in got} == {(7, 6), (None, 2)}

@@ -85,3 +85,12 @@ def test_held_out_accuracy(spark):
 def test_table(spark):
     got = lid.op1_language_id(spark, "/root/testdata/sf0.01").collect()
     assert len(got) == 250 and sum(r.lang == r.declared for r in got) > 150
+
+
+def test_blanks_in_attributes():
+    began = time.process_time()
+    blanks = " " * 1_000_000
+    assert lid.declared(f"<html lang={blanks}>") is None and lid.declared(f"<html lang{blanks}={blanks}'{blanks}fr'>") == "fr"
+    assert lid.declared("<html " + f"lang= {' ' * 50}" * 20_000 + ">") is None
+    assert lid.declared('<html lang = " DE ">') == "de"
+    assert time.process_time() - began < 3
