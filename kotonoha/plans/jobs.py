@@ -49,19 +49,25 @@ def batch_status(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(F.when(F.bool_and(failed), "failed").when(F.bool_or(failed), "partial").otherwise("completed").alias("status"))
 
 
+def running(rows: DataFrame, sums: dict[str, str], order: list[str], keys: list[str]) -> DataFrame:
+    """Adds for each name of sums the running sum of a column, up to each row in order, among the rows with equal keys; nulls are equal and count 0.
+
+    Rows are dealt in ranges, which are summed in themselves; the sums before each range are those of a table of one row for each
+    range and key. So neither a key nor the whole has to fit into a task."""
+    rows = rows.withColumn("__key", F.struct(*keys) if keys else F.struct(F.lit(0)))
+    laid = written(rows.repartitionByRange("__key", *order).withColumn("__part", F.spark_partition_id()), "running")
+    total = laid.groupBy("__key", "__part").agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(f"__{n}") for n, c in sums.items()))
+    earlier = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select("__key", "__part", *(F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in sums))
+    upto = Window.partitionBy("__key", "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    a, b = laid.withColumns({n: F.coalesce(F.sum(c).over(upto), F.lit(0)).cast("bigint") for n, c in sums.items()}).alias("a"), total.alias("b")
+    joined = a.join(b, (F.col("a.__part") == F.col("b.__part")) & F.col("a.__key").eqNullSafe(F.col("b.__key"))).select("a.*", *(f"b.__{n}" for n in sums))
+    return joined.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__key", "__part", *(f"__{n}" for n in sums))
+
+
 def running_budget(rows: DataFrame, size: str, limit: int, order: str, batch: str | None = None) -> DataFrame:
-    """Adds used, the sum of sizes up to each row in order, and fits; equality fits. Sums run within a batch.
-
-    Rows are dealt in ranges, which are summed in themselves; the sums before each range are those of a table of one row for each range and batch."""
-    rows = rows.withColumn("__batch", F.struct(F.col(batch) if batch else F.lit(0)))
-    laid = written(rows.repartitionByRange("__batch", order).withColumn("__part", F.spark_partition_id()), "budget")
-    sums = laid.groupBy("__batch", "__part").agg(F.sum(size).alias("__sum"))
-    earlier = Window.partitionBy("__batch").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("__batch", "__part", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
-    within = F.sum(size).over(Window.partitionBy("__batch", "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    a, b = laid.withColumn("__within", within).alias("a"), sums.alias("b")
-    joined = a.join(b, (F.col("a.__part") == F.col("b.__part")) & F.col("a.__batch").eqNullSafe(F.col("b.__batch"))).select("a.*", "__before")
-    return joined.withColumn("used", F.col("__before") + F.coalesce("__within", F.lit(0))).withColumn("fits", F.col("used") <= limit).drop("__batch", "__part", "__within", "__before")
+    """Adds used, the sum of sizes up to each row in order, and fits; equality fits. Sums run within a batch."""
+    return running(rows, {"used": size}, [order], [batch] if batch else []).withColumn("fits", F.col("used") <= limit)
 
 
 def page_of(rows: DataFrame, order: str, page: int, size: int = 50) -> DataFrame:

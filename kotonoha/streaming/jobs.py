@@ -1,12 +1,20 @@
-"""The job account over a stream of events."""
+"""The job account over a stream of events, by keyed state."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from kotonoha.plans.jobs import job_stats
 
+#: What an event adds to the account; the columns of job_stats().
+COUNTS = ("files_converted", "files_skipped", "errors", "files_with_remaining_notes", "remaining_notes", "cancelled_files", "artifact_files", "saved_files")
+_DELTA = ", ".join(f"{c} bigint" for c in COUNTS)
+
 
 def distinct_events(events: DataFrame, time: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Events without replays of (type, file, attempt) that come within the delay; the state is bounded by the watermark."""
@@ -18,10 +26,54 @@ def event_counts(events: DataFrame, time: str = "ts", window: str = "1 day", del
     return distinct_events(events, time, delay).groupBy(F.window(time, window), "type").count()
 
 
-def fold_into(events: DataFrame, path: str, checkpoint: str):
-    """A query that appends distinct events to a table, over which job_stats() gives the account at any time."""
-    return distinct_events(events).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+class _Account(StatefulProcessor):
+    """A file's state: the kinds of events that have counted once, and the attempts that have failed.
+
+    Each is forgotten when a file has not been heard of for the time to live; until then a replay counts for nothing, however late it comes."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "type string, attempt string", "seen boolean", self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out = []
+        for frame in rows:
+            for e in frame.sort_values("ord").itertuples():
+                once = e.type in ("WriteCommitted", "Skipped", "Cancelled")  # these count once a file, failures once an attempt
+                mark = (e.type, "" if once else e.attempt_id)
+                if e.type is None or self.seen.containsKey(mark):
+                    continue
+                self.seen.updateValue(mark, (True,))
+                done, left = e.type == "WriteCommitted", int(e.remaining) if e.remaining == e.remaining and e.remaining is not None else 0
+                out.append((done, e.type == "Skipped", e.type in ("WriteFailed", "ArchiveFailed"), done and left > 0, left if done else 0, e.type == "Cancelled", done and e.delivery == "browser-artifact", done and e.delivery != "browser-artifact"))
+        if out:
+            total = pd.DataFrame(out, columns=COUNTS).astype("int64").sum()
+            yield pd.DataFrame([{"file_id": key[0], **total.to_dict()}])
+
+    def close(self) -> None:
+        pass
+
+
+def account_changes(events: DataFrame, keep: str | None = "30 days") -> DataFrame:
+    """(file_id, counts): what each file's new events add to the account, of a stream of (ord, type, file_id, attempt_id, delivery, remaining).
+
+    The first commit of a file counts, whether others come later or again, also beyond any watermark; keep bounds the state: a file's
+    events are remembered for so long (None: for ever). Needs the RocksDB state store."""
+    ms = None if keep is None else int(pd.Timedelta(keep).total_seconds() * 1000)
+    thin = events.select("ord", "type", "file_id", "attempt_id", "delivery", "remaining")
+    return thin.groupBy("file_id").transformWithStateInPandas(_Account(ms), f"file_id {events.schema['file_id'].dataType.simpleString()}, {_DELTA}", "Append", "ProcessingTime" if ms else "None")
+
+
+def fold_into(events: DataFrame, path: str, checkpoint: str, keep: str | None = "30 days"):
+    """A query that appends what events add to the account to a table, of which account() gives the sum at any time."""
+    return account_changes(events, keep).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
 
 
 def account(spark, path: str) -> DataFrame:
-    return job_stats(spark.read.parquet(path))
+    """The account so far, in one row."""
+    return spark.read.parquet(path).agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in COUNTS))
+
+
+__all__ = ["account", "account_changes", "distinct_events", "event_counts", "fold_into", "job_stats"]

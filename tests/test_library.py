@@ -205,3 +205,64 @@ def test_conversion_keeps_front_matter(spark):
     assert kept[4].text == "---\ntitle: |\n  甲\n  ---\n  ［＃改ページ］\n---\n甲\n---\n［＃改ページ］\n\n\n:::page-break\n:::"
     plain = {r.doc_id: r for r in convert(df, Options(front_matter=False)).collect()}
     assert plain[3].text == texts[3] and plain[0].text.endswith("---\n\n\n**青**") and [d.code for d in plain[2].diagnostics] == ["FRONTMATTER_PARSE_FAILED"]
+
+
+def test_output_tree_against_one_after_the_other(spark):
+    import random
+    import unicodedata
+
+    from kotonoha.plans.outputs import plan_tree
+
+    rng = random.Random(11)
+    key = lambda p: "/".join(unicodedata.normalize("NFC", s).lower().rstrip(" .") for s in p.split("/"))
+    mark = lambda n: "" if n == 0 else "_converted" if n == 1 else f"_converted{n}"
+    names, stems = ["a", "B", "b", "c"], ["x", "X", "y"]
+    requests, taken = [], []
+    for b in range(12):
+        for k in range(rng.randrange(1, 14)):
+            dirs = [{"name": rng.choice(names), "group": rng.choice("pqr")} for _ in range(rng.randrange(0, 4))]
+            requests.append((b, k, "/".join([d["name"] for d in dirs] + [rng.choice(stems) + ".md"]), dirs))
+        taken += [(b, p, kind) for p, kind in [("a", "file"), ("b/b", "file"), ("b", "directory"), ("c/x.md", "file"), ("x_converted.md", "file"), ("a_converted/a", "file"), ("B/b_converted", "directory")] if rng.random() < 0.5]
+    want, folders = {}, set()
+    for b in range(12):
+        held = {}
+        for _, p, kind in [t for t in taken if t[0] == b]:
+            parts = p.split("/")
+            for n in range(1, len(parts)):
+                held.setdefault(key("/".join(parts[:n])), "directory")
+            held[key(p)] = "file" if kind == "file" or held.get(key(p)) == "file" else "directory"
+        groups, claimed = {}, {}
+        for _, k, path, dirs in [r for r in requests if r[0] == b]:
+            parent = ""
+            for d in dirs:
+                if (parent, d["group"]) not in groups:
+                    n = 0
+                    while held.get(key(parent + d["name"] + mark(n))) == "file" or key(parent + d["name"] + mark(n)) in claimed:
+                        n += 1
+                    made = parent + d["name"] + mark(n)
+                    held[key(made)] = "directory"
+                    claimed[key(made)] = groups[parent, d["group"]] = made
+                    folders.add((b, made))
+                parent = groups[parent, d["group"]] + "/"
+            stem, n = path.rsplit("/", 1)[-1][:-3], 0
+            while key(f"{parent}{stem}{mark(n)}.md") in held:
+                n += 1
+            want[b, k] = f"{parent}{stem}{mark(n)}.md"
+            held[key(want[b, k])] = "file"
+    df = spark.createDataFrame(requests, "batch int, ord int, path string, directories array<struct<name:string,group:string>>")
+    tree = plan_tree(df, spark.createDataFrame(taken, "batch int, path string, kind string"))
+    assert {(r.batch, r.ord): r.output for r in tree.outputs.collect()} == want
+    assert {(r.batch, r.output) for r in tree.directories.collect()} == folders and tree.problems.count() == 0
+
+
+def test_output_tree_problems(spark):
+    from kotonoha.plans.outputs import plan_outputs, plan_tree
+
+    paths = ["../x.md", "/x.md", "C:x.md", "a//x.md", "a\\..\\x.md", "x.long", "", None, "a/\x01.md"]
+    rows = [(k, 0, "fine.md") for k in range(len(paths))] + [(k, 1, p) for k, p in enumerate(paths)] + [(99, 0, "著者/題.md"), (99, 1, "著者/別.TXT"), (98, 0, "work_converted.md")]
+    none = spark.createDataFrame([(99, "著者", "file"), (98, "work_converted.md", "file")], "batch int, path string, kind string")
+    tree = plan_tree(spark.createDataFrame(rows, "batch int, ord int, path string"), none)
+    assert {(r.batch, r.output) for r in tree.outputs.collect()} == {(99, "著者_converted/題.md"), (99, "著者_converted/別.txt"), (98, "work_converted_converted.md")}
+    assert sorted((r.batch, r.ord) for r in tree.problems.collect()) == [(k, 1) for k in range(len(paths))]
+    empty = spark.createDataFrame([], "batch int, ord int, path string")
+    assert plan_tree(empty, none).outputs.count() == 0 and plan_outputs(empty, none).count() == 0
