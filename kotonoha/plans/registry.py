@@ -6,6 +6,8 @@ SQL states the expected text directly.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +20,12 @@ from kotonoha.operators.preview import directives, outline, ruby_spans, upright_
 from kotonoha.operators.ranges import notes_by_protection
 from kotonoha.operators.spans import note_pairs
 from kotonoha.plans import jobs
+from kotonoha.plans.budgets import Limits, budget_account
 from kotonoha.plans.archives import archive_problems, plan_archives
 from kotonoha.plans.exports import artifact_problems
 from kotonoha.plans.imports import identity_problems, requested_path
-from kotonoha.plans.outputs import plan_outputs
+from kotonoha.plans.outputs import plan_outputs, plan_tree
+from kotonoha.sources.archives import archive_parts, entry_places
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -501,3 +505,50 @@ def upright_spans_query(spark, sf_dir):
     """Upright runs of a row between prose and code."""
     runs = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("p_size") % 3).cast("int")), lambda k: F.concat(F.lit("第｟"), (F.col("p_size") + k).cast("string"), F.lit("｠`｟99｠`"))), "、")
     return upright_spans(with_lines(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.col("p_name"), F.lit("\n"), runs, F.lit("\n```\n｟1｠\n```")).alias("text"))))
+
+
+@query("output_tree", """WITH t AS (SELECT *, p_partkey % 7 = 0 AS deep FROM part),
+ m AS (SELECT p_brand, p_type, min(p_partkey) AS m FROM t WHERE NOT deep GROUP BY 1, 2), g AS (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY m) - 1 AS k FROM m),
+ f AS (SELECT p_partkey, replace(p_brand, '#', '-') || CASE WHEN p_brand IN ('Brand#11', 'Brand#23') THEN '_converted' ELSE '' END || '/' || CASE WHEN deep THEN '' ELSE 'n' || CASE k WHEN 0 THEN '' WHEN 1 THEN '_converted' ELSE '_converted' || k END || '/' END AS folder, p_name FROM t LEFT JOIN g USING (p_brand, p_type))
+ SELECT p_partkey AS ord, folder || p_name || CASE n WHEN 0 THEN '' WHEN 1 THEN '_converted' ELSE '_converted' || n END || '.md' AS output FROM (SELECT *, row_number() OVER (PARTITION BY folder, p_name ORDER BY p_partkey) - 1 AS n FROM f)""")
+def output_tree(spark, sf_dir):
+    """Files in a folder for each brand, and in it one for each type that all want the same name; two brands' names are files already."""
+    one = lambda name, group: F.struct(name.alias("name"), group.alias("group"))
+    brand = F.translate("p_brand", "#", "-")
+    both = F.array(one(brand, F.col("p_brand")), one(F.lit("n"), F.col("p_type")))
+    rows = table(spark, sf_dir, "part").select(F.lit(1).alias("batch"), F.col("p_partkey").alias("ord"), cat("p_brand", "'/", "p_name", "'.md").alias("path"), F.when(F.col("p_partkey") % 7 == 0, F.slice(both, 1, 1)).otherwise(both).alias("directories"))
+    taken = rows.select("batch", F.regexp_extract("path", r"\A([^/]*)", 1).alias("brand")).distinct().filter("brand in ('Brand#11', 'Brand#23')").select("batch", F.translate("brand", "#", "-").alias("path"), F.lit("file").alias("kind"))
+    return plan_tree(rows, taken).outputs.select("ord", "output")
+
+
+@query("archive_places", """WITH d AS (SELECT lang, doc_id, strlen(coalesce(text, '')) AS n, strlen(lang || '/' || doc_id || '.md') AS k FROM documents)
+ SELECT lang AS batch, doc_id AS ord, CAST(sum(n + k + 46) OVER w - (n + k + 46) AS BIGINT) AS "at", CAST(sum(k + 46) OVER w - (k + 46) AS BIGINT) AS listed_at FROM d WINDOW w AS (PARTITION BY lang ORDER BY doc_id)""")
+def archive_places(spark, sf_dir):
+    """Where each document goes in the archive of its language, and its listing in the directory."""
+    files = table(spark, sf_dir, "documents").select(F.col("lang").alias("batch"), F.col("doc_id").alias("ord"), cat("lang", "'/", "doc_id", "'.md").alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    return entry_places(files).select("batch", "ord", "at", "listed_at")
+
+
+@query("archive_sizes", """WITH d AS (SELECT lang, strlen(coalesce(text, '')) AS n, strlen(lang || '/' || doc_id || '.md') AS k FROM documents)
+ SELECT lang AS batch, CAST(sum(n + 2 * k + 92) + 22 AS BIGINT) AS size, CAST(sum(n + 2 * k + 92) + 22 AS BIGINT) AS written FROM d GROUP BY lang""")
+def archive_sizes(spark, sf_dir):
+    """Archives of whole texts by language, assembled in parts: the size that is planned and the bytes that are made."""
+    files = table(spark, sf_dir, "documents").select(F.col("lang").alias("batch"), F.col("doc_id").alias("ord"), cat("lang", "'/", "doc_id", "'.md").alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    parts, manifest = archive_parts(files, part=1 << 20)
+    made = parts.groupBy("batch").agg(F.sum(F.octet_length("bytes")).alias("written"))
+    return manifest.join(made, "batch").select("batch", "size", "written")
+
+
+@query("nested_budgets", """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, max(l_quantity) AS q, count(*) AS c FROM lineitem GROUP BY ALL HAVING count(*) = 1),
+ u AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY n) AS k FROM l), b AS (SELECT *, CASE WHEN k > 5 THEN 'archive_entries' WHEN q > 48 THEN 'text_bytes' END AS own FROM u),
+ r AS (SELECT *, coalesce(count(own) OVER (PARTITION BY o ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS seen FROM b),
+ s AS (SELECT *, sum(CASE WHEN seen AND own IS DISTINCT FROM 'archive_entries' THEN CAST(q AS BIGINT) ELSE 0 END) OVER (ORDER BY o, n) AS used FROM r),
+ e AS (SELECT *, coalesce(bool_or(seen AND used > 250000 AND own IS DISTINCT FROM 'archive_entries') OVER (ORDER BY o, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM s)
+ SELECT CASE WHEN over OR NOT seen THEN 'unread' WHEN (used > 250000 AND own IS DISTINCT FROM 'archive_entries') OR own IS NOT NULL THEN 'breach' ELSE 'fits' END AS status, CASE WHEN over OR NOT seen THEN NULL WHEN used > 250000 AND own IS DISTINCT FROM 'archive_entries' THEN 'declared_bytes' ELSE own END AS reason, count(*) AS n FROM e GROUP BY ALL""")
+def nested_budgets(spark, sf_dir):
+    """Orders as archives of their lines: limits on an archive's entries, on a text and on the whole job."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"), F.count("*").alias("c")).filter("c = 1")
+    zero = F.lit(0)
+    rows = lines.select(F.col("l_orderkey").alias("input_ord"), F.col("l_linenumber").alias("entry_ord"), zero.alias("filename_bytes"), F.col("q").cast("bigint").alias("declared"), zero.alias("expanded"), F.col("q").cast("bigint").alias("text_bytes"), zero.alias("output"), zero.alias("elapsed_ms"))
+    limits = replace(Limits.none(), archive_entries=5, text_bytes=48, declared_bytes=250_000)
+    return budget_account(rows, limits).groupBy("status", F.col("breach.reason").alias("reason")).agg(F.count("*").alias("n"))

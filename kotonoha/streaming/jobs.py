@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kotonoha.plans.jobs import job_stats
 
@@ -26,44 +27,46 @@ def event_counts(events: DataFrame, time: str = "ts", window: str = "1 day", del
     return distinct_events(events, time, delay).groupBy(F.window(time, window), "type").count()
 
 
-class _Account(StatefulProcessor):
-    """A file's state: the kinds of events that have counted once, and the attempts that have failed.
-
-    Each is forgotten when a file has not been heard of for the time to live; until then a replay counts for nothing, however late it comes."""
-
-    def __init__(self, keep_ms: int | None):
-        self.keep_ms = keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "type string, attempt string", "seen boolean", self.keep_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for frame in rows:
-            for e in frame.sort_values("ord").itertuples():
-                once = e.type in ("WriteCommitted", "Skipped", "Cancelled")  # these count once a file, failures once an attempt
-                mark = (e.type, "" if once else e.attempt_id)
-                if e.type is None or self.seen.containsKey(mark):
-                    continue
-                self.seen.updateValue(mark, (True,))
-                done, left = e.type == "WriteCommitted", int(e.remaining) if e.remaining == e.remaining and e.remaining is not None else 0
-                out.append((done, e.type == "Skipped", e.type in ("WriteFailed", "ArchiveFailed"), done and left > 0, left if done else 0, e.type == "Cancelled", done and e.delivery == "browser-artifact", done and e.delivery != "browser-artifact"))
-        if out:
-            total = pd.DataFrame(out, columns=COUNTS).astype("int64").sum()
-            yield pd.DataFrame([{"file_id": key[0], **total.to_dict()}])
-
-    def close(self) -> None:
-        pass
-
-
 def account_changes(events: DataFrame, keep: str | None = "30 days") -> DataFrame:
     """(file_id, counts): what each file's new events add to the account, of a stream of (ord, type, file_id, attempt_id, delivery, remaining).
 
-    The first commit of a file counts, whether others come later or again, also beyond any watermark; keep bounds the state: a file's
-    events are remembered for so long (None: for ever). Needs the RocksDB state store."""
+    A file's state are the kinds of events that have counted once, and the attempts that have failed. The first commit of a file counts,
+    whether others come later or again, also beyond any watermark. keep bounds the state: it goes when a file has not been heard of for so long
+    (None: never). Such a query runs on to let states go, so it takes a trigger of its own pace, not availableNow; late events are not
+dropped, as the time is that of the clock. A state is handed over once a batch, not once an event."""
     ms = None if keep is None else int(pd.Timedelta(keep).total_seconds() * 1000)
+
+    def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen = set(json.loads(state.get[0])) if state.exists else set()
+        total = dict.fromkeys(COUNTS, 0)
+        for e in pd.concat(frames).sort_values("ord").itertuples():
+            once = e.type in ("WriteCommitted", "Skipped", "Cancelled")  # these count once a file, failures once an attempt
+            mark = e.type if once else f"{e.type} {e.attempt_id}"
+            if e.type is None or mark in seen:
+                continue
+            seen.add(mark)
+            total["files_skipped"] += e.type == "Skipped"
+            total["cancelled_files"] += e.type == "Cancelled"
+            total["errors"] += e.type in ("WriteFailed", "ArchiveFailed")
+            if e.type == "WriteCommitted":
+                left = 0 if pd.isna(e.remaining) else int(e.remaining)
+                total["files_converted"] += 1
+                total["files_with_remaining_notes"] += left > 0
+                total["remaining_notes"] += left
+                total["artifact_files" if e.delivery == "browser-artifact" else "saved_files"] += 1
+        state.update((json.dumps(sorted(seen)),))
+        if ms:
+            state.setTimeoutDuration(ms)
+        if any(total.values()):
+            yield pd.DataFrame([{"file_id": key[0], **total}])
+
     thin = events.select("ord", "type", "file_id", "attempt_id", "delivery", "remaining")
-    return thin.groupBy("file_id").transformWithStateInPandas(_Account(ms), f"file_id {events.schema['file_id'].dataType.simpleString()}, {_DELTA}", "Append", "ProcessingTime" if ms else "None")
+    out = f"file_id {events.schema['file_id'].dataType.simpleString()}, {_DELTA}"
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ms else GroupStateTimeout.NoTimeout
+    return thin.groupBy("file_id").applyInPandasWithState(fold, out, "seen string", "append", timeout)
 
 
 def fold_into(events: DataFrame, path: str, checkpoint: str, keep: str | None = "30 days"):

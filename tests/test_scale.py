@@ -115,7 +115,6 @@ def test_source_budgets(spark):
 
 def test_stream_counts_replays_and_late_events_once(spark, tmp_path):
     rng = random.Random(3)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kinds = ("WriteCommitted", "WriteFailed", "Skipped", "Cancelled", "ArchiveFailed")
     rows = [(k, rng.choice(kinds), f"f{rng.randrange(12)}", str(rng.randrange(2)), rng.choice(("saved", "browser-artifact")), rng.randrange(3)) for k in range(90)]
     schema = "ord int, type string, file_id string, attempt_id string, delivery string, remaining long"
@@ -123,7 +122,7 @@ def test_stream_counts_replays_and_late_events_once(spark, tmp_path):
         now = rows[45 * part : 45 * part + 45] + (rows[:30] if part else [])
         spark.createDataFrame(now, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "events"))
-        fold_into(stream, str(tmp_path / "out"), str(tmp_path / "check"), keep="10 days").trigger(availableNow=True).start().awaitTermination(240)
+        fold_into(stream, str(tmp_path / "out"), str(tmp_path / "check"), keep=None).trigger(availableNow=True).start().awaitTermination(240)
     want = jobs.job_stats(spark.createDataFrame(rows, schema)).first().asDict()
     assert account(spark, str(tmp_path / "out")).first().asDict() == want
 
