@@ -132,7 +132,7 @@ def test_stream(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "events"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "events"))
     assert distinct_events(stream).isStreaming
-    query = fold_into(stream, str(tmp_path / "out"), str(tmp_path / "check")).trigger(availableNow=True).start()
+    query = fold_into(stream, str(tmp_path / "out"), str(tmp_path / "check"), keep=None).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert account(spark, str(tmp_path / "out")).first().files_converted == 3
 
