@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from kotonoha.llm.common import documents, text_rows
 
+RESERVED = "Proprietary"
 #: Normalised sentences of public licence notices and their identifiers.
 SENTENCES = {
     "released under the mit license": "MITref",
@@ -113,7 +114,7 @@ RULES = (
     ("CC-BY-4.0", ("CCBY4ref",)),
     ("CC0-1.0", ("CC0ref",)),
     ("Public-Domain", ("PDref",)),
-    ("Proprietary", ("AllRights",)),
+    (RESERVED, ("AllRights",)),
 )
 #: Sentences of published notices that the marks of punctuation within them cut as here.
 PUBLISHED = {
@@ -142,6 +143,8 @@ NAMED = {
     "(?:cc by sa 4 0|creative commons attribution sharealike 4 0 international)(?: license)?": "CCBYSA4ref",
     "(?:cc by 4 0|creative commons attribution 4 0 international)(?: license)?": "CCBY4ref",
 }
+#: Sentences that name a holder, as patterns.
+HOLDERS = {"neither the name of [a-z0-9 ]{1,200}? nor the names of (?:its|their|any|other) contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSDname"}
 _REFERENCE = "(?:(?:this|the) (?:file|work|code|source code|software|program|project|package|library|module|document|repository) is )?(?:licensed|released|distributed|available|made available) under (?:the terms of )?(?:the |an |a )?"
 #: Rules for what only the tables above know, tried after the others.
 PUBLISHED_RULES = (
@@ -170,7 +173,7 @@ def normalised(sentence: Column) -> Column:
 def _patterns() -> dict[str, str]:
     """Patterns of the sentences of each identifier, blanks as blanks or line ends, the longest first."""
     known: dict[str, list[str]] = {}
-    for sentence, name in {**SENTENCES, **PUBLISHED, **{_REFERENCE + name: i for name, i in NAMED.items()}}.items():
+    for sentence, name in {**SENTENCES, **PUBLISHED, **HOLDERS, **{_REFERENCE + name: i for name, i in NAMED.items()}}.items():
         known.setdefault(name, []).append(sentence)
     return {name: "(?:" + "|".join(sorted(x, key=len, reverse=True)).replace(" ", "[ \\n]") + ")" for name, x in known.items()}
 
@@ -205,7 +208,10 @@ def find_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     rows = rows.withColumn("state", F.when(F.col("sequence").rlike("[A-Z]"), F.aggregate(rules, zero, step)).otherwise(zero))
     rest = F.array_join(F.regexp_extract_all(F.col("state.rest"), F.lit("<([A-Za-z][^>]*)>"), F.lit(1)), "|")
-    return rows.select("doc_id", "sequence", F.array_distinct("state.found").alias("licenses"), F.when(rest == "", "|").otherwise(F.concat(F.lit("|"), rest, F.lit("|"))).alias("rest"))
+    found = F.array_distinct("state.found")
+    # reserved rights stand in the notice of most licences, and make a text proprietary only where there is no other
+    found = F.when(F.size(found) > 1, F.array_remove(found, RESERVED)).otherwise(found)
+    return rows.select("doc_id", "sequence", found.alias("licenses"), F.when(rest == "", "|").otherwise(F.concat(F.lit("|"), rest, F.lit("|"))).alias("rest"))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +242,7 @@ ids AS (SELECT doc_id, list(coalesce(id, '-') ORDER BY pos) AS ids, count(id) AS
 seq AS (SELECT doc_id, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN ids ELSE [] END AS s0 FROM documents LEFT JOIN ids USING (doc_id)),
 {", ".join(steps)}
 SELECT doc_id, CAST(n AS INTEGER) AS n_known,
-  array_to_string(list_filter([{listed}], lambda x, i: x IS NOT NULL AND list_position([{listed}], x) = i), ',') AS licenses,
+  array_to_string(list_filter([{listed}], lambda x, i: x IS NOT NULL AND list_position([{listed}], x) = i AND (x <> '{RESERVED}' OR len(list_filter([{listed}], lambda y: y <> '{RESERVED}')) = 0)), ',') AS licenses,
   '|' || array_to_string(list_transform(list_filter(s{len(RULES)}, lambda x: x NOT IN ('-', '.')), lambda x: x || '|'), '') AS rest
 FROM {last}"""
 
