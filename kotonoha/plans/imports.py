@@ -12,6 +12,7 @@ from kotonoha.functions.names import sanitize_filename
 from kotonoha.functions.text import file_id
 from kotonoha.operators.convert import Options, convert, with_remaining
 from kotonoha.operators.notes import apart
+from kotonoha.plans.budgets import Limits
 from kotonoha.plans.jobs import batch_status, job_stats, outcome_events
 from kotonoha.plans.outputs import plan_outputs
 from kotonoha.session import written
@@ -71,12 +72,12 @@ def requested_path(name: Column, naming: Column, from_naming: bool, extension: s
     return F.when(named, F.concat(sanitize_filename(naming["author"]), F.lit("/"), sanitize_filename(naming["title"], extension))).otherwise(own)
 
 
-def prepare_import(sources: DataFrame, options: Options = Options(), encoding: str = "auto", extension: str = "md", by_author: bool = False) -> Imported:
-    """Decodes, converts and plans every text of the sources (see sources.files.read_sources).
+def prepare_import(sources: DataFrame, options: Options = Options(), encoding: str = "auto", extension: str = "md", by_author: bool = False, limits: Limits = Limits()) -> Imported:
+    """Decodes, converts and plans every text of the sources (see sources.files.read_sources). limits: on an archive's entries, what they declare, and a text.
 
     A text that fails takes only itself out. Decoded texts and conversions are written once, as
     several tables are made of them."""
-    decoded = written(texts(sources, encoding).withColumn("file_id", F.when(F.col("index").isNull(), file_id("input_id")).otherwise(file_id("input_id", "index"))), "import-texts")
+    decoded = written(texts(sources, encoding, limits).withColumn("file_id", F.when(F.col("index").isNull(), file_id("input_id")).otherwise(file_id("input_id", "index"))), "import-texts")
     good = decoded.filter("code is null").select("file_id", "text")
     done = written(with_remaining(convert(good, options, "file_id")), "import-converted")
     rows = decoded.select("file_id", "input_id", "index", "name", "encoding", "bom").join(done, "file_id")
@@ -91,7 +92,7 @@ def prepare_import(sources: DataFrame, options: Options = Options(), encoding: s
     read = decoded.join(done.select("file_id", "remaining_notes"), "file_id", "left")
     kind = F.when(F.col("index").isNull() & ~F.lower("name").rlike(r"\.(md|txt)\z"), "zip").otherwise("text")
     outcome = read.select("input_id", "index", "file_id", kind.alias("kind"), F.when(F.col("code").isNull(), "ready").otherwise("failed").alias("status"), "code", F.col("code").isNull().alias("ready"), F.coalesce("remaining_notes", F.lit(0).cast("bigint")).alias("remaining"))
-    ignored = entries(sources).filter("content is null and problem is null").select("input_id", "index", file_id("input_id", "index").alias("file_id"), F.lit("text").alias("kind"), F.lit("ignored").alias("status"), F.lit(None).cast("string").alias("code"), F.lit(False).alias("ready"), F.lit(0).cast("bigint").alias("remaining"))
+    ignored = entries(sources, limits).filter("content is null and problem is null").select("input_id", "index", file_id("input_id", "index").alias("file_id"), F.lit("text").alias("kind"), F.lit("ignored").alias("status"), F.lit(None).cast("string").alias("code"), F.lit(False).alias("ready"), F.lit(0).cast("bigint").alias("remaining"))
     outcomes = written(outcome.unionByName(ignored), "import-outcomes")
     account = job_stats(outcome_events(outcomes.withColumn("ord", F.struct("input_id", "index"))))
     return Imported(artifacts, outcomes, batch_status(outcomes.filter("status <> 'ignored'")), account)

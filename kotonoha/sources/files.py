@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 
 from kotonoha.functions.decode import decode_text
 from kotonoha.functions.names import zip_entry_problem, zip_relative_name
-
-#: Limits on an archive's entries, their declared and their text bytes.
-ENTRIES, DECLARED, TEXT = 2_000, 128 << 20, 16 << 20
+from kotonoha.plans.budgets import Limits
 
 
 def read_sources(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
@@ -28,8 +26,11 @@ def read_sources(spark: SparkSession, path: str, recursive: bool = True) -> Data
     return files.filter((F.col("kind") != "") & ~F.col("name").rlike(r"_converted\d*\.[^.]*\z"))
 
 
-def entries(sources: DataFrame) -> DataFrame:
-    """(input_id, index, raw_name, name, mode, size, content, problem) of the archives' entries; content of text entries only."""
+def entries(sources: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(input_id, index, raw_name, name, mode, size, content, problem) of the archives' entries; content of text entries only.
+
+    Of limits hold those on an archive's entries, on what they declare together and on a text; None is no limit."""
+    over = lambda value, limit: limit is not None and value > limit
 
     def run(batches):
         for b in batches:
@@ -38,12 +39,12 @@ def entries(sources: DataFrame) -> DataFrame:
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         infos = z.infolist()
-                        if len(infos) > ENTRIES or sum(i.file_size for i in infos) > DECLARED:
+                        if over(len(infos), limits.archive_entries) or over(sum(i.file_size for i in infos), limits.declared_bytes):
                             rows.append((0, "", 0, 0, None, "LIMIT_EXCEEDED"))
                             infos = []
                         for k, i in enumerate(infos):
                             text = i.filename.lower().endswith((".txt", ".md"))
-                            problem = "ZIP_UNSUPPORTED" if i.flag_bits & 1 or text and i.compress_type not in (0, 8) else "LIMIT_EXCEEDED" if text and i.file_size > TEXT else None
+                            problem = "ZIP_UNSUPPORTED" if i.flag_bits & 1 or text and i.compress_type not in (0, 8) else "LIMIT_EXCEEDED" if text and over(i.file_size, limits.text_bytes) else None
                             rows.append((k, i.orig_filename, i.external_attr >> 16, i.file_size, z.read(i) if text and not problem else None, problem))
                 except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, UnicodeDecodeError):
                     rows = [(0, "", 0, 0, None, "ZIP_INVALID")]
@@ -56,10 +57,11 @@ def entries(sources: DataFrame) -> DataFrame:
     return found.withColumn("problem", F.coalesce("problem", unsafe)).withColumn("name", zip_relative_name(F.col("raw_name")))
 
 
-def texts(sources: DataFrame, encoding: str = "auto") -> DataFrame:
+def texts(sources: DataFrame, encoding: str = "auto", limits: Limits = Limits()) -> DataFrame:
     """(input_id, index, name, text, encoding, bom, code): the texts of loose files (index null) and of archive entries."""
-    loose = sources.filter("kind in ('txt', 'md')").select("input_id", F.lit(None).cast("int").alias("index"), "name", "content", F.lit(None).cast("string").alias("problem"))
-    packed = entries(sources).filter("content is not null or problem is not null").select("input_id", "index", "name", "content", "problem")
+    long = F.col("length") > limits.text_bytes if limits.text_bytes is not None else F.lit(False)
+    loose = sources.filter("kind in ('txt', 'md')").select("input_id", F.lit(None).cast("int").alias("index"), "name", F.when(~long, F.col("content")).alias("content"), F.when(long, "LIMIT_EXCEEDED").alias("problem"))
+    packed = entries(sources, limits).filter("content is not null or problem is not null").select("input_id", "index", "name", "content", "problem")
     rows = loose.unionByName(packed).withColumn("d", decode_text(F.coalesce("content", F.lit(b"")), F.lit(encoding)))
     value = lambda c: F.when(F.col("problem").isNull(), F.col(f"d.{c}")).alias(c)
     return rows.select("input_id", "index", "name", value("text"), value("encoding"), value("bom"), F.coalesce("problem", "d.code").alias("code"))

@@ -14,7 +14,8 @@ from kotonoha.plans import jobs
 from kotonoha.plans.exports import ExportLimits, artifact_problems, checked
 from kotonoha.plans.imports import ImportLimits, first_breach, identity_problems, prepare_import
 from kotonoha.plans.outputs import plan_outputs
-from kotonoha.sources.files import entries, export_archives, read_sources
+from kotonoha.plans.budgets import Limits
+from kotonoha.sources.files import entries, export_archives, read_sources, texts
 from kotonoha.streaming.jobs import account, distinct_events, fold_into
 
 
@@ -118,7 +119,11 @@ def test_import(spark, tmp_path):
     assert sorted(r.name for r in sources.collect()) == ["a.txt", "b.md", "bad.zip", "pack.zip"]
     assert {(r.raw_name, r.problem) for r in entries(sources).collect()} == {("dir/one.txt", None), ("skip.png", None), ("", "ZIP_INVALID")}
     assert identity_problems(sources, ImportLimits()).count() == 0 and identity_problems(sources, ImportLimits(sources=3)).first().code == "LIMIT_EXCEEDED"
-    done = prepare_import(sources)
+    tight = entries(sources, Limits(archive_entries=1)).collect()
+    assert {(r.raw_name, r.problem) for r in tight} == {("", "LIMIT_EXCEEDED"), ("", "ZIP_INVALID")}
+    assert {r.problem for r in entries(sources, Limits.none()).collect()} == {None, "ZIP_INVALID"}
+    assert {(r.name, r.code) for r in texts(sources, limits=Limits(text_bytes=30)).collect() if r.name == "a.txt"} == {("a.txt", "LIMIT_EXCEEDED")}
+    done = prepare_import(sources, limits=Limits.none())
     got = {r.path: (r.text, r.remaining_notes) for r in done.artifacts.collect()}
     assert got == {"a.md": ("---\ntitle: 題\nauthor: 人\n---\n\nA［＃不明］", 1), "pack/dir/one.md": ("**青**", 0)}
     assert sorted((r.status, r.code or "") for r in done.outcomes.collect()) == [("failed", "UNSUPPORTED_ENCODING"), ("failed", "ZIP_INVALID"), ("ignored", ""), ("ready", ""), ("ready", "")]
