@@ -178,7 +178,8 @@ def annotation_blocks(df: DataFrame) -> DataFrame:
     df = df.withColumn("__lines", F.when(F.col("__inside").isNotNull(), kept).otherwise(F.col("lines")))
     df = df.withColumn("blocks_removed", F.when(even, (F.col("__n") / 2).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     df = df.withColumn("blocks_unclosed", F.col("__n") % 2 == 1).drop("lines", "__n", "__inside", "__mark").withColumnRenamed("__lines", "lines")
-    return apart(apart(df).withColumn("shield", shielded(F.col("lines"))))
+    told = F.when(F.col("blocks_unclosed"), F.array(F.struct(F.lit("annotationBlocks").alias("stage"), F.lit("UNCLOSED_ANNOTATION_BLOCK").alias("code"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("reason"))))
+    return apart(apart(add_diagnostics(df, told)).withColumn("shield", shielded(F.col("lines"))))
 
 
 def _date(line: Column) -> Column:

@@ -77,8 +77,13 @@ def convert(df: DataFrame, options: Options = Options(), id_col: str = "doc_id",
 
 
 def with_remaining(converted: DataFrame) -> DataFrame:
-    """Adds remaining_notes, how many notes a converted text still has, counted within the row."""
-    return with_lines(converted, names=("__noted", "__lines", "__shield")).withColumn("remaining_notes", remaining("__noted", "__lines", "__shield")).drop("__noted", "__lines", "__shield")
+    """Adds remaining_notes, how many notes a converted text still has, counted within the row; they are told in the diagnostics as well, with their number as the reason."""
+    done = with_lines(converted, names=("__noted", "__lines", "__shield")).withColumn("remaining_notes", remaining("__noted", "__lines", "__shield")).drop("__noted", "__lines", "__shield")
+    if "diagnostics" not in done.columns:
+        return done
+    n = F.col("remaining_notes")
+    told = F.when(n > 0, F.array(F.struct(F.lit("residual").alias("stage"), F.lit("REMAINING_AOZORA_NOTES").alias("code"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("note"), n.cast("string").alias("reason"))))
+    return inline.add_diagnostics(apart(done), told)
 
 
 def events(converted: DataFrame, id_col: str = "doc_id") -> DataFrame:
