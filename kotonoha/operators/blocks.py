@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kotonoha.functions.text import fullwidth_digits, is_delimiter, strip
-from kotonoha.operators.inline import add_diagnostics
+from kotonoha.operators.inline import told
 from kotonoha.operators.notes import apart, folded, shielded
 
 _B, _E = r"\A[ \t　]*", r"[ \t　\r]*\z"
@@ -27,11 +27,11 @@ def _fold(df: DataFrame, step, counters: tuple[str, ...], prefix: str) -> DataFr
     """Runs step(state, line, shield, next line that is not blank, next line) -> [<rows, open, existing, counter>] over the lines; an open block is closed at the end."""
     zero = _state(open=F.lit(""), existing=F.lit(False), **{c: F.lit(0).cast("bigint") for c in counters})
     # what comes next is found once, from the last line back; texts without a note opener need neither pass
-    df = apart(df.withColumn("__back", F.when(F.col("noted"), F.reverse(F.transform("lines", strip)))))
+    df = apart(df, __back=F.when(F.col("noted"), F.reverse(F.transform("lines", strip))))
     nexts = folded(F.col("__back"), F.lit("").cast("string"), lambda s, line: (F.when(line != "", line).otherwise(s), s), "string")
-    df = apart(df.withColumn("__next", F.when(F.col("noted"), F.reverse(nexts))).drop("__back"))
+    df = apart(df, ("__back",), __next=F.when(F.col("noted"), F.reverse(nexts)))
     rows = F.transform(F.arrays_zip("lines", "shield", "__next"), lambda r, i: F.struct(r["lines"].alias("line"), r["shield"].alias("shield"), r["__next"].alias("next"), F.coalesce(F.get(F.col("lines"), i + 1), F.lit("")).alias("direct")))
-    df = apart(df.withColumn("__rows", F.when(F.col("noted"), rows)).drop("__next"))
+    df = apart(df, ("__next",), __rows=F.when(F.col("noted"), rows))
 
     def one(s: Column, r: Column) -> Column:
         done = step(s, r["line"], r["shield"], r["next"], r["direct"])
@@ -39,11 +39,11 @@ def _fold(df: DataFrame, step, counters: tuple[str, ...], prefix: str) -> DataFr
         return F.transform(done, lambda x: _state(state=state(x), value=x["rows"]))
 
     done = folded(F.col("__rows"), zero, one, "array<string>", finish=lambda s, out: _state(state=s, out=out))
-    df = apart(df.withColumn("__s", F.when(F.col("noted"), done)).drop("__rows"))
-    df = apart(df.withColumn("__out", F.flatten("__s.out")))
-    ended = F.when(F.col("__s.state.open") != "", F.array_append("__out", F.lit(":::"))).otherwise(F.col("__out"))
-    df = df.withColumn("lines", F.coalesce(ended, "lines")).withColumns({f"{prefix}_{c}": F.coalesce(F.col(f"__s.state.{c}"), F.lit(0).cast("bigint")) for c in counters}).drop("__s", "__out")
-    return apart(apart(df).withColumn("shield", F.when(F.col("noted"), shielded(F.col("lines"))).otherwise(F.col("shield"))))
+    df = apart(df, ("__rows",), __s=F.when(F.col("noted"), done))
+    last = F.when(F.col("__s.state.open") != "", F.array(F.lit(":::"))).otherwise(F.array().cast("array<string>"))
+    ended = F.concat(F.flatten("__s.out"), last)
+    df = apart(df, ("__s",), lines=F.coalesce(ended, "lines"), **{f"{prefix}_{c}": F.coalesce(F.col(f"__s.state.{c}"), F.lit(0).cast("bigint")) for c in counters})
+    return apart(df, shield=F.when(F.col("noted"), shielded(F.col("lines"))).otherwise(F.col("shield")))
 
 
 def _rows(*xs: Column | str) -> Column:
@@ -169,17 +169,18 @@ def annotation_blocks(df: DataFrame) -> DataFrame:
     """Blocks between pairs of rows of hyphens go; an odd number of such rows leaves the text as it is."""
     rows = F.arrays_zip("lines", "shield")
     is_mark = lambda r: is_delimiter(r["lines"]) & ~r["shield"]
-    df = apart(df.withColumn("__n", F.size(F.filter(rows, is_mark))))
+    df = apart(df, __n=F.size(F.filter(rows, is_mark)))
     even = (F.col("__n") % 2 == 0) & (F.col("__n") > 0)
-    df = apart(df.withColumn("__mark", F.when(even, F.transform(rows, is_mark))))
+    df = apart(df, __mark=F.when(even, F.transform(rows, is_mark)))
     inside = folded(F.col("__mark"), F.lit(False), lambda s, mark: (s != mark, s | mark), "boolean")
-    df = apart(df.withColumn("__inside", F.when(even, inside)))
+    df = apart(df, ("__mark",), __inside=F.when(even, inside))
     kept = F.transform(F.filter(F.arrays_zip("lines", "__inside"), lambda r: ~r["__inside"]), lambda r: r["lines"])
-    df = df.withColumn("__lines", F.when(F.col("__inside").isNotNull(), kept).otherwise(F.col("lines")))
-    df = df.withColumn("blocks_removed", F.when(even, (F.col("__n") / 2).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    df = df.withColumn("blocks_unclosed", F.col("__n") % 2 == 1).drop("lines", "__n", "__inside", "__mark").withColumnRenamed("__lines", "lines")
-    told = F.when(F.col("blocks_unclosed"), F.array(F.struct(F.lit("annotationBlocks").alias("stage"), F.lit("UNCLOSED_ANNOTATION_BLOCK").alias("code"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("reason"))))
-    return apart(apart(add_diagnostics(df, told)).withColumn("shield", shielded(F.col("lines"))))
+    unclosed = F.col("__n") % 2 == 1
+    said = F.when(unclosed, F.array(F.struct(F.lit("annotationBlocks").alias("stage"), F.lit("UNCLOSED_ANNOTATION_BLOCK").alias("code"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("reason"))))
+    lines = F.when(F.col("__inside").isNotNull(), kept).otherwise(F.col("lines"))
+    removed = F.when(even, (F.col("__n") / 2).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    df = apart(df, ("__n", "__inside"), lines=lines, blocks_removed=removed, blocks_unclosed=unclosed, **told(df, said))
+    return apart(df, shield=shielded(F.col("lines")))
 
 
 def _date(line: Column) -> Column:
@@ -194,10 +195,9 @@ def _date(line: Column) -> Column:
 def footer(df: DataFrame, window: int = 400) -> DataFrame:
     """Cuts the text before the last safe footer start among the last rows; blank rows before it go too."""
     # a text without the closing row of a footer has none: its lines are not looked at one by one
-    df = df.withColumn("__n", F.size("lines"))
-    start = F.greatest(F.col("__n") - window, F.lit(0))
+    start = F.greatest(F.size("lines") - window, F.lit(0))
     some = F.exists("lines", lambda x: F.contains(x, F.lit(MADE)))
-    df = apart(df.withColumn("__tail", F.when(some, F.slice(F.arrays_zip("lines", "shield"), start + 1, F.lit(window))).otherwise(F.slice(F.arrays_zip("lines", "shield"), 1, 0))))
+    df = apart(df, __tail=F.when(some, F.slice(F.arrays_zip("lines", "shield"), start + 1, F.lit(window))).otherwise(F.slice(F.arrays_zip("lines", "shield"), 1, 0)))
     marked = lambda x: F.contains(x, F.lit("：")) | F.contains(x, F.lit(":"))
     flags = F.transform(
         "__tail",
@@ -211,21 +211,20 @@ def footer(df: DataFrame, window: int = 400) -> DataFrame:
             (r["shield"] | is_delimiter(r["lines"])).alias("stop"),
         ),
     )
-    df = apart(df.withColumn("__f", flags).drop("__tail"))
+    df = apart(df, ("__tail",), __f=flags)
     last = lambda name: F.array_max(F.transform(F.filter("__f", lambda r: r["usable"] & r[name]), lambda r: r["i"]))
     stop = F.coalesce(F.array_max(F.transform(F.filter("__f", lambda r: r["stop"]), lambda r: r["i"])), F.lit(-1))
-    df = apart(df.withColumn("__stop", stop).withColumn("__limit", F.least(last("made"), last("who"))).withColumn("__both", last("made").isNotNull() & last("who").isNotNull()))
+    df = apart(df, __stop=stop, __limit=F.least(last("made"), last("who")), __both=last("made").isNotNull() & last("who").isNotNull())
     chosen = lambda name: F.array_max(F.transform(F.filter("__f", lambda r: r["usable"] & r[name] & (r["i"] > F.col("__stop")) & (r["i"] <= F.col("__limit"))), lambda r: r["i"]))
-    df = apart(df.withColumn("__at", F.when(F.col("__both"), F.coalesce(chosen("source"), chosen("end")))).drop("__stop", "__limit", "__both"))
+    df = apart(df, ("__stop", "__limit", "__both"), __at=F.when(F.col("__both"), F.coalesce(chosen("source"), chosen("end"))))
     kept = F.slice("lines", F.lit(1), F.col("__at"))
     body = F.array_max(F.transform(F.filter(F.transform(kept, lambda x, i: F.struct(i.alias("i"), strip(x).alias("x"))), lambda x: x["x"] != ""), lambda x: x["i"]))
     cut = F.when(body.isNull(), F.array(F.lit(""))).otherwise(F.array_append(F.slice("lines", F.lit(1), body + 1), F.lit("")))
-    df = df.withColumn("footer_removed", F.col("__at").isNotNull()).withColumn("__lines", F.when(F.col("__at").isNotNull(), cut).otherwise(F.col("lines")))
     # what looks like a footer and stays is told
     kept_back = F.col("__at").isNull() & F.exists("__f", lambda r: r["source"] | r["end"])
-    told = F.when(kept_back, F.array(F.struct(F.lit("footer").alias("stage"), F.lit("FOOTER_CANDIDATE_PRESERVED").alias("code"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("reason"))))
-    df = add_diagnostics(df, told).drop("lines", "__n", "__f", "__at").withColumnRenamed("__lines", "lines")
-    return apart(apart(df).withColumn("shield", shielded(F.col("lines"))))
+    said = F.when(kept_back, F.array(F.struct(F.lit("footer").alias("stage"), F.lit("FOOTER_CANDIDATE_PRESERVED").alias("code"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("reason"))))
+    df = apart(df, ("__f", "__at"), footer_removed=F.col("__at").isNotNull(), lines=F.when(F.col("__at").isNotNull(), cut).otherwise(F.col("lines")), **told(df, said))
+    return apart(df, shield=shielded(F.col("lines")))
 
 
 def line_table(df: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -67,9 +67,9 @@ def convert(df: DataFrame, options: Options = Options(), id_col: str = "doc_id",
         (o.page_breaks, lambda x: blocks.page_breaks(x, o.approximate_spread)),
     ]
     for on, stage in stages:
-        rows = apart(stage(rows)) if on else rows
+        rows = stage(rows) if on else rows
     # files are named by what stands in front before footers and annotation blocks go
-    rows = metadata.naming_of(rows).withColumnRenamed("naming", "__naming").drop("header", "body_line", "front", "front_end")
+    rows = metadata.naming_of(rows).drop("header", "body_line").withColumnRenamed("naming", "__naming")
     rows = blocks.footer(rows) if o.footer else rows
     rows = blocks.annotation_blocks(rows) if o.annotation_blocks else rows
     rows = metadata.add_front_matter(rows, o.keep_header, o.front_matter).drop("header", "body_line", "front", "front_end", "naming")
@@ -83,7 +83,8 @@ def with_remaining(converted: DataFrame) -> DataFrame:
         return done
     n = F.col("remaining_notes")
     told = F.when(n > 0, F.array(F.struct(F.lit("residual").alias("stage"), F.lit("REMAINING_AOZORA_NOTES").alias("code"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("note"), n.cast("string").alias("reason"))))
-    return inline.add_diagnostics(apart(done), told)
+    done = apart(done)
+    return done.withColumns(inline.told(done, told))
 
 
 def events(converted: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -61,30 +61,30 @@ def _around_code(line: Column, change: Callable[[Column], Column]) -> Column:
     return F.when(F.contains(line, F.lit("`")), F.flatten(parts)).otherwise(change(line))
 
 
-def add_counts(df: DataFrame, prefix: str, counts: dict[str, Column]) -> DataFrame:
-    """Adds to the stage's counters, which start at 0."""
+def counted(df: DataFrame, prefix: str, counts: dict[str, Column]) -> dict[str, Column]:
+    """The stage's counters, which start at 0, with counts added to them."""
+    there = set(df.columns)
     value = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
-    return df.withColumns({f"{prefix}_{k}": (F.col(f"{prefix}_{k}") + value(c)) if f"{prefix}_{k}" in df.columns else value(c) for k, c in counts.items()})
+    return {f"{prefix}_{k}": (F.col(f"{prefix}_{k}") + value(c)) if f"{prefix}_{k}" in there else value(c) for k, c in counts.items()}
 
 
-def add_diagnostics(df: DataFrame, found: Column) -> DataFrame:
-    """Appends (stage, code, line, note, reason) entries; lines count from 1 in the text as the stage saw it."""
+def told(df: DataFrame, found: Column) -> dict[str, Column]:
+    """The diagnostics with (stage, code, line, note, reason) entries appended; lines count from 1 in the text as the stage saw it."""
     found = F.coalesce(found, F.array()).cast(_DIAGNOSTICS)
-    return df.withColumn("diagnostics", F.concat("diagnostics", found) if "diagnostics" in df.columns else found)
+    return {"diagnostics": F.concat("diagnostics", found) if "diagnostics" in df.columns else found}
 
 
 def notes_pass(df: DataFrame, stage: str, each: Callable[[Column], Column], counters: tuple[str, ...], mask: str = "shield") -> DataFrame:
     """Runs each(line) -> pieces on the lines outside the mask that hold a note opener."""
     one = lambda line, hidden: F.when(~hidden & F.contains(line, F.lit("［＃")), each(line))
-    df = apart(df.withColumn("__p", F.when(F.col("noted"), F.zip_with("lines", mask, one))))
+    df = apart(df, __p=F.when(F.col("noted"), F.zip_with("lines", mask, one)))
     # few lines have pieces: counts and diagnostics look at no others
     flat = F.flatten(F.transform(F.filter(F.transform("__p", lambda ps, i: F.struct((i + 1).alias("line"), ps.alias("ps"))), lambda x: x["ps"].isNotNull()), lambda x: F.transform(F.filter(x["ps"], lambda p: p["kind"].isNotNull() | p["code"].isNotNull()), lambda p: F.struct(x["line"].alias("line"), p["kind"].alias("kind"), p["note"].alias("note"), p["code"].alias("code"), p["reason"].alias("reason")))))
     lines = F.zip_with("__p", "lines", lambda ps, line: F.when(ps.isNull(), line).otherwise(F.array_join(F.transform(ps, lambda p: p["text"]), "")))
-    df = apart(df.withColumn("__flat", flat).withColumn("lines", F.coalesce(lines, "lines")).drop("__p"))
+    df = apart(df, ("__p",), __flat=flat, lines=F.coalesce(lines, "lines"))
     said = F.transform(F.filter("__flat", lambda p: p["code"].isNotNull()), lambda p: F.struct(F.lit(stage).alias("stage"), p["code"].alias("code"), p["line"].alias("line"), p["note"].alias("note"), p["reason"].alias("reason")))
-    df = add_diagnostics(df, said)
     n = lambda kind: F.size(F.filter("__flat", lambda p: p["kind"] == kind))
-    return add_counts(df, stage, {c: F.when(F.col("__flat").isNotNull(), n(c)) for c in counters}).drop("__flat")
+    return apart(df, ("__flat",), **told(df, said), **counted(df, stage, {c: F.when(F.col("__flat").isNotNull(), n(c)) for c in counters}))
 
 
 def _on_notes(df: DataFrame, stage: str, pattern: str, convert: Callable[[Column, Column], Column], counters: tuple[str, ...], mask: str = "shield") -> DataFrame:
@@ -123,15 +123,15 @@ def _span(first, last, kind, verdict) -> Column:
 def _laid(df: DataFrame, some: Column, extra: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Adds __rows<i, line, shield, ...> for the documents that a pass over rows concerns, as a column that a fold can cut up."""
     rows = F.transform(F.arrays_zip("lines", "shield"), lambda r, i: F.struct(i.cast("int").alias("i"), r["lines"].alias("line"), r["shield"].alias("shield"), *(f(r["lines"]).alias(k) for k, f in extra.items())))
-    return apart(df.withColumn("__rows", F.when(some, rows)))
+    return apart(df, __rows=F.when(some, rows))
 
 
 def _spans(df: DataFrame, zero: Column, step, finish=None) -> DataFrame:
     """Adds __spans, the spans of rows that step() closes, and __cover, for each row the span that it lies in."""
     end = lambda state, out: F.concat(out, F.array(finish(state))) if finish else out
     found = folded(F.col("__rows"), zero, step, _SPAN, finish=lambda state, out: F.filter(end(state, out), lambda x: x.isNotNull()))
-    df = apart(df.withColumn("__spans", F.when(F.col("__rows").isNotNull(), found)).withColumn("__at", F.transform("__rows", lambda r: r["i"])))
-    return apart(df.withColumn("__cover", F.when(F.col("__spans").isNotNull(), covering(F.col("__at"), F.col("__spans"), _SPAN))).drop("__at"))
+    df = apart(df, __spans=F.when(F.col("__rows").isNotNull(), found), __at=F.transform("__rows", lambda r: r["i"]))
+    return apart(df, ("__at",), __cover=F.when(F.col("__spans").isNotNull(), covering(F.col("__at"), F.col("__spans"), _SPAN)))
 
 
 def gathered(df: DataFrame, stage: str, begins: str, ends: str, wrap: Callable[[Column, Column], Column], kind_of: Callable[[Column], Column], refused: Callable[[Column], Column], code: str) -> DataFrame:
@@ -164,16 +164,15 @@ def gathered(df: DataFrame, stage: str, begins: str, ends: str, wrap: Callable[[
         inner = F.when(blank, row(r["line"], F.lit(False), r["shield"])).otherwise(row(wrap(r["line"], c["kind"]), F.lit(True), F.lit(False)))
         return F.when(c.isNull(), row(r["line"], F.lit(False), r["shield"])).when(verdict == "good", F.when(~edge, inner)).otherwise(row(r["line"], F.lit(True), r["shield"]))
 
-    df = apart(df.withColumn("__out", F.filter(F.zip_with("__rows", "__cover", laid), lambda x: x.isNotNull())))
     kinds = F.transform("__spans", lambda x: F.when(x["verdict"] == "good", kind_of(x["kind"])).otherwise("unconverted"))
-    df = df.withColumn("__kinds", kinds)
+    df = apart(df, ("__rows", "__cover"), __out=F.filter(F.zip_with("__rows", "__cover", laid), lambda x: x.isNotNull()), __kinds=kinds)
     n = lambda k: F.size(F.filter("__kinds", lambda x: x == k))
     said = F.transform(F.filter("__spans", lambda x: x["verdict"] != "good"), lambda x: F.struct(F.lit(stage).alias("stage"), F.lit(code).alias("code"), (x["first"] + 1).alias("line"), F.lit(None).cast("string").alias("note"), F.lit("unsupported-block").alias("reason")))
-    df = add_diagnostics(df, said).withColumn("__done", F.coalesce(F.transform("__out", lambda r: r["done"] | r["shield"]), "shield"))
+    done = F.coalesce(F.transform("__out", lambda r: r["done"] | r["shield"]), "shield")
     counters = {"emphasis": ("bold", "italic", "unconverted"), "underline": ("converted", "approximated", "unconverted")}[stage]
-    df = add_counts(df, stage, {k: F.greatest(n(k), F.lit(0)) for k in counters})
-    df = df.withColumn("lines", F.coalesce(F.transform("__out", lambda r: r["text"]), "lines")).withColumn("shield", F.coalesce(F.transform("__out", lambda r: r["shield"]), "shield"))
-    return apart(df.drop("__rows", "__spans", "__cover", "__kinds", "__out"))
+    new = told(df, said) | counted(df, stage, {k: F.greatest(n(k), F.lit(0)) for k in counters})
+    lines, shield = F.coalesce(F.transform("__out", lambda r: r["text"]), "lines"), F.coalesce(F.transform("__out", lambda r: r["shield"]), "shield")
+    return apart(df, ("__spans", "__kinds", "__out"), __done=done, lines=lines, shield=shield, **new)
 
 
 def tcy(df: DataFrame) -> DataFrame:
@@ -371,9 +370,8 @@ def _joined_headings(df: DataFrame, begins: str) -> DataFrame:
 
     row = lambda text, shield: F.struct(text.alias("text"), shield.alias("shield"))
     laid = lambda r, c: F.when(c.isNull(), row(r["line"], r["shield"])).when(r["i"] == c["first"], row(joined(c["first"], c["last"]), F.lit(False)))
-    df = apart(df.withColumn("__out", F.filter(F.zip_with("__rows", "__cover", laid), lambda x: x.isNotNull())))
-    df = df.withColumn("lines", F.coalesce(F.transform("__out", lambda r: r["text"]), "lines"))
-    return df.withColumn("shield", F.coalesce(F.transform("__out", lambda r: r["shield"]), "shield")).drop("__rows", "__spans", "__cover", "__out")
+    df = apart(df, ("__rows", "__spans", "__cover"), __out=F.filter(F.zip_with("__rows", "__cover", laid), lambda x: x.isNotNull()))
+    return apart(df, ("__out",), lines=F.coalesce(F.transform("__out", lambda r: r["text"]), "lines"), shield=F.coalesce(F.transform("__out", lambda r: r["shield"]), "shield"))
 
 
 def character(inner: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kotonoha.functions.text import strip
-from kotonoha.operators.inline import add_diagnostics
+from kotonoha.operators.inline import told
 from kotonoha.operators.notes import apart, front_rows
 
 #: A scalar that YAML reads as the same plain string: no indicator in front, no separator inside, no word or number with a type.
@@ -18,14 +18,14 @@ def parse_header(df: DataFrame) -> DataFrame:
 
     The header are the lines before the first blank one: a title; a title and an author; or more, where
     lines that end in 訳 are translators and the line before the first of them is the author."""
-    df = apart(df.withColumn("__first", (F.array_position(F.transform("lines", lambda x: F.length(strip(x)) == 0), F.lit(True)) - 1).cast("int")))
+    df = apart(df, __first=(F.array_position(F.transform("lines", lambda x: F.length(strip(x)) == 0), F.lit(True)) - 1).cast("int"))
     first = F.col("__first")
     shielded = F.exists(F.slice("shield", F.lit(1), F.greatest(first, F.lit(0))), lambda s: s)
-    df = apart(df.withColumn("__h", F.transform(F.slice("lines", F.lit(1), F.when((first > 0) & ~shielded, first).otherwise(0)), strip)).drop("__first"))
+    df = apart(df, ("__first",), __h=F.transform(F.slice("lines", F.lit(1), F.when((first > 0) & ~shielded, first).otherwise(0)), strip))
     h, n = F.col("__h"), F.size("__h")
     places = F.transform(h, lambda v, i: F.struct(i.alias("i"), (F.endswith(v, F.lit("訳")) & (i > 0)).alias("by")))
     by = F.transform(F.filter(places, lambda x: x["by"]), lambda x: x["i"])
-    df = apart(df.withColumn("__by", F.when(n >= 3, by).otherwise(F.slice(by, 1, 0))))
+    df = apart(df, __by=F.when(n >= 3, by).otherwise(F.slice(by, 1, 0)))
     by, n_by = F.col("__by"), F.size("__by")
     at = F.get(by, F.lit(0)) - 1
     author_at = F.when(n_by > 0, F.when(at >= 1, at)).when(n == 2, F.lit(1)).when(n == 3, F.lit(2))
@@ -44,7 +44,7 @@ def parse_header(df: DataFrame) -> DataFrame:
     rest = F.slice("lines", n + 1, F.size("lines"))
     blank = F.array_position(F.transform(rest, lambda x: F.when(x == "", "").otherwise("x")), "x") - 1  # body starts at the first line that is not empty
     body = F.when(n > 0, n + F.when(blank < 0, F.size(rest)).otherwise(blank)).otherwise(0)
-    return apart(df.withColumn("header", header).withColumn("body_line", body.cast("int")).drop("__h", "__by"))
+    return apart(df, ("__h", "__by"), header=header, body_line=body.cast("int"))
 
 
 def reconstruct_header(header: Column) -> Column:
@@ -79,30 +79,30 @@ def add_front_matter(df: DataFrame, keep_header: bool = False, add: bool = True)
     """Puts the header into front matter in front of the body (add), or a header from front matter that is there into the body (keep_header).
 
     Front matter that is not ok is told and left. A header is not restored where one of the first ten rows of the body
-    is its title already. Adds text, naming, front_matter_added and front_matter_restored."""
-    df = parse_header(read_front_matter(df))
+    is its title already. Adds text, naming, front_matter_added and front_matter_restored; front and front_end are read unless they are there."""
+    df = parse_header(df if "front_end" in df.columns else read_front_matter(df))
     front, exists = F.col("front"), F.col("front").isNotNull()
-    told = F.when(exists & front["code"].isNotNull(), F.array(F.struct(F.lit("frontmatter").alias("stage"), front["code"].alias("code"), F.lit(1).alias("line"), F.lit(None).cast("string").alias("note"), front["reason"].alias("reason"))))
-    df = add_diagnostics(df, told)
+    said = F.when(exists & front["code"].isNotNull(), F.array(F.struct(F.lit("frontmatter").alias("stage"), front["code"].alias("code"), F.lit(1).alias("line"), F.lit(None).cast("string").alias("note"), front["reason"].alias("reason"))))
     own = lambda first: F.slice("lines", first + 1, F.size("lines"))
     envelope = front_matter(F.col("header"))
     kept = F.concat(reconstruct_header(F.col("header")), F.array_join(own(F.col("body_line")), "\n")) if keep_header else F.array_join(own(F.col("body_line")), "\n")
     added = ~exists & envelope.isNotNull() & F.lit(add)
     rows = own(F.col("front_end"))
     blank = F.array_position(F.transform(rows, lambda x: F.when(x == "", "").otherwise("x")), "x") - 1
-    df = apart(df.withColumn("__body", F.when(exists & front["ok"] & F.lit(keep_header), F.slice(rows, F.when(blank < 0, F.size(rows) + 1).otherwise(blank + 1).cast("int"), F.size(rows)))))
+    body = F.when(exists & front["ok"] & F.lit(keep_header), F.slice(rows, F.when(blank < 0, F.size(rows) + 1).otherwise(blank + 1).cast("int"), F.size(rows)))
+    df = apart(df, __body=body, **told(df, said))
     stands = F.coalesce(F.exists(F.slice("__body", 1, 10), lambda x: strip(x) == front["title"]) & (front["title"] != ""), F.lit(False))
     restored = F.col("__body").isNotNull() & ~stands
     back = F.concat(F.array_join(F.slice("lines", F.lit(1), F.col("front_end")), "\n"), F.lit("\n"), reconstruct_header(front), F.array_join("__body", "\n"))
     text = F.when(restored, back).when(added, F.concat(envelope, F.lit("\n"), kept)).otherwise(F.array_join("lines", "\n"))
-    df = df.withColumn("text", text).withColumn("naming", F.when(~exists, naming(F.col("header"))).when(front["ok"], naming(front)))
-    return apart(df.withColumn("front_matter_added", added).withColumn("front_matter_restored", restored).drop("__body"))
+    named = F.when(~exists, naming(F.col("header"))).when(front["ok"], naming(front))
+    return apart(df, ("__body",), text=text, naming=named, front_matter_added=added, front_matter_restored=restored)
 
 
 def naming_of(df: DataFrame) -> DataFrame:
     """Adds naming, what a file is named by: its front matter where there is any, null if that is not ok, else its header."""
     df = parse_header(read_front_matter(df))
-    return apart(df.withColumn("naming", F.when(F.col("front").isNull(), naming(F.col("header"))).when(F.col("front.ok"), naming(F.col("front")))))
+    return apart(df, naming=F.when(F.col("front").isNull(), naming(F.col("header"))).when(F.col("front.ok"), naming(F.col("front"))))
 
 
 def read_front_matter(df: DataFrame) -> DataFrame:
@@ -112,8 +112,8 @@ def read_front_matter(df: DataFrame) -> DataFrame:
     or a quotation closes nothing. FRONTMATTER_PARSE_FAILED: an envelope that is never closed, another form at the top, a key that is
     repeated, aliases or tags; FRONTMATTER_INVALID_TYPE: a mapping or list where a text belongs. A single author may stand for the list."""
     rule = r"\A[ \t]*---[ \t]*\r?\z"
-    df = apart(df.withColumn("front_end", F.when(F.get("lines", F.lit(0)).rlike(rule), front_rows(F.col("lines"))).otherwise(0)))
-    df = apart(df.withColumn("__fm", F.when(F.col("front_end") > 0, F.slice("lines", F.lit(2), F.col("front_end") - 2))))
+    df = apart(df, front_end=F.when(F.get("lines", F.lit(0)).rlike(rule), front_rows(F.col("lines"))).otherwise(0))
+    df = apart(df, __fm=F.when(F.col("front_end") > 0, F.slice("lines", F.lit(2), F.col("front_end") - 2)))
     key = r"\A([A-Za-z_][A-Za-z0-9_-]*):(?:[ \t]+(.*?))?[ \t\r]*\z"
     entry = "struct<key:string,value:string,rows:array<string>>"
     state = lambda entries, ok: F.struct(entries.alias("entries"), ok.alias("ok"))
@@ -125,7 +125,7 @@ def read_front_matter(df: DataFrame) -> DataFrame:
         inner = (F.size(s["entries"]) > 0) & line.rlike(r"\A(?:[ \t]|-[ \t]|[ \t\r]*\z)")
         return F.when(inner, state(more, s["ok"])).when(line.rlike(key), state(F.array_append(s["entries"], new), s["ok"])).when(line.rlike(r"\A[ \t\r]*(?:#.*)?\z"), s).otherwise(state(s["entries"], F.lit(False)))
 
-    df = apart(df.withColumn("__e", F.when(F.col("__fm").isNotNull(), F.aggregate("__fm", state(F.array().cast(f"array<{entry}>"), F.lit(True)), step))))
+    df = apart(df, ("__fm",), __e=F.when(F.col("__fm").isNotNull(), F.aggregate("__fm", state(F.array().cast(f"array<{entry}>"), F.lit(True)), step)))
     entries = F.col("__e.entries")
     keys = F.transform(entries, lambda e: e["key"])
     item, nested = r"\A[ \t]*-[ \t]", r"\A[ \t]*(?:-[ \t]+)?[^\s\"'#:\[{-][^:]*:(?:[ \t]|\z)"
@@ -167,6 +167,6 @@ def read_front_matter(df: DataFrame) -> DataFrame:
 
     code = F.when((F.col("front_end") < 0) | ~sound, "FRONTMATTER_PARSE_FAILED").when(F.size(wrong) > 0, "FRONTMATTER_INVALID_TYPE")
     reason = F.when(F.col("front_end") < 0, "unclosed-envelope").when(~sound, F.when(odd, "alias-or-tag").otherwise("invalid-mapping")).when(F.size(wrong) > 0, F.get(wrong, F.lit(0))["key"])
-    df = apart(df.withColumn("__code", code).withColumn("__reason", reason))
+    df = apart(df, __code=code, __reason=reason)
     front = F.struct(F.col("__code").isNull().alias("ok"), F.col("__code").alias("code"), F.col("__reason").alias("reason"), *(f(n).alias(n) for n, f in (("title", scalar_of), ("author", scalar_of), ("authors", list_of), ("translator", scalar_of), ("translators", list_of), ("raw_header", scalar_of))))
-    return apart(df.withColumn("front", F.when(F.col("front_end") != 0, front)).drop("__fm", "__e", "__code", "__reason"))
+    return apart(df, ("__e", "__code", "__reason"), front=F.when(F.col("front_end") != 0, front))

@@ -107,20 +107,23 @@ def covering(rows: Column, spans: Column, kind: str) -> Column:
     return folded(rows, F.lit(0), step, kind)
 
 
-def apart(df: DataFrame) -> DataFrame:
-    """The same rows, behind a border that the optimizer does not move expressions across.
+def apart(df: DataFrame, drop: tuple[str, ...] = (), **new: Column) -> DataFrame:
+    """The rows with new columns and without those of drop, behind a border that the optimizer does not move expressions across.
 
     A stage's result is used several times by the next one; merged into one projection, or substituted
-    into a filter that is pushed down, the stages' expressions would double with every step."""
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
+    into a filter that is pushed down, the stages' expressions would double with every step. Columns are given
+    here instead of by withColumn and drop: each of those is analysed with all that stands before it."""
+    at = dict.fromkeys(c for c in df.columns if c not in drop)
+    made = {c: v.alias(c) for c, v in new.items()}
+    return df.select(F.inline(F.array(F.struct(*(made.get(c, c) for c in {**at, **made})))))
 
 
 def with_lines(df: DataFrame, text: str = "text", names: tuple[str, str, str] = ("noted", "lines", "shield")) -> DataFrame:
     """Adds noted (whether there is any note opener), lines and shield, the state on which the stages work."""
     noted, rows, shield = names
     whole = F.coalesce(F.col(text), F.lit(""))
-    df = apart(df.withColumn(noted, F.contains(whole, F.lit("［＃"))).withColumn(rows, lines(whole)))
-    return apart(df.withColumn(shield, shielded(F.col(rows))))
+    df = apart(df, **{noted: F.contains(whole, F.lit("［＃")), rows: lines(whole)})
+    return apart(df, **{shield: shielded(F.col(rows))})
 
 
 def remaining(noted: str, rows: str, shield: str) -> Column:

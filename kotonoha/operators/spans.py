@@ -117,7 +117,7 @@ def over_rows(df: DataFrame, stage: Callable[[DataFrame], DataFrame], ranges: st
         return F.regexp_extract_all(line, F.lit(pattern.replace("(?:", "(", 1)), F.lit(1)) if ranges else F.array().cast("array<string>")
 
     facts = lambda r: F.struct(r["shield"].alias("shield"), r["lines"].rlike(r"［＃[^］]*\z").alias("cut"), F.contains(r["lines"], F.lit("］")).alias("end"), names(rest(r["lines"]) if ranges else r["lines"], opener).alias("opens"), names(r["lines"], closer).alias("closes"))
-    df = apart(df.withColumn("__facts", F.when(some, F.transform(F.arrays_zip("lines", "shield"), facts))))
+    df = apart(df, __facts=F.when(some, F.transform(F.arrays_zip("lines", "shield"), facts)))
     state = lambda cut, kinds: F.struct(cut.alias("cut"), kinds.cast("array<string>").alias("kinds"))
     zero = state(F.lit(False), F.array())
     kind = "struct<cut:boolean,kinds:array<string>>"
@@ -132,18 +132,18 @@ def over_rows(df: DataFrame, stage: Callable[[DataFrame], DataFrame], ranges: st
         now = F.when(r["shield"], zero).otherwise(state(r["end"] | s["cut"], F.array_union(s["kinds"], r["closes"])))
         return now, s
 
-    df = apart(df.withColumn("__down", F.when(some, folded(F.col("__facts"), zero, down, kind))).withColumn("__back", F.reverse("__facts")))
-    df = apart(df.withColumn("__up", F.when(some, F.reverse(folded(F.col("__back"), zero, up, kind)))).drop("__back", "__facts"))
+    asked = F.col("__facts").isNotNull()
+    df = apart(df, __down=F.when(asked, folded(F.col("__facts"), zero, down, kind)), __back=F.reverse("__facts"))
+    df = apart(df, ("__back", "__facts"), __up=F.when(asked, F.reverse(folded(F.col("__back"), zero, up, kind))))
     on = F.zip_with("__down", "__up", lambda a, b: (a["cut"] & b["cut"]) | F.arrays_overlap(a["kinds"], b["kinds"]))
-    df = apart(df.withColumn("__on", on).drop("__down", "__up"))
+    df = apart(df, ("__down", "__up"), __on=on)
     firsts = F.filter(F.transform("__on", lambda x, i: F.when((i == 0) | ~F.get(F.col("__on"), i - 1), i)), lambda i: i.isNotNull())
-    df = apart(df.withColumn("__first", F.when(F.exists("__on", lambda x: x), firsts)).drop("__on"))
+    df = apart(df, ("__on",), __first=F.when(F.exists("__on", lambda x: x), firsts))
     whole = F.transform("__first", lambda at, k: F.array_join(F.slice(F.col("lines"), at + 1, F.coalesce(F.get(F.col("__first"), k + 1), F.size("lines")) - at), "\n"))
-    df = df.withColumn("__shield", F.transform("__first", lambda at: F.get(F.col("shield"), at))).withColumn("__lines", whole)
-    df = apart(df.withColumn("__over", F.col("__first").isNotNull()).withColumn("lines", F.coalesce("__lines", "lines")).withColumn("shield", F.coalesce("__shield", "shield")).drop("__first", "__shield", "__lines"))
+    shield = F.transform("__first", lambda at: F.get(F.col("shield"), at))
+    df = apart(df, ("__first",), __over=F.col("__first").isNotNull(), lines=F.coalesce(whole, "lines"), shield=F.coalesce(shield, "shield"))
     df = stage(df)
     # the joined rows fall apart again, with as many lines as the stage has left of them
     parts = F.transform(F.arrays_zip("lines", "shield"), lambda r: F.transform(F.split(r["lines"], "\n", -1), lambda x: F.struct(x.alias("line"), r["shield"].alias("shield"))))
-    df = apart(df.withColumn("__parts", F.when(F.col("__over"), F.flatten(parts))))
-    df = df.withColumn("lines", F.coalesce(F.transform("__parts", lambda p: p["line"]), "lines")).withColumn("shield", F.coalesce(F.transform("__parts", lambda p: p["shield"]), "shield"))
-    return apart(df.drop("__parts", "__over"))
+    df = apart(df, ("__over",), __parts=F.when(F.col("__over"), F.flatten(parts)))
+    return apart(df, ("__parts",), lines=F.coalesce(F.transform("__parts", lambda p: p["line"]), "lines"), shield=F.coalesce(F.transform("__parts", lambda p: p["shield"]), "shield"))
