@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kotonoha.operators import blocks, inline, metadata
 from kotonoha.operators.notes import apart, remaining, with_lines
+from kotonoha.session import spread
 
 
 #: First words of the counters' names, in the order of the stages.
@@ -54,7 +55,7 @@ def convert(df: DataFrame, options: Options = Options(), id_col: str = "doc_id",
 
     Documents without a note opener, a header or a footer pass through the same plan unchanged."""
     o = options
-    rows = with_lines(df.select(id_col, F.col(text).alias("text")))
+    rows = with_lines(spread(df.select(id_col, F.col(text).alias("text"))))
     stages = [
         (o.gaiji, inline.gaiji),
         (o.tcy, inline.tcy),

@@ -25,6 +25,7 @@ from kotonoha.plans.archives import archive_problems, plan_archives
 from kotonoha.plans.exports import artifact_problems
 from kotonoha.plans.imports import identity_problems, requested_path
 from kotonoha.plans.outputs import plan_outputs, plan_tree
+from kotonoha.session import spread
 from kotonoha.sources.archives import archive_parts, entry_places
 
 QUERIES: dict = {}
@@ -52,7 +53,7 @@ def cat(*parts) -> Column:
 
 
 def _stage(df: DataFrame, key: str, source: Column, stage, counters: dict[str, str]) -> DataFrame:
-    out = stage(with_lines(df.select(F.col(key).alias("id"), source.alias("text"))))
+    out = stage(with_lines(spread(df.select(F.col(key).alias("id"), source.alias("text")))))
     return out.select("id", F.array_join("lines", "\n").alias("converted"), *(F.col(c).alias(a) for c, a in counters.items()))
 
 
@@ -146,7 +147,7 @@ def bouten_in_ruby(spark, sf_dir):
 @query("tcy_codes", "SELECT l_orderkey, l_linenumber, count(*) AS n, sum(CAST(l_quantity AS BIGINT)) AS quantity, min('第｟' || l_linenumber || '｠号') AS converted FROM lineitem GROUP BY l_orderkey, l_linenumber")
 def tcy_codes(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", cat("'第", "l_linenumber", "'［＃「", "l_linenumber", "'」は縦中横］号").alias("text"))
-    out = inline.tcy(with_lines(rows)).select("l_orderkey", "l_linenumber", "l_quantity", F.array_join("lines", "\n").alias("converted"))
+    out = inline.tcy(with_lines(spread(rows))).select("l_orderkey", "l_linenumber", "l_quantity", F.array_join("lines", "\n").alias("converted"))
     return out.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("bigint")).cast("decimal(38,0)").alias("quantity"), F.min("converted").alias("converted"))
 
 

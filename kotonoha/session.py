@@ -38,6 +38,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of a row group as Parquet writers make them; a row group is read by one task.
+ROW_GROUP = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over all cores where Spark's estimate of their size gives a core less than a row group, else df as it is.
+
+    For work that costs far more than moving its rows: a table in one row group would be one task. Larger tables have row groups enough and are not moved."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * ROW_GROUP else df
+
+
 def written(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends here and a lost executor costs no recomputation."""
     spark = df.sparkSession
