@@ -9,7 +9,9 @@ found and they are used up, so that a long notice is not found again as a shorte
 
 A sentence may be wrapped: lines that follow one another without a blank line or a mark of
 punctuation between them are looked up one by one and in every run that makes up a known sentence,
-comment marks left out. A list number in front of a sentence is stepped over. Beyond the sentences
+comment marks left out. A list number in front of a sentence is stepped over. Whole licence texts are
+known by their titles and by the sentences that stand in them, a rule's hyphen being what lies between
+two of them; the model notice at the end of such a text is the text's own and no notice. Beyond the sentences
 that the SQL in ORACLE knows, those of published notices (PUBLISHED) and references to a licence by
 name (NAMED) are known; the SQL finds neither these nor wrapped sentences.
 
@@ -83,9 +85,117 @@ SENTENCES = {
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISCperm",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPL3orLater",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GPL2orLater",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "GPLterms",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "LGPLterms",
+    "you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation": "LibraryTerms",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "AGPLterms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "GPL2only",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation": "GPL3only",
+    "either version 1 or at your option any later version": "V1orLater",
+    "either version 2 of the license or at your option any later version": "V2orLater",
+    "either version 2 or at your option any later version": "V2orLater",
+    "either version 2 1 of the license or at your option any later version": "V21orLater",
+    "either version 3 of the license or at your option any later version": "V3orLater",
+    "either version 3 or at your option any later version": "V3orLater",
+    "this library is distributed in the hope that it will be useful but without any warranty": "GPLhope",
+    "see the gnu lesser general public license for more details": "LGPLsee",
+    "see the gnu library general public license for more details": "LibrarySee",
+    "see the gnu affero general public license for more details": "AGPLsee",
+    "you should have received a copy of the gnu lesser general public license along with this library": "LGPLcopy",
+    "you should have received a copy of the gnu lesser general public license along with this program": "LGPLcopy",
+    "you should have received a copy of the gnu library general public license along with this library": "LibraryCopy",
+    "you should have received a copy of the gnu affero general public license along with this program": "AGPLcopy",
+    "gnu general public license version 1 february 1989": "GPL1title",
+    "gnu general public license version 2 june 1991": "GPL2title",
+    "gnu general public license version 3 29 june 2007": "GPL3title",
+    "gnu library general public license version 2 june 1991": "Library2title",
+    "gnu lesser general public license version 2 1 february 1999": "LGPL21title",
+    "gnu lesser general public license version 3 29 june 2007": "LGPL3title",
+    "gnu affero general public license version 3 19 november 2007": "AGPL3title",
+    "gnu free documentation license version 1 2 november 2002": "GFDL12title",
+    "gnu free documentation license version 1 3 3 november 2008": "GFDL13title",
+    "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed": "FSFverbatim",
+    "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 2 or any later version published by the free software foundation": "GFDL12orLater",
+    "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 3 or any later version published by the free software foundation": "GFDL13orLater",
+    "apache license version 2 0 january 2004": "Apache2title",
+    "mozilla public license version 1 1": "MPL11title",
+    "mozilla public license version 2 0": "MPL2title",
+    "the contents of this file are subject to the mozilla public license version 1 1 the license": "MPL11ref",
+    "cc0 1 0 universal": "CC0title",
+    "creative commons attribution 4 0 international public license": "CCBY4title",
+    "creative commons attribution sharealike 4 0 international public license": "CCBYSA4title",
+    "creative commons attribution noncommercial 4 0 international public license": "CCBYNC4title",
+    "creative commons attribution noderivatives 4 0 international public license": "CCBYND4title",
+    "creative commons attribution noncommercial sharealike 4 0 international public license": "CCBYNCSA4title",
+    "creative commons attribution noncommercial noderivatives 4 0 international public license": "CCBYNCND4title",
+    "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control over the development of the package while giving the users of the package the right to use and distribute the package in a more or less customary fashion plus the right to make reasonable modifications": "ArtisticIntent",
+    "aggregation of this package with a commercial distribution is always permitted provided that the use of this package is embedded": "ArtisticEmbedded",
+    "boost software license version 1 0 august 17th 2003": "BSL1title",
 }
+#: What stands in a GNU notice after the terms.
+_GPL, _LGPL, _AGPL = ("GPLhope", "GPLimplied", "GPLsee", "GPLcopy"), ("GPLhope", "GPLimplied", "LGPLsee", "LGPLcopy"), ("GPLhope", "GPLimplied", "AGPLsee", "AGPLcopy")
+_LIBRARY = ("GPLhope", "GPLimplied", "LibrarySee", "LibraryCopy")
+_TEXT = ("-", "FSFverbatim", "-")
+#: Licences by their whole texts, a hyphen for what stands between known sentences; notices that such a text holds as a model for others are its own.
+FULL_RULES = (
+    ("GPL-1.0", ("GPL1title", *_TEXT, "GPLterms", "V1orLater", *_GPL)),
+    ("GPL-1.0", ("GPL1title",)),
+    ("GPL-2.0", ("GPL2title", *_TEXT, "GPLterms", "V2orLater", *_GPL)),
+    ("GPL-2.0", ("GPL2title",)),
+    ("GPL-3.0", ("GPL3title", *_TEXT, "GPL3orLater", *_GPL)),
+    ("GPL-3.0", ("GPL3title",)),
+    ("LGPL-2.0", ("Library2title", *_TEXT, "LibraryTerms", "V2orLater", *_LIBRARY)),
+    ("LGPL-2.0", ("Library2title",)),
+    ("LGPL-2.1", ("LGPL21title", *_TEXT, "LGPLterms", "V21orLater", *_LGPL)),
+    ("LGPL-2.1", ("LGPL21title",)),
+    ("LGPL-3.0", ("LGPL3title", "-", "FSFverbatim")),
+    ("LGPL-3.0", ("LGPL3title",)),
+    ("AGPL-3.0", ("AGPL3title", *_TEXT, "AGPL3orLater", *_AGPL)),
+    ("AGPL-3.0", ("AGPL3title",)),
+    ("GFDL-1.2", ("GFDL12title", *_TEXT, "GFDL12orLater")),
+    ("GFDL-1.2", ("GFDL12title",)),
+    ("GFDL-1.3", ("GFDL13title", *_TEXT, "GFDL13orLater")),
+    ("GFDL-1.3", ("GFDL13title",)),
+    ("Apache-2.0", ("Apache2title",)),
+    ("MPL-1.1", ("MPL11title", "-", "MPL11ref", "Apache2not", "Apache2at")),
+    ("MPL-1.1", ("MPL11title",)),
+    ("MPL-1.1", ("MPL11ref", "Apache2not", "Apache2at")),
+    ("MPL-1.1", ("MPL11ref",)),
+    ("MPL-2.0", ("MPL2title",)),
+    ("CC0-1.0", ("CC0title",)),
+    ("CC-BY-4.0", ("CCBY4title",)),
+    ("CC-BY-SA-4.0", ("CCBYSA4title",)),
+    ("CC-BY-NC-4.0", ("CCBYNC4title",)),
+    ("CC-BY-ND-4.0", ("CCBYND4title",)),
+    ("CC-BY-NC-SA-4.0", ("CCBYNCSA4title",)),
+    ("CC-BY-NC-ND-4.0", ("CCBYNCND4title",)),
+    ("Artistic-1.0-Perl", ("ArtisticIntent", "-", "ArtisticEmbedded")),
+    ("Artistic-1.0", ("ArtisticIntent",)),
+    ("BSL-1.0", ("BSL1title",)),
+    ("LGPL-2.1-or-later", ("LGPLterms", "V21orLater", *_LGPL)),
+    ("LGPL-2.1-or-later", ("LGPLterms", "V21orLater")),
+    ("LGPL-3.0-or-later", ("LGPLterms", "V3orLater", *_LGPL)),
+    ("LGPL-3.0-or-later", ("LGPLterms", "V3orLater")),
+    ("LGPL-2.0-or-later", ("LibraryTerms", "V2orLater", *_LIBRARY)),
+    ("LGPL-2.0-or-later", ("LibraryTerms", "V2orLater")),
+    ("AGPL-3.0-or-later", ("AGPLterms", "V3orLater", *_AGPL)),
+    ("AGPL-3.0-or-later", ("AGPLterms", "V3orLater")),
+    ("GPL-3.0-or-later", ("GPLterms", "V3orLater", *_GPL)),
+    ("GPL-3.0-or-later", ("GPLterms", "V3orLater")),
+    ("GPL-2.0-or-later", ("GPLterms", "V2orLater", *_GPL)),
+    ("GPL-2.0-or-later", ("GPLterms", "V2orLater")),
+    ("GPL-1.0-or-later", ("GPLterms", "V1orLater", *_GPL)),
+    ("GPL-1.0-or-later", ("GPLterms", "V1orLater")),
+    ("GPL-2.0", ("GPL2only", *_GPL)),
+    ("GPL-2.0", ("GPL2only",)),
+    ("GPL-3.0", ("GPL3only", *_GPL)),
+    ("GPL-3.0", ("GPL3only",)),
+    ("GFDL-1.2-or-later", ("GFDL12orLater",)),
+    ("GFDL-1.3-or-later", ("GFDL13orLater",)),
+)
 #: Licences and the identifiers that make them up, in the order in which they are tried.
 RULES = (
+    *FULL_RULES,
     ("Apache-2.0", ("Apache2ref", "Apache2not", "Apache2at", "Apache2url", "Apache2basis", "Apache2see")),
     ("Apache-2.0", ("Apache2ref", "Apache2not", "Apache2at", "Apache2url")),
     ("Apache-2.0", ("Apache2ref", "Apache2not")),
@@ -148,12 +258,15 @@ HOLDERS = {"neither the name of [a-z0-9 ]{1,200}? nor the names of (?:its|their|
 _REFERENCE = "(?:(?:this|the) (?:file|work|code|source code|software|program|project|package|library|module|document|repository) is )?(?:licensed|released|distributed|available|made available) under (?:the terms of )?(?:the |an |a )?"
 #: Rules for what only the tables above know, tried after the others.
 PUBLISHED_RULES = (
-    ("LGPL-3.0-or-later", ("LGPL3orLater",)),
-    ("LGPL-2.1-or-later", ("LGPL21orLater",)),
-    ("AGPL-3.0-or-later", ("AGPL3orLater",)),
     ("BSD-3-Clause", ("BSD3ref",)),
     ("BSD-2-Clause", ("BSD2ref",)),
     ("ISC", ("ISCref",)),
+    ("LGPL-3.0-or-later", ("LGPL3orLater", *_LGPL)),
+    ("AGPL-3.0-or-later", ("AGPL3orLater", *_AGPL)),
+    ("LGPL-3.0-or-later", ("LGPL3orLater",)),
+    ("LGPL-2.1-or-later", ("LGPL21orLater",)),
+    ("AGPL-3.0-or-later", ("AGPL3orLater",)),
+    ("MPL-2.0", ("MPL2ref", "-", "MPL2at")),
     ("MPL-2.0", ("MPL2ref", "MPL2at")),
     ("MPL-2.0", ("MPL2ref",)),
     ("Unlicense", ("Unlicense", "UnlicenseFree")),
@@ -171,11 +284,12 @@ def normalised(sentence: Column) -> Column:
 
 
 def _patterns() -> dict[str, str]:
-    """Patterns of the sentences of each identifier, blanks as blanks or line ends, the longest first."""
+    """Patterns of the sentences of each identifier, blanks as blanks or line ends, the longest first, so that no sentence is taken for a part of it."""
     known: dict[str, list[str]] = {}
     for sentence, name in {**SENTENCES, **PUBLISHED, **HOLDERS, **{_REFERENCE + name: i for name, i in NAMED.items()}}.items():
         known.setdefault(name, []).append(sentence)
-    return {name: "(?:" + "|".join(sorted(x, key=len, reverse=True)).replace(" ", "[ \\n]") + ")" for name, x in known.items()}
+    names = sorted(known, key=lambda name: max(map(len, known[name])), reverse=True)
+    return {name: "(?:" + "|".join(sorted(known[name], key=len, reverse=True)).replace(" ", "[ \\n]") + ")" for name in names}
 
 
 def _sequence(text: Column) -> Column:
@@ -239,7 +353,7 @@ parts AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(
   lambda x: trim(regexp_replace(translate(x, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS p FROM documents),
 one AS (SELECT doc_id, unnest(p) AS sentence, generate_subscripts(p, 1) AS pos FROM parts),
 ids AS (SELECT doc_id, list(coalesce(id, '-') ORDER BY pos) AS ids, count(id) AS n FROM one LEFT JOIN known USING (sentence) GROUP BY doc_id),
-seq AS (SELECT doc_id, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN ids ELSE [] END AS s0 FROM documents LEFT JOIN ids USING (doc_id)),
+seq AS (SELECT doc_id, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN list_filter(ids, lambda x, i: x <> '-' OR i = 1 OR ids[i - 1] <> '-') ELSE [] END AS s0 FROM documents LEFT JOIN ids USING (doc_id)),
 {", ".join(steps)}
 SELECT doc_id, CAST(n AS INTEGER) AS n_known,
   array_to_string(list_filter([{listed}], lambda x, i: x IS NOT NULL AND list_position([{listed}], x) = i AND (x <> '{RESERVED}' OR len(list_filter([{listed}], lambda y: y <> '{RESERVED}')) = 0)), ',') AS licenses,

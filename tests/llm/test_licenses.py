@@ -1,6 +1,8 @@
 import re
+from pathlib import Path
 
 import duckdb
+import pytest
 
 from kotonoha.llm import licenses as lic
 
@@ -138,3 +140,72 @@ are met:
 """
     df = spark.createDataFrame([(1, text), (2, "All rights reserved."), (3, "All rights reserved. All rights reserved.")], "doc_id int, text string")
     assert {r.doc_id: r.licenses for r in lic.find_licenses(df).collect()} == {1: ["BSD-3-Clause"], 2: ["Proprietary"], 3: ["Proprietary"]}
+
+
+SYSTEM = Path("/usr/share/common-licenses")
+WHOLE = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0",
+    "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+
+
+@pytest.mark.skipif(not SYSTEM.is_dir(), reason="the system has no licence texts")
+def test_whole_texts_of_the_system(spark):
+    """Each text is its own licence only: neither its model notice nor reserved rights are another."""
+    rows = [(name, (SYSTEM / name).read_text(errors="replace")) for name in WHOLE if (SYSTEM / name).is_file()]
+    got = {r.doc_id: r.licenses for r in lic.find_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {name: [WHOLE[name]] for name, _ in rows}
+
+
+GNU = """    This {thing} is free software; you can redistribute it and/or
+    modify it under the terms of the GNU {kind} Public
+    License as published by the Free Software Foundation; either
+    version {version} of the License, or (at your option) any later version.
+
+    This {thing} is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+    {kind} Public License for more details.
+
+    You should have received a copy of the GNU {kind} Public License
+    along with this {thing}; if not, write to the Free Software Foundation.
+"""
+
+
+def test_notices_cut_by_semicolons(spark):
+    texts = [
+        (GNU.format(thing="program", kind="General", version="2"), ["GPL-2.0-or-later"]),
+        (GNU.format(thing="program", kind="General", version="3"), ["GPL-3.0-or-later"]),
+        (GNU.format(thing="library", kind="Lesser General", version="2.1"), ["LGPL-2.1-or-later"]),
+        (GNU.format(thing="library", kind="Library General", version="2"), ["LGPL-2.0-or-later"]),
+        (GNU.format(thing="program", kind="Affero General", version="3"), ["AGPL-3.0-or-later"]),
+        (GNU.format(thing="program", kind="General", version="2").replace("Foundation; either", "Foundation, either"), ["GPL-2.0-or-later"]),
+        (GNU.format(thing="program", kind="General", version="2").replace(" as published", " version 2 as published").split("; either")[0] + ".", ["GPL-2.0"]),
+        ("We like the GNU General Public License version 2 of June 1991.", []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id int, text string")
+    got = {r.doc_id: (r.licenses, r.rest) for r in lic.find_licenses(df).collect()}
+    assert got == {i: (want, "|") for i, (_, want) in enumerate(texts)}
+
+
+def test_sql_of_whole_texts(spark):
+    """Titles, gaps of any length and model notices, one sentence a line, held against the SQL by lists."""
+    of = {i: s for s, i in lic.SENTENCES.items()}
+    lines = lambda *ids: "\n".join(of.get(i, i) for i in ids)
+    notice = ("GPLterms", "V2orLater", "GPLhope", "GPLimplied", "GPLsee", "GPLcopy")
+    texts = [
+        (lines("GPL2title", "one", "two", "FSFverbatim", "three", "four", "five", *notice, "six"), "GPL-2.0"),
+        (lines("GPL2title", "one", "FSFverbatim", "three"), "GPL-2.0"),
+        (lines(*notice), "GPL-2.0-or-later"),
+        (lines(*notice, "one", "GPL2title", "two", "FSFverbatim", "three", *notice), "GPL-2.0,GPL-2.0-or-later"),
+        (lines("MPL2title", "one", "AllRights"), "MPL-2.0"),
+        (lines("CCBYSA4title", "CCBYSA4title"), "CC-BY-SA-4.0"),
+        (lines("FSFverbatim", "one"), ""),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id int, text string")
+    got = {r.doc_id: (",".join(r.licenses), r.rest) for r in lic.find_licenses(df).collect()}
+    assert {i: names for i, (names, _) in got.items()} == {i: want for i, (_, want) in enumerate(texts)}
+    con = duckdb.connect()
+    con.register("rows", df.toPandas())
+    con.sql("create view documents as select doc_id, text from rows")
+    assert {i: (names, rest) for i, _, names, rest in con.sql(lic.ORACLE).fetchall()} == got
