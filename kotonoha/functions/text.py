@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +16,8 @@ SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 #: The same white space as characters.
 _SPACES = "".join(c for c in map(chr, range(0x3001)) if re.fullmatch(SPACE, c))
+#: The largest integer that a double holds with all below it.
+MOST = (1 << 53) - 1
 FULL_DIGITS, DIGITS = "０１２３４５６７８９", "0123456789"
 NOTE = r"※?［＃[^］\r\n]*］"
 
@@ -21,6 +26,13 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@cache
+def _decimal_digits() -> tuple[str, str]:
+    """The decimal digits of all scripts but ASCII, and the ASCII digit of each."""
+    found = [(chr(k), unicodedata.decimal(chr(k), None)) for k in range(128, sys.maxunicode + 1)]
+    return "".join(c for c, v in found if v is not None), "".join(str(v) for _, v in found if v is not None)
+
+
 def strip(c: Column | str) -> Column:
     return F.btrim(col(c), F.lit(_SPACES))
 
@@ -48,6 +60,14 @@ def fullwidth_digits(c: Column | str) -> Column:
     return F.translate(col(c), FULL_DIGITS, DIGITS)
 
 
+def decimal(c: Column | str) -> Column:
+    """The number of a run of decimal digits of any script, at most 2^53 - 1; null for the empty text, for other characters and beyond 4,300 digits."""
+    digits = F.translate(col(c), *_decimal_digits())
+    plain = F.regexp_replace(digits, r"\A0+(?=[0-9])", "")
+    value = F.when(F.length(plain) > 16, F.lit(MOST)).otherwise(F.least(plain.try_cast("bigint"), F.lit(MOST)))
+    return F.when((F.length(digits) <= 4300) & digits.rlike(r"\A[0-9]+\z"), value)
+
+
 def utf8_length(c: Column | str) -> Column:
     return F.octet_length(col(c)).cast("bigint")
 

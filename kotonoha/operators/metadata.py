@@ -170,3 +170,22 @@ def read_front_matter(df: DataFrame) -> DataFrame:
     df = apart(df, __code=code, __reason=reason)
     front = F.struct(F.col("__code").isNull().alias("ok"), F.col("__code").alias("code"), F.col("__reason").alias("reason"), *(f(n).alias(n) for n, f in (("title", scalar_of), ("author", scalar_of), ("authors", list_of), ("translator", scalar_of), ("translators", list_of), ("raw_header", scalar_of))))
     return apart(df, ("__e", "__code", "__reason"), front=F.when(F.col("front_end") != 0, front))
+
+
+def plain_fields(df: DataFrame) -> DataFrame:
+    """Adds fields, an array of <key, value, items> by key: front matter as keys and values row by row, for comparison with older output; null without an envelope or fields.
+
+    A row that has a colon and begins with no blank is a field, its value as it stands, quotes and all. authors and translators
+    without a value have the rows below that begin with two blanks and a hyphen as items. Of repeated keys the last counts."""
+    rule = F.transform("lines", lambda x: F.when(strip(x) == "---", "-").otherwise("x"))
+    end = F.array_position(F.slice(rule, F.lit(2), F.size("lines")), "-")
+    df = apart(df, __rows=F.when((F.get(rule, F.lit(0)) == "-") & (end > 0), F.array_join(F.slice("lines", F.lit(2), (end - 1).cast("int")), "\n")))
+    field = r"(?<![^\n])(?! )([^:\n]*):([^\n]*)((?:\n  - [^\n]*)*+)"
+    part = lambda x, k: F.regexp_extract(x, field, k)
+    item = lambda x: strip(F.substring(x, F.lit(5), F.length(x)))
+    items = lambda x: F.transform(F.filter(F.split(part(x, 3), "\n", -1), lambda y: y != ""), item)
+    read = F.transform(F.regexp_extract_all("__rows", F.lit(field), F.lit(0)), lambda x, i: F.struct(strip(part(x, 1)).alias("key"), (-i).alias("at"), F.nullif(strip(part(x, 2)), F.lit("")).alias("value"), items(x).alias("items")))
+    df = apart(df, ("__rows",), __read=F.array_sort(F.filter(read, lambda x: x["value"].isNotNull() | x["key"].isin("authors", "translators"))))
+    last = F.filter("__read", lambda x, i: (i == 0) | ~F.get("__read", i - 1)["key"].eqNullSafe(x["key"]))
+    kept = F.transform(last, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"), F.when(x["value"].isNull(), x["items"]).alias("items")))
+    return apart(df, ("__read",), fields=F.when(F.size(kept) > 0, kept))

@@ -70,6 +70,12 @@ def running_budget(rows: DataFrame, size: str, limit: int, order: str, batch: st
     return running(rows, {"used": size}, [order], [batch] if batch else []).withColumn("fits", F.col("used") <= limit)
 
 
+def first_over(rows: DataFrame, size: str, limit: int, order: str, batch: str) -> DataFrame:
+    """The first row of each batch with which its running sum (used) goes over a limit."""
+    over = running(rows, {"used": size}, [order], [batch]).filter(F.col("used") > limit)
+    return over.groupBy(batch).agg(F.min_by(F.struct(*over.columns), order).alias("r")).select("r.*")
+
+
 def page_of(rows: DataFrame, order: str, page: int, size: int = 50) -> DataFrame:
     """One page of rows in order; pages count from 0."""
     return rows.orderBy(order).offset(page * size).limit(size)

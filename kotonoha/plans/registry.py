@@ -22,7 +22,7 @@ from kotonoha.operators.spans import note_pairs
 from kotonoha.plans import jobs
 from kotonoha.plans.budgets import Limits, budget_account
 from kotonoha.plans.archives import archive_problems, plan_archives
-from kotonoha.plans.exports import artifact_problems
+from kotonoha.plans.exports import UNLIMITED, artifact_problems
 from kotonoha.plans.imports import identity_problems, requested_path
 from kotonoha.plans.outputs import plan_outputs, plan_tree
 from kotonoha.session import spread
@@ -553,3 +553,52 @@ def nested_budgets(spark, sf_dir):
     rows = lines.select(F.col("l_orderkey").alias("input_ord"), F.col("l_linenumber").alias("entry_ord"), zero.alias("filename_bytes"), F.col("q").cast("bigint").alias("declared"), zero.alias("expanded"), F.col("q").cast("bigint").alias("text_bytes"), zero.alias("output"), zero.alias("elapsed_ms"))
     limits = replace(Limits.none(), archive_entries=5, text_bytes=48, declared_bytes=250_000)
     return budget_account(rows, limits).groupBy("status", F.col("breach.reason").alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("decimals", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 3 THEN 9007199254740991 WHEN 4 THEN NULL ELSE o_orderkey END AS n FROM orders""")
+def decimals(spark, sf_dir):
+    """Keys in full-width, Arabic and Devanagari digits, behind zeros, too large, and with a sign."""
+    k = F.col("o_orderkey") % 5
+    key = F.col("o_orderkey").cast("string")
+    given = F.when(k == 0, F.translate(key, "0123456789", "０１２３４５６７８９")).when(k == 1, F.translate(key, "0123456789", "٠١٢٣٤٥٦٧٨٩")).when(k == 2, F.concat(F.repeat(F.lit("०"), F.lit(30)), key)).when(k == 3, F.concat(key, F.repeat(F.lit("９"), F.lit(17)))).otherwise(F.concat(F.lit("-"), key))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.decimal(given).alias("n"))
+
+
+@query("plain_fields", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'authors=|source="' || source || '"|title=a: ' || lang WHEN 1 THEN 'authors=甲;' || lang || '|title=' || source END AS fields FROM documents""")
+def plain_fields_query(spark, sf_dir):
+    """Front matter in front of whole texts: a repeated key and an empty list, a list, and none."""
+    n = F.col("doc_id") % 3
+    rows = F.when(n == 0, cat("'---\ntitle: x\nauthors:\n - 乙\nsource: \"", "source", "'\"\nnote:\ntitle: a: ", "lang", "'\n---\n")).when(n == 1, cat("' ---\nauthors:\n  - 甲\n  -  ", "lang", "'\n  丙: x\ntitle:", "source", "' \n--- \n")).otherwise("題\n---\n")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(rows, F.coalesce("text", F.lit(""))).alias("text"))
+    out = metadata.plain_fields(with_lines(docs))
+    one = F.transform("fields", lambda x: F.concat(x["key"], F.lit("="), F.coalesce(x["value"], F.array_join(x["items"], ";"))))
+    return out.select("doc_id", F.array_join(one, "|").alias("fields"))
+
+
+@query("composed_keys", "SELECT nfc_normalize(lower(p_brand) || 'か' || chr(12441)) AS key, count(*) AS n, count(DISTINCT p_partkey % 2) AS forms FROM part GROUP BY 1")
+def composed_keys(spark, sf_dir):
+    """Paths that write one letter as one or as two characters share a key."""
+    letter = F.when(F.col("p_partkey") % 2 == 0, "が").otherwise("か\u3099")
+    rows = table(spark, sf_dir, "part").select(names.collision_key(F.concat("p_brand", letter)).alias("key"), (F.col("p_partkey") % 2).alias("form"))
+    return rows.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("form").alias("forms"))
+
+
+@query("decoded_kanji", """SELECT c_custkey, CASE c_custkey % 3 WHEN 2 THEN 'DECODE_FAILED' END AS code, CASE c_custkey % 3 WHEN 0 THEN 'cp932' WHEN 1 THEN 'shift_jis' END AS encoding,
+ CASE WHEN c_custkey % 3 < 2 THEN c_name || '漢字' || chr(10) || 'ｱ' END AS text FROM customer""")
+def decoded_kanji(spark, sf_dir):
+    """Double-byte rows found by trial, read by name, and refused where they are to be UTF-8."""
+    k = F.col("c_custkey") % 3
+    content = F.concat(F.encode("c_name", "UTF-8"), F.unhex(F.lit("8ABF8E9A0D0AB1")))
+    found = table(spark, sf_dir, "customer").select("c_custkey", decode_text(content, F.when(k == 0, "auto").when(k == 1, "shift_jis").otherwise("utf-8")).alias("d"))
+    return found.select("c_custkey", "d.code", "d.encoding", "d.text")
+
+
+@query("single_exports", """SELECT batch, CASE WHEN count(*) > 1 THEN 'SINGLE_FILE_COUNT' WHEN min(s_suppkey) % 2 = 0 THEN 'UNSAFE_PATH' END AS code
+ FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey ELSE -(s_suppkey // 3) - 1 END AS batch FROM supplier) GROUP BY batch""")
+def single_exports(spark, sf_dir):
+    """Batches of one file and of more, each to be saved as one file, without limits."""
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(
+        F.when(k % 3 == 0, k).otherwise(-F.expr("s_suppkey div 3") - 1).alias("batch"), k.alias("ord"), k.cast("string").alias("file_id"),
+        F.concat("s_name", F.when(k % 2 == 0, "?.md").otherwise(".md")).alias("path"), F.lit("md").alias("format"), F.encode("s_name", "UTF-8").alias("content"))
+    return artifact_problems(rows, UNLIMITED, "single")

@@ -11,8 +11,8 @@ from kotonoha.functions.decode import decode_text
 from kotonoha.operators import metadata
 from kotonoha.operators.notes import with_lines
 from kotonoha.plans import jobs
-from kotonoha.plans.exports import ExportLimits, artifact_problems, checked
-from kotonoha.plans.imports import ImportLimits, first_breach, identity_problems, prepare_import
+from kotonoha.plans.exports import UNLIMITED, ExportLimits, artifact_problems, checked
+from kotonoha.plans.imports import ImportLimits, identity_problems, prepare_import
 from kotonoha.plans.outputs import plan_outputs
 from kotonoha.plans.budgets import Limits
 from kotonoha.sources.files import entries, export_archives, read_sources, texts
@@ -85,7 +85,7 @@ def test_jobs(spark):
     assert empty.files_converted == 0
     rows = spark.createDataFrame([("b", k, 5) for k in range(4)], "batch string, ord int, size int")
     assert [x.fits for x in jobs.running_budget(rows, "size", 10, "ord", "batch").orderBy("ord").collect()] == [True, True, False, False]
-    assert [x.ord for x in first_breach(rows, "size", 10, "ord", "batch").collect()] == [2]
+    assert [x.ord for x in jobs.first_over(rows, "size", 10, "ord", "batch").collect()] == [2]
 
 
 def test_export(spark):
@@ -100,6 +100,9 @@ def test_export(spark):
     bad = [("f0", "a.md", "md", b""), ("f0", "b.md", "md", b""), ("f2", "A.md", "md", b""), ("f3", "b.exe", "md", b""), ("f4", "a.md/x.md", "md", b""), (" ", "q.md", "md", b""), ("f6", "r.md", "pdf", b""), ("f7", "s.md", "md", None), ("f8", "t.md", "md", b"x" * 20)]
     codes = [r.code for r in checked(spark.createDataFrame([("b", k, *r) for k, r in enumerate(bad)], schema), ExportLimits(file_bytes=10)).orderBy("ord").collect()]
     assert codes == ["PATH_COLLISION", "DUPLICATE_FILE_ID", "PATH_COLLISION", "UNSAFE_PATH", None, "INVALID_FILE_ID", "INVALID_FORMAT", "INVALID_BYTES", "FILE_BYTES_LIMIT"]
+    sums = {r.ord: r.code for r in checked(df, ExportLimits(input_bytes=5)).collect()}
+    assert sums == {0: None, 1: None, 2: "INPUT_BYTES_LIMIT"} and {r.code for r in checked(df, UNLIMITED).collect()} == {None}
+    assert artifact_problems(df, ExportLimits(files=2)).first().code == "FILE_COUNT_LIMIT" and checked(df.limit(0)).count() == 0
     assert artifact_problems(df, mode="single").first().code == "SINGLE_FILE_COUNT"
     for call in (lambda: ExportLimits(files=0), lambda: ImportLimits(sources=True), lambda: artifact_problems(df, mode="x")):
         with pytest.raises(ValueError):
@@ -271,3 +274,25 @@ def test_output_tree_problems(spark):
     assert sorted((r.batch, r.ord) for r in tree.problems.collect()) == [(k, 1) for k in range(len(paths))]
     empty = spark.createDataFrame([], "batch int, ord int, path string")
     assert plan_tree(empty, none).outputs.count() == 0 and plan_outputs(empty, none).count() == 0
+
+
+def test_decimal(spark):
+    given = {"0": 0, "0012": 12, "１２": 12, "٣४": 34, "𝟘𝟙": 1, "9" * 16: (1 << 53) - 1, "9007199254740991": (1 << 53) - 1, "0" * 4300: 0, "0" * 4301: None, "": None, "-1": None, "1 ": None, "²": None, "Ⅳ": None, "1.5": None}
+    df = spark.createDataFrame([(k,) for k in given] + [(None,)], "t string")
+    assert {r.t: r.n for r in df.select("t", text.decimal("t").alias("n")).collect()} == {**given, None: None}
+
+
+def test_plain_fields(spark):
+    given = {
+        "---\ntitle: 甲\n---\n本文": [("title", "甲", None)],
+        "---\ntitle: 甲\ntitle: 乙\nx y\n z: 1\nnone:\n---": [("title", "乙", None)],
+        "---\nauthors:\n  - 甲\n  -乙\ntranslators: 丙\n---": [("authors", None, ["甲"]), ("translators", "丙", None)],
+        "---\ntitle: 甲": None,
+        "題\n---": None,
+        "---\n---": None,
+        "": None,
+        "---\nauthors:\n" + "  - 甲\n" * 20_000 + "---": [("authors", None, ["甲"] * 20_000)],
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*given, None])], "doc_id int, text string")
+    got = {r.doc_id: None if r.fields is None else [tuple(f) for f in r.fields] for r in metadata.plain_fields(with_lines(df)).select("doc_id", "fields").collect()}
+    assert got == {**dict(enumerate(given.values())), len(given): None}
