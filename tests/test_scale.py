@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from kotonoha.plans import budgets, jobs
+from kotonoha.plans import budgets, jobs, registry
 from kotonoha.plans.budgets import Limits
 from kotonoha.sources import archives
 from kotonoha.sources.files import export_archives
@@ -41,6 +41,30 @@ def test_archives_beyond_the_format(spark, monkeypatch):
     assert [r.batch for r in parts.collect()] == ["b"]
 
 
+@pytest.mark.parametrize("entries, size", [(2, 1 << 40), (1 << 40, 500)])
+def test_archives_with_records_of_64_bits(spark, monkeypatch, tmp_path, entries, size):
+    monkeypatch.setattr(archives, "MOST_ENTRIES", entries)
+    monkeypatch.setattr(archives, "MOST_BYTES", size)
+    df = spark.createDataFrame([("a", k, f"{k}.md", b"x" * k) for k in range(30)] + [("b", 0, "0.md", None)], "batch string, ord int, path string, content binary").repartition(4)
+    manifest = {r.batch: r for r in archives.write_archives(df, str(tmp_path / "out"), part=300, zip64=True).collect()}
+    data = {b: b"".join(bytes(r.bytes) for r in archives.read_parts(spark, str(tmp_path / "out")).filter(F.col("batch") == b).orderBy("at").collect()) for b in "ab"}
+    assert all(manifest[b].size == len(data[b]) and manifest[b].code is None for b in "ab") and manifest["b"].wide_bytes == 0
+    assert manifest["a"].wide_bytes == 76 + (12 * 30 if size == 500 else 0)
+    with zipfile.ZipFile(io.BytesIO(data["a"])) as z:
+        assert z.testzip() is None and {x.filename: x.file_size for x in z.infolist()} == {f"{k}.md": k for k in range(30)}
+    # the end record is for readers of 16 bits, which must not take a part for the whole
+    assert data["a"][-22:][10:12] == b"\xff\xff" and data["b"][-22:][10:12] == b"\x01\x00"
+
+
+def test_more_files_than_an_archive_counts(spark, monkeypatch):
+    monkeypatch.setattr(archives, "MOST_ENTRIES", 50)
+    got = registry.QUERIES["archive_sizes"](spark, "/root/testdata/sf0.001").collect()
+    files = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    path = F.octet_length(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")))
+    want = files.groupBy("lang").agg((F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 2 * path + 92) + 22).alias("n")).collect()
+    assert {(r.batch, r.size, r.written) for r in got} == {(r.lang, r.n, r.n) for r in want}
+
+
 def one_after_the_other(rows, limits):
     """(input, entry) -> breach, as a reader meets them; and what is read."""
     total = dict.fromkeys(("entries", "declared", "expanded", "output", "ms"), 0)
