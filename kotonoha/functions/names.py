@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,16 +16,24 @@ RESERVED = r"(?i)\A(con|prn|aux|nul|com[1-9¹²³]|lpt[1-9¹²³])(\.|\z)"
 _EDGE = rf"\A(?:{SPACE}|\.)+|(?:{SPACE}|\.)+\z"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _cut(base: Column, points: int, budget: int) -> Column:
     """The longest beginning of so many characters and bytes, trimmed again."""
-    base = F.substring(base, 1, points)
-    total = F.aggregate(
-        F.split(base, ""),
-        F.struct(F.lit("").alias("out"), F.lit(False).alias("full")),
-        lambda s, ch: F.when(s["full"] | (F.octet_length(s["out"]) + F.octet_length(ch) > budget), F.struct(s["out"].alias("out"), F.lit(True).alias("full"))).otherwise(F.struct(F.concat(s["out"], ch).alias("out"), F.lit(False).alias("full"))),
-        lambda s: s["out"],
-    )
-    return F.regexp_replace(F.when(F.octet_length(base) <= budget, base).otherwise(total), _EDGE, "")
+
+    def within(base: Column) -> Column:
+        total = F.aggregate(
+            F.split(base, ""),
+            F.struct(F.lit("").alias("out"), F.lit(False).alias("full")),
+            lambda s, ch: F.when(s["full"] | (F.octet_length(s["out"]) + F.octet_length(ch) > budget), F.struct(s["out"].alias("out"), F.lit(True).alias("full"))).otherwise(F.struct(F.concat(s["out"], ch).alias("out"), F.lit(False).alias("full"))),
+            lambda s: s["out"],
+        )
+        return F.regexp_replace(F.when(F.octet_length(base) <= budget, base).otherwise(total), _EDGE, "")
+
+    return _once(F.substring(base, 1, points), within)
 
 
 def sanitize_filename(name: Column | str, extension: str = "", suffix: str = "", max_code_points: int = 100) -> Column:
@@ -33,12 +43,16 @@ def sanitize_filename(name: Column | str, extension: str = "", suffix: str = "",
     if min(points, budget) < 1 or extension not in ("", "md", "txt"):
         raise ValueError("suffix or extension out of bounds")
     clean = F.regexp_replace(F.translate(col(name), '/\\:*?"<>|', "_" * 9), r"[\x00-\x1f\x7f-\x9f]", "")
+    steps = (
+        lambda base: F.when(base == "", "untitled").otherwise(base),
+        lambda base: F.when(base.rlike(RESERVED), F.concat(F.lit("_"), base)).otherwise(base),
+        lambda base: _cut(base, points, budget),
+        lambda base: F.when(base == "", _cut(F.lit("untitled"), points, budget)).otherwise(base),
+        lambda base: F.when(base.rlike(RESERVED), _cut(F.concat(F.lit("_"), base), points, budget)).otherwise(base),
+    )
     base = F.regexp_replace(clean, _EDGE, "")
-    base = F.when(base == "", "untitled").otherwise(base)
-    base = F.when(base.rlike(RESERVED), F.concat(F.lit("_"), base)).otherwise(base)
-    base = _cut(base, points, budget)
-    base = F.when(base == "", _cut(F.lit("untitled"), points, budget)).otherwise(base)
-    base = F.when(base.rlike(RESERVED), _cut(F.concat(F.lit("_"), base), points, budget)).otherwise(base)
+    for step in steps:
+        base = _once(base, step)
     return F.concat(base, F.lit(tail))
 
 
