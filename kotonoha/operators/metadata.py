@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kotonoha.functions.text import strip
 from kotonoha.operators.inline import told
-from kotonoha.operators.notes import apart, front_rows
+from kotonoha.operators.notes import apart, bound, front_rows
 
 #: A scalar that YAML reads as the same plain string: no indicator in front, no separator inside, no word or number with a type.
 _PLAIN = r"\A(?![-?:,\[\]{}#&*!|>'\"%@`\s])(?!(?i:null|true|false|~|\.inf|\.nan|[-+]?[0-9.][0-9_.eE+-]*|0x[0-9a-f]+|0o[0-7]+)\z)(?:(?!: |:\z| #)[^\x00-\x1f\x7f])*(?<![\s])\z"
@@ -150,26 +150,25 @@ def read_front_matter(df: DataFrame) -> DataFrame:
         more = F.filter(F.transform(e["rows"], strip), lambda x: x != "")
         return F.when((F.size(more) > 0) & ~is_list(e) & ~is_map(e), F.concat_ws(" ", F.nullif(e["value"], F.lit("")), F.array_join(more, " "))).otherwise(e["value"])
 
-    def scalar_of(name: str) -> Column:
-        e = found(name)
+    def scalar_of(e: Column) -> Column:
         deeper = F.length(F.regexp_extract(F.get(F.filter(e["rows"], lambda x: strip(x) != ""), F.lit(0)), r"\A *", 0))
         rows = F.transform(e["rows"], lambda x: F.regexp_replace(F.substring(x, F.least(deeper, F.length(x)) + 1, F.length(x)), r"\r\z", ""))
-        text = F.array_join(rows, "\n")
-        text = F.when(e["value"].rlike(r"\+"), F.concat(text, F.lit("\n"))).when(e["value"].rlike("-"), F.regexp_replace(text, r"\n+\z", "")).otherwise(F.concat(F.regexp_replace(text, r"\n+\z", ""), F.lit("\n")))
-        return F.when(block(e), F.when(e["value"].rlike(r"\A>"), F.regexp_replace(text, r"(?<!\n)\n(?=[^\n])", " ")).otherwise(text)).otherwise(plain(whole(e)))
-
-    def list_of(name: str) -> Column:
-        e = found(name)
-        items = F.transform(F.filter(e["rows"], lambda x: x.rlike(item)), lambda x: plain(strip(F.regexp_replace(x, r"\A[ \t]*-[ \t]+", ""))))
-        flow = F.transform(F.split(F.regexp_extract(e["value"], r"\A\[(.*)\]\z", 1), ","), lambda x: plain(strip(x)))
-        some = F.filter(F.when(e["value"].rlike(r"\A\[.*\]\z"), flow).when(is_list(e), items).otherwise(F.array(plain(whole(e)))), lambda x: x.isNotNull() & (strip(x) != ""))
-        return F.when(F.size(some) > 0, some)
-
-    code = F.when((F.col("front_end") < 0) | ~sound, "FRONTMATTER_PARSE_FAILED").when(F.size(wrong) > 0, "FRONTMATTER_INVALID_TYPE")
-    reason = F.when(F.col("front_end") < 0, "unclosed-envelope").when(~sound, F.when(odd, "alias-or-tag").otherwise("invalid-mapping")).when(F.size(wrong) > 0, F.get(wrong, F.lit(0))["key"])
-    df = apart(df, __code=code, __reason=reason)
-    front = F.struct(F.col("__code").isNull().alias("ok"), F.col("__code").alias("code"), F.col("__reason").alias("reason"), *(f(n).alias(n) for n, f in (("title", scalar_of), ("author", scalar_of), ("authors", list_of), ("translator", scalar_of), ("translators", list_of), ("raw_header", scalar_of))))
-    return apart(df, ("__e", "__code", "__reason"), front=F.when(F.col("front_end") != 0, front))
+        ended = lambda text: F.when(e["value"].rlike(r"\+"), F.concat(text, F.lit("\n"))).when(e["value"].rlike("-"), F.regexp_replace(text, r"\n+\z", "")).otherwise(F.concat(F.regexp_replace(text, r"\n+\z", ""), F.lit("\n")))
+        text = lambda t: F.when(e["value"].rlike(r"\A>"), F.regexp_replace(t, r"(?<!\n)\n(?=[^\n])", " ")).otherwise(t)
+        return F.when(e.isNull(), None).when(block(e), bound(bound(F.array_join(rows, "\n"), ended), text)).otherwise(bound(whole(e), plain))
+
+    def list_of(e: Column) -> Column:
+        items = F.transform(F.filter(e["rows"], lambda x: x.rlike(item)), lambda x: bound(strip(F.regexp_replace(x, r"\A[ \t]*-[ \t]+", "")), plain))
+        flow = F.transform(F.split(F.regexp_extract(e["value"], r"\A\[(.*)\]\z", 1), ","), lambda x: bound(strip(x), plain))
+        some = F.filter(F.when(e["value"].rlike(r"\A\[.*\]\z"), flow).when(is_list(e), items).otherwise(F.array(bound(whole(e), plain))), lambda x: x.isNotNull() & (strip(x) != ""))
+        return F.when(e.isNotNull(), bound(some, lambda x: F.when(F.size(x) > 0, x)))
+
+    df = apart(df, __sound=sound, __odd=odd, __wrong=wrong)
+    broken, mistyped = (F.col("front_end") < 0) | ~F.col("__sound"), F.size("__wrong") > 0
+    code = F.when(broken, "FRONTMATTER_PARSE_FAILED").when(mistyped, "FRONTMATTER_INVALID_TYPE")
+    reason = F.when(F.col("front_end") < 0, "unclosed-envelope").when(broken, F.when(F.col("__odd"), "alias-or-tag").otherwise("invalid-mapping")).when(mistyped, F.get("__wrong", F.lit(0))["key"])
+    front = F.struct(code.isNull().alias("ok"), code.alias("code"), reason.alias("reason"), *(bound(found(n), f).alias(n) for n, f in (("title", scalar_of), ("author", scalar_of), ("authors", list_of), ("translator", scalar_of), ("translators", list_of), ("raw_header", scalar_of))))
+    return apart(df, ("__e", "__sound", "__odd", "__wrong"), front=F.when(F.col("front_end") != 0, front))
 
 
 def plain_fields(df: DataFrame) -> DataFrame:

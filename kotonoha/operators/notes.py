@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,28 +31,46 @@ def _front_step(s: Column, line: Column) -> Column:
 
     scalar says what the row leaves open: a block of text that goes on as long as rows are deeper than deep, or a
     quotation. An indented rule in one of them is part of it and closes nothing; one at the margin always closes."""
-    rule, inside = line.rlike(_RULE), s["front"] == 1
-    indent = F.length(F.regexp_extract(line, r"\A *", 0))
-    blank = line.rlike(r"\A[ \t\r]*\z")
-    in_block = (s["scalar"] == "|") & (blank | (indent > s["deep"]))
-    in_quote = s["scalar"].isin("\"", "'") & (blank | (indent > 0) | line.rlike(r"\A\t"))
-    held = inside & (in_block | in_quote)
-    front = F.when(s["first"], F.when(rule, 1).otherwise(0)).when(inside & rule & ~held, 2).when(s["front"] == 2, 3).otherwise(s["front"])
-    quote_ends = F.when(s["scalar"] == "\"", line.rlike(_DOUBLE_END)).otherwise(line.rlike(_SINGLE_END))
-    lead = F.regexp_extract(line, _LEAD, 1)
-    body = F.substring(line, F.length(lead) + 1, F.length(line))
-    key = F.regexp_extract(body, _KEYED, 0)
-    value = F.regexp_replace(F.substring(body, F.length(key) + 1, F.length(body)), r"\A(?:[&!][^ \t]*[ \t]+)*[\[{, ]*", "")
-    rest = F.substring(value, F.lit(2), F.length(value))
-    opened = F.when(value.rlike(_BLOCK), "|").when(F.startswith(value, F.lit("\"")) & ~rest.rlike(_DOUBLE_END), "\"").when(F.startswith(value, F.lit("'")) & ~rest.rlike(_SINGLE_END), "'").otherwise("")
-    scalar = F.when(front != 1, "").when(s["first"], "").when(in_block, "|").when(in_quote, F.when(quote_ends, "").otherwise(s["scalar"])).otherwise(opened)
-    deep = F.when(in_block | in_quote, s["deep"]).when(key != "", F.length(lead)).otherwise(F.length(F.regexp_extract(line, r"\A((?: *- +)*?) *- +[^-]", 1)))
-    return F.struct(front.alias("front"), scalar.alias("scalar"), deep.alias("deep"), F.lit(False).alias("first"))
+    made = lambda scalar, deep: F.struct(scalar.alias("scalar"), deep.alias("deep"))
+
+    def opened(line: Column, lead: Column) -> Column:
+        # what a row of its own leaves open
+        def of_key(x: Column) -> Column:
+            deep = F.when(x["key"] != "", F.length(lead)).otherwise(F.length(F.regexp_extract(line, r"\A((?: *- +)*?) *- +[^-]", 1)))
+            value = F.regexp_replace(F.substring(x["body"], F.length(x["key"]) + 1, F.length(x["body"])), r"\A(?:[&!][^ \t]*[ \t]+)*[\[{, ]*", "")
+
+            def of_value(value: Column) -> Column:
+                rest = F.substring(value, F.lit(2), F.length(value))
+                quoted = lambda mark, end: F.startswith(value, F.lit(mark)) & ~rest.rlike(end)
+                return made(F.when(value.rlike(_BLOCK), "|").when(quoted("\"", _DOUBLE_END), "\"").when(quoted("'", _SINGLE_END), "'").otherwise(""), deep)
+
+            return bound(value, of_value)
+
+        body = F.substring(line, F.length(lead) + 1, F.length(line))
+        return bound(bound(body, lambda x: F.struct(x.alias("body"), F.regexp_extract(x, _KEYED, 0).alias("key"))), of_key)
+
+    def step(f: Column) -> Column:
+        in_block = (s["scalar"] == "|") & (f["blank"] | (f["indent"] > s["deep"]))
+        in_quote = s["scalar"].isin("\"", "'") & (f["blank"] | (f["indent"] > 0) | line.rlike(r"\A\t"))
+        inside = s["front"] == 1
+        front = F.when(s["first"], F.when(f["rule"], 1).otherwise(0)).when(inside & f["rule"] & ~(in_block | in_quote), 2).when(s["front"] == 2, 3).otherwise(s["front"])
+        quote_ends = F.when(s["scalar"] == "\"", line.rlike(_DOUBLE_END)).otherwise(line.rlike(_SINGLE_END))
+        own = bound(F.regexp_extract(line, _LEAD, 1), lambda lead: opened(line, lead))
+        left = lambda front: F.when((front != 1) | s["first"], made(F.lit(""), F.lit(0))).when(in_block, made(F.lit("|"), s["deep"])).when(in_quote, made(F.when(quote_ends, "").otherwise(s["scalar"]), s["deep"])).otherwise(own)
+        return bound(front, lambda front: bound(left(front), lambda x: F.struct(front.alias("front"), x["scalar"].alias("scalar"), x["deep"].alias("deep"), F.lit(False).alias("first"))))
+
+    return bound(F.struct(line.rlike(_RULE).alias("rule"), line.rlike(r"\A[ \t\r]*\z").alias("blank"), F.length(F.regexp_extract(line, r"\A *", 0)).alias("indent")), step)
 
 
 def front_rows(rows: Column) -> Column:
     """How many rows a text's front matter has with both its rules; 0 without any, -1 if it is never closed."""
-    states = folded(rows, _front_zero(), lambda s, line: (_front_step(s, line), _front_step(s, line)["front"]), "int")
+
+    def step(s: Column, line: Column) -> Column:
+        # rows behind the closing one are not looked at
+        now = F.when(s["first"] | (s["front"] == 1), _front_step(s, line)).otherwise(F.struct(F.lit(3).alias("front"), F.lit("").alias("scalar"), F.lit(0).alias("deep"), F.lit(False).alias("first")))
+        return F.transform(F.array(now), lambda x: F.struct(x.alias("state"), x["front"].alias("value")))
+
+    states = folded(rows, _front_zero(), step, "int")
     return F.when(~F.get(rows, F.lit(0)).rlike(_RULE), 0).otherwise(F.coalesce(F.nullif(F.array_position(states, 2), F.lit(0)), F.lit(-1)).cast("int"))
 
 
@@ -61,15 +81,18 @@ def shielded(rows: Column) -> Column:
     at least, an open one and unclosed front matter reach to the end."""
     zero = F.struct(F.lit("").alias("fence"), _front_zero().alias("front"))
 
-    def step(s: Column, line: Column) -> tuple[Column, Column]:
-        run = F.regexp_extract(line, _FENCE, 1)
-        bare = line.rlike(r"\A[ \t　]*(`{3,}|~{3,})[ \t　\r]*\z")
+    def step(s: Column, line: Column) -> Column:
         first = s["front"]["first"]
         front = F.when(first | s["front"]["front"].isin(1, 2), _front_step(s["front"], line)).otherwise(s["front"])
-        in_front = front["front"].isin(1, 2)
-        closes = (s["fence"] != "") & bare & (F.substring(run, 1, 1) == F.substring(s["fence"], 1, 1)) & (F.length(run) >= F.length(s["fence"]))
-        fence = F.when(in_front, "").when(closes, "").when((s["fence"] == "") & (run != ""), run).otherwise(s["fence"])
-        return F.struct(fence.alias("fence"), front.alias("front")), in_front | (s["fence"] != "") | (run != "")
+
+        def of(f: Column) -> Column:
+            run, in_front = f["run"], f["front"]["front"].isin(1, 2)
+            bare = line.rlike(r"\A[ \t　]*(`{3,}|~{3,})[ \t　\r]*\z")
+            closes = (s["fence"] != "") & (run != "") & bare & (F.substring(run, 1, 1) == F.substring(s["fence"], 1, 1)) & (F.length(run) >= F.length(s["fence"]))
+            fence = F.when(in_front, "").when(closes, "").when((s["fence"] == "") & (run != ""), run).otherwise(s["fence"])
+            return bound(fence, lambda fence: F.struct(F.struct(fence.alias("fence"), f["front"].alias("front")).alias("state"), (in_front | (fence != "") | (run != "")).alias("value")))
+
+        return F.transform(F.array(F.struct(F.regexp_extract(line, _FENCE, 1).alias("run"), front.alias("front"))), of)
 
     # most texts have neither a fence nor front matter, and need no fold
     some = F.exists(rows, lambda x: x.rlike(_FENCE)) | F.get(rows, F.lit(0)).rlike(_RULE)
@@ -97,6 +120,11 @@ def folded(rows: Column, zero: Column, step, kind: str, piece: int = 128, finish
     return F.aggregate(starts, pack(zero, F.array().cast(f"array<array<{kind}>>")), some, lambda s: finish(s["state"], F.flatten(s["out"])))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once: in a lambda an expression is worked out wherever it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def covering(rows: Column, spans: Column, kind: str) -> Column:
     """For each row the span (first, last, ...) that it lies in, or null; spans are sorted and share no row. rows and spans should be columns."""
 

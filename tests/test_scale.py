@@ -7,6 +7,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from kotonoha.functions.names import sanitize_filename
+from kotonoha.operators.notes import bound
 from kotonoha.plans import budgets, jobs, registry
 from kotonoha.plans.budgets import Limits
 from kotonoha.sources import archives
@@ -161,3 +163,19 @@ def test_running_sums(spark):
     rows = spark.range(300).select(F.col("id").alias("ord"), (F.col("id") % 3).alias("k"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("v"))
     got = {r.ord: r.total for r in jobs.running(rows, {"total": "v"}, ["ord"], ["k"]).collect()}
     assert got == {i: sum(j for j in range(i + 1) if j % 3 == i % 3 and j % 7) for i in range(300)}
+
+
+@pytest.mark.parametrize("name", ["front_matter_read", "import_requests"])
+def test_small_tables_are_dealt_over_all_cores(spark, name):
+    rows = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_a_name_is_worked_out_once(spark):
+    plan = spark.range(1).select(sanitize_filename(F.col("id").cast("string"), "md").alias("n"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("translate(") == 1
+
+
+def test_what_an_expression_is_bound_to(spark):
+    row = spark.range(1).select(bound(F.rand(3), lambda x: x == x).alias("same"), bound(F.lit(None).cast("int"), lambda x: x.isNull()).alias("none")).first()
+    assert row.same and row.none
