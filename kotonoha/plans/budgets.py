@@ -73,10 +73,11 @@ def budget_account(entries: DataFrame, limits: Limits) -> DataFrame:
     within = running(rows, {"archive_entries": "__entry"}, ["__place"], ["input_ord"])
     head = _over(limits, [("archive_entries", "archive_entries"), ("filename_bytes", "filename_bytes")])
     own = F.coalesce(head, _over(limits, [("text_bytes", "text_bytes")]))
-    failed = within.withColumn("__head", head).withColumn("__own", own).withColumn("__bad", own.isNotNull().cast("int"))
-    failed = running(failed, {"__fails": "__bad"}, ["__place"], ["input_ord"])
-    # of a source only what comes up to its first failure is read
-    read = (F.col("__fails") == 0) | ((F.col("__fails") == 1) & (F.col("__bad") == 1))
+    failed = within.withColumn("__head", head).withColumn("__own", own)
+    # of a source only what comes up to its first failure is read: one row for each source that fails, joined by its key
+    stops = failed.filter("__own is not null").groupBy(F.col("input_ord").alias("__source")).agg(F.min("__place").alias("__stop"))
+    failed = failed.join(stops, F.col("input_ord").eqNullSafe(F.col("__source")), "left")
+    read = F.coalesce(F.col("__place") <= F.col("__stop"), F.lit(True))
     rows = failed.withColumn("__read", read)
     count = lambda c, on: F.when(F.col("__read") & on, F.col(c)).otherwise(0)
     whole, yes = F.col("__own").isNull(), F.lit(True)
@@ -87,9 +88,11 @@ def budget_account(entries: DataFrame, limits: Limits) -> DataFrame:
     # of one row the batch's checks and its own come in turns: the first that fails counts
     late = job.isin("output_bytes", "job_timeout_ms") | (F.col("__head").isNotNull() & (job != "total_entries"))
     summed = summed.withColumn("__job", F.when(~(late & F.col("__own").isNotNull()), job))
-    summed = written(summed.withColumn("__end", F.col("__job").isNotNull().cast("int")), "budget")
-    ended = running(summed, {"__ends": "__end"}, order, [])
-    after = (F.col("__ends") > 1) | ((F.col("__ends") == 1) & (F.col("__end") == 0))
+    summed = written(summed, "budget")
+    # everything behind the first breach of the job is unread: one row is told to all
+    first = summed.filter("__job is not null").agg(F.min(F.struct(*order)).alias("__end"))
+    ended = summed.join(F.broadcast(first), how="cross")
+    after = F.coalesce(F.struct(*order) > F.col("__end"), F.lit(False))
     breach = F.when(after | ~F.col("__read"), None).when(F.col("__job").isNotNull(), F.struct(F.lit("batch").alias("scope"), F.col("__job").alias("reason"))).when(F.col("__own").isNotNull(), F.struct(F.lit("unit").alias("scope"), F.col("__own").alias("reason")))
     status = F.when(after | ~F.col("__read"), "unread").when(breach.isNotNull(), "breach").otherwise("fits")
     return ended.withColumn("breach", breach).withColumn("status", status).select(*entries.columns, "archive_entries", "total_entries", "declared_bytes", "expanded_bytes", "output_bytes", "breach", "status")

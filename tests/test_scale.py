@@ -179,3 +179,11 @@ def test_a_name_is_worked_out_once(spark):
 def test_what_an_expression_is_bound_to(spark):
     row = spark.range(1).select(bound(F.rand(3), lambda x: x == x).alias("same"), bound(F.lit(None).cast("int"), lambda x: x.isNull()).alias("none")).first()
     assert row.same and row.none
+
+
+def test_a_budget_is_written_three_times(spark, monkeypatch):
+    made = []
+    for module in (jobs, budgets):
+        monkeypatch.setattr(module, "written", lambda df, name="cut", keep=module.written: made.append(name) or keep(df, name))
+    rows = spark.createDataFrame([(1, 1, 1, 1, 1, 1, 1, 1)], "input_ord int, entry_ord int, filename_bytes int, declared long, expanded long, text_bytes long, output long, elapsed_ms long")
+    assert budgets.budget_account(rows, Limits()).first().status == "fits" and made == ["running", "running", "budget"]
