@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from kotonoha.functions import jis
 from kotonoha.functions.text import code_points, fullwidth_digits, is_space, strip
-from kotonoha.operators.notes import CODE, apart, covering, folded
+from kotonoha.operators.notes import CODE, apart, bound, covering, folded
 from kotonoha.operators.spans import over_rows
 
 #: Names of marks and lines in notes.
@@ -179,20 +179,20 @@ def tcy(df: DataFrame) -> DataFrame:
     """Upright runs of one to four letters, digits, ! or ?, in brackets of their own."""
     note = "［＃「([^」]*)」は縦中横］"
 
-    def convert(gap, hit):
-        q = F.regexp_extract(hit, note, 1)
-        has = F.endswith(gap, q)
-        head = before(gap, q)
+    def of(gap: Column, hit: Column, q: Column, head: Column) -> Column:
         reason = (
             F.when(q == "", "empty")
             .when(~q.rlike(r"\A[A-Za-z0-9!?]{1,4}\z"), "invalid-body")
             .when(F.endswith(gap, F.concat(F.lit("｟"), q, F.lit("｠"))), "existing-tcy")
-            .when(~has, "target-mismatch")
+            .when(~F.endswith(gap, q), "target-mismatch")
             .when(head.rlike(r"｟[^｠\n]*\z"), "existing-tcy")
             .when(in_ruby(head, hit), "ruby-context")
         )
-        kept = piece(F.concat(gap, hit), "unconverted", hit, "TCY_NOT_CONVERTED", reason)
-        return F.when(reason.isNotNull(), kept).otherwise(piece(F.concat(head, F.lit("｟"), q, F.lit("｠")), "converted"))
+        kept = lambda why: piece(F.concat(gap, hit), "unconverted", hit, "TCY_NOT_CONVERTED", why)
+        return bound(reason, lambda why: F.when(why.isNotNull(), kept(why)).otherwise(piece(F.concat(head, F.lit("｟"), q, F.lit("｠")), "converted")))
+
+    def convert(gap, hit):
+        return bound(F.regexp_extract(hit, note, 1), lambda q: bound(before(gap, q), lambda head: of(gap, hit, q, head)))
 
     return over_rows(df, lambda rows: _on_notes(rows, "tcy", note + _RUBY_AFTER, convert, ("converted", "unconverted")))
 

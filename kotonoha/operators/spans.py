@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kotonoha.functions.text import NOTE, utf16_length
-from kotonoha.operators.notes import apart, folded, with_lines
+from kotonoha.operators.notes import apart, bound, folded, with_lines
 
 #: The kinds of ranges in notes; ［＃ここから…］ and ［＃ここで…終わり］ are ranges of their own.
 KINDS = ("太字", "斜体", "傍線", "二重傍線", "鎖線", "破線", "波線", "傍点", "白ゴマ傍点", "白丸傍点", "黒三角傍点", "白三角傍点", "二重丸傍点", "蛇の目傍点", "ばつ傍点", "丸傍点", "大見出し", "中見出し", "小見出し")
@@ -117,7 +117,6 @@ def over_rows(df: DataFrame, stage: Callable[[DataFrame], DataFrame], ranges: st
         return F.regexp_extract_all(line, F.lit(pattern.replace("(?:", "(", 1)), F.lit(1)) if ranges else F.array().cast("array<string>")
 
     facts = lambda r: F.struct(r["shield"].alias("shield"), r["lines"].rlike(r"［＃[^］]*\z").alias("cut"), F.contains(r["lines"], F.lit("］")).alias("end"), names(rest(r["lines"]) if ranges else r["lines"], opener).alias("opens"), names(r["lines"], closer).alias("closes"))
-    df = apart(df, __facts=F.when(some, F.transform(F.arrays_zip("lines", "shield"), facts)))
     state = lambda cut, kinds: F.struct(cut.alias("cut"), kinds.cast("array<string>").alias("kinds"))
     zero = state(F.lit(False), F.array())
     kind = "struct<cut:boolean,kinds:array<string>>"
@@ -132,18 +131,20 @@ def over_rows(df: DataFrame, stage: Callable[[DataFrame], DataFrame], ranges: st
         now = F.when(r["shield"], zero).otherwise(state(r["end"] | s["cut"], F.array_union(s["kinds"], r["closes"])))
         return now, s
 
-    asked = F.col("__facts").isNotNull()
-    df = apart(df, __down=F.when(asked, folded(F.col("__facts"), zero, down, kind)), __back=F.reverse("__facts"))
-    df = apart(df, ("__back", "__facts"), __up=F.when(asked, F.reverse(folded(F.col("__back"), zero, up, kind))))
-    on = F.zip_with("__down", "__up", lambda a, b: (a["cut"] & b["cut"]) | F.arrays_overlap(a["kinds"], b["kinds"]))
-    df = apart(df, ("__down", "__up"), __on=on)
-    firsts = F.filter(F.transform("__on", lambda x, i: F.when((i == 0) | ~F.get(F.col("__on"), i - 1), i)), lambda i: i.isNotNull())
-    df = apart(df, ("__on",), __first=F.when(F.exists("__on", lambda x: x), firsts))
+    def starts(found: Column) -> Column:
+        # where each joined row begins; null if no row is joined
+        falling = bound(F.reverse(found), lambda back: F.reverse(folded(back, zero, up, kind)))
+        on = F.zip_with(folded(found, zero, down, kind), falling, lambda a, b: (a["cut"] & b["cut"]) | F.arrays_overlap(a["kinds"], b["kinds"]))
+        firsts = lambda on: F.filter(F.transform(on, lambda x, i: F.when((i == 0) | ~F.get(on, i - 1), i)), lambda i: i.isNotNull())
+        return bound(on, lambda on: F.when(F.exists(on, lambda x: x), firsts(on)))
+
+    # in one step, as nearly all texts need none of it
+    df = apart(df, __first=F.when(some, bound(F.transform(F.arrays_zip("lines", "shield"), facts), starts)))
     whole = F.transform("__first", lambda at, k: F.array_join(F.slice(F.col("lines"), at + 1, F.coalesce(F.get(F.col("__first"), k + 1), F.size("lines")) - at), "\n"))
     shield = F.transform("__first", lambda at: F.get(F.col("shield"), at))
     df = apart(df, ("__first",), __over=F.col("__first").isNotNull(), lines=F.coalesce(whole, "lines"), shield=F.coalesce(shield, "shield"))
     df = stage(df)
     # the joined rows fall apart again, with as many lines as the stage has left of them
-    parts = F.transform(F.arrays_zip("lines", "shield"), lambda r: F.transform(F.split(r["lines"], "\n", -1), lambda x: F.struct(x.alias("line"), r["shield"].alias("shield"))))
-    df = apart(df, ("__over",), __parts=F.when(F.col("__over"), F.flatten(parts)))
-    return apart(df, ("__parts",), lines=F.coalesce(F.transform("__parts", lambda p: p["line"]), "lines"), shield=F.coalesce(F.transform("__parts", lambda p: p["shield"]), "shield"))
+    parts = F.flatten(F.transform("lines", lambda x: F.split(x, "\n", -1)))
+    shields = F.flatten(F.transform(F.arrays_zip("lines", "shield"), lambda r: F.array_repeat(r["shield"], F.size(F.split(r["lines"], "\n", -1)))))
+    return apart(df, ("__over",), lines=F.when(F.col("__over"), parts).otherwise(F.col("lines")), shield=F.when(F.col("__over"), shields).otherwise(F.col("shield")))

@@ -187,3 +187,8 @@ def test_a_budget_is_written_three_times(spark, monkeypatch):
         monkeypatch.setattr(module, "written", lambda df, name="cut", keep=module.written: made.append(name) or keep(df, name))
     rows = spark.createDataFrame([(1, 1, 1, 1, 1, 1, 1, 1)], "input_ord int, entry_ord int, filename_bytes int, declared long, expanded long, text_bytes long, output long, elapsed_ms long")
     assert budgets.budget_account(rows, Limits()).first().status == "fits" and made == ["running", "running", "budget"]
+
+
+def test_lines_are_totalled_before_they_are_converted(spark):
+    plan = registry.QUERIES["tcy_codes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert 0 < plan.index("Generate") < plan.index("Aggregate") and plan.count("Generate") < 10
