@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kotonoha.functions.names import sanitize_filename, zip_entry_problem, zip_relative_name
 from kotonoha.operators.notes import apart
 from kotonoha.plans.outputs import plan_outputs
+from kotonoha.session import written
 
 _TEXT = r"(?i)\A(.*)\.(txt|md)\z"
 
@@ -33,6 +34,7 @@ def plan_archives(entries: DataFrame, taken: DataFrame, extension: str = "md", b
     """(batch, archive_id, index, output) of every entry of sound batches; output is null for folders and for what is no text.
 
     entries as for archive_problems(), with stem (of the archive's name) and directory; taken: (batch, path)."""
+    entries = written(entries, "archive-entries")  # read four times
     sound = entries.join(archive_problems(entries, batch).select(batch), batch, "left_anti")
     parts = F.split(zip_relative_name(F.coalesce("name", "raw_name")), "/")
     rows = apart(sound.withColumn("__parts", parts).withColumn("__last", F.element_at(parts, -1)))

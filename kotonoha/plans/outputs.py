@@ -28,9 +28,12 @@ def free_numbers(claims: DataFrame, held: DataFrame, keys: list[str], order: str
     numbered = running(claims.withColumn("__one", F.lit(1)), {"__k": "__one"}, [order], keys)
     ranked = running(held.select(*keys, "n").distinct().withColumn("__one", F.lit(1)), {"__j": "__one"}, ["n"], keys)
     spots = ranked.select(*keys, (F.col("n") - F.col("__j") + 1).cast("bigint").alias("__pos"), F.lit(0).alias("__claim"), F.lit(1).alias("__held"))
-    both = numbered.withColumn("__pos", F.col("__k") - 1).withColumn("__claim", F.lit(1)).withColumn("__held", F.lit(0)).unionByName(spots, allowMissingColumns=True)
-    done = running(both, {"__skip": "__held"}, ["__pos", "__claim"], keys).filter("__claim = 1")
-    return done.withColumn("free", F.col("__k") - 1 + F.col("__skip")).drop("__one", "__k", "__pos", "__claim", "__held", "__skip")
+    # only claims of a key that holds a number have to move on
+    busy = held.select(*keys).distinct()
+    both = numbered.join(busy, keys, "left_semi").withColumn("__pos", F.col("__k") - 1).withColumn("__claim", F.lit(1)).withColumn("__held", F.lit(0)).unionByName(spots, allowMissingColumns=True)
+    done = running(both, {"__skip": "__held"}, ["__pos", "__claim"], keys).filter("__claim = 1").drop("__pos", "__claim", "__held")
+    done = done.unionByName(numbered.join(busy, keys, "left_anti").withColumn("__skip", F.lit(0).cast("bigint")))
+    return done.withColumn("free", F.col("__k") - 1 + F.col("__skip")).drop("__one", "__k", "__skip")
 
 
 def _holds(stem: Column, others: list[Column], exact: bool) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kotonoha.functions.names import sanitize_filename
 from kotonoha.operators.notes import bound
-from kotonoha.plans import budgets, jobs, registry
+from kotonoha.plans import budgets, jobs, outputs, registry
 from kotonoha.plans.budgets import Limits
 from kotonoha.sources import archives
 from kotonoha.sources.files import export_archives
@@ -192,3 +192,12 @@ def test_a_budget_is_written_three_times(spark, monkeypatch):
 def test_lines_are_totalled_before_they_are_converted(spark):
     plan = registry.QUERIES["tcy_codes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     assert 0 < plan.index("Generate") < plan.index("Aggregate") and plan.count("Generate") < 10
+
+
+def test_claims_of_free_keys_are_not_moved(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(outputs, "running", lambda rows, sums, order, keys, keep=outputs.running: seen.append(rows) or keep(rows, sums, order, keys))
+    claims = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 2), (None, 1)], "key string, ord int")
+    held = spark.createDataFrame([("a", 0), ("a", 2)], "key string, n bigint")
+    got = {(r.key, r.ord, r.free) for r in outputs.free_numbers(claims, held, ["key"], "ord").collect()}
+    assert got == {("a", 1, 1), ("a", 2, 3), ("b", 1, 0), ("b", 2, 1), (None, 1, 0)} and seen[2].filter("key = 'b' or key is null").count() == 0
