@@ -5,12 +5,12 @@ most frequent training words (those seen more than RARE times), the end and an e
 binary decisions. Each decision is predicted from hashed contexts (none; the last word; the last two;
 the last of the most frequent words, which tells the language) by counts over all training texts.
 The predictions are mixed in the logistic domain by weights that a gate selects by how well the
-contexts are known. Counts are those of all training texts. The weights are learnt online, decision after decision in one fixed
-order, on a bounded sample (SAMPLE texts and words by the least hash, FIT_WORDS words at most) from the counts without each text's own, so that
-they are the same however the rows are partitioned; and refined in each text,
+contexts are known. Counts are those of all training texts, and all of them teach the weights: each of FOLDS parts of the texts is predicted
+from the counts of the others, its decisions are tallied by their predictions (in bins, cells()), and each gate's weights are those of the least
+loss over its tally (learnt()). Tallies are whole numbers, so the weights are the same however the rows are partitioned. They are refined online in each text,
 after every BLOCK words, from its own errors; a block's probability uses only earlier blocks.
 A word outside the head costs the escape and then a mixture of its training count and of a second
-mixer over the bits of its bytes, in contexts of the last 1, 2, 3 and 5 bytes, trained on all such
+mixer over the bits of its bytes, in contexts of the last 1, 2, 3 and 5 bytes, counts and weights of which come from all such
 words. A text's score is the log probability of its words and its end, one after the other: those of all sequences of words make 1 at
 most. Bits per byte follow from the sum.
 
@@ -29,6 +29,7 @@ from __future__ import annotations
 import heapq
 import math
 import struct
+import zlib
 from collections import Counter
 from itertools import chain, repeat
 
@@ -42,13 +43,11 @@ from kotonoha.llm.common import LOWER, documents, id_crc, words
 from kotonoha.session import written
 
 HEAD, RARE, SLOTS, FREQUENT, BLOCK = 65_000, 4, 1 << 19, 64, 64
-#: Slots of an array that travel as one row; words or bytes that are worked on at once, those that are learnt from at once, texts as long as its first one that a portion has room for.
-CHUNK, STEP, FIT_STEP, ALIKE = 1 << 14, 25_000, 25_000, 4
-#: Words in the first portion that weights are learnt from; portions double up to FIT_STEP.
-FIRST = 256
-RATE, FIT_RATE, FIT_STEPS, START = 0.3, 0.1, 64, 0.3
-#: Texts, and words outside the head, that weights are learnt from; words of the texts at most.
-SAMPLE, FIT_WORDS = 2_000, 300_000
+#: Slots of an array that travel as one row; words or bytes that are worked on at once, texts as long as its first one that a portion has room for.
+CHUNK, STEP, ALIKE = 1 << 14, 12_500, 4
+RATE, START = 0.3, 0.3
+#: Parts of the training texts, and of the words outside the head, that are predicted from the counts of the others; the pull of weights to START.
+FOLDS, PULL = 2, 16.0
 _LEVELS = (1, 4, 32)
 #: The mixed prediction is held to so much on either side.
 _MOST = 30.0
@@ -111,10 +110,15 @@ class Huffman:
         self.nodes = np.array([x for x, _ in chain.from_iterable(paths)], np.int64)
         self.places = place[self.nodes]
         self.bits = np.array([b for _, b in chain.from_iterable(paths)], np.int8)
+        #: Nodes and places with their bits behind them.
+        self.taken, self.turns = self.nodes << 1 | self.bits, self.places << 1 | self.bits
 
 
 class WordBits:
-    """Decisions of word sequences, block by block: for a list of texts, (slots by predictor, bit, 64 times the text, where each block ends)."""
+    """Decisions of word sequences.
+
+    decisions(), block by block: for a list of texts, (slots by predictor, bit, 64 times the text, where each block ends).
+    outcomes(), in any order: for each predictor twice the slot, plus the bit."""
 
     K = 4
 
@@ -129,7 +133,8 @@ class WordBits:
         out[:-1] = np.fromiter(map(self.ids.get, found, repeat(self.escape)), np.int64, len(found))
         return out
 
-    def decisions(self, texts: list[np.ndarray]):
+    def contexts(self, texts: list[np.ndarray]):
+        """Symbols of all texts, their places and those of their texts' first ones, the lengths of the texts, and where the counts of each symbol's contexts begin."""
         lengths = np.array([len(t) for t in texts])
         s, starts = np.concatenate(texts), np.repeat(np.cumsum(lengths) - lengths, lengths)
         at = np.arange(len(s))
@@ -138,23 +143,40 @@ class WordBits:
         last = np.where(seen >= starts, s[np.maximum(seen, 0)], self.begin).astype(np.uint32)
         one, two = back(1), back(2)
         hashes = [_slot(h) for h in ((one + np.uint32(1)) * np.uint32(0x9E3779B1), (one * np.uint32(0x27D4EB2F) ^ (two + np.uint32(7)) * np.uint32(0x165667B1)), (last + np.uint32(3)) * np.uint32(0xC2B2AE3D))]
+        return s, at, starts, lengths, hashes
+
+    def outcomes(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        s, _, _, _, hashes = self.contexts(texts)
+        code = self.code
+        size = code.length[s]
+        path = np.repeat(code.start[s] - np.cumsum(size) + size, size)
+        path += np.arange(len(path))
+        turns = _at(code.turns, path)
+        return [_at(code.taken, path), *(np.repeat(h << 1, size) ^ turns for h in hashes)]
+
+    def decisions(self, texts: list[np.ndarray]):
+        s, at, starts, lengths, hashes = self.contexts(texts)
         text, block = np.repeat(np.arange(len(texts)), lengths), (at - starts) // BLOCK
         if len(block) and block.max():  # blocks of all texts one after the other
             order = np.argsort(block, kind="stable")
             s, text, block, hashes = s[order], text[order], block[order], [h[order] for h in hashes]
         code = self.code
         size = code.length[s]
-        symbol = np.repeat(np.arange(len(s)), size)
-        path = _at(code.start[s] - np.cumsum(size) + size, symbol)
+        path = np.repeat(code.start[s] - np.cumsum(size) + size, size)
         path += np.arange(len(path))
         place = _at(code.places, path)
-        return [_at(code.nodes, path), *(_at(h, symbol) ^ place for h in hashes)], _at(code.bits, path), _at(text * 64, symbol), np.cumsum(np.bincount(block, size)).astype(np.int64)
+        return [_at(code.nodes, path), *(np.repeat(h, size) ^ place for h in hashes)], _at(code.bits, path), np.repeat(text * 64, size), np.cumsum(np.bincount(block, size)).astype(np.int64)
 
 
 _node = np.arange(256)
 #: Places of the nodes of a byte's tree: the first four bits of a byte, and the last four behind each of their values.
 _BYTE_PLACES = _places(np.where(_node < 16, 0, _node >> np.maximum(0, np.log2(np.maximum(_node, 1)).astype(int) - 4)), np.where(_node < 16, _node, 1 << np.maximum(0, np.log2(np.maximum(_node, 1)).astype(int) - 4) | (_node & ((1 << np.maximum(0, np.log2(np.maximum(_node, 1)).astype(int) - 4)) - 1))))
 
+#: The eight nodes above every byte, their bits, and both together.
+_PATH = (_node[:, None] | 256) >> (8 - np.arange(8))
+_TREE, _TREE_BITS = _BYTE_PLACES[_PATH], ((_node[:, None] >> (7 - np.arange(8))) & 1).astype(np.int8)
+_TURNS = _TREE << 1 | _TREE_BITS
+
 
 class ByteBits:
     """Decisions of the bytes of words, each word with a final blank; a word is one block."""
@@ -162,7 +184,8 @@ class ByteBits:
     K = len(ORDERS)
     sizes = [SLOTS] * len(ORDERS)
 
-    def decisions(self, found: list[bytes]):
+    def contexts(self, found: list[bytes]):
+        """Bytes of all words, the lengths of the words, and where the counts of each byte's contexts begin."""
         lengths = np.array([len(w) + 1 for w in found])
         x = np.frombuffer(b" ".join(found) + b" ", np.uint8).astype(np.uint32)
         starts, at = np.repeat(np.cumsum(lengths) - lengths, lengths), np.arange(len(x))
@@ -171,11 +194,19 @@ class ByteBits:
             h = h * np.uint32(0x01000193) + np.where(at - k >= starts, x[np.maximum(at - k, 0)] + np.uint32(1), np.uint32(0))
             if k in ORDERS:
                 hashes.append(_slot((h + np.uint32(k)) * np.uint32(0x9E3779B1)))
-        shifts = np.arange(8, dtype=np.uint32)
-        place = _BYTE_PLACES[(x[:, None] | np.uint32(256)) >> (np.uint32(8) - shifts)].ravel()
-        bit = ((x[:, None] >> (np.uint32(7) - shifts)) & np.uint32(1)).astype(np.int8).ravel()
-        word = np.repeat(np.repeat(64 * np.arange(len(found)), lengths), 8)
-        return [np.repeat(h, 8) ^ place for h in hashes], bit, word, np.array([len(word)])
+        return x.astype(np.intp), lengths, hashes
+
+    def decisions(self, found: list[bytes]):
+        x, lengths, hashes = self.contexts(found)
+        place = _TREE.take(x, axis=0)
+        bit = _TREE_BITS.take(x, axis=0).ravel()
+        word = np.repeat(64 * np.arange(len(found)), 8 * lengths)
+        return [(h[:, None] ^ place).ravel() for h in hashes], bit, word, np.array([len(word)])
+
+    def outcomes(self, found: list[bytes]) -> list[np.ndarray]:
+        x, _, hashes = self.contexts(found)
+        turns = _TURNS.take(x, axis=0)
+        return [((h << 1)[:, None] ^ turns).ravel() for h in hashes]
 
 
 def _predicted(zeros: np.ndarray, ones: np.ndarray, k: int) -> np.ndarray:
@@ -199,24 +230,22 @@ class Mixer:
         A slot's prediction carries in two of its last six bits how well the slot is known, so that one access finds both."""
         self.known = [_predicted(c[::2].astype(np.float32), c[1::2].astype(np.float32), k) for k, c in enumerate(counts, 3 - len(counts))]
 
-    def run(self, items: list, rate: float, own: bool = True, decisions=None, x: list | None = None) -> np.ndarray | None:
-        """Natural log of the probability of each item. own: each item refines weights of its own, block by block; else all refine the mixer's, and nothing is summed. x: the predictions, if they are not those of the counts."""
+    def run(self, items: list, rate: float) -> np.ndarray:
+        """Natural log of the probability of each item; each item refines weights of its own, block by block."""
         order = np.arange(len(items))
-        if rate and own:  # the longest first, so that those with a further block are always the first ones
+        if rate:  # the longest first, so that those with a further block are always the first ones
             order = np.argsort([-len(x) for x in items], kind="stable")
             items = [items[i] for i in order]
-        slots, bit, item, ends = decisions or self.bits.decisions(items)
-        if not own:
-            ends = np.linspace(0, len(bit), FIT_STEPS + 1).astype(int)[1:]
-        x = x or [_at(t, s) for t, s in zip(self.known, slots)]
-        lanes = 64 * len(items) if rate and own else 64
+        slots, bit, item, ends = self.bits.decisions(items)
+        x = [_at(t, s) for t, s in zip(self.known, slots)]
+        lanes = 64 * len(items) if rate else 64
         key = ((x[-3].view(np.int32) | x[-2].view(np.int32) | x[-1].view(np.int32)) & 63).astype(np.intp)  # indexes as they are, not converted at each use
         if lanes > 64:
             key += item
         weights = [np.tile(self.weights[:, k], lanes // 64) for k in range(self.bits.K)]
         against = (1 - 2 * bit).astype(np.float32)
         odds, begin = np.empty(len(bit), np.float32), 0  # 1 / p
-        blocks = np.array([-(-len(x) // BLOCK) for x in items]) if rate and own else None
+        blocks = np.array([-(-len(x) // BLOCK) for x in items]) if rate else None
         for k, end in enumerate(ends):
             rows = slice(begin, end)
             ks, xs, sign, begin = key[rows], [a[rows] for a in x], against[rows], end
@@ -227,59 +256,99 @@ class Mixer:
             np.clip(z, -_MOST, _MOST, out=z)  # alike for both outcomes, whose probabilities still make 1
             np.exp(z, out=z)
             z += 1
-            if own:
-                odds[rows] = z
-            if rate and (not own or end < len(bit)):
-                n_rows, lanes = len(z), 64
-                if own:  # only texts with a further block, which stand first
-                    lanes = 64 * int((blocks > k + 1).sum())
-                    n_rows = int(np.searchsorted(item[rows], lanes))
-                    ks, xs, z, sign = ks[:n_rows], [a[:n_rows] for a in xs], z[:n_rows], sign[:n_rows]
+            odds[rows] = z
+            if rate and end < len(bit):  # only texts with a further block, which stand first
+                lanes = 64 * int((blocks > k + 1).sum())
+                n_rows = int(np.searchsorted(item[rows], lanes))
+                ks, xs, z, sign = ks[:n_rows], [a[:n_rows] for a in xs], z[:n_rows], sign[:n_rows]
                 miss = (1 - 1 / z) * sign
                 n = np.bincount(ks, minlength=lanes)
                 step = (-rate / np.maximum(n, 16)).astype(np.float32)
                 for a, w in zip(xs, weights):
                     w[:lanes] += step * np.bincount(ks, miss * a, lanes)
-        if not own:
-            self.weights = np.stack(weights, axis=1)
-            return None
         np.log(odds, out=odds)
         total = np.empty(len(items))
         total[order] = -np.bincount(item // 64, odds, len(items))
         return total
 
 
-def tallied(bits, portions) -> list[np.ndarray]:
+def tallied(bits, portions, into: list[np.ndarray] | None = None) -> list[np.ndarray]:
     """For each predictor the counts of zeros and ones by slot, in turns."""
-    into = [np.zeros(2 * k, np.int64) for k in bits.sizes]
+    into = into or [np.zeros(2 * k, np.int64) for k in bits.sizes]
     for items in portions:
-        slots, bit, _, _ = bits.decisions(items)
-        for c, s in zip(into, slots):
-            np.add.at(c, s * 2 + bit, 1)
+        for c, at in zip(into, bits.outcomes(items)):
+            np.add.at(c, at, 1)
     return into
 
 
-def fitted(bits, counts: list[np.ndarray], portions) -> np.ndarray:
-    """Weights learnt online from portions that are counted in counts: each item is predicted from the counts without its own."""
-    mixer = Mixer(bits, counts)
+#: What a prediction is tallied as: 0 for an unseen slot, 1 to 9 for the counts of one seen less than four times, then bins of 0.4 below 32 times, of 0.5 above.
+_PAIRS = [(a, b) for a in range(4) for b in range(4) if 0 < a + b < 4]
+_FEW = np.zeros((4, 4), np.int32)
+_FEW[tuple(zip(*_PAIRS))] = range(1, 10)
+_SOME = math.log((_LEVELS[2] - 0.6) / 0.4)
+_BINS = np.r_[0.0, [math.log((a + 0.4) / (b + 0.4)) for a, b in _PAIRS], (np.arange(22) + 0.5) / 11 * _SOME - _SOME, (np.arange(32) + 0.5) / 2 - 8]
+_KNOWN = np.repeat(np.arange(4), [1, 9, 22, 32])
+
+
+def _codes(counts: np.ndarray, first: bool) -> np.ndarray:
+    """By slot and outcome, in turns: the bin of what the slot predicts for that outcome; first: the predictor without a level, in the last 32 bins only."""
+    own = counts.astype(np.float32)
+    other = own.reshape(-1, 2)[:, ::-1].ravel()
+    stretch, n = np.clip(np.log((own + np.float32(0.4)) / (other + np.float32(0.4))), -8, 8), own + other
+    many = np.clip((stretch + 8) * 2, 0, 31).astype(np.int32)
+    if first:
+        return many
+    some = np.clip((stretch + _SOME) / _SOME * 11, 0, 21).astype(np.int32)
+    few = _FEW[np.minimum(own, 3).astype(int), np.minimum(other, 3).astype(int)]
+    return np.select([n < _LEVELS[0], n < _LEVELS[1], n < _LEVELS[2]], [np.int32(0), few, some + 10], many + 32)
+
+
+def coded(counts: list[np.ndarray]) -> list[np.ndarray]:
+    """For each predictor its share in the number of a cell, by slot and outcome."""
+    last = len(counts) - 1
+    return [_codes(c, len(counts) - k > 3) << np.int32(6 * (last - k)) for k, c in enumerate(counts)]
+
+
+def cells(bits, codes: list[np.ndarray], portions, into: np.ndarray | None = None) -> np.ndarray:
+    """How many decisions fall into each cell, that is have the same bins of all predictions for their outcome."""
+    into = np.zeros(1 << 6 * bits.K - 1, np.uint32) if into is None else into
     for items in portions:
-        decisions = bits.decisions(items)
-        slots, bit, item, _ = decisions
-        x = []
-        for k, (c, s) in enumerate(zip(counts, slots), 3 - len(counts)):
-            _, mine = np.unique(item * len(c) + s, return_inverse=True)
-            own = np.bincount(mine, bit), np.bincount(mine, 1 - bit)
-            zeros, ones = (np.maximum(c[2 * s + v].astype(np.float32) - own[1 - v][mine].astype(np.float32), 0) for v in (0, 1))
-            x.append(_predicted(zeros, ones, k))
-        mixer.run(items, FIT_RATE, own=False, decisions=decisions, x=x)
-    return mixer.weights
-
-
-def _portions(items, size, step: int = STEP, first: int | None = None, alike: int = 0):
-    """Lists of items of a total size of step, or of the item that reaches it; first: the size of the first list, from which they double.
-
-    alike: how many items of the size of its first one a list has room for at least."""
-    part, n, now = [], 0, first or step
+        first, *others = (_at(c, at) for c, at in zip(codes, bits.outcomes(items)))
+        for x in others:
+            first += x
+        np.add.at(into, first.astype(np.intp), np.uint32(1))
+    return into
+
+
+def _gates(cell: np.ndarray) -> np.ndarray:
+    return _KNOWN[cell >> 12 & 63] << 4 | _KNOWN[cell >> 6 & 63] << 2 | _KNOWN[cell & 63]
+
+
+def learnt(cell: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """The weights of every gate under which n decisions of each cell lose least, by Newton's steps; PULL holds those that few decisions tell of."""
+    gate, x = _gates(cell), [_BINS[(cell >> 6 * (k - 1 - j) & 63) + (32 if k - j > 3 else 0)] for j in range(k)]
+    w = np.full((64, k), START)
+    for _ in range(100):
+        miss = 1 / (1 + np.exp(sum(a * w[gate, j] for j, a in enumerate(x))))
+        slope = np.stack([np.bincount(gate, n * miss * a, 64) for a in x], axis=1) - PULL * (w - START)
+        bend = np.stack([np.stack([np.bincount(gate, n * miss * (1 - miss) * a * b, 64) for a in x], axis=1) for b in x], axis=2) + PULL * np.eye(k)
+        step = np.linalg.solve(bend, slope[:, :, None])[:, :, 0]
+        w += step / np.maximum(1, np.abs(step).max(axis=1, keepdims=True))
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def fitted(bits, counts: list[np.ndarray], portions) -> np.ndarray:
+    """Weights learnt from portions that are predicted from counts."""
+    found = cells(bits, coded(counts), portions)
+    cell = np.flatnonzero(found)
+    return learnt(cell, found[cell], bits.K)
+
+
+def _portions(items, size, step: int = STEP, alike: int = 0):
+    """Lists of items of a total size of step, or of the item that reaches it; alike: how many items of the size of its first one a list has room for at least."""
+    part, n, now = [], 0, step
     for x in items:
         if alike and not part:
             now = max(step, alike * size(x))
@@ -287,46 +356,72 @@ def _portions(items, size, step: int = STEP, first: int | None = None, alike: in
         n += size(x)
         if n >= now:
             yield part
-            part, n, now = [], 0, min(step, 2 * now)
+            part, n = [], 0
     if part:
         yield part
 
 
 def _summed(df: DataFrame, make, sizes: list[int]) -> list[np.ndarray]:
-    """What tallied() finds in every partition (make(batches)), summed chunk by chunk."""
+    """The arrays of every partition (make(batches)), summed chunk by chunk."""
 
     def row(k, at, c):
-        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at], pa.int32()), pa.array([c.tobytes()], pa.binary())], names=["k", "at", "c"])
+        packed = zlib.compress(c.astype(np.min_scalar_type(c.max())).tobytes(), 1)
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at], pa.int32()), pa.array([len(c)], pa.int32()), pa.array([packed], pa.binary())], names=["k", "at", "n", "c"])
+
+    def unpacked(n, c):
+        c = zlib.decompress(c)
+        return np.frombuffer(c, f"u{len(c) // n}")
 
     def count(batches):
         for k, c in enumerate(make(batches)):
             for at in range(0, len(c), CHUNK):
                 if (part := c[at : at + CHUNK]).any():
-                    yield row(k, at, part.astype(np.uint32))
+                    yield row(k, at, part)
 
     def add(batches):
         total = {}
         for b in batches:
-            for k, at, c in zip(*(x.to_pylist() for x in b.columns)):
-                c = np.frombuffer(c, np.uint32).astype(np.int64)
-                total[k, at] = total[k, at] + c if (k, at) in total else c
+            for k, at, n, c in zip(*(x.to_pylist() for x in b.columns)):
+                if (k, at) not in total:
+                    total[k, at] = np.zeros(n, np.int64)
+                total[k, at] += unpacked(n, c)
         for (k, at), c in total.items():
-            yield row(k, at, c.astype(np.float32))
+            yield row(k, at, c)
 
-    schema = "k int, at int, c binary"
+    schema = "k int, at int, n int, c binary"
     out = [np.zeros(2 * n, np.float32) for n in sizes]
     for r in df.mapInArrow(count, schema).repartition("k", "at").mapInArrow(add, schema).collect():  # of fixed size
-        c = np.frombuffer(r.c, np.float32)
-        out[r.k][r.at : r.at + len(c)] = c
+        out[r.k][r.at : r.at + r.n] = unpacked(r.n, r.c)
     return out
 
 
-def _weights(rows: DataFrame, place: Column, n: int, most: int, make, start: np.ndarray) -> np.ndarray:
-    """What make(batches) learns from about most of n rows: those of the least hashes (place), in their order, in one task."""
-    part = rows.withColumn("__place", place).filter(F.pmod("__place", F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(1, n))))
-    learn = lambda batches: iter([pa.RecordBatch.from_arrays([pa.array([make(batches).astype(np.float32).tobytes()], pa.binary())], names=["w"])])
-    found = part.repartition(1).sortWithinPartitions("__place", *rows.columns).select(*rows.columns).mapInArrow(learn, "w binary").collect()
-    return np.frombuffer(found[0].w, np.float32).reshape(start.shape) if found else start
+def _weights(rows: DataFrame, make, k: int) -> np.ndarray:
+    """Weights of k predictors from the cells of every partition (make(batches)), which are summed and learnt from gate by gate."""
+
+    def count(batches):
+        found = make(batches)
+        cell = np.flatnonzero(found)
+        gates = _gates(cell)
+        for gate in np.unique(gates).tolist():
+            mine = cell[gates == gate]
+            yield pa.RecordBatch.from_arrays([pa.array([gate], pa.int32()), pa.array([mine.astype(np.uint32).tobytes()], pa.binary()), pa.array([found[mine].tobytes()], pa.binary())], names=["gate", "cell", "n"])
+
+    def learn(batches):
+        total, gates = None, set()
+        for b in batches:
+            for gate, cell, n in zip(*(x.to_pylist() for x in b.columns)):
+                total = np.zeros(1 << 6 * k - 1, np.int64) if total is None else total
+                total[np.frombuffer(cell, np.uint32)] += np.frombuffer(n, np.uint32)
+                gates.add(gate)
+        if gates:
+            cell = np.flatnonzero(total)
+            w = learnt(cell, total[cell], k).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(gates), pa.int32()), pa.array([w[g].tobytes() for g in sorted(gates)], pa.binary())], names=["gate", "w"])
+
+    out = np.full((64, k), START, np.float32)
+    for r in rows.mapInArrow(count, "gate int, cell binary, n binary").repartition("gate").mapInArrow(learn, "gate int, w binary").collect():  # 64 at most
+        out[r.gate] = np.frombuffer(r.w, np.float32)
+    return out
 
 
 def counted(df: DataFrame) -> DataFrame:
@@ -395,42 +490,61 @@ def train(df: DataFrame, text_col: str = "text", trained: Column | bool = True,
     model = Model([bytes(r.word) for r in top], [r.c for r in top], docs, total.n + docs, total.v + (docs > 0))
     shared = sc.broadcast(model)  # HEAD words
 
-    def texts(batches, bits, step=FIT_STEP, first=None):
-        yield from _portions((bits.symbols(words(t.encode())) for b in batches for t in b.column(0).to_pylist()), len, step, first)
+    def folds(batches, prepared, size):
+        """(fold, portions) of every batch of (item, fold)."""
+        for b in batches:
+            items, fold = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for f in range(FOLDS):
+                yield f, _portions(prepared(x for x, at in zip(items, fold) if at == f), size)
 
-    def tails(batches, known, first=None):
-        yield from _portions((w for b in batches for w in b.column(0).to_pylist() if w not in known), lambda w: len(w) + 1, FIT_STEP, first)
+    symbol = np.min_scalar_type(model.bits().begin)
 
-    def tally_words(batches):
+    def symbols(batches):
         bits = shared.value.bits()
-        return tallied(bits, texts(batches, bits))
-
-    def tally_bytes(batches):
-        return tallied(ByteBits(), tails(batches, shared.value.bits().ids))
-
-    model.word_counts = _summed(train_rows.select("text"), tally_words, model.bits().sizes)
-    model.byte_counts = _summed(counts.filter("c > 0").select("word"), tally_bytes, ByteBits.sizes)
-    known = sc.broadcast((model.word_counts, model.byte_counts))  # arrays of fixed size
-
-    def fit_words(batches):
-        bits, used = shared.value.bits(), 0
-
-        def enough():
-            nonlocal used
-            for part in texts(batches, bits, first=FIRST):
-                yield part
-                used += sum(map(len, part))
-                if used >= FIT_WORDS:
-                    return
-
-        return fitted(bits, known.value[0], enough())
-
-    def fit_bytes(batches):
-        return fitted(ByteBits(), known.value[1], tails(batches, shared.value.bits().ids, FIRST))
-
-    start = lambda bits: np.full((64, bits.K), START, np.float32)
-    model.word_weights = _weights(train_rows.select("text", "id"), F.xxhash64("id", "text"), docs, SAMPLE, fit_words, start(WordBits))
-    model.byte_weights = _weights(counts.filter(F.col("c").between(1, RARE)).select("word"), F.xxhash64("word"), max(1, total.v - len(top)), 10 * SAMPLE, fit_bytes, start(ByteBits))
+        for whole in batches:
+            for b in (whole.slice(at, 2000) for at in range(0, whole.num_rows, 2000)):
+                yield pa.RecordBatch.from_arrays([pa.array([bits.symbols(words(t.encode())).astype(symbol).tobytes() for t in b.column(0).to_pylist()], pa.binary()), b.column(1)], names=["symbols", "fold"])
+
+    def texts(batches):
+        return folds(batches, lambda found: (np.frombuffer(x, symbol).astype(np.int64) for x in found), len)
+
+    def tails(batches):
+        head = shared.value.bits().ids
+        return folds(batches, lambda found: (w for w in found if w not in head), lambda w: len(w) + 1)
+
+    def tally(bits, parts):
+        into = [[np.zeros(2 * k, np.int64) for k in bits.sizes] for _ in range(FOLDS)]
+        for f, portions in parts:
+            tallied(bits, portions, into[f])
+        return list(chain.from_iterable(into))
+
+    def by_fold(bits, found):
+        return [found[f * bits.K : (f + 1) * bits.K] for f in range(FOLDS)]
+
+    def others(counts):
+        """For each fold the codes by the counts of the other ones."""
+        total = [sum(c) for c in zip(*counts)]
+        return [coded([t - c for t, c in zip(total, part)]) for part in counts]
+
+    def celled(bits, codes, parts):
+        into = None
+        for f, portions in parts:
+            into = cells(bits, codes[f], portions, into)
+        return cells(bits, codes[0], ()) if into is None else into
+
+    fold = lambda *columns: F.pmod(F.xxhash64(*columns), F.lit(FOLDS)).cast("int").alias("fold")
+    learn_rows = written(train_rows.select("text", fold("id", "text")).mapInArrow(symbols, "symbols binary, fold int"), "symbols")
+    learn_words = counts.filter("c > 0").select("word", fold("word"))
+    word_counts = by_fold(WordBits, _summed(learn_rows, lambda batches: tally(shared.value.bits(), texts(batches)), model.bits().sizes * FOLDS))
+    byte_counts = by_fold(ByteBits, _summed(learn_words, lambda batches: tally(ByteBits(), tails(batches)), ByteBits.sizes * FOLDS))
+    known = sc.broadcast((word_counts, byte_counts))  # arrays of fixed size
+
+    def codes(k):
+        return shared.value.once(f"codes {k}", lambda: others(known.value[k]))
+
+    model.word_weights = _weights(learn_rows, lambda batches: celled(shared.value.bits(), codes(0), texts(batches)), WordBits.K)
+    model.byte_weights = _weights(learn_words, lambda batches: celled(ByteBits(), codes(1), tails(batches)), ByteBits.K)
+    model.word_counts, model.byte_counts = ([sum(c) for c in zip(*found)] for found in (word_counts, byte_counts))
     shared.destroy()
     known.destroy()
     model.made.clear()

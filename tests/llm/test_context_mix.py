@@ -116,6 +116,40 @@ def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     assert all(found[1][k] == pytest.approx(v, rel=1e-6) for k, v in found[0].items())
 
 
+def test_weights_come_from_all_training_rows(spark, monkeypatch):
+    """More texts and rare words than the sample had that weights once came from (2,000 and 20,000)."""
+    monkeypatch.setattr(mix, "RARE", 1)
+    df = spark.createDataFrame([(i, f"a b{i % 7} c{i % 50} {' '.join(f'x{i * 7 + k}' for k in range(7))} d{i % 3}", i % 50 != 0) for i in range(3200)], "doc_id bigint, text string, train boolean")
+    model, counts = mix.train(df, trained=mix.F.col("train"))
+    bits, head = model.bits(), set(model.head)
+    fold = lambda *c: mix.F.pmod(mix.F.xxhash64(*c), mix.F.lit(mix.FOLDS)).alias("fold")
+    texts = [(bits.symbols(words(r.text.encode())), r.fold) for r in df.filter("train").select("text", fold("doc_id", "text")).collect()]
+    tails = [(bytes(r.word), r.fold) for r in counts.filter("c > 0").select("word", fold("word")).collect() if bytes(r.word) not in head]
+    assert len(texts) == 3136 and len(tails) == 7 * 3136
+    for of, items, total, weights in ((bits, texts, model.word_counts, model.word_weights), (mix.ByteBits(), tails, model.byte_counts, model.byte_weights)):
+        parts = [[[x for x, f in items if f == k]] for k in range(mix.FOLDS)]
+        counted = [mix.tallied(of, p) for p in parts]
+        assert all(np.array_equal(sum(c), t) for c, t in zip(zip(*counted), total))
+        found = sum(mix.cells(of, mix.coded([t - c for t, c in zip(total, counted[k])]), parts[k]).astype(int) for k in range(mix.FOLDS))
+        assert found.sum() == sum(len(of.decisions(p[0])[1]) for p in parts)
+        cell = np.flatnonzero(found)
+        assert np.allclose(mix.learnt(cell, found[cell], of.K), weights, atol=1e-5) and not np.allclose(weights, mix.START)
+
+
+def test_learnt_weights_lose_least():
+    """Against plain descent over single decisions, whose predictions are the bins' own."""
+    rng = np.random.default_rng(3)
+    cell = np.unique(rng.integers(0, 32, 60) << 18 | 40 << 12 | 50 << 6 | rng.integers(32, 64, 60))
+    n = rng.integers(1, 2000, len(cell))
+    got = mix.learnt(cell, n, 4)
+    x = np.stack([mix._BINS[(cell >> 18) + 32], mix._BINS[np.full(len(cell), 40)], mix._BINS[np.full(len(cell), 50)], mix._BINS[cell & 63]], axis=1)
+    loss = lambda w: (n * np.log1p(np.exp(-(x @ w)))).sum() + mix.PULL / 2 * ((w - mix.START) ** 2).sum()
+    best = loss(got[63])
+    assert best < loss(np.full(4, mix.START))
+    assert all(best <= loss(got[63] + d) for d in np.vstack([np.eye(4), -np.eye(4)]) * 1e-3)
+    assert np.allclose(got[:63], mix.START)
+
+
 def test_probabilities_of_texts_make_one_at_most(spark, monkeypatch):
     """All texts of up to four of three words, seen and unseen ones; different line breaks are the same words."""
     monkeypatch.setattr(mix, "RARE", 0)
