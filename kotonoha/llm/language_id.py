@@ -35,7 +35,7 @@ SLOTS, CHUNK, TEMPER, SMOOTH = 1 << 16, 1 << 13, 0.3, 5.0
 _HIDDEN = re.compile(r"(?i)<(script|style|noscript|template)\b")
 _CLOSE = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "noscript", "template")}
 _HTML = re.compile(r"(?i)<html\b")
-_LANG = re.compile(r"""(?i)\blang\s*+=\s*+["']?\s*+([A-Za-z]{2,8})""")  # nothing is given back, so blanks of any number are read once
+_LANG = re.compile(r"""(?i)\blang\s*+=\s*+["']?\s*+([A-Za-z]{2,8})(?![A-Za-z]*+=)""")  # nothing is given back, so blanks of any number are read once
 _HOST = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
