@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kotonoha.functions.text import NOTE, utf16_length
 from kotonoha.operators.notes import CODE, apart, folded, front_rows
 from kotonoha.operators.spans import hits, laid_out
+from kotonoha.session import written
 
 BIN = 4096
 _RANGE = "struct<start:bigint,end:bigint,kind:string>"
@@ -69,6 +70,7 @@ def notes_by_protection(df: DataFrame, id_col: str = "doc_id", text: str = "text
     A note that a range covers in part is protected like one that lies in it. Rows that repeat id and text are joined once and keep their rows."""
     rows = laid_out(df.filter(F.contains(text, F.lit("［＃"))), id_col, text)
     notes = apart(rows.select(id_col, "row", hits(pattern, lambda line: line["text"].rlike(pattern)).alias("__hits"))).select(id_col, "row", F.inline("__hits")).drop("shield")
+    notes = written(notes, "notes")  # joined with the ranges, and once more with what they met
     keys = [id_col, "row"]
     met = overlaps(notes.select(*keys, "start", "end").distinct(), _protected(rows, id_col).distinct(), keys)
     first = met.groupBy(*keys, "start").agg(F.min_by("right_kind", "right_start").alias("protection"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from kotonoha.functions.text import NOTE, utf16_length
 from kotonoha.operators.notes import apart, bound, folded, with_lines
+from kotonoha.session import spread
 
 #: The kinds of ranges in notes; ［＃ここから…］ and ［＃ここで…終わり］ are ranges of their own.
 KINDS = ("太字", "斜体", "傍線", "二重傍線", "鎖線", "破線", "波線", "傍点", "白ゴマ傍点", "白丸傍点", "黒三角傍点", "白三角傍点", "二重丸傍点", "蛇の目傍点", "ばつ傍点", "丸傍点", "大見出し", "中見出し", "小見出し")
@@ -25,7 +26,7 @@ def laid_out(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, row, text, noted, lines, shield, __zipped): whole texts with their lines <line, start, shield, text>.
 
     row is a hash of id and text: rows that share it are equal."""
-    whole = df.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    whole = spread(df.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("text")))
     rows = with_lines(whole.withColumn("row", F.xxhash64(id_col, "text")))
     starts = folded(F.col("lines"), F.lit(0).cast("bigint"), lambda at, line: (at + utf16_length(line) + 1, at), "bigint")
     df = apart(rows.withColumn("__starts", starts))

@@ -108,3 +108,15 @@ def test_long_documents(spark):
     got = blocks.page_breaks(inline.emphasis(with_lines(df))).first()
     assert got.emphasis_bold == 1 and got.page_page_breaks == 1000 and got.lines[0] == "**あ**" and len(got.lines) == n + 3001
     assert time.time() - began < 90
+
+
+def test_texts_in_one_row_group_are_dealt_and_notes_found_once(spark, tmp_path):
+    text = "a［＃注］\n`b［＃注］`\n~~~\n［＃注］\n~~~"
+    df = spark.createDataFrame([(i, text) for i in range(20)], "doc_id bigint, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/d")
+    df = spark.read.parquet(f"{tmp_path}/d")
+    found = ranges.notes_by_protection(df, pattern="［＃注］")
+    assert "［＃注］" not in found._jdf.queryExecution().optimizedPlan().toString()  # written, not found anew for each join
+    got = sorted((r.doc_id, r.line, r.protection) for r in found.collect())
+    assert got == [(i, line, kind) for i in range(20) for line, kind in ((1, None), (2, "inline-code"), (4, "fence"))]
+    assert spans.laid_out(df, "doc_id", "text").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
