@@ -112,13 +112,16 @@ class Huffman:
         self.bits = np.array([b for _, b in chain.from_iterable(paths)], np.int8)
         #: Nodes and places with their bits behind them.
         self.taken, self.turns = self.nodes << 1 | self.bits, self.places << 1 | self.bits
+        #: 1 for a bit of 0, -1 for one of 1.
+        self.signs = (1 - 2 * self.bits).astype(np.float32)
 
 
 class WordBits:
     """Decisions of word sequences.
 
     decisions(), block by block: for a list of texts, (slots by predictor, bit, 64 times the text, where each block ends).
-    outcomes(), in any order: for each predictor twice the slot, plus the bit."""
+    predictions(), in the same order: what known (see predicting()) tells in place of slots, and for a bit 1 (0) or -1 (1).
+    outcomes(), in any order and part by part: for each predictor twice the slot, plus the bit."""
 
     K = 4
 
@@ -145,16 +148,25 @@ class WordBits:
         hashes = [_slot(h) for h in ((one + np.uint32(1)) * np.uint32(0x9E3779B1), (one * np.uint32(0x27D4EB2F) ^ (two + np.uint32(7)) * np.uint32(0x165667B1)), (last + np.uint32(3)) * np.uint32(0xC2B2AE3D))]
         return s, at, starts, lengths, hashes
 
-    def outcomes(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+    def outcomes(self, texts: list[np.ndarray]):
+        """The first decisions of all symbols, then the second ones, and so on: a symbol's contexts are not repeated for each of its decisions."""
         s, _, _, _, hashes = self.contexts(texts)
         code = self.code
         size = code.length[s]
-        path = np.repeat(code.start[s] - np.cumsum(size) + size, size)
-        path += np.arange(len(path))
-        turns = _at(code.turns, path)
-        return [_at(code.taken, path), *(np.repeat(h << 1, size) ^ turns for h in hashes)]
-
-    def decisions(self, texts: list[np.ndarray]):
+        order = np.argsort(-size.astype(np.int8), kind="stable")  # those with further decisions stand first; a radix sort
+        path, hashes = code.start[s[order]], [h[order] << 1 for h in hashes]
+        for n in np.cumsum(np.bincount(size)[:0:-1])[::-1].tolist():
+            path = path[:n]
+            turns = _at(code.turns, path)
+            yield [_at(code.taken, path), *(h[:n] ^ turns for h in hashes)]
+            path += 1
+
+    def predicting(self, known: list[np.ndarray]) -> list[np.ndarray]:
+        """The predictions by slot as predictions() reads them: those without a context along the paths of the code."""
+        return [_at(known[0], self.code.nodes), *known[1:]]
+
+    def _laid(self, texts: list[np.ndarray]):
+        """What decisions() and predictions() begin with, block by block: where the contexts of symbols begin, their numbers of decisions, the paths, and the ends of both."""
         s, at, starts, lengths, hashes = self.contexts(texts)
         text, block = np.repeat(np.arange(len(texts)), lengths), (at - starts) // BLOCK
         if len(block) and block.max():  # blocks of all texts one after the other
@@ -164,8 +176,21 @@ class WordBits:
         size = code.length[s]
         path = np.repeat(code.start[s] - np.cumsum(size) + size, size)
         path += np.arange(len(path))
-        place = _at(code.places, path)
-        return [_at(code.nodes, path), *(np.repeat(h, size) ^ place for h in hashes)], _at(code.bits, path), np.repeat(text * 64, size), np.cumsum(np.bincount(block, size)).astype(np.int64)
+        return hashes, size, path, np.repeat(text * 64, size), np.cumsum(np.bincount(block, size)).astype(np.int64)
+
+    def decisions(self, texts: list[np.ndarray]):
+        hashes, size, path, text, ends = self._laid(texts)
+        place = _at(self.code.places, path)
+        return [_at(self.code.nodes, path), *(np.repeat(h, size) ^ place for h in hashes)], _at(self.code.bits, path), text, ends
+
+    def predictions(self, texts: list[np.ndarray], known: list[np.ndarray]):
+        hashes, size, path, text, ends = self._laid(texts)
+        place, x = _at(self.code.places, path), [_at(known[0], path)]
+        for h, t in zip(hashes, known[1:]):
+            at = np.repeat(h, size)
+            at ^= place
+            x.append(_at(t, at))
+        return x, _at(self.code.signs, path), text, ends
 
 
 _node = np.arange(256)
@@ -196,6 +221,9 @@ class ByteBits:
                 hashes.append(_slot((h + np.uint32(k)) * np.uint32(0x9E3779B1)))
         return x.astype(np.intp), lengths, hashes
 
+    def predicting(self, known: list[np.ndarray]) -> list[np.ndarray]:
+        return known
+
     def decisions(self, found: list[bytes]):
         x, lengths, hashes = self.contexts(found)
         place = _TREE.take(x, axis=0)
@@ -203,10 +231,14 @@ class ByteBits:
         word = np.repeat(64 * np.arange(len(found)), 8 * lengths)
         return [(h[:, None] ^ place).ravel() for h in hashes], bit, word, np.array([len(word)])
 
-    def outcomes(self, found: list[bytes]) -> list[np.ndarray]:
+    def predictions(self, found: list[bytes], known: list[np.ndarray]):
+        slots, bit, word, ends = self.decisions(found)
+        return [_at(t, at) for t, at in zip(known, slots)], (1 - 2 * bit).astype(np.float32), word, ends
+
+    def outcomes(self, found: list[bytes]):
         x, _, hashes = self.contexts(found)
         turns = _TURNS.take(x, axis=0)
-        return [((h << 1)[:, None] ^ turns).ravel() for h in hashes]
+        yield [((h << 1)[:, None] ^ turns).ravel() for h in hashes]
 
 
 def _predicted(zeros: np.ndarray, ones: np.ndarray, k: int) -> np.ndarray:
@@ -228,7 +260,7 @@ class Mixer:
         """counts: for each predictor zeros and ones by slot, in turns.
 
         A slot's prediction carries in two of its last six bits how well the slot is known, so that one access finds both."""
-        self.known = [_predicted(c[::2].astype(np.float32), c[1::2].astype(np.float32), k) for k, c in enumerate(counts, 3 - len(counts))]
+        self.known = self.bits.predicting([_predicted(c[::2].astype(np.float32), c[1::2].astype(np.float32), k) for k, c in enumerate(counts, 3 - len(counts))])
 
     def run(self, items: list, rate: float) -> np.ndarray:
         """Natural log of the probability of each item; each item refines weights of its own, block by block."""
@@ -236,32 +268,34 @@ class Mixer:
         if rate:  # the longest first, so that those with a further block are always the first ones
             order = np.argsort([-len(x) for x in items], kind="stable")
             items = [items[i] for i in order]
-        slots, bit, item, ends = self.bits.decisions(items)
-        x = [_at(t, s) for t, s in zip(self.known, slots)]
+        x, against, item, ends = self.bits.predictions(items, self.known)
         lanes = 64 * len(items) if rate else 64
-        key = ((x[-3].view(np.int32) | x[-2].view(np.int32) | x[-1].view(np.int32)) & 63).astype(np.intp)  # indexes as they are, not converted at each use
-        if lanes > 64:
-            key += item
+        gate = x[-3].view(np.int32) | x[-2].view(np.int32)
+        gate |= x[-1].view(np.int32)
+        gate &= 63
+        key = item + gate if lanes > 64 else gate.astype(np.intp)  # indexes as they are, not converted at each use
         weights = [np.tile(self.weights[:, k], lanes // 64) for k in range(self.bits.K)]
-        against = (1 - 2 * bit).astype(np.float32)
-        odds, begin = np.empty(len(bit), np.float32), 0  # 1 / p
+        odds, begin = np.empty(len(against), np.float32), 0  # 1 / p
         blocks = np.array([-(-len(x) // BLOCK) for x in items]) if rate else None
         for k, end in enumerate(ends):
             rows = slice(begin, end)
             ks, xs, sign, begin = key[rows], [a[rows] for a in x], against[rows], end
-            z = xs[0] * _at(weights[0], ks)
+            z = np.multiply(xs[0], _at(weights[0], ks), out=odds[rows])
             for a, w in zip(xs[1:], weights[1:]):
-                z += a * _at(w, ks)
+                part = _at(w, ks)
+                part *= a
+                z += part
             z *= sign
             np.clip(z, -_MOST, _MOST, out=z)  # alike for both outcomes, whose probabilities still make 1
             np.exp(z, out=z)
             z += 1
-            odds[rows] = z
-            if rate and end < len(bit):  # only texts with a further block, which stand first
+            if rate and end < len(against):  # only texts with a further block, which stand first
                 lanes = 64 * int((blocks > k + 1).sum())
                 n_rows = int(np.searchsorted(item[rows], lanes))
                 ks, xs, z, sign = ks[:n_rows], [a[:n_rows] for a in xs], z[:n_rows], sign[:n_rows]
-                miss = (1 - 1 / z) * sign
+                miss = 1 / z
+                np.subtract(1, miss, out=miss)
+                miss *= sign
                 n = np.bincount(ks, minlength=lanes)
                 step = (-rate / np.maximum(n, 16)).astype(np.float32)
                 for a, w in zip(xs, weights):
@@ -274,10 +308,12 @@ class Mixer:
 
 def tallied(bits, portions, into: list[np.ndarray] | None = None) -> list[np.ndarray]:
     """For each predictor the counts of zeros and ones by slot, in turns."""
-    into = into or [np.zeros(2 * k, np.int64) for k in bits.sizes]
+    into = into or [np.zeros(2 * k, np.uint32) for k in bits.sizes]
+    one = np.uint32(1)
     for items in portions:
-        for c, at in zip(into, bits.outcomes(items)):
-            np.add.at(c, at, 1)
+        for part in bits.outcomes(items):
+            for c, at in zip(into, part):
+                np.add.at(c, at, one)
     return into
 
 
@@ -313,10 +349,11 @@ def cells(bits, codes: list[np.ndarray], portions, into: np.ndarray | None = Non
     """How many decisions fall into each cell, that is have the same bins of all predictions for their outcome."""
     into = np.zeros(1 << 6 * bits.K - 1, np.uint32) if into is None else into
     for items in portions:
-        first, *others = (_at(c, at) for c, at in zip(codes, bits.outcomes(items)))
-        for x in others:
-            first += x
-        np.add.at(into, first.astype(np.intp), np.uint32(1))
+        for part in bits.outcomes(items):
+            first, *others = (_at(c, at) for c, at in zip(codes, part))
+            for x in others:
+                first += x
+            np.add.at(into, first.astype(np.intp), np.uint32(1))
     return into
 
 
@@ -513,7 +550,7 @@ def train(df: DataFrame, text_col: str = "text", trained: Column | bool = True,
         return folds(batches, lambda found: (w for w in found if w not in head), lambda w: len(w) + 1)
 
     def tally(bits, parts):
-        into = [[np.zeros(2 * k, np.int64) for k in bits.sizes] for _ in range(FOLDS)]
+        into = [[np.zeros(2 * k, np.uint32) for k in bits.sizes] for _ in range(FOLDS)]  # a task has fewer decisions
         for f, portions in parts:
             tallied(bits, portions, into[f])
         return list(chain.from_iterable(into))

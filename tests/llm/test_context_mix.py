@@ -203,3 +203,19 @@ def test_edges(spark):
         assert len({r.score for r in got if r.doc_id in (1, 5)}) == 1
     assert mix.score(df.limit(0), model, counts).count() == 0
     assert df.filter(id_crc() >= 0).count() == 6
+
+
+def test_outcomes_by_depth():
+    """Outcomes come level by level, none longer than the symbols, with the slots and bits of decisions(); predictions() tell what those slots hold."""
+    head = [b"a", b"b", b"c", b"d", b"e"]
+    bits = mix.WordBits(head, mix.Huffman([16, 8, 4, 2, 1, 3, 1]))
+    texts = [bits.symbols([b"a", b"b", b"x", b"e", b"a"] * 40), bits.symbols([]), bits.symbols([b"d", b"c"])]
+    parts = list(bits.outcomes(texts))
+    slots, bit, item, ends = bits.decisions(texts)
+    assert len(parts) == bits.code.length.max() and len(parts[0][0]) == sum(map(len, texts))
+    for k, at in enumerate(slots):
+        assert np.array_equal(np.sort(np.concatenate([p[k] for p in parts])), np.sort(at << 1 | bit))
+    known = [np.random.default_rng(k).random(n).astype(np.float32) for k, n in enumerate(bits.sizes)]
+    x, sign, item2, ends2 = bits.predictions(texts, bits.predicting(known))
+    assert np.array_equal(sign, 1 - 2 * bit) and np.array_equal(item, item2) and np.array_equal(ends, ends2)
+    assert all(np.array_equal(a, t[at]) for a, t, at in zip(x, known, slots))
