@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kotonoha.functions.names import collision_key, sanitize_filename
@@ -14,6 +14,8 @@ from kotonoha.session import written
 
 _FILE = r"\A(.*?)(\.[^./]*)?\z"
 _MARKED = r"\A(.*?)_converted([2-9]|[1-9][0-9]+)?\z"
+#: Claims of a key that one task may hold; held names that every task is told.
+LARGE, TOLD = 100_000, 100_000
 
 
 def _mark(n: Column) -> Column:
@@ -23,17 +25,23 @@ def _mark(n: Column) -> Column:
 def free_numbers(claims: DataFrame, held: DataFrame, keys: list[str], order: str) -> DataFrame:
     """claims with free: the k-th of a key in order gets the k-th number from 0 on that held (keys, n) does not have.
 
-    All by running sums: a held number stands before as many free ones as it is large, less the held ones below it, and a claim moves on by those that stand
-    before it. Nothing is reserved one after another and no key is gathered."""
-    numbered = running(claims.withColumn("__one", F.lit(1)), {"__k": "__one"}, [order], keys)
+    Claims are counted by their key, those of a key of more than LARGE by running sums over ranges, so that no such key is gathered. Among held numbers all
+    goes by running sums: a held number stands before as many free ones as it is large, less the held ones below it, and a claim moves on by those that
+    stand before it. Nothing is reserved one after another."""
+    more = lambda df, by: df.groupBy(*by).agg(F.count("*").alias("__n")).filter(F.col("__n") > LARGE).select(*by)
+    crowded = written(more(claims, keys[:1]), "crowded")  # a key is large only where its first column is
+    large = F.broadcast(written(more(claims.join(F.broadcast(crowded), keys[:1], "left_semi"), keys), "crowded"))
+    many = running(claims.join(large, keys, "left_semi").withColumn("__one", F.lit(1)), {"__k": "__one"}, [order], keys).drop("__one")
+    few, by_key = claims.join(large, keys, "left_anti"), Window.partitionBy(*keys).orderBy(order)
     ranked = running(held.select(*keys, "n").distinct().withColumn("__one", F.lit(1)), {"__j": "__one"}, ["n"], keys)
     spots = ranked.select(*keys, (F.col("n") - F.col("__j") + 1).cast("bigint").alias("__pos"), F.lit(0).alias("__claim"), F.lit(1).alias("__held"))
     # only claims of a key that holds a number have to move on
     busy = held.select(*keys).distinct()
-    both = numbered.join(busy, keys, "left_semi").withColumn("__pos", F.col("__k") - 1).withColumn("__claim", F.lit(1)).withColumn("__held", F.lit(0)).unionByName(spots, allowMissingColumns=True)
+    numbered = lambda how: few.join(busy, keys, how).withColumn("__k", F.row_number().over(by_key).cast("bigint")).unionByName(many.join(busy, keys, how))
+    both = numbered("left_semi").withColumn("__pos", F.col("__k") - 1).withColumn("__claim", F.lit(1)).withColumn("__held", F.lit(0)).unionByName(spots, allowMissingColumns=True)
     done = running(both, {"__skip": "__held"}, ["__pos", "__claim"], keys).filter("__claim = 1").drop("__pos", "__claim", "__held")
-    done = done.unionByName(numbered.join(busy, keys, "left_anti").withColumn("__skip", F.lit(0).cast("bigint")))
-    return done.withColumn("free", F.col("__k") - 1 + F.col("__skip")).drop("__one", "__k", "__skip")
+    done = done.unionByName(numbered("left_anti").withColumn("__skip", F.lit(0).cast("bigint")))
+    return done.withColumn("free", F.col("__k") - 1 + F.col("__skip")).drop("__k", "__skip")
 
 
 def _holds(stem: Column, others: list[Column], exact: bool) -> Column:
@@ -49,17 +57,25 @@ def plan_outputs(requests: DataFrame, taken: DataFrame, batch: str = "batch") ->
     requests: (batch, ord, path); taken: (batch, path) of inputs and existing files. The k-th request of a key gets the k-th number that no
     taken path and no request of a name that looks converted holds."""
     stem, ext = F.regexp_extract("path", _FILE, 1), F.regexp_extract("path", _FILE, 2)
-    parts = apart(requests.select(batch, "ord", "path").withColumn("stem", stem).withColumn("ext", ext).withColumn("key", collision_key("path")).withColumn("stem_key", collision_key(stem)).withColumn("ext_key", F.lower(ext)))
-    parts = written(parts, "outputs")
+    parts = apart(requests.select(batch, "ord", "path", collision_key("path").alias("key"), collision_key(stem).alias("stem_key")))
+    # keys that follow from the path as it stands are not written beside it
+    usual = lambda key: F.regexp_extract(key, _FILE, 1)
+    unlike = lambda value, usual: F.when(~value.eqNullSafe(usual), value)
+    parts = written(parts.select(batch, "ord", "path", unlike(F.col("key"), F.col("path")).alias("key"), unlike(F.col("stem_key"), usual("key")).alias("stem_key")), "outputs")
+    parts = parts.withColumn("key", F.coalesce("key", "path"))
+    names = parts.select(batch, F.coalesce("stem_key", usual("key")).alias("stem_key"), F.lower(ext).alias("ext_key"), "key")
     keyed = apart(apart(taken.select(batch, "path")).select(batch, collision_key("path").alias("key")))
     ext_key = F.regexp_extract("key", _FILE, 2).alias("ext_key")
     stem_of = F.regexp_extract("key", _FILE, 1)
     found = lambda df, exact: df.select(batch, _holds(stem_of, [ext_key], exact).alias("h")).select(batch, "h.*")
-    own = parts.filter(F.col("stem_key").rlike(_MARKED)).select(batch, "key").distinct()
-    held = found(keyed, True).unionByName(found(own, False))
-    held = held.join(parts.select(batch, "stem_key", "ext_key", "key").distinct(), [batch, "stem_key", "ext_key"])
-    free = free_numbers(parts, held, [batch, "key"], "ord")
-    return free.select(batch, "ord", "path", F.concat("stem", _mark(F.col("free")), "ext").alias("output"))
+    own = names.filter(F.col("stem_key").rlike(_MARKED)).select(batch, "key").distinct()
+    held = written(found(keyed, True).unionByName(found(own, False)), "outputs-held")
+    name = [batch, "stem_key", "ext_key"]
+    if held.count() <= TOLD:  # few names: only requests of these are gathered
+        names = names.join(F.broadcast(held.select(*name).distinct()), name, "left_semi")
+    held = written(held.join(names.distinct(), name), "outputs-held")
+    free = free_numbers(parts.select(batch, "ord", "path", "key"), held, [batch, "key"], "ord")
+    return free.select(batch, "ord", "path", F.concat(stem, _mark(F.col("free")), ext).alias("output"))
 
 
 class Tree(NamedTuple):

@@ -1,6 +1,7 @@
 """Archives in parts, nested budgets and keyed streams against versions that go one after the other."""
 
 import io
+import os
 import random
 import zipfile
 
@@ -201,3 +202,33 @@ def test_claims_of_free_keys_are_not_moved(spark, monkeypatch):
     held = spark.createDataFrame([("a", 0), ("a", 2)], "key string, n bigint")
     got = {(r.key, r.ord, r.free) for r in outputs.free_numbers(claims, held, ["key"], "ord").collect()}
     assert got == {("a", 1, 1), ("a", 2, 3), ("b", 1, 0), ("b", 2, 1), (None, 1, 0)} and seen[2].filter("key = 'b' or key is null").count() == 0
+
+
+@pytest.mark.parametrize("large, told", [(2, -1), (100_000, 100_000), (0, 1)])
+def test_outputs_of_small_and_large_keys(spark, monkeypatch, large, told):
+    monkeypatch.setattr(outputs, "LARGE", large)
+    monkeypatch.setattr(outputs, "TOLD", told)
+    names = ("a.md", "A.md", "b.md", "b_converted.md", "c.", "が.md")
+    rows = [(b, k, names[(k * k + len(b)) % 6]) for b in ("x", "yy", "zzz") for k in range(7 * len(b))]
+    held = [("x", "a.md"), ("x", "a_converted.md"), ("zzz", "B_converted3.md"), ("yy", "other.md")]
+    df = spark.createDataFrame(rows, "batch string, ord int, path string").repartition(3)
+    got = {(r.batch, r.ord): r.output for r in outputs.plan_outputs(df, spark.createDataFrame(held, "batch string, path string")).collect()}
+    key = str.lower
+    marked = {(b, key(p)) for b, _, p in rows if "_converted" in p} | {(b, key(p)) for b, p in held}
+    seen, want = set(), {}
+    for b, k, path in rows:
+        stem, dot, ext = path.rpartition(".")
+        tries = [path] + [f"{stem}_converted{n if n > 1 else ''}{dot}{ext}" for n in range(1, 99)]
+        own = lambda t: t == path and (b, key(t)) not in {(x, key(p)) for x, p in held}
+        free = [t for t in tries if ((b, key(t)) not in marked or own(t)) and (b, key(t)) not in seen]
+        want[b, k] = free[0]
+        seen.add((b, key(free[0])))
+    assert got == want
+
+
+def test_archive_plan_moves_few_bytes(spark):
+    context, source = spark.sparkContext._jsc.sc(), "/root/testdata/sf0.01"
+    moved = lambda: context.listenerBus().waitUntilEmpty() or context.statusStore().executorSummary("driver").totalShuffleWrite()
+    before = moved()
+    assert registry.QUERIES["archive_plan"](spark, source).count() > 1000
+    assert 0 < moved() - before < 8 * os.path.getsize(f"{source}/lineitem.parquet")
